@@ -8,12 +8,31 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fitgate.llm import bpe, pii, quality
+from fitgate.llm import bpe, decontaminate, jaccard, language, pii, quality
 from fitgate.llm.common import documents
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def _crc(column: str = "doc_id"):
+    return F.crc32(F.col(column).cast("string"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
+    profiles = language.learn(docs.where(_crc() % 4 != 2))
+    held_out = F.coalesce(_crc() % 4 == 2, F.lit(False)).alias("held_out")
+    return language.identify(docs.select("doc_id", "text"), profiles).select("doc_id", held_out, "lang_pred", "score")
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(documents(spark, sf_dir))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality.apply_policy(quality.ledger(documents(spark, sf_dir)))
     base_failed = F.col("failed").bitwiseAND(F.lit(quality.BASE_MASK)) != 0
@@ -39,7 +58,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_quality_rules, op8_pii, op9_bpe)}
+    return {f.__name__: f for f in (op3_language_id, op4_decontamination, op6_jaccard_join, op7_quality_rules, op8_pii, op9_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
