@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fitgate.llm import bpe, decontaminate, jaccard, language, pii, quality
+from fitgate.llm import bpe, decontaminate, jaccard, language, language_model, pii, quality
 from fitgate.llm.common import documents
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -18,6 +18,12 @@ def _crc(column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = language_model.score_documents(documents(spark, sf_dir), _crc() % 10 != 0)
+    held_out = F.coalesce(_crc() % 10 == 0, F.lit(False)).alias("held_out")
+    return scored.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text", "lang")
     profiles = language.learn(docs.where(_crc() % 4 != 2))
@@ -58,7 +64,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_language_id, op4_decontamination, op6_jaccard_join, op7_quality_rules, op8_pii, op9_bpe)}
+    return {f.__name__: f for f in (op2_lm_scoring, op3_language_id, op4_decontamination, op6_jaccard_join, op7_quality_rules, op8_pii, op9_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
