@@ -127,12 +127,12 @@ def total_answers(asked: DataFrame) -> DataFrame:
     return asked.groupBy("owner").applyInPandas(add, ANSWER)
 
 
-def with_answers(blocks: DataFrame, answers: DataFrame, use: Callable[..., Iterator[pd.DataFrame]], schema: str) -> DataFrame:
-    """``use(row of blocks, {kind: packed answers in key order})`` for every block, as rows of ``schema``."""
+def with_answers(blocks: DataFrame, answers: DataFrame, use: Callable[..., pd.DataFrame], schema: str) -> DataFrame:
+    """``use(row of blocks, {kind: [(packed answer, number of keys), ...] in key order})`` for every block."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         right = right.sort_values("owner")
-        found = {kind: list(rows["answer"]) for kind, rows in right.groupby("kind")}
+        found = {kind: list(zip(rows["answer"], rows["n"], strict=True)) for kind, rows in right.groupby("kind")}
         return pd.concat([use(row, found) for row in left.itertuples(index=False)])
 
     return blocks.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block")).applyInPandas(run, schema)

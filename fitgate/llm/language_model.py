@@ -89,7 +89,7 @@ class Counts:
         totals = []
         for kind, keys in ((WORD, words), (PAIR, pairs)):
             _, at = np.unique(keys, return_inverse=True)
-            totals.append(np.concatenate([unpack(a) for a in found[kind]]).astype(np.int64)[at])
+            totals.append(np.concatenate([unpack(a) for a, _ in found[kind]]).astype(np.int64)[at])
         self.word, self.pair = totals
         first = np.cumsum(self.lengths) - self.lengths
         self.context = np.empty_like(self.word)
