@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fitgate.llm import bpe, decontaminate, jaccard, language, language_model, pii, quality, substring
+from fitgate.llm import bpe, decontaminate, huffman, jaccard, language, language_model, pii, quality, substring
 from fitgate.llm.common import documents
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -18,6 +18,13 @@ def _crc(column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string"))
 
 
+END_ID = 2
+
+
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return huffman.round_trip(documents(spark, sf_dir), WORD_BPE, END_ID)
+
+
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = language_model.score_documents(documents(spark, sf_dir), _crc() % 10 != 0)
     held_out = F.coalesce(_crc() % 10 == 0, F.lit(False)).alias("held_out")
@@ -68,7 +75,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_lm_scoring, op3_language_id, op4_decontamination, op5_substring_dedup, op6_jaccard_join, op7_quality_rules, op8_pii, op9_bpe)}
+    return {f.__name__: f for f in (op1_token_files, op2_lm_scoring, op3_language_id, op4_decontamination, op5_substring_dedup, op6_jaccard_join, op7_quality_rules, op8_pii, op9_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
