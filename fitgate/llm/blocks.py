@@ -26,16 +26,20 @@ BLOCK_CHARS = 4_000_000
 #: Keys that one owner should have to sort, counted with repeats in different blocks.
 KEYS_PER_OWNER = 2_000_000
 
+#: Stands for a NULL doc_id inside blocks, where lists of plain 64-bit integers are wanted.
+NULL_ID = -(2**63)
+
 REQUEST = "owner long, block long, kind int, n long, keys binary, extra binary"
 ANSWER = "owner long, block long, kind int, n long, answer binary"
 
 
-def text_blocks(docs: DataFrame, stages: Stages, ordered: bool = False) -> DataFrame:
+def text_blocks(docs: DataFrame, stages: Stages, order_by: tuple[str, ...] = (), chars: int | None = None) -> DataFrame:
     """Written rows (block, doc_ids, texts, flags) of a few million characters, from docs(doc_id, text, flag).
 
-    With ``ordered``, documents lie in ascending doc_id order in the blocks and blocks in ascending order
+    With ``order_by``, documents lie in that order in the blocks and blocks in ascending order
     of their numbers; else each task cuts what it reads. A document is never cut.
     """
+    limit = chars or BLOCK_CHARS
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number = TaskContext.get().partitionId() << 32
@@ -47,21 +51,28 @@ def text_blocks(docs: DataFrame, stages: Stages, ordered: bool = False) -> DataF
             return pd.DataFrame({"block": [number], "doc_ids": [list(ids)], "texts": [list(texts)], "flags": [list(flags)]})
 
         for batch in batches:
-            for row in zip(batch["doc_id"].astype(object), batch["text"], batch["flag"], strict=True):
-                if rows and size + len(row[1]) > BLOCK_CHARS:
+            for row in zip(batch["doc_id"], batch["text"], batch["flag"], strict=True):
+                if rows and size + len(row[1]) > limit:
                     yield block()
                     rows, size, number = [], 0, number + 1
-                rows.append(tuple(None if x is pd.NA else x for x in row))
+                rows.append(row)
                 size += len(row[1])
         if rows:
             yield block()
 
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "flag")
-    if ordered:
-        docs = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # NULL ids would turn a column of integers into floats in pandas
+    docs = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "flag", *[c for c in order_by if c not in ("doc_id", "text")])
+    if order_by:
+        docs = docs.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
     return stages.write(docs.mapInPandas(cut, "block long, doc_ids array<long>, texts array<string>, flags array<boolean>"), "blocks")
 
 
+def real_ids(doc_ids) -> pd.array:
+    """doc_ids of a block with NULL where it belongs."""
+    ids = np.asarray(doc_ids, np.int64)
+    return pd.arrays.IntegerArray(ids.copy(), ids == NULL_ID)
+
+
 def pack(values: np.ndarray) -> bytes:
     """Integers of 64 bits by byte planes, so that the codecs of shuffles and files see the runs of zeros."""
     return np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes()

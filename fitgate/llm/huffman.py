@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fitgate.llm.blocks import NULL_ID, real_ids
 from fitgate.llm.bpe import CACHE_WORDS, blank_runs, slices
 from fitgate.llm.common import Stages
 
@@ -171,7 +172,7 @@ def encoded(docs: DataFrame, path: str, end: int) -> DataFrame:
                 # 16 bits are enough for most vocabularies; the first byte says which it is
                 yield pd.DataFrame({"doc_id": rows, "n": [len(x) // 4 for x in ids], "ids": [_narrow(x) for x in ids]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n int, ids binary")
+    return docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "text").mapInPandas(run, "doc_id long, n int, ids binary")
 
 
 def _narrow(ids: bytes) -> bytes:
@@ -225,8 +226,8 @@ def write_files(docs: DataFrame, path: str, end: int, stages: Stages) -> tuple[D
             })
 
         for batch in batches:
-            for doc_id, data in zip(batch["doc_id"].astype(object), batch["ids"], strict=True):
-                ids.append(None if pd.isna(doc_id) else int(doc_id))
+            for doc_id, data in zip(batch["doc_id"], batch["ids"], strict=True):
+                ids.append(doc_id)
                 parts.append(_wide(data))
                 size += len(parts[-1])
                 if size >= BLOCK_TOKENS:
@@ -264,7 +265,7 @@ def read_files(blocks: DataFrame, book: DataFrame) -> DataFrame:
                 n = np.asarray(row.lengths, np.int64)
                 ends = np.cumsum(n)
                 yield pd.DataFrame({
-                    "doc_id": pd.array(row.doc_ids, dtype="Int64"), "start": base[row.part] + row.first_token + ends - n, "n_tokens": n,
+                    "doc_id": real_ids(row.doc_ids), "start": base[row.part] + row.first_token + ends - n, "n_tokens": n,
                     "ids": [ids[e - k : e].tobytes() for e, k in zip(ends, n, strict=True)],
                 })
 

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fitgate.llm.blocks import owners_for, requests, send, text_blocks, total_answers, unpack, with_answers
+from fitgate.llm.blocks import owners_for, real_ids, requests, send, text_blocks, total_answers, unpack, with_answers
 from fitgate.llm.common import Stages, mix, word_hashes
 
 WORD, PAIR = 0, 1
@@ -156,7 +156,7 @@ def score_documents(docs: DataFrame, train: Column) -> DataFrame:
             p = w[:, 0] * np.where(c.context > 0, c.pair / np.maximum(c.context, 1), 0) + w[:, 1] * (c.word / max(n_train, 1)) + w[:, 2] * unknown
         base = np.log10((c.word + 0.1) / (n_train + 0.1 * (n_types + 1)))
         return pd.DataFrame({
-            "doc_id": pd.array(row.doc_ids, dtype="Int64"), "n_tokens": c.lengths,
+            "doc_id": real_ids(row.doc_ids), "n_tokens": c.lengths,
             "n_known": np.add.reduceat((c.word > 0).astype(np.int64), starts), "train_tokens": n_train,
             "base_score": np.add.reduceat(base, starts), "score": np.add.reduceat(np.log10(p), starts),
         })

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fitgate.llm import bpe, decontaminate, huffman, jaccard, language, language_model, pii, quality, substring
+from fitgate.llm import bpe, decontaminate, huffman, jaccard, language, language_model, pii, quality, substring, suffixes
 from fitgate.llm.common import documents
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -74,8 +74,12 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), WORD_BPE)
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(documents(spark, sf_dir)).drop("kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_lm_scoring, op3_language_id, op4_decontamination, op5_substring_dedup, op6_jaccard_join, op7_quality_rules, op8_pii, op9_bpe)}
+    return {f.__name__: f for f in (op1_token_files, op2_lm_scoring, op3_language_id, op4_decontamination, op5_substring_dedup, op6_jaccard_join, op7_quality_rules, op8_pii, op9_bpe, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

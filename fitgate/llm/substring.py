@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fitgate.llm.blocks import ANSWER, owners_for, pack_sorted, requests, send, text_blocks, unpack, unpack_sorted, with_answers
+from fitgate.llm.blocks import ANSWER, owners_for, pack_sorted, real_ids, requests, send, text_blocks, unpack, unpack_sorted, with_answers
 from fitgate.llm.common import Stages, mix, rolling, word_hashes
 
 WINDOW = 20
@@ -125,7 +125,7 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW, batches: int = BATCHES)
     """
     spark = docs.sparkSession
     stages = Stages(spark, "substring")
-    blocks = text_blocks(docs.select("doc_id", "text", F.lit(True).alias("flag")), stages, ordered=True)
+    blocks = text_blocks(docs.select("doc_id", "text", F.lit(True).alias("flag")), stages, order_by=("doc_id", "text"))
     size = blocks.select(F.sum(F.aggregate("texts", F.lit(0).cast("long"), lambda n, t: n + F.length(t)))).first()[0] or 0
     bits = owners_for(size // 6)
     index = FingerprintIndex(spark, stages, bits)
@@ -164,7 +164,7 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW, batches: int = BATCHES)
             kept = b" ".join([w for w, c in zip(words, covered.tolist(), strict=True) if not c])
             out.append((n, int(covered.sum()), kept.decode(), sha256(kept).hexdigest()))
         result = pd.DataFrame(out, columns=["n_words", "n_removed", "kept", "kept_sha256"])
-        result.insert(0, "doc_id", pd.array(row.doc_ids, dtype="Int64"))
+        result.insert(0, "doc_id", real_ids(row.doc_ids))
         return result
 
     if answers is None:

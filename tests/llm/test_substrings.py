@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from fitgate.llm import substring
+from fitgate.llm import substring, suffixes
 from tests.llm import brute
 
 
@@ -53,3 +53,42 @@ def test_no_rows_and_repeated_ids(spark):
     text = " ".join(f"w{i}" for i in range(25))
     docs = spark.createDataFrame([(1, text), (1, text), (None, text)], "doc_id long, text string")
     assert sorted(r.n_removed for r in substring.remove_repeats(docs).collect()) == [0, 25, 25]
+
+
+def brute_bytes(rows, size=50):
+    first, out = {}, {}
+    for d, text in rows:
+        b = (text or "").encode()
+        for i in range(len(b) - size + 1):
+            s = b[i : i + size]
+            first[s] = min(first.get(s, d), d)
+    for d, text in rows:
+        b = (text or "").encode()
+        gone = [False] * len(b)
+        for i in range(len(b) - size + 1):
+            if first[b[i : i + size]] < d:
+                gone[i : i + size] = [True] * size
+        kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+        spans = sum(g and (not i or not gone[i - 1]) for i, g in enumerate(gone))
+        out[d] = (len(b), sum(gone), spans, brute.sha(kept), kept)
+    return out
+
+
+def test_byte_strings(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "BLOCK_CHARS", 3000)
+    rng = random.Random(9)
+    rows = repeated_texts(4)
+    base = "".join(rng.choices("abcdeé ", k=700))
+    for d in range(600, 640):
+        a, b = sorted(rng.choices(range(700), k=2))
+        rows.append((d, base[a:b] + rng.choice(["", "x" * 60, "q"]) + base[a // 2 : a]))
+    docs = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, n_bytes int").repartition(5)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in suffixes.remove_repeats(docs).collect()}
+    assert got == brute_bytes(rows)
+
+
+def test_byte_strings_odd_tables(spark):
+    assert suffixes.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    text = "0123456789" * 6
+    docs = spark.createDataFrame([(1, text), (1, text), (None, text + "x"), (2, text[:49])], "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.n_removed) for r in suffixes.remove_repeats(docs).collect()) == [("1", 60), ("1", 60), ("2", 0), ("None", 0)]
