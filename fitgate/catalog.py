@@ -11,8 +11,10 @@ from fitgate import oracles as o
 from fitgate.functions import decide as dec
 from fitgate.functions import formatting as fmt
 from fitgate.functions import registry as reg
-from fitgate.operators import bookkeeping, rules_text
+from fitgate.operators import bookkeeping, headers, rules_text
+from fitgate.operators import html_fields as html
 from fitgate.plans import views
+from fitgate.streaming import feeds
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -513,3 +515,50 @@ def idle_sessions(spark, sf_dir):
 def warm_throttle(spark, sf_dir):
     """Warm-ups: after one, none for six hours; the pause starts anew with each that is let through."""
     return bookkeeping.throttled(spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("owner"), "ts", "event_id"), 6 * 3600)
+
+
+# pages, bytes, streams
+
+
+@query("""SELECT page_id, 0 AS field_no, (CASE WHEN page_id % 6 = 2 THEN (100 + page_id % 900) * 1000 ELSE (100 + page_id % 900) * 1000 END)::DOUBLE AS max_bytes,
+    CASE page_id % 6 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'image/jpeg,image/png' ELSE '' END AS mimes FROM pages WHERE page_id % 6 < 5
+    UNION ALL SELECT page_id, 1, 7000000::DOUBLE, '' FROM pages WHERE page_id % 6 = 4""")
+def html_rules(spark, sf_dir):
+    """Rules of the upload fields in pages; the SQL has the numbers that the forms were made with."""
+    rules = html.html_rules(views.field_pages(spark, sf_dir))
+    return rules.select("page_id", "field_no", "max_bytes", _join("accepted_mimes").alias("mimes"))
+
+
+@query("SELECT page_id FROM pages WHERE false")
+def no_fields_in_raw_pages(spark, sf_dir):
+    return html.html_fields(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")).select("page_id")
+
+
+@query(o.with_views("SELECT file_id, ['png', 'gif', 'bmp', 'webp'][file_id % 4 + 1] AS format, width, height, CASE file_id % 4 WHEN 0 THEN file_id % 8 = 0 WHEN 3 THEN true ELSE false END AS alpha, false AS animated FROM files", o.FILES))
+def header_facts(spark, sf_dir):
+    facts = headers.header_facts(F.col("content"))
+    return views.header_bytes(spark, sf_dir).select("file_id", facts.alias("f")).select("file_id", "f.format", "f.width", "f.height", "f.alpha", "f.animated")
+
+
+@query(o.with_views("SELECT file_id, ['png', 'gif', 'bmp', 'webp'][file_id % 4 + 1] AS format FROM files", o.FILES))
+def magic_detect(spark, sf_dir):
+    return views.header_bytes(spark, sf_dir).select("file_id", headers.detect(F.col("content")).alias("format"))
+
+
+@query(SQL["fix_counts"])
+def fix_counts_stream(spark, sf_dir):
+    return feeds.drain(feeds.running_counts(feeds.events_stream(spark, sf_dir)), "complete", spark)
+
+
+@query("SELECT user_id AS owner, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
+def session_supersede(spark, sf_dir):
+    """The state after the stream: each owner's last word."""
+    out = feeds.drain(feeds.newest_selection(feeds.events_stream(spark, sf_dir)), "update", spark)
+    return out.groupBy("owner").agg(F.max_by("event_id", F.struct("us", "event_id")).alias("event_id"))
+
+
+@query(o.with_views("SELECT owner, event_id, code FROM (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY ts DESC, event_id DESC) AS n FROM outcomes) WHERE n <= 20", o.OUTCOMES))
+def problem_ring(spark, sf_dir):
+    out = feeds.drain(feeds.problem_ring(feeds.events_stream(spark, sf_dir)), "update", spark).dropDuplicates(["owner", "event_id"])
+    recent = Window.partitionBy("owner").orderBy(F.desc("us"), F.desc("event_id"))
+    return out.withColumn("n", F.row_number().over(recent)).where("n <= 20").select("owner", "event_id", "code")

@@ -107,3 +107,33 @@ def outcomes_of(e: DataFrame) -> DataFrame:
         "event_id", "ts", F.col("user_id").alias("owner"), F.col("event_type"),
         changes.alias("changes"), _pick(list(ERROR_CODES), i % 16).alias("code"), (F.col("value") * 1_000_000).cast("long").alias("bytes"),
     )
+
+
+def field_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages with a form put before the end of the body; its kind goes by page_id % 6, its limit by page_id % 900."""
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
+    n = (100 + F.col("page_id") % 900).cast("string")
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    forms = [
+        text("<form><div><label for='f'>Your CV</label><input type='file' id='f' accept='.pdf,application/pdf'><p>Maximum size: ", n, " KB</p></div></form>"),
+        text("<form><input type=file aria-describedby=hint accept='image/*'></form><span id=hint>JPG or PNG files only, max ", n, " KB</span>"),
+        text("<form><input type='file' data-max-size='", n, "000'></form>"),
+        text("<form><input type='FILE' accept='' title='Maximum size: ", n, " KB'></form>"),
+        text("<form><div><p>Up to ", n, " KB</p><input type='file' name='a'></div><div><p>Up to 7 MB</p><input type='file' name='b'></div></form>"),
+        F.lit("<form><input type='text'></form>"),
+    ]
+    form = F.get(F.array(*forms), (F.col("page_id") % 6).cast("int"))
+    return p.select("page_id", F.concat(F.regexp_replace("html", "(?i)</body>.*$", ""), form, F.lit("</body></html>")).alias("html"))
+
+
+def header_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file_id, content): the first bytes of a PNG, GIF, BMP or WebP file of the size of ``files``, made with hex arithmetic."""
+    big = lambda c, size: F.lpad(F.hex(c.cast("long")), 2 * size, "0")
+    little = lambda c, size: F.concat(*[F.lpad(F.hex(F.shiftright(c.cast("long"), 8 * k).bitwiseAND(F.lit(255))), 2, "0") for k in range(size)])
+    f = files(spark, sf_dir)
+    w, h, i = F.col("width"), F.col("height"), F.col("file_id")
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), big(w, 4), big(h, 4), F.when(i % 8 == 0, "0806").otherwise("0802"), F.lit("00000000000000" + "00000000" + b"IDAT".hex()))
+    gif = F.concat(F.lit(b"GIF89a".hex()), little(w, 2), little(h, 2), F.lit("0000003B"))
+    bmp = F.concat(F.lit("424D" + "00" * 12 + "28000000"), little(w, 4), little(h, 4), F.lit("01001800" + "00" * 24))
+    webp = F.concat(F.lit("5249464600000000" + b"WEBPVP8X".hex() + "0A000000" + "10000000"), little(w - 1, 3), little(h - 1, 3))
+    return f.select("file_id", F.unhex(F.when(i % 4 == 0, png).when(i % 4 == 1, gif).when(i % 4 == 2, bmp).otherwise(webp)).alias("content"))

@@ -38,4 +38,4 @@ def test_query(spark, db, name):
     want = cur.fetchall()
     assert sorted(names) == sorted(out.columns)
     assert rows(out.columns, got) == rows(names, want)
-    assert got or name == "no_rules_in_prose"
+    assert got or name.startswith("no_")
