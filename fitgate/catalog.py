@@ -11,7 +11,7 @@ from fitgate import oracles as o
 from fitgate.functions import decide as dec
 from fitgate.functions import formatting as fmt
 from fitgate.functions import registry as reg
-from fitgate.operators import bookkeeping, headers, rules_text
+from fitgate.operators import bookkeeping, headers, raster, rules_text, sheets
 from fitgate.operators import html_fields as html
 from fitgate.plans import views
 from fitgate.streaming import feeds
@@ -562,3 +562,54 @@ def problem_ring(spark, sf_dir):
     out = feeds.drain(feeds.problem_ring(feeds.events_stream(spark, sf_dir)), "update", spark).dropDuplicates(["owner", "event_id"])
     recent = Window.partitionBy("owner").orderBy(F.desc("us"), F.desc("event_id"))
     return out.withColumn("n", F.row_number().over(recent)).where("n <= 20").select("owner", "event_id", "code")
+
+
+# pixels and sheets
+
+
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(round(x::DOUBLE * 1000) AS BIGINT)) AS b FROM embeddings),
+    p AS (SELECT x.vec_id, x.b AS a, y.b AS c FROM v x JOIN v y ON y.vec_id = x.vec_id + 1),
+    s AS (SELECT vec_id, list_sum(a)::BIGINT AS sa, list_sum(c)::BIGINT AS sc, list_sum(list_transform(a, lambda x: x * x))::BIGINT AS qa, list_sum(list_transform(c, lambda x: x * x))::BIGINT AS qc,
+      list_sum(list_transform(list_zip(a, c), lambda z: z[1] * z[2]))::BIGINT AS ac FROM p)
+    SELECT vec_id, round((2 * sa / 64.0::DOUBLE * (sc / 64.0::DOUBLE) + 6.5025::DOUBLE) * (2 * (64 * ac - sa * sc) / 4032.0::DOUBLE + 58.5225::DOUBLE)
+      / (((sa / 64.0::DOUBLE) * (sa / 64.0::DOUBLE) + (sc / 64.0::DOUBLE) * (sc / 64.0::DOUBLE) + 6.5025::DOUBLE)
+       * ((64 * qa - sa * sa) / 4032.0::DOUBLE + (64 * qc - sc * sc) / 4032.0::DOUBLE + 58.5225::DOUBLE)), 6) + 0.0 AS ssim FROM s""")
+def ssim_blocks(spark, sf_dir):
+    """Structural similarity of neighbouring 8 x 8 blocks, from exact integer sums with native array functions."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.transform("embedding", lambda x: F.round(x.cast("double") * 1000).cast("long")).alias("a"))
+    p = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("c")), "vec_id")
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda s, v: s + v)
+    both = lambda x, y: total(F.zip_with(x, y, lambda u, v: u * v))
+    s = p.select("vec_id", total("a").alias("sa"), total("c").alias("sc"), both("a", "a").alias("qa"), both("c", "c").alias("qc"), both("a", "c").alias("ac"))
+    ma, mc = F.col("sa") / 64.0, F.col("sc") / 64.0
+    var = lambda q, t: (64 * F.col(q) - F.col(t) * F.col(t)) / 4032.0
+    cov = (64 * F.col("ac") - F.col("sa") * F.col("sc")) / 4032.0
+    value = (2 * ma * mc + 6.5025) * (2 * cov + 58.5225) / ((ma * ma + mc * mc + 6.5025) * (var("qa", "sa") + var("qc", "sc") + 58.5225))
+    return s.select("vec_id", (F.round(value, 6) + 0.0).alias("ssim"))
+
+
+@query()
+def size_search_model(spark, sf_dir):
+    """The search for a size limit on a model of file sizes."""
+    p = views.picks(spark, sf_dir).where("max_bytes is not null")
+    found = raster.size_search(F.col("width"), F.col("height"), F.col("max_bytes") / 100, F.lit(0.4))
+    return p.select("file_id", found.alias("f")).select("file_id", "f.*")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 5 < 3 THEN value END AS number, CASE event_id % 5 WHEN 3 THEN '0' || event_id WHEN 4 THEN '+' || event_id END AS text FROM events")
+def csv_typing(spark, sf_dir):
+    """Cells that are plain numbers become numbers; leading zeros and plus signs stay text."""
+    i = F.col("event_id")
+    cell = F.when(i % 5 < 3, F.col("value").cast("string")).when(i % 5 == 3, F.concat(F.lit("0"), i)).otherwise(F.concat(F.lit("+"), i))
+    typed = sheets.number_or_text(cell)
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", typed["number"].alias("number"), typed["text"].alias("text"))
+
+
+@query(o.with_views(
+    f"""SELECT file_id, CASE WHEN taken OR t IS NULL THEN 'pass' WHEN t = 'csv' AND file_id % 4 > 1 THEN 'confirm' ELSE 'convert' END AS choice FROM (
+    SELECT *, CASE WHEN {o.one_allowed('xlsx')} AND format <> 'xlsx' THEN 'xlsx' WHEN {o.one_allowed('csv')} AND format <> 'csv' THEN 'csv' END AS t FROM rated WHERE kind = 'sheet')""", *o.BASE, o.RATED,
+))
+def sheet_choice(spark, sf_dir):
+    target = F.get(reg.conversion_targets(F.col("format"), *_lists()), F.lit(0))
+    p = views.picks(spark, sf_dir).where(reg.is_sheet(F.col("format")))
+    return p.select("file_id", sheets.sheet_choice(F.col("file_id") % 4, dec.allowed(F.col("format"), F.col), target).alias("choice"))
