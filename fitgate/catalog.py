@@ -206,7 +206,7 @@ def file_route(spark, sf_dir):
 
 
 @query(o.with_views(
-    f"""SELECT file_id, round((width - cw) / 2, 6) AS x, round((height - cw / q) / 2, 6) AS y, round(cw, 6) AS w, round(cw / q, 6) AS h
+    f"""SELECT file_id, round((width - cw) / 2, 6) + 0.0 AS x, round((height - cw / q) / 2, 6) + 0.0 AS y, round(cw, 6) AS w, round(cw / q, 6) AS h
     FROM (SELECT *, {o.RATIO} AS q, least(width::DOUBLE, height * {o.RATIO}) AS cw FROM picks) WHERE q IS NOT NULL""", *o.BASE,
 ))
 def default_crop(spark, sf_dir):
@@ -613,3 +613,63 @@ def sheet_choice(spark, sf_dir):
     target = F.get(reg.conversion_targets(F.col("format"), *_lists()), F.lit(0))
     p = views.picks(spark, sf_dir).where(reg.is_sheet(F.col("format")))
     return p.select("file_id", sheets.sheet_choice(F.col("file_id") % 4, dec.allowed(F.col("format"), F.col), target).alias("choice"))
+
+
+# crops, options, settings, reports
+
+
+@query(o.with_views(
+    """SELECT file_id, CASE WHEN e IS NULL THEN l::BIGINT END AS x, CASE WHEN e IS NULL THEN t::BIGINT END AS y, CASE WHEN e IS NULL THEN cw::BIGINT END AS w, CASE WHEN e IS NULL THEN ch::BIGINT END AS h, e AS error
+    FROM (SELECT *, CASE WHEN cw < 1 OR ch < 1 THEN 'needs-crop' END AS e FROM (SELECT file_id, l, t, least(width - l, floor(width / 2.0 + 0.5)) AS cw, least(height - t, floor(height / 3.0 + 0.5)) AS ch
+    FROM (SELECT *, greatest(0, floor(width * (file_id % 7) / 6.0 - 20 + 0.5)) AS l, greatest(0, floor(height * (file_id % 5) / 4.0 - 3 + 0.5)) AS t FROM files)))""", o.FILES,
+))
+def crop_norm(spark, sf_dir):
+    w, h, i = F.col("width").cast("double"), F.col("height").cast("double"), F.col("file_id")
+    c = dec.normalize_crop(w * (i % 7) / 6 - 20, h * (i % 5) / 4 - 3, w / 2, h / 3, w, h)
+    return views.files(spark, sf_dir).select("file_id", *[c[n].alias(a) for n, a in (("x", "x"), ("y", "y"), ("width", "w"), ("height", "h"), ("error", "error"))])
+
+
+@query(o.with_views(
+    """SELECT file_id, round(greatest(0.0, least(width / 2.0 - bw / 2, width - bw)), 6) AS x, round(greatest(0.0, least(height / 2.0 - bw / 2, height - bw)), 6) AS y, round(bw, 6) AS w
+    FROM (SELECT *, least(width, height)::DOUBLE / greatest(1.0::DOUBLE, least(4.0::DOUBLE, (file_id % 11)::DOUBLE / 2)) AS bw FROM files)""", o.FILES,
+))
+def crop_zoom(spark, sf_dir):
+    w, h = F.col("width").cast("double"), F.col("height").cast("double")
+    base = dec.default_crop(w, h, F.lit(1.0))
+    z = dec.zoom_crop(base, w, h, (F.col("file_id") % 11).cast("double") / 2, base)
+    return views.files(spark, sf_dir).select("file_id", F.round(z["x"], 6).alias("x"), F.round(z["y"], 6).alias("y"), F.round(z["width"], 6).alias("w"))
+
+
+@query(o.with_views(
+    """SELECT file_id, CASE WHEN format IN ('jpeg', 'png', 'webp', 'avif', 'gif', 'tiff', 'bmp', 'ico', 'pdf', 'csv', 'xlsx') THEN format ELSE 'jpeg' END AS output,
+    CASE WHEN file_id % 2 = 0 AND file_id // 2 BETWEEN 1 AND 999 THEN file_id // 2 END AS sheet, file_id % 3 = 0 AS allow FROM files""", o.FILES,
+))
+def options_sanitise(spark, sf_dir):
+    i = F.col("file_id")
+    flag = F.when(i % 3 == 0, "true").when(i % 3 == 1, "yes")
+    return views.files(spark, sf_dir).select("file_id", dec.sanitized_options(F.col("format"), i / 2, flag).alias("s")).select("file_id", "s.*")
+
+
+@query("""SELECT user_id AS owner, array_to_string(list_sort(list(DISTINCT lower(event_type) || '.example')), ',') AS hosts FROM events GROUP BY user_id""")
+def settings_normalise(spark, sf_dir):
+    """Host lists: lower case, each once. Hosts are made distinct per owner before they are gathered (five names at most here)."""
+    hosts = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("owner"), F.concat(F.upper("event_type"), F.lit(".Example")).alias("host")).distinct()
+    listed = hosts.groupBy("owner").agg(F.collect_list("host").alias("hosts"))
+    return listed.select("owner", _join(F.array_sort(fmt.normalized_hosts(F.concat("hosts", F.array(F.lit("bad host!")))))).alias("hosts"))
+
+
+@query(o.with_views(
+    """SELECT owner, n, strftime(ts, '%Y-%m-%d %H:%M') || ' ' || code AS line FROM (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY ts DESC, event_id DESC) AS n FROM outcomes
+    WHERE code NOT IN ('unsupported-format', 'cancelled')) WHERE n <= 20""", o.OUTCOMES,
+))
+def problem_report(spark, sf_dir):
+    """Lines of the report, newest first, without the codes that are kept quiet."""
+    recent = Window.partitionBy("owner").orderBy(F.desc("ts"), F.desc("event_id"))
+    loud = views.outcomes(spark, sf_dir).where(~F.col("code").isin("unsupported-format", "cancelled"))
+    line = F.concat_ws(" ", F.date_format("ts", "yyyy-MM-dd HH:mm"), "code")
+    return loud.withColumn("n", F.row_number().over(recent)).where("n <= 20").select("owner", "n", line.alias("line"))
+
+
+@query(o.with_views("SELECT field_id, outputs[1] AS first_choice FROM (SELECT field_id, " + o.outputs() + " AS outputs FROM fields)", o.FIELDS))
+def first_preference(spark, sf_dir):
+    return views.fields(spark, sf_dir).select("field_id", F.get(reg.allowed_outputs(*_lists()), F.lit(0)).alias("first_choice"))

@@ -263,3 +263,31 @@ def route(fmt: Column, size: Column, r: Get) -> Column:
         .when(pdf & (outputs == 0), "image-pdf")
         .otherwise("image")
     )
+
+
+def normalize_crop(x: Column, y: Column, cw: Column, ch: Column, w: Column, h: Column) -> Column:
+    """struct(x, y, width, height, error): a crop in whole pixels inside the image; an empty one or one that is no number needs a new crop."""
+    bad = F.lit(False)
+    for c in (x, y, cw, ch):
+        bad = bad | c.isNull() | F.isnan(c) | (F.abs(c) == _infinity())
+    left, top = F.greatest(F.lit(0.0), _round(x).cast("double")), F.greatest(F.lit(0.0), _round(y).cast("double"))
+    width, height = F.least(w - left, _round(cw).cast("double")), F.least(h - top, _round(ch).cast("double"))
+    error = F.when(bad | (width < 1) | (height < 1), "needs-crop")
+    ok = lambda c: F.when(error.isNull(), c.cast("long"))
+    return F.struct(ok(left).alias("x"), ok(top).alias("y"), ok(width).alias("width"), ok(height).alias("height"), error.alias("error"))
+
+
+def zoom_crop(box: Column, full_w: Column, full_h: Column, zoom: Column, base: Column) -> Column:
+    """A crop zoomed 1 to 4 times about its centre (``base`` is the unzoomed crop), moved back inside the image."""
+    z = F.greatest(F.lit(1.0), F.least(F.lit(4.0), zoom))
+    w, h = base["width"] / z, base["height"] / z
+    cx, cy = box["x"] + box["width"] / 2, box["y"] + box["height"] / 2
+    inside = lambda v, most: F.greatest(F.lit(0.0), F.least(v, most))
+    return F.struct(inside(cx - w / 2, full_w - w).alias("x"), inside(cy - h / 2, full_h - h).alias("y"), w.alias("width"), h.alias("height"))
+
+
+def sanitized_options(output: Column, sheet: Column, flag: Column) -> Column:
+    """struct(output, sheet, allow): unknown outputs become jpeg, a sheet is an integer from 1 to 999, a flag only counts if it is true."""
+    known = output.isin(*[f.name for f in reg.FORMATS if f.alpha is not None], "pdf", "csv", "xlsx")
+    whole = (sheet == F.floor(sheet)) & sheet.between(1, 999)
+    return F.struct(F.when(_true(known), output).otherwise(F.lit("jpeg")).alias("output"), F.when(whole, sheet.cast("long")).alias("sheet"), (_true(flag == "true")).alias("allow"))
