@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,7 @@ from fitgate.llm.common import BLANKS
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper", "n_stutter")
 
 
 @dataclass(frozen=True)
@@ -37,14 +38,16 @@ RULES = (
     Rule(1, "repeated_windows", lambda m: 100 * m["n_repeat_words"] > 30 * m["n_words"]),
     Rule(2, "symbols", lambda m: 100 * m["n_symbols"] > 10 * m["n_words"]),
     Rule(3, "word_length", lambda m: (m["word_chars"] > 15 * m["n_words"]) | (m["word_chars"] < 2 * m["n_words"])),
-    Rule(4, "duplicate_lines", lambda m: 100 * m["n_dup_lines"] > 30 * m["n_lines"]),
+    # of a few lines one that is there twice says nothing
+    Rule(4, "duplicate_lines", lambda m: (m["n_dup_lines"] >= 3) & (100 * m["n_dup_lines"] > 30 * m["n_lines"])),
     Rule(5, "shouting", lambda m: 2 * m["n_upper"] > m["n_letters"]),
     Rule(6, "few_letters", lambda m: 2 * m["n_letters"] < m["word_chars"]),
+    Rule(7, "stutter", lambda m: 100 * m["n_stutter"] > 30 * m["n_words"]),
 )
 
 
 #: Versioned policies: the bits that reject. Old versions stay, so that old decisions can be repeated.
-POLICIES = {1: 0b0000011, 2: 0b0111111, 3: 0b1111111}
+POLICIES = {1: 0b00000011, 2: 0b00111111, 3: 0b11111111}
 CURRENT_POLICY = 3
 BASE_MASK = POLICIES[1]
 
@@ -96,6 +99,7 @@ def _measure(text: str | None) -> tuple[int, ...]:
         len(lines),
         n_letters,
         n_upper,
+        sum(map(eq, words, words[1:])),
     )
 
 

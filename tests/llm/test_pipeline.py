@@ -14,11 +14,13 @@ from tests.llm.test_pairs import brute_components, brute_leaks
 def rejected(text):
     n, chars, symbols, dup, repeat = brute.quality(text)
     lines = sum(bool(brute.words(x)) for x in (text or "").split("\n"))
+    w = brute.words(text)
+    stutter = sum(a == b for a, b in zip(w, w[1:], strict=False))
     letters = [c for c in text or "" if c.isalpha()]
     upper = sum(c.isupper() for c in letters)
     return (
         n < 20 or 100 * repeat > 30 * n or 100 * symbols > 10 * n or chars > 15 * n or chars < 2 * n
-        or 100 * dup > 30 * lines or 2 * upper > len(letters) or 2 * len(letters) < chars
+        or (dup >= 3 and 100 * dup > 30 * lines) or 100 * stutter > 30 * n or 2 * upper > len(letters) or 2 * len(letters) < chars
     )
 
 
