@@ -2,10 +2,14 @@
 
 Two sets with Jaccard similarity of 90 % or more share an element among the first
 ``n // 10 + 1`` of each set, for every order of all elements. So a candidate pair must share
-a prefix element under each of three orders. The orders differ in a scrambling of the hash
-and agree in one thing: elements that a thousandth of all documents hold come last.
-
-* Documents with the same set are one representative from the start.
+a prefix element under each of three orders. All of them put the elements that fewest
+documents hold first, one by the exact number of documents and two by its binary digits, and
+each scrambles equals in its own way: in a group of near copies all numbers are about the
+same, so the three prefixes are three different samples.
+
+* The numbers of documents are looked up in blocks (see blocks.py). An element that no other
+  document holds is in no intersection, so a document that has too many of these links with nothing.
+* Documents with the same set are one representative from then on.
 * A document survives an order only if some other document shares one of its prefix elements.
 * First, every survivor is compared with the smallest document of each of its prefix
   buckets: as many comparisons as rows, which already joins a large group of near copies.
@@ -24,17 +28,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fitgate.llm.blocks import owners_for, requests, send, text_blocks, total_answers, unpack, with_answers
 from fitgate.llm.common import Stages, mix, rolling, word_hashes
 from fitgate.llm.components import connected
 
 SHINGLE = 3
 PERCENT = 90
 ORDERS = 3
-#: Elements held by more than this share of the documents come last in all orders. They are at
-#: most 1/share times the mean set size, so the table of them is bounded whatever the input.
-FREQUENT_SHARE = 0.001
-FREQUENT_LEAST = 20
-
 _SEEDS = np.array([0x2545F4914F6CDD1D, 0x8CB92BA72F3D8DD7, 0x6A09E667F3BCC909], np.uint64)
 
 
@@ -47,47 +47,51 @@ def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(rolling(hashes, size))
 
 
-def frequent_elements(docs: DataFrame, size: int) -> np.ndarray:
-    """Elements that a thousandth of the documents hold, or nearly so. A task reports what is frequent
-    among its own rows; any element frequent overall is frequent in some task."""
+def prefix(elements: np.ndarray, holders: np.ndarray, order: int, percent: int) -> np.ndarray:
+    """The elements of which a similar set must hold at least one under one order, without those that no other set holds."""
+    n = len(elements)
+    length = n - -(-n * percent // 100) + 1
+    weight = holders if order == 0 else np.frexp(holders.astype(np.float64))[1]
+    first = np.lexsort((mix(elements ^ _SEEDS[order]), weight))[:length]
+    return elements[first[holders[first] > 1]]
 
-    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            least = max(2, int(len(batch) * FREQUENT_SHARE / 2))
-            found, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *(shingle_set(t, size) for t in batch["text"])]), return_counts=True)
-            keep = n >= least
-            yield pd.DataFrame({"h": found[keep].view(np.int64), "n": n[keep]})
 
-    total = docs.count()
-    counts = docs.select("text").mapInPandas(local, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    rows = counts.where(F.col("n") >= max(FREQUENT_LEAST, total * FREQUENT_SHARE)).select("h").toPandas()
-    return np.sort(rows["h"].to_numpy(np.int64).view(np.uint64))
+SIGNED = "doc_id long, n long, d1 long, d2 long, s binary, " + ", ".join(f"p{k} binary" for k in range(ORDERS))
 
 
-def prefix(elements: np.ndarray, frequent: np.ndarray, order: int, percent: int) -> np.ndarray:
-    """The elements of which a similar set must hold at least one, under one order."""
-    n = len(elements)
-    length = n - -(-n * percent // 100) + 1
-    at = np.searchsorted(frequent, elements)
-    at[at == len(frequent)] = 0
-    last = frequent[at] == elements if len(frequent) else np.zeros(n, bool)
-    return elements[np.lexsort((mix(elements ^ _SEEDS[order]), last))[:length]]
+def _signatures(docs: DataFrame, stages: Stages, size: int, percent: int) -> DataFrame:
+    """SIGNED rows for all documents: set size and a 128-bit digest; for those that may have a partner also the set and its
+    prefixes, as packed longs."""
+    blocks = text_blocks(docs.withColumn("flag", F.lit(True)), stages)
+    chars = blocks.select(F.sum(F.aggregate("texts", F.lit(0).cast("long"), lambda n, t: n + F.length(t)))).first()[0] or 0
+    bits = owners_for(chars // 6)
 
+    def sets_in(texts) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        sets = [shingle_set(t, size) for t in texts]
+        distinct, at = np.unique(np.concatenate(sets), return_inverse=True)
+        return sets, distinct, at
 
-def _signatures(docs: DataFrame, frequent: np.ndarray, size: int, percent: int) -> DataFrame:
-    """(doc_id, n, d1, d2, p0, p1, p2): set size, a 128-bit digest of the set, prefixes as packed longs."""
-    known = docs.sparkSession.sparkContext.broadcast(frequent)
+    def ask(block: int, _, texts, flags) -> Iterator[tuple]:
+        _, distinct, at = sets_in(texts)
+        yield from requests(block, 0, distinct, bits, np.bincount(at, minlength=len(distinct)))
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                s = shingle_set(text, size)
-                digest = [int(mix(s ^ _SEEDS[k]).sum(dtype=np.uint64).view(np.int64)) for k in (0, 1)]
-                rows.append((doc_id, len(s), *digest, *(prefix(s, known.value, k, percent).tobytes() if len(s) else b"" for k in range(ORDERS))))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "d1", "d2", *(f"p{k}" for k in range(ORDERS))])
+    answers = stages.write(total_answers(send(blocks, ask)), "holders")
 
-    return docs.mapInPandas(sign, "doc_id long, n long, d1 long, d2 long, " + ", ".join(f"p{k} binary" for k in range(ORDERS)))
+    def sign(row, found) -> pd.DataFrame:
+        sets, _, at = sets_in(row.texts)
+        holders = np.concatenate([unpack(a) for a, _ in found[0]]).astype(np.int64)[at] if 0 in found else np.zeros(0, np.int64)
+        out, start = [], 0
+        for doc_id, s in zip(row.doc_ids, sets, strict=True):
+            h = holders[start : start + len(s)]
+            start += len(s)
+            digest = [int(mix(s ^ _SEEDS[k]).sum(dtype=np.uint64).view(np.int64)) for k in (0, 1)]
+            if len(s) and 100 * np.count_nonzero(h > 1) >= percent * len(s):
+                out.append((doc_id, len(s), *digest, s.tobytes(), *(prefix(s, h, k, percent).tobytes() for k in range(ORDERS))))
+            else:
+                out.append((doc_id, len(s), *digest, *[None] * (ORDERS + 1)))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in SIGNED.split(", ")])
+
+    return stages.write(with_answers(blocks, answers, sign, SIGNED), "signed")
 
 
 def _unpack(packed: str) -> DataFrame:
@@ -98,16 +102,6 @@ def _unpack(packed: str) -> DataFrame:
     return longs(F.col(packed))
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(doc_id, s): packed sets of the wanted documents."""
-
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "s": [shingle_set(t, size).tobytes() for t in batch["text"]]})
-
-    return docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInPandas(pack, "doc_id long, s binary")
-
-
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
 
@@ -141,11 +135,16 @@ def similar_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCE
     """
     stages = Stages(docs.sparkSession, "jaccard")
     docs = docs.select("doc_id", "text").where("doc_id is not null")
-    frequent = frequent_elements(docs, size)
-    signed = stages.write(_signatures(docs, frequent, size, percent), "signed")
+    signed = _signatures(docs, stages, size, percent)
+    stages.drop("blocks")
+    stages.drop("holders")
     digest = ["n", "d1", "d2"]
-    reps = signed.where("n > 0").groupBy(*digest).agg(F.min("doc_id").alias("doc_id"))
-    reps = signed.drop(*digest[1:]).join(reps.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    some = signed.where("s is not null")
+    # a set that several documents have is one representative, whatever the number of its copies
+    reps = some.groupBy(*digest).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    reps = some.drop("d1", "d2").join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = stages.write(reps.select("doc_id", "s"), "sets")
+    reps = stages.write(reps.drop("s"), "reps")
 
     alive = reps
     for k in range(ORDERS):
@@ -153,7 +152,6 @@ def similar_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCE
         shared = rows.groupBy("t").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("t")
         found = rows.join(shared, "t", "left_semi").select("doc_id").distinct()
         alive = stages.write(alive.join(found, "doc_id", "left_semi"), f"alive{k}")
-    sets = stages.write(_sets_of(docs, alive.select("doc_id"), size).dropDuplicates(["doc_id"]), "sets")
 
     # every survivor against the smallest document of each of its buckets
     buckets = stages.write(alive.select("doc_id", "n", F.explode(_unpack("p0")).alias("t")), "buckets0")
@@ -182,7 +180,7 @@ def similar_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCE
     more = stages.write(_verified(candidates.join(stars, ["a", "b"], "left_anti"), sets, percent), "more")
     final = connected(links.unionByName(more), stages, "second").withColumnRenamed("node", "rep")
 
-    by_digest = signed.where("n > 0").groupBy(*digest).agg(F.min("doc_id").alias("rep"))
+    by_digest = some.groupBy(*digest).agg(F.min("doc_id").alias("rep"))
     by_digest = by_digest.join(final, "rep", "left").select(*digest, F.coalesce("component", "rep").alias("component_id"))
     members = signed.select("doc_id", *digest).distinct()
     return (

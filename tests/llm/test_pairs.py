@@ -52,7 +52,7 @@ def brute_components(rows, size=3, percent=90):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_similar_documents(spark, monkeypatch, seed):
-    monkeypatch.setattr(jaccard, "FREQUENT_LEAST", 10)
+    monkeypatch.setattr("fitgate.llm.blocks.BLOCK_CHARS", 5_000)
     rows = near_copies(seed)
     docs = spark.createDataFrame([(i, t, 7) for i, t in rows] + [(10**6, None, 1), (None, "no id", 2)] + [(rows[0][0], rows[0][1], 8)], "doc_id long, text string, n long").repartition(4)
     got = {tuple(r) for r in jaccard.similar_documents(docs).collect()}
