@@ -30,6 +30,9 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Stages:
     """Written tables that cut lineage, in the folder which the cluster shares.
 
@@ -47,7 +50,14 @@ class Stages:
         self.root = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, name: str, **options: str) -> DataFrame:
-        df.write.options(**{"compression": "zstd"} | options).parquet(path := f"{self.root}/{name}")
+        """Write a table and read it. Once it is written nothing needs its shuffle files, so Spark may delete them."""
+        conf = self.spark.conf
+        before = conf.get(_CLEANUP, "false")
+        conf.set(_CLEANUP, "true")
+        try:
+            df.write.options(**{"compression": "zstd"} | options).parquet(path := f"{self.root}/{name}")
+        finally:
+            conf.set(_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:

@@ -8,6 +8,10 @@ the answer to each block is one bit per distinct window. Only keys that are new
 batch's run, so a run never holds what an older one has. Before the next batch, runs of the
 same tier are compacted into one run of the next tier.
 
+The corpus of a query is closed: no batch comes after the last. So windows that cannot repeat
+in it never enter the index: each window has a smallest 8-word gram (by hash), equal windows
+have equal grams, and a gram found at one place only rules out all windows that have it.
+
 A match needs 80 equal bits from two independent hash functions of the words; for a billion
 windows the chance that any differ all the same is about 1 in 2 million.
 """
@@ -22,11 +26,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fitgate.llm.blocks import ANSWER, owners_for, pack_sorted, real_ids, requests, send, text_blocks, unpack, unpack_sorted, with_answers
+from fitgate.llm.blocks import ANSWER, REQUEST, owners_for, pack_sorted, real_ids, requests, send, text_blocks, total_answers, unpack, unpack_sorted, with_answers
 from fitgate.llm.common import Stages, mix, rolling, word_hashes
 
 WINDOW = 20
+GRAM = 8
 BATCHES = 4
+_WINDOWS, _GRAMS, _RUN_ROW = 0, 1, 2
 RUN = "owner long, keys binary, checks binary"
 _CHECK = np.uint64(0xA0761D6478BD642F)
 
@@ -44,6 +50,17 @@ def windows(texts, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return np.concatenate(keys), np.concatenate(checks), np.array(n_words, np.int64), np.array(n_windows, np.int64)
 
 
+def smallest_grams(texts, width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window, in order, the smallest hash of its grams (scrambled); and all grams of the texts."""
+    smallest, every = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    for t in texts:
+        h = rolling(word_hashes(t.encode().split()), gram)
+        every.append(h)
+        if len(h) >= (span := width - gram + 1):
+            smallest.append(np.lib.stride_tricks.sliding_window_view(h, span).min(axis=1))
+    return mix(np.concatenate(smallest)), mix(np.concatenate(every))
+
+
 def _distinct(keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of the first of each distinct (key, check), in order, and each window's number among them."""
     order = np.lexsort((np.arange(len(keys)), checks, keys))
@@ -81,7 +98,7 @@ class FingerprintIndex:
             self.runs.append((tier + 1, name, merged))
 
     def add(self, asked: DataFrame, name: str) -> DataFrame:
-        """Answers (one bit per asked key: does an earlier block have it?); the new keys become a run."""
+        """Answers (one bit per asked key: does an earlier block have it?), written; the new keys become a run."""
         self.compact()
         history = [run.select("owner", F.lit(-1).cast("long").alias("block"), F.lit(-1).alias("kind"), F.lit(0).cast("long").alias("n"), "keys", F.col("checks").alias("extra")) for _, _, run in self.runs]
         rows = asked
@@ -103,18 +120,23 @@ class FingerprintIndex:
             owner, out, at = group["owner"].iloc[0], [], 0
             for block, n in zip(group["block"], sizes, strict=True):
                 if block >= 0:
-                    out.append((owner, block, 0, n, np.packbits(repeat[at : at + n]).tobytes(), b""))
+                    out.append((owner, block, _WINDOWS, n, np.packbits(repeat[at : at + n]).tobytes(), b""))
                 at += n
             fresh = ~repeat_sorted & (order >= sizes[group["block"].to_numpy() < 0].sum())
-            out.append((owner, -1, 1, int(fresh.sum()), pack_sorted(k[fresh]), c[fresh].tobytes()))
+            out.append((owner, -1, _RUN_ROW, int(fresh.sum()), pack_sorted(k[fresh]), c[fresh].tobytes()))
             return pd.DataFrame(out, columns=["owner", "block", "kind", "n", "answer", "checks"])
 
         both = self.stages.write(rows.groupBy("owner").applyInPandas(merge_join, ANSWER + ", checks binary"), name)
-        self.runs.append((0, name, both.where("kind = 1").select("owner", F.col("answer").alias("keys"), "checks")))
-        return both.where("kind = 0").drop("checks")
+        self.runs.append((0, name, both.where(f"kind = {_RUN_ROW}").select("owner", F.col("answer").alias("keys"), "checks")))
+        return self.stages.write(both.where(f"kind = {_WINDOWS}").drop("checks"), f"{name}-answers")
+
+    def close(self) -> None:
+        """Delete the runs: nothing will be added any more."""
+        for _, name, _ in self.runs:
+            self.stages.drop(name)
 
 
-def remove_repeats(docs: DataFrame, width: int = WINDOW, batches: int = BATCHES) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = WINDOW, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept (the kept words, joined by a blank).
 
     A word goes if a window of ``width`` words over it also starts earlier: in a document with a
@@ -129,30 +151,45 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW, batches: int = BATCHES)
     size = blocks.select(F.sum(F.aggregate("texts", F.lit(0).cast("long"), lambda n, t: n + F.length(t)))).first()[0] or 0
     bits = owners_for(size // 6)
     index = FingerprintIndex(spark, stages, bits)
-    # batches are ranges of block numbers with about equally many blocks; the edges are a few numbers
-    edges = blocks.select(F.percentile("block", [i / batches for i in range(1, batches)], 1)).first()[0] if batches > 1 and size else []
+    # batches are ranges of block numbers with about equally many blocks; the edges are a few numbers from a bounded sketch
+    edges = blocks.select(F.percentile_approx("block", [i / batches for i in range(1, batches)])).first()[0] if batches > 1 and size else []
     edges = [-1, *sorted({int(e) for e in edges}), 2**62]
 
-    def ask(block: int, _, texts, flags) -> Iterator[tuple]:
-        keys, checks, _, _ = windows(texts, width)
+    def ask_grams(block: int, _, texts, flags) -> Iterator[tuple]:
+        smallest, every = smallest_grams(texts, width, gram)
+        wanted, (values, n) = np.unique(smallest), np.unique(every, return_counts=True)
+        yield from requests(block, _GRAMS, wanted, bits, n[np.searchsorted(values, wanted)])
+
+    grams = stages.write(total_answers(send(blocks, ask_grams)), "grams")
+
+    def repeatable(row, found) -> tuple[np.ndarray, ...]:
+        """The windows whose gram is found twice or more: keys, checks, their places among all windows; numbers of words and windows."""
+        keys, checks, n_words, n_windows = windows(row.texts, width)
+        if not len(keys):
+            return keys, checks, np.zeros(0, np.int64), n_words, n_windows
+        _, number = np.unique(smallest_grams(row.texts, width, gram)[0], return_inverse=True)
+        places = np.flatnonzero(np.concatenate([unpack(a) for a, _ in found[_GRAMS]])[number] > 1)
+        return keys[places], checks[places], places, n_words, n_windows
+
+    def ask(row, found) -> pd.DataFrame:
+        keys, checks, *_ = repeatable(row, found)
         first, _ = _distinct(keys, checks)
-        yield from requests(block, 0, keys[first], bits, checks[first])
+        return pd.DataFrame(list(requests(row.block, _WINDOWS, keys[first], bits, checks[first])), columns=["owner", "block", "kind", "n", "keys", "extra"])
 
-    answers = None
+    answers = grams
     for i, (low, high) in enumerate(zip(edges, edges[1:], strict=False)):
-        batch = blocks.where((F.col("block") > low) & (F.col("block") <= high))
-        found = index.add(send(batch, ask), f"batch-{i}")
-        answers = found if answers is None else answers.unionByName(found)
-        if i + 2 < len(edges):
-            # answers are small; apart from the run they outlive the run's compaction
-            answers = stages.write(found, f"answers-{i}") if i == 0 else stages.write(answers, f"answers-{i}")
+        inside = (F.col("block") > low) & (F.col("block") <= high)
+        asked = with_answers(blocks.where(inside), grams.where(inside), ask, REQUEST)
+        answers = answers.unionByName(index.add(asked, f"batch-{i}"))
+    index.close()
 
     def cut(row, found) -> pd.DataFrame:
-        keys, checks, n_words, n_windows = windows(row.texts, width)
-        first, number = _distinct(keys, checks)
-        seen = np.concatenate([np.unpackbits(np.frombuffer(a, np.uint8), count=n).astype(bool) for a, n in found[0]]) if 0 in found else np.zeros(0, bool)
-        gone = seen[number] if len(number) else np.zeros(0, bool)
-        gone |= first[number] != np.arange(len(number)) if len(number) else gone
+        keys, checks, places, n_words, n_windows = repeatable(row, found)
+        gone = np.zeros(n_windows.sum(), bool)
+        if len(keys):
+            first, number = _distinct(keys, checks)
+            seen = np.concatenate([np.unpackbits(np.frombuffer(a, np.uint8), count=n).astype(bool) for a, n in found[_WINDOWS]])
+            gone[places] = seen[number] | (first[number] != np.arange(len(number)))
         out, at = [], 0
         for text, n, m in zip(row.texts, n_words, n_windows, strict=True):
             words = text.encode().split()
@@ -167,6 +204,4 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW, batches: int = BATCHES)
         result.insert(0, "doc_id", real_ids(row.doc_ids))
         return result
 
-    if answers is None:
-        answers = spark.createDataFrame([], ANSWER)
     return with_answers(blocks, answers, cut, "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")
