@@ -16,16 +16,18 @@ the code book as a table of its own, so Spark writes and reads them on any store
 
 from __future__ import annotations
 
-import zlib
+import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fitgate.llm.blocks import NULL_ID, real_ids
-from fitgate.llm.bpe import CACHE_WORDS, blank_runs, slices
+from fitgate.llm.bpe import END_OF_WORD, slices
 from fitgate.llm.common import Stages
 
 MAX_BITS = 20
@@ -33,6 +35,10 @@ CHECKPOINT = 128
 BLOCK_TOKENS = 1 << 17
 #: Words given to the library in one call.
 CALL_WORDS = 20_000
+#: Words joined to one text.
+JOINED_WORDS = 1_000
+#: Encoded words, and runs of non-blank text, that a Python worker keeps for its next texts (about 200 bytes each).
+KNOWN_WORDS, KNOWN_RUNS = 600_000, 1_000_000
 
 BLOCK = "part int, block int, first_token long, doc_ids array<long>, lengths array<int>, n_tokens int, payload binary, checkpoints binary"
 
@@ -125,8 +131,17 @@ class Coder:
         return out.T.reshape(-1)[:n]
 
 
+_SIMPLE = regex.compile(r"(\p{L}+)([.,;:!?]*)")
+
+
 class Library:
-    """The tokenizers library over distinct runs of non-blank text; blanks separate words, so they are independent."""
+    """The tokenizers library over distinct runs of non-blank text; blanks separate words, so they are independent.
+
+    A run of letters, with or without common punctuation behind it, is looked up as the word
+    and the punctuation. New words of ASCII letters are lower-cased and go to the library's model as they
+    are; new words of other letters go through the whole library many to a text, and as each word ends in
+    an end-of-word token, the ids are parted again there; all else goes through it one by one.
+    """
 
     def __init__(self, path: str):
         import os
@@ -137,21 +152,78 @@ class Library:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.cache: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.final = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.final[[i for t, i in vocabulary.items() if t.endswith(END_OF_WORD)]] = True
+        self.words: dict[str, bytes] = {}
+        self.runs: dict[bytes, bytes] = {}
+
+    def _one_by_one(self, words: list[str]) -> None:
+        for i in range(0, len(words), CALL_WORDS):
+            part = words[i : i + CALL_WORDS]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.words[w] = np.array(e.ids, "<u4").tobytes()
+
+    def _joined(self, words: list[str]) -> None:
+        for i in range(0, len(words), JOINED_WORDS):
+            part = words[i : i + JOINED_WORDS]
+            (e,) = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)
+            ids = np.array(e.ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.final[ids]) + 1)).tolist()
+            if len(ends) != len(part):  # a letter whose lower case is more than letters
+                self._one_by_one(part)
+                continue
+            packed, at = ids.tobytes(), 0
+            for w, end in zip(part, ends, strict=True):
+                self.words[w] = packed[at:end]
+                at = end
+
+    def _learn(self, runs: list[bytes]) -> None:
+        """Put new runs into the cache."""
+        parts: list[tuple[bytes, tuple[str, ...]]] = []
+        plain, letters, others = set(), set(), set()
+        for run in runs:
+            if run.isalpha():  # of bytes: ASCII letters only
+                word = run.lower().decode()
+                plain.add(word)
+                parts.append((run, (word,)))
+                continue
+            text = run.decode()
+            m = _SIMPLE.fullmatch(text)
+            if m is None:
+                parts.append((run, (text,)))
+                others.add(text)
+                continue
+            word, tail = m.groups()
+            if word.isascii():
+                word = word.lower()
+                plain.add(word)
+            else:
+                letters.add(word)
+            parts.append((run, (word, tail) if tail else (word,)))
+            if tail:
+                others.add(tail)
+        if len(self.words) > KNOWN_WORDS:
+            self.words = {}
+        tokenize = self.tokenizer.model.tokenize
+        for w in plain:
+            if w not in self.words:
+                self.words[w] = array("I", [t.id for t in tokenize(w)]).tobytes()
+        self._joined([w for w in letters if w not in self.words])
+        self._one_by_one([w for w in others if w not in self.words])
+        for run, names in parts:
+            self.runs[run] = self.words[names[0]] if len(names) == 1 else self.words[names[0]] + self.words[names[1]]
 
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
         """Ids of each text and the end id, as little-endian 32-bit integers."""
-        runs = [blank_runs(t or "") for t in texts]
-        wanted = {r for doc in runs for r in doc}
-        todo = [r for r in wanted if r not in self.cache]
-        if len(self.cache) + len(todo) > CACHE_WORDS:
-            self.cache = {r: self.cache[r] for r in wanted if r in self.cache}
-        for i in range(0, len(todo), CALL_WORDS):
-            part = todo[i : i + CALL_WORDS]
-            for run, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[run] = np.array(e.ids, "<u4").tobytes()
-        last = np.array([end], "<u4").tobytes()
-        return [b"".join([*map(self.cache.__getitem__, doc), last]) for doc in runs]
+        docs = [(t or "").encode().split() for t in texts]
+        wanted = set().union(*docs)
+        if len(self.runs) > KNOWN_RUNS:
+            self.runs = {}
+        known = self.runs
+        self._learn([run for run in wanted if run not in known])
+        last = struct.pack("<I", end)
+        return [b"".join([*map(known.__getitem__, doc), last]) for doc in docs]
 
 
 _loaded: dict[str, Library] = {}
