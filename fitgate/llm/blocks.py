@@ -63,7 +63,8 @@ def text_blocks(docs: DataFrame, stages: Stages, order_by: tuple[str, ...] = (),
     # NULL ids would turn a column of integers into floats in pandas
     docs = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "flag", *[c for c in order_by if c not in ("doc_id", "text")])
     if order_by:
-        docs = docs.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
+        # ranges come from a sample that the driver sees: short keys only
+        docs = docs.repartitionByRange(*[c for c in order_by if c != "text"]).sortWithinPartitions(*order_by)
     return stages.write(docs.mapInPandas(cut, "block long, doc_ids array<long>, texts array<string>, flags array<boolean>"), "blocks")
 
 

@@ -56,8 +56,13 @@ def smallest_grams(texts, width: int, gram: int) -> tuple[np.ndarray, np.ndarray
     for t in texts:
         h = rolling(word_hashes(t.encode().split()), gram)
         every.append(h)
-        if len(h) >= (span := width - gram + 1):
-            smallest.append(np.lib.stride_tricks.sliding_window_view(h, span).min(axis=1))
+        span, known = width - gram + 1, 1
+        if len(h) >= span:
+            low = h
+            while 2 * known <= span:
+                low = np.minimum(low[:-known], low[known:])
+                known *= 2
+            smallest.append(np.minimum(low[: len(h) - span + 1], low[span - known :]))
     return mix(np.concatenate(smallest)), mix(np.concatenate(every))
 
 
