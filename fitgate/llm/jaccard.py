@@ -11,10 +11,18 @@ same, so the three prefixes are three different samples.
   document holds is in no intersection, so a document that has too many of these links with nothing.
 * Documents with the same set are one representative from then on.
 * A document survives an order only if some other document shares one of its prefix elements.
-* First, every survivor is compared with the smallest document of each of its prefix
-  buckets: as many comparisons as rows, which already joins a large group of near copies.
-* Then all pairs of documents that are in different components so far and share a bucket
-  under all three orders are compared. Pairs inside a component could add no component.
+* Every survivor is compared with the leader, the smallest document, of each of its prefix
+  buckets: as many comparisons as rows. Documents that link to a leader are in one component.
+* Of the others, two that are near one leader can only link if they deviate from it in the same
+  elements: if dx and dy elements tell them from the leader, c of these in common, they differ
+  in dx + dy - 2c. As x did not link to the leader, c is at least (dx - k(|x| + |L|)) / (1 + k)
+  with k = (1 - t) / (1 + t) for threshold t, and at least 1. So the deviations get prefixes of
+  their own (rare ones first), and a group of near copies, however large, meets in them only.
+* Those far from the leader choose a new one, three times. What is left then, strangers in a
+  bucket, is compared in pairs; two documents that link are never torn apart, because
+  their similarities to a leader differ by 1 - t at most.
+* Pairs from deviations and strangers are verified if they share a prefix element under the
+  other orders too. Pairs inside a component could add no component.
 
 Elements are 64-bit hashes of shingles; sets are compared exactly as sets of these.
 """
@@ -25,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fitgate.llm.blocks import owners_for, requests, send, text_blocks, total_answers, unpack, with_answers
@@ -35,6 +43,8 @@ from fitgate.llm.components import connected
 SHINGLE = 3
 PERCENT = 90
 ORDERS = 3
+#: A document is near a leader from this similarity on; how often those that are far choose a new one.
+NEAR, TURNS = 0.3, 3
 _SEEDS = np.array([0x2545F4914F6CDD1D, 0x8CB92BA72F3D8DD7, 0x6A09E667F3BCC909], np.uint64)
 
 
@@ -56,12 +66,12 @@ def prefix(elements: np.ndarray, holders: np.ndarray, order: int, percent: int)
     return elements[first[holders[first] > 1]]
 
 
-SIGNED = "doc_id long, n long, d1 long, d2 long, s binary, " + ", ".join(f"p{k} binary" for k in range(ORDERS))
+SIGNED = "doc_id long, n long, d1 long, d2 long, s binary, h binary, " + ", ".join(f"p{k} binary" for k in range(ORDERS))
 
 
 def _signatures(docs: DataFrame, stages: Stages, size: int, percent: int) -> DataFrame:
-    """SIGNED rows for all documents: set size and a 128-bit digest; for those that may have a partner also the set and its
-    prefixes, as packed longs."""
+    """SIGNED rows for all documents: set size and a 128-bit digest; for those that may have a partner also the set, its numbers of holders
+    (16 bits each) and its prefixes, as packed longs."""
     blocks = text_blocks(docs.withColumn("flag", F.lit(True)), stages)
     chars = blocks.select(F.sum(F.aggregate("texts", F.lit(0).cast("long"), lambda n, t: n + F.length(t)))).first()[0] or 0
     bits = owners_for(chars // 6)
@@ -86,15 +96,15 @@ def _signatures(docs: DataFrame, stages: Stages, size: int, percent: int) -> Dat
             start += len(s)
             digest = [int(mix(s ^ _SEEDS[k]).sum(dtype=np.uint64).view(np.int64)) for k in (0, 1)]
             if len(s) and 100 * np.count_nonzero(h > 1) >= percent * len(s):
-                out.append((doc_id, len(s), *digest, s.tobytes(), *(prefix(s, h, k, percent).tobytes() for k in range(ORDERS))))
+                out.append((doc_id, len(s), *digest, s.tobytes(), np.minimum(h, 65535).astype(np.uint16).tobytes(), *(prefix(s, h, k, percent).tobytes() for k in range(ORDERS))))
             else:
-                out.append((doc_id, len(s), *digest, *[None] * (ORDERS + 1)))
+                out.append((doc_id, len(s), *digest, *[None] * (ORDERS + 2)))
         return pd.DataFrame(out, columns=[c.split()[0] for c in SIGNED.split(", ")])
 
     return stages.write(with_answers(blocks, answers, sign, SIGNED), "signed")
 
 
-def _unpack(packed: str) -> DataFrame:
+def _unpack(packed: str) -> Column:
     @F.pandas_udf("array<long>")
     def longs(values: pd.Series) -> pd.Series:
         return values.map(lambda b: np.frombuffer(b, np.int64))
@@ -102,24 +112,74 @@ def _unpack(packed: str) -> DataFrame:
     return longs(F.col(packed))
 
 
+def _common(left: str, right: str) -> Column:
+    """How many elements two packed sets share."""
+
+    @F.pandas_udf("long")
+    def count(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([len(np.intersect1d(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), assume_unique=True)) for p, q in zip(x, y, strict=True)], dtype="int64")
+
+    return count(left, right)
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    """Pairs (a, b) with the named columns of both documents, as x_... and y_..."""
+    for side, name in (("a", "x"), ("b", "y")):
+        pairs = pairs.join(sets.select(F.col("doc_id").alias(side), *[F.col(c).alias(f"{name}_{c}") for c in columns]), side)
+    return pairs
+
+
+def _measured(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, linked, j): whether and how similar the pairs are."""
+    both = _with_sets(stars, sets, "n", "s").select("a", "b", "x_n", "y_n", _common("x_s", "y_s").alias("c"))
+    union = F.col("x_n") + F.col("y_n") - F.col("c")
+    return both.select("a", "b", (100 * F.col("c") >= percent * union).alias("linked"), (F.col("c") / union).alias("j"))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
+    """The pairs (a, b) whose sets are similar enough; only those that share prefix elements under all orders are looked at."""
 
     @F.pandas_udf("boolean")
-    def similar(x: pd.Series, y: pd.Series) -> pd.Series:
+    def meet(*prefixes: pd.Series) -> pd.Series:
         out = []
-        for p, q in zip(x, y, strict=True):
-            p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-            common = len(np.intersect1d(p, q, assume_unique=True))
-            out.append(100 * common >= percent * (len(p) + len(q) - common))
+        for row in zip(*prefixes, strict=True):
+            halves = [np.frombuffer(p, np.uint64) for p in row]
+            out.append(all(len(np.intersect1d(halves[k], halves[k + ORDERS], assume_unique=True)) for k in range(ORDERS)))
         return pd.Series(out)
 
-    left = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("s").alias("y"))
-    return pairs.join(left, "a").join(right, "b").where(similar("x", "y")).select("a", "b")
+    names = [f"p{k}" for k in range(ORDERS)]
+    both = _with_sets(pairs, sets, "n", "s", *names).where(meet(*[f"x_{p}" for p in names], *[f"y_{p}" for p in names]))
+    counted = both.select("a", "b", "x_n", "y_n", _common("x_s", "y_s").alias("c"))
+    return counted.where(100 * F.col("c") >= percent * (F.col("x_n") + F.col("y_n") - F.col("c"))).select("a", "b")
 
 
-def _close(n1: str, n2: str, percent: int):
+def _deviations(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, linked, key): keys of the deviations of a from its leader b that another document must share to link with a."""
+    k = (100 - percent) / (100 + percent)
+
+    @F.pandas_udf("array<long>")
+    def keys(linked: pd.Series, leader: pd.Series, xs: pd.Series, xh: pd.Series, ys: pd.Series, yh: pd.Series) -> pd.Series:
+        out = []
+        for link, b, p, ph, q, qh in zip(linked, leader, xs, xh, ys, yh, strict=True):
+            x, y = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+            hx, hy = np.frombuffer(ph, np.uint16).astype(np.int64), np.frombuffer(qh, np.uint16).astype(np.int64)
+            more, less = ~np.isin(x, y, assume_unique=True), ~np.isin(y, x, assume_unique=True)
+            elements = np.concatenate([x[more], mix(y[less])])
+            # rare: an element more that few hold, an element less that most hold
+            weight = np.concatenate([hx[more], np.maximum(1, hy.max() - hy[less])])
+            alone = np.concatenate([hx[more] < 2, np.zeros(less.sum(), bool)])
+            d = len(elements)
+            shared = 1 if link else max(1, int(np.ceil((d - k * (len(x) + len(y))) / (1 + k) - 1e-9)))
+            first = np.lexsort((elements, weight))[: max(0, d - shared + 1)]
+            first = first[~alone[first]]
+            out.append(mix(elements[first] ^ mix(np.array([b], np.int64).view(np.uint64))).view(np.int64))
+        return pd.Series(out)
+
+    both = _with_sets(near, sets, "s", "h")
+    return both.select("a", "linked", F.explode(keys("linked", "b", "x_s", "x_h", "y_s", "y_h")).alias("key"))
+
+
+def _close(n1: str, n2: str, percent: int) -> Column:
     """Whether two set sizes allow the similarity."""
     return (100 * F.col(n1) >= percent * F.col(n2)) & (100 * F.col(n2) >= percent * F.col(n1))
 
@@ -143,41 +203,46 @@ def similar_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCE
     # a set that several documents have is one representative, whatever the number of its copies
     reps = some.groupBy(*digest).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     reps = some.drop("d1", "d2").join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = stages.write(reps.select("doc_id", "s"), "sets")
-    reps = stages.write(reps.drop("s"), "reps")
+    sets = stages.write(reps, "sets")
+    alive = sets.select("doc_id", *[f"p{k}" for k in range(ORDERS)])
 
-    alive = reps
     for k in range(ORDERS):
         rows = alive.select("doc_id", F.explode(_unpack(f"p{k}")).alias("t"))
         shared = rows.groupBy("t").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("t")
         found = rows.join(shared, "t", "left_semi").select("doc_id").distinct()
         alive = stages.write(alive.join(found, "doc_id", "left_semi"), f"alive{k}")
 
-    # every survivor against the smallest document of each of its buckets
-    buckets = stages.write(alive.select("doc_id", "n", F.explode(_unpack("p0")).alias("t")), "buckets0")
-    leader = buckets.groupBy("t").agg(F.min(F.struct("doc_id", "n")).alias("l")).select("t", F.col("l.doc_id").alias("b"), F.col("l.n").alias("m"))
-    stars = buckets.join(leader, "t").where((F.col("b") != F.col("doc_id")) & _close("n", "m", percent))
-    stars = stages.write(stars.select(F.col("doc_id").alias("a"), "b").distinct(), "stars")
-    links = stages.write(_verified(stars, sets, percent), "links")
-    groups = stages.write(connected(links, stages, "first"), "groups")
-
-    # all pairs across components that share a bucket under every order
-    labelled = stages.write(
-        alive.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "labelled"
-    )
-    candidates = None
-    for k in range(ORDERS):
-        rows = labelled.select("doc_id", "n", "component", F.explode(_unpack(f"p{k}")).alias("t"))
-        mixed = rows.groupBy("t").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("t")
-        rows = stages.write(rows.join(mixed, "t", "left_semi"), f"mixed{k}")
-        other = rows.select("t", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("component").alias("c"))
-        pairs = (
-            rows.join(other, "t").where((F.col("b") < F.col("doc_id")) & (F.col("c") != F.col("component")) & _close("n", "m", percent))
-            .select(F.col("doc_id").alias("a"), "b").distinct()
-        )
-        candidates = pairs if candidates is None else candidates.join(pairs, ["a", "b"], "left_semi")
-        candidates = stages.write(candidates, f"pairs{k}")
-    more = stages.write(_verified(candidates.join(stars, ["a", "b"], "left_anti"), sets, percent), "more")
+    # leaders: all members of a bucket are measured against its smallest document, those far from it choose again
+    rows = stages.write(alive.select("doc_id", F.explode(_unpack("p0")).alias("t")), "rows0")
+    near, known = None, None
+    for turn in range(TURNS):
+        leader = rows.groupBy("t").agg(F.min("doc_id").alias("b"))
+        led = rows.join(leader, "t").where("doc_id <> b")
+        stars = stages.write(led.select(F.col("doc_id").alias("a"), "b").distinct(), f"stars{turn}")
+        measured = stages.write(_measured(stars, sets, percent), f"measured{turn}")
+        known = measured if known is None else known.unionByName(measured)
+        on = led.withColumnRenamed("doc_id", "a").join(measured.where(F.col("j") <= NEAR + 1 - percent / 100), ["a", "b"])
+        rows = stages.write(on.select(F.col("a").alias("doc_id"), "t"), f"rows{turn + 1}")
+    links = known.where("linked").select("a", "b").distinct()
+    groups = stages.write(connected(links, stages, "first"), "groups").withColumnRenamed("component", "c")
+    component = lambda df, doc, name: df.join(groups.select(F.col("node").alias(doc), F.col("c").alias(name)), doc, "left").withColumn(name, F.coalesce(name, doc))
+
+    # near one leader: those that did not link to it meet all others in the deviations they share
+    near = known.where(F.col("j") >= NEAR).distinct()
+    stray = near.where("not linked").select("b").distinct()
+    keys = stages.write(_deviations(near.join(stray, "b", "left_semi"), sets, percent), "keys")
+    keys = stages.write(component(keys, "a", "ca"), "placed")
+    other = keys.select("key", F.col("a").alias("b"), F.col("ca").alias("cb")).distinct()
+    by_deviation = keys.where("not linked").join(other, "key").where("a <> b and ca <> cb").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    by_deviation = stages.write(by_deviation.distinct(), "by_deviation")
+    # strangers that are left in a bucket
+    left = stages.write(component(rows.withColumnRenamed("doc_id", "a"), "a", "ca").join(sets.select(F.col("doc_id").alias("a"), "n"), "a"), "left")
+    mixed = left.groupBy("t").agg(F.min("ca").alias("lo"), F.max("ca").alias("hi")).where("lo <> hi").select("t")
+    left = left.join(mixed, "t", "left_semi")
+    right = left.select("t", F.col("a").alias("b"), F.col("ca").alias("cb"), F.col("n").alias("m"))
+    strangers = left.join(right, "t").where((F.col("b") < F.col("a")) & (F.col("ca") != F.col("cb")) & _close("n", "m", percent)).select("a", "b")
+    candidates = stages.write(by_deviation.unionByName(strangers.distinct()).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti"), "candidates")
+    more = stages.write(_verified(candidates, sets, percent), "more")
     final = connected(links.unionByName(more), stages, "second").withColumnRenamed("node", "rep")
 
     by_digest = some.groupBy(*digest).agg(F.min("doc_id").alias("rep"))
