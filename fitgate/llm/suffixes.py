@@ -30,7 +30,7 @@ from fitgate.llm.common import Stages, mix, word_hashes
 
 THRESHOLD = 50
 GRAM = 24
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 500_000
 NAMED = "owner long, block long, kind int, n long, answer binary"
 STATE = "block long, doc_ids array<long>, lengths array<long>, pos binary, ranks binary"
 _BITS = np.uint64(44)  # of a rank, for the place among the owner's pairs
