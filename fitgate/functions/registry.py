@@ -182,7 +182,6 @@ def is_specific(mimes: Column, exts: Column) -> Column:
 
 def widened_accept(accept: Column, mimes: Column, exts: Column) -> Column:
     """The accept text with everything added that the field does not take but could be made to fit; NULL if nothing is added."""
-    extra = F.lit(None).cast("array<string>")
     parts = []
     for f in FORMATS:
         convertible = F.size(conversion_targets(F.lit(f.name), mimes, exts)) > 0
