@@ -20,7 +20,7 @@ PROFILE = 400
 UNKNOWN = "und"
 _OTHER = regex.compile(r"\P{L}+")
 _SHIFT = np.int64(21)  # a code point has at most 21 bits: three of them fill a long
-#: Languages with fewer rows than this share of the learning rows still count; there is no cut.
+#: Characters that are counted together; bounds the memory of a batch.
 CHARS_AT_ONCE = 2_000_000
 
 
