@@ -121,3 +121,35 @@ def test_leaks(spark):
     assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in got} == want
     kept = decontaminate.drop_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert {r.doc_id for r in kept.collect()} == {d for d, _ in docs} - {d for d, _ in want}
+
+
+def test_leaks_with_parts_in_another_order(spark):
+    rng = random.Random(6)
+    item = [f"q{i}" for i in range(60)]
+    other = lambda n: rng.choices([f"o{i}" for i in range(500)], k=n)
+    third = [*item[40:], *item[20:40], *item[:20]]
+    short = [f"s{i}" for i in range(40)]
+    items = [(1, " ".join(item)), (2, " ".join(short)), (3, "s1 s2 s3")]
+    docs = [
+        (1, other(200) + item[30:] + item[:30] + other(200)),
+        (2, item[30:] + item[:30]),
+        (3, other(9) + third + other(9)),
+        (4, other(50) + item[:30] + other(1) + item[30:] + other(50)),
+        (5, other(50) + item[:30] + other(60) + item[30:]),
+        (6, short[20:] + short[:20] + other(3)),
+        (7, short[1:37]),
+        (8, short[4:36]),
+        (8, other(32)),
+        (9, item[30:58] + item[:30]),
+        (10, other(300)),
+    ]
+    docs = [(d, " ".join(w)) for d, w in docs]
+    for _ in range(30):
+        k = rng.randrange(2, 59)
+        docs.append((len(docs) + 100, " ".join([*other(rng.randrange(40)), *item[k:], *other(rng.randrange(3)), *item[:k], *other(rng.randrange(40))])))
+    frames = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): round(r.similarity, 9) for r in decontaminate.find_leaks(*frames).collect()}
+    want = brute_leaks(docs, items)
+    assert want[1, 1] == round(52 / 60, 9)
+    assert got == want
+    assert {r.doc_id for r in decontaminate.drop_leaks(*frames).collect()} == {d for d, _ in docs} - {d for d, _ in want}
