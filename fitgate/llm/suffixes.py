@@ -216,39 +216,41 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     stages.drop("grams")
     stages.drop("ranks16")
 
-    def pairs(row, offset: int):
-        """Positions whose rank and whose rank at the offset are both there."""
+    def pairs(row, offset: int, length: int):
+        """Positions whose rank and whose rank at the offset are both there, with both and the document:
+        of strings of that length that end in the document where they start."""
         pos, ranks = bl.unpack_sorted(row.pos).astype(np.int64), bl.unpack(row.ranks)
+        ends = np.cumsum(row.lengths)
+        doc = np.searchsorted(ends, pos, side="right")
         other = _at(pos, ranks, pos + offset)
-        return pos[other > 0], ranks[other > 0], other[other > 0]
+        keep = (other > 0) & (doc == np.searchsorted(ends, pos + length - 1, side="right"))
+        return pos[keep], ranks[keep], other[keep], doc[keep]
 
-    def ask_pairs(state: DataFrame, kind: int, offset: int) -> DataFrame:
+    def ask_pairs(state: DataFrame, kind: int, offset: int, length: int) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 for row in batch.itertuples(index=False):
-                    pos, a, b = pairs(row, offset)
-                    doc = np.searchsorted(np.cumsum(row.lengths), pos, side="right")
+                    _, a, b, doc = pairs(row, offset, length)
                     yield pd.DataFrame(list(_pair_requests(row.block, kind, pair_bits, a, b, ids_of(row)[doc])), columns=["owner", "block", "kind", "n", "keys", "extra"])
 
         return state.mapInPandas(run, bl.REQUEST)
 
-    thirty_two = stages.write(rank_pairs(ask_pairs(first, 2, 16), False), "ranks32")
+    thirty_two = stages.write(rank_pairs(ask_pairs(first, 2, 16, 32), False), "ranks32")
 
     def state32(row, found) -> pd.DataFrame:
-        pos, a, b = pairs(row, 16)
+        pos, a, b, _ = pairs(row, 16, 32)
         ranks = _answered(found, 2, a, b)
         return _state(row, row.lengths, pos[ranks > 0], ranks[ranks > 0])
 
     second = stages.write(bl.with_answers(first, thirty_two, state32, STATE), "state32")
     stages.drop("state16")
     stages.drop("ranks32")
-    fifty = stages.write(rank_pairs(ask_pairs(second, 3, 18), True), "docs50")
+    fifty = stages.write(rank_pairs(ask_pairs(second, 3, 18, THRESHOLD), True), "docs50")
 
     def found_in(row, found) -> pd.DataFrame:
-        pos, a, b = pairs(row, 18)
+        pos, a, b, doc = pairs(row, 18, THRESHOLD)
         earliest = _answered(found, 3, a, b).view(np.int64)
-        doc = ids_of(row)[np.searchsorted(np.cumsum(row.lengths), pos, side="right")]
-        gone = pos[earliest < doc].astype(np.uint64)
+        gone = pos[earliest < ids_of(row)[doc]].astype(np.uint64)
         return pd.DataFrame({"owner": [0], "block": [row.block], "kind": [4], "n": [len(gone)], "answer": [bl.pack_sorted(gone)]})
 
     gone = stages.write(bl.with_answers(second, fifty, found_in, NAMED), "gone")

@@ -92,3 +92,17 @@ def test_byte_strings_odd_tables(spark):
     text = "0123456789" * 6
     docs = spark.createDataFrame([(1, text), (1, text), (None, text + "x"), (2, text[:49])], "doc_id long, text string")
     assert sorted((str(r.doc_id), r.n_removed) for r in suffixes.remove_repeats(docs).collect()) == [("1", 60), ("1", 60), ("2", 0), ("None", 0)]
+
+
+@pytest.mark.parametrize("opening,closing", [(44, 44), (30, 44), (44, 30)])
+def test_byte_strings_end_with_their_document(spark, opening, closing):
+    rng = random.Random(12)
+    letters = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    head, tail = letters(opening), letters(closing)
+    rows = [(d, head + letters(60) + tail) for d in range(1, 60)]
+    rows += [(100, rows[3][1][5:80]), (101, None), (102, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in suffixes.remove_repeats(docs).collect()}
+    want = brute_bytes(rows)
+    assert [d for d, w in want.items() if w[1]] == [100]
+    assert got == want
