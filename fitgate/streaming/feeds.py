@@ -5,6 +5,7 @@ Every function takes a streaming frame and gives one; ``drain`` runs it over wha
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -24,10 +25,25 @@ def events_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 8)
 
 
 def drain(stream: DataFrame, mode: str, spark: SparkSession) -> DataFrame:
-    """Run a streaming frame over all input there is; what it gave, read from a table in memory. For results of bounded size."""
-    name = f"drained_{uuid.uuid4().hex}"
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    """Run a streaming frame over all input there is; what it gave, read from a table. Tasks write the rows of each
+    batch there, and the state is kept beside it, in the folder that the cluster shares; the driver holds no rows."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:  # tests on one machine
+        root = tempfile.mkdtemp(prefix="fitgate-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    root = f"{root.rstrip('/')}/drained-{uuid.uuid4().hex}"
+    given: list[str] = []
+
+    def write(rows: DataFrame, batch_id: int) -> None:
+        path = f"{root}/rows/{batch_id}"
+        rows.write.mode("overwrite").parquet(path)  # a batch that runs again gives the same rows
+        given.append(path)
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    if not given:
+        return spark.createDataFrame([], stream.schema)
+    # in complete mode each batch holds the whole result
+    return spark.read.schema(stream.schema).parquet(*(given[-1:] if mode == "complete" else given))
 
 
 def running_counts(events: DataFrame) -> DataFrame:
@@ -66,5 +82,3 @@ def problem_ring(events: DataFrame, size: int = MAX_PROBLEMS) -> DataFrame:
     return rows.groupBy("owner").applyInPandasWithState(
         ring, "owner long, us long, event_id long, code string, version int", "us array<long>, event_id array<long>, code array<string>", "update", GroupStateTimeout.NoTimeout
     )
-
-
