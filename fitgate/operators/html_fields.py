@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 from fitgate.operators import rules_text
 
 # How much a text counts by where it stands, and how far to look.
-DESCRIBED, LABELLED, TITLE, LABEL, SIBLING = 0.97, 0.95, 0.90, 0.95, 0.86
+DESCRIBED, LABELLED, TITLE, LABEL, SIBLING, BARE_NUMBER, WORDED = 0.97, 0.95, 0.90, 0.95, 0.86, 0.88, 0.90
 LEVELS = (0.93, 0.90, 0.86, 0.72)
 STEPS, FIELD_CHARS, SIBLING_CHARS, LEAST_BYTES = 8, 1_500, 300, 1_024
-STOPS = {"body", "html", "form", "main", "dialog"}
-SKIPPED = {"script", "style", "template", "noscript", "select", "option", "textarea", "svg", "iframe", "button"}
-SIZE_ATTRIBUTES = ("data-max-size", "data-maxsize", "data-max-file-size", "data-maxfilesize")
+STOPS, STOP_ROLES = {"body", "html", "form", "main", "dialog"}, {"main", "dialog"}
+SKIPPED = {"script", "style", "template", "noscript", "svg", "canvas", "video", "audio", "iframe", "select"}
+SIZE_ATTRIBUTES = ("data-max-size", "data-max-file-size", "data-maxsize", "data-max-filesize")
+SIBLING_TAGS = {"p", "small", "span", "div", "label", "ul", "li"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-_BLOCKS = {"p", "div", "li", "br", "ul", "ol", "tr", "td", "section", "small", "h1", "h2", "h3", "h4", "label", "form"}
 FIELD_TEXTS = "field_no int, accept string, multiple boolean, ord int, source string, confidence double, text string"
 
 
@@ -68,21 +68,17 @@ def is_field(node: Node) -> bool:
 
 
 def text_of(node: Node) -> str | None:
-    """Visible text, a line for each block; NULL if it is too long to be about one field."""
+    """Visible text, a line for each piece; NULL if it is too long to be about one field."""
     parts: list[str] = []
     stack: list[Node | str] = [node]
     while stack:
         x = stack.pop()
         if isinstance(x, str):
-            parts.append(x)
-        elif x.tag not in SKIPPED and x.attrs.get("aria-hidden") != "true":
-            if x.tag in _BLOCKS:
-                parts.append("\n")
-                stack.append("\n")
+            if piece := x.strip():
+                parts.append(piece)
+        elif x is node or (x.tag not in SKIPPED and x.attrs.get("aria-hidden") != "true"):
             stack += reversed(x.children)
-    lines = (" ".join(line.split()) for line in "".join(parts).split("\n"))
-    text = "\n".join(line for line in lines if line)
-    return text if len(text) <= FIELD_CHARS else None
+    return "\n".join(parts) if sum(len(p) + 1 for p in parts) <= FIELD_CHARS else None
 
 
 def _wrapper(node: Node) -> bool:
@@ -90,8 +86,14 @@ def _wrapper(node: Node) -> bool:
     return not own and sum(isinstance(c, Node) for c in node.children) <= 1
 
 
+def _above(node: Node) -> Iterator[Node]:
+    """The elements around one, from the inside out."""
+    while (node := node.parent) is not None and node.tag != "#root":
+        yield node
+
+
 def field_texts(html: str | None) -> Iterator[tuple]:
-    """Rows of FIELD_TEXTS: every text near each upload field, nearest statement first; an element counts once per field."""
+    """Rows of FIELD_TEXTS: one for each upload field, and one for every text near it, its own statements first; an element counts once per field."""
     tree = _Tree()
     tree.feed(html or "")
     nodes = list(tree.root.walk())
@@ -106,11 +108,15 @@ def field_texts(html: str | None) -> Iterator[tuple]:
         def others(node: Node, field=field) -> int:
             return sum(is_field(x) and x is not field for x in node.walk())
 
-        def add(source: str, confidence: float, node: Node, seen=seen, out=out, others=others) -> None:
-            if id(node) not in seen and not others(node):
-                seen.add(id(node))
-                if text := text_of(node):
-                    out.append((source, confidence, text))
+        def add(source: str, confidence: float, node: Node, seen=seen, out=out, others=others) -> bool:
+            """Take the text of an element, once; False if it is not about this field alone."""
+            if id(node) in seen:
+                return True
+            seen.add(id(node))
+            text = None if others(node) else text_of(node)
+            if text:
+                out.append((source, confidence, text))
+            return text is not None
 
         for name, confidence in (("aria-describedby", DESCRIBED), ("aria-labelledby", LABELLED)):
             for key in field.attrs.get(name, "").split():
@@ -119,42 +125,44 @@ def field_texts(html: str | None) -> Iterator[tuple]:
         for name, confidence in (("aria-label", LABELLED), ("title", TITLE)):
             if field.attrs.get(name):
                 out.append((name, confidence, field.attrs[name]))
+        above = list(_above(field))
         for n in nodes:
-            if n.tag == "label" and field.attrs.get("id") and n.attrs.get("for") == field.attrs["id"]:
+            if n.tag == "label" and (n in above or (field.attrs.get("id") and n.attrs.get("for") == field.attrs["id"])):
                 add("label", LABEL, n)
         for name in SIZE_ATTRIBUTES:
             value = field.attrs.get(name, "").strip()
             if value.isascii() and value.isdigit():
                 if int(value) >= LEAST_BYTES:
-                    out.append((name, 0.88, f"max {value} bytes"))
+                    out.append((name, BARE_NUMBER, value))
             elif value:
-                out.append((name, 0.90, f"max {value}"))
-        node, level = field.parent, 0
-        for _ in range(STEPS):
-            if node is None or node.tag in STOPS or node.tag == "#root" or level == len(LEVELS) or others(node) or text_of(node) is None:
+                out.append((name, WORDED, f"max {value}"))
+        top, level, form = field, 0, None
+        for node in above[:STEPS]:
+            if level == len(LEVELS):
                 break
-            if node.tag == "label":
-                add("label", LABEL, node)
-            elif not _wrapper(node):
-                add("ancestor", LEVELS[level], node)
+            if node.tag in STOPS or node.attrs.get("role") in STOP_ROLES:
+                form = node if node.tag == "form" and not others(node) else None
+                break
+            if not _wrapper(node):
+                if not add("parent" if level == 0 else "ancestor", LEVELS[level], node):
+                    break
                 level += 1
-            node = node.parent
-        form = field.parent
-        while form is not None and form.tag != "form":
-            form = form.parent
-        if form is not None and not others(form):
-            for c in field.parent.children:
-                if isinstance(c, Node) and c is not field and c.tag in ("p", "small", "span", "div", "li") and len(text_of(c) or "x" * 999) <= SIBLING_CHARS:
-                    add("sibling", SIBLING, c)
+            top = node
+        if form is not None:
+            children = [c for c in top.parent.children if isinstance(c, Node)]
+            at = children.index(top)
+            for c in (*children[max(0, at - 1) : at], *children[at + 1 : at + 2]):
+                text = text_of(c) if c.tag in SIBLING_TAGS else None
+                if text and len(text) <= SIBLING_CHARS:
+                    out.append(("sibling", SIBLING, text))
         common = number, field.attrs.get("accept", ""), "multiple" in field.attrs
-        if not out:
-            yield (*common, None, None, None, None)
+        yield (*common, None, None, None, None)
         for k, row in enumerate(out):
             yield (*common, k, *row)
 
 
 def html_fields(pages: DataFrame, key: str = "page_id", html_col: str = "html") -> DataFrame:
-    """One row per upload field and text near it (one with NULL text for a field without any); pages without fields give none."""
+    """One row per upload field, with NULL text, and one per field and text near it; pages without fields give none."""
     kind = dict(pages.dtypes)[key]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -171,10 +179,8 @@ def html_fields(pages: DataFrame, key: str = "page_id", html_col: str = "html")
 def html_rules(pages: DataFrame, key: str = "page_id", html_col: str = "html") -> DataFrame:
     """One row per upload field: rules from the texts near it; types from prose only if ``accept`` names none."""
     texts = html_fields(pages, key, html_col).withColumn("field", F.concat_ws(":", key, "field_no"))
-    stated = texts.where("text is not null").select("field", "text", "source", "confidence")
-    rules = rules_text.resolve(rules_text.evidence(stated, "field"), "field")
-    fields = texts.select(key, "field_no", "field", rules_text.parse_accept(F.col("accept")).alias("a")).distinct()
-    joined = fields.join(rules, "field", "left")
+    carry = (key, "field_no", "accept")
+    joined = rules_text.resolve(rules_text.evidence(texts, "field", carry=carry), "field", carry).withColumn("a", rules_text.parse_accept(F.col("accept")))
     specific = (F.size("a.exts") > 0) | F.exists("a.mimes", lambda m: ~m.endswith("/*"))
     none = F.array().cast("array<string>")
     worded = F.when(F.size("accepted_mimes") > 0, F.col("accepted_mimes"))

@@ -28,9 +28,7 @@ def drain(stream: DataFrame, mode: str, spark: SparkSession) -> DataFrame:
     """Run a streaming frame over all input there is; what it gave, read from a table. Tasks write the rows of each
     batch there, and the state is kept beside it, in the folder that the cluster shares; the driver holds no rows."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:  # tests on one machine
-        root = tempfile.mkdtemp(prefix="fitgate-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    root = root or tempfile.mkdtemp(prefix="fitgate-")  # tests on one machine
     root = f"{root.rstrip('/')}/drained-{uuid.uuid4().hex}"
     given: list[str] = []
 

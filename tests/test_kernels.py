@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from fitgate.operators import headers, html_fields, raster, rules_text, sheets
+from fitgate.operators import headers, html_fields, raster, sheets, wording
 
 
 def picture(seed, w, h):
@@ -122,12 +122,12 @@ def test_sheets(spark):
     ],
 )
 def test_clause(text, want):
-    assert {r: n for r, n, items, _ in rules_text.read_clause(text) if items is None} == want
+    assert {r: n for r, n, items, _ in wording.read_clause(text)[0] if items is None} == want
 
 
 def test_fields_of_a_page():
     html = "<div><p>Max 2 MB</p><div><input type=file title='PNG'></div></div><div>Other <input type=file></div>"
     rows = list(html_fields.field_texts(html))
-    assert {(r[0], r[4]) for r in rows} >= {(0, "title"), (0, "ancestor"), (1, "ancestor")}
+    assert {(r[0], r[4]) for r in rows} >= {(0, "title"), (0, "parent"), (1, "parent")}
     assert all("Other" not in (r[6] or "") for r in rows if r[0] == 0)
     assert list(html_fields.field_texts(None)) == []
