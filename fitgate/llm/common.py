@@ -37,16 +37,19 @@ class Stages:
     """Written tables that cut lineage, in the folder which the cluster shares.
 
     The folder is ``spark.checkpoint.dir``; only where that is unset (tests on one machine)
-    a temporary folder is made. A lost executor costs the running tasks only: everything
-    before the last stage is read again from the table.
+    a temporary folder is made, one per application. A lost executor costs the running tasks only:
+    everything before the last stage is read again from the table.
     """
 
+    _local: dict[str, str] = {}
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
-            root = tempfile.mkdtemp(prefix="fitgate-")
-            spark.conf.set("spark.checkpoint.dir", root)
+            app = spark.sparkContext.applicationId
+            root = self._local.get(app) or self._local.setdefault(app, tempfile.mkdtemp(prefix="fitgate-"))
+        self.names: list[str] = []
         self.root = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, name: str, **options: str) -> DataFrame:
@@ -58,6 +61,7 @@ class Stages:
             df.write.options(**{"compression": "zstd"} | options).parquet(path := f"{self.root}/{name}")
         finally:
             conf.set(_CLEANUP, before)
+        self.names.append(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
@@ -65,6 +69,13 @@ class Stages:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.names.remove(name)
+
+    def keep(self, *names: str) -> None:
+        """Delete all stages but these; a name that ends in - stands for the latest stage that begins so."""
+        latest = {next((n for n in reversed(self.names) if n.startswith(k)), k) if k.endswith("-") else k for k in names}
+        for name in [n for n in self.names if n not in latest]:
+            self.drop(name)
 
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)

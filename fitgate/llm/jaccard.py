@@ -13,13 +13,22 @@ same, so the three prefixes are three different samples.
 * A document survives an order only if some other document shares one of its prefix elements.
 * Every survivor is compared with the leader, the smallest document, of each of its prefix
   buckets: as many comparisons as rows. Documents that link to a leader are in one component.
-* Of the others, two that are near one leader can only link if they deviate from it in the same
-  elements: if dx and dy elements tell them from the leader, c of these in common, they differ
-  in dx + dy - 2c. As x did not link to the leader, c is at least (dx - k(|x| + |L|)) / (1 + k)
-  with k = (1 - t) / (1 + t) for threshold t, and at least 1. So the deviations get prefixes of
-  their own (rare ones first), and a group of near copies, however large, meets in them only.
+* Of the others (strays), two that are near one leader can only link if they deviate from it in
+  the same elements. Two sets link when |x ^ y| <= k(|x| + |y|), k = (1 - t) / (1 + t) for
+  threshold t, where ^ is the symmetric difference; if dx and dy elements tell them from the leader
+  L, c of these in common, |x ^ y| = dx + dy - 2c. A stray y has dy > k(|y| + |L|), so whoever
+  links with a stray shares c > (dx - k|x| + k|L|) / 2 deviations with it, about half of its own;
+  and a stray x shares at least (dx - k(|x| + |L|)) / (1 + k) with anyone. Deviations that no
+  other document has cannot be shared, though they count in dx. So the deviations get prefixes
+  of their own (rare ones first): one for pairs of strays, one for a stray and a linked document.
+  A document with more deviations of its own than it may have gets none.
+* In a deviation key strays first meet three of its members, by scrambled order; those that link
+  are in the component of these from then on, and only pairs of different components are formed.
+* Before a pair is formed, the elements that each has alone and a parity sketch of the rest give
+  a lower bound of |x ^ y|: of members of a group of near copies that share a rare deviation
+  but do not link, nearly all stop there, so pairs follow links, not the square of the group.
 * Those far from the leader choose a new one, three times. What is left then, strangers in a
-  bucket, is compared in pairs; two documents that link are never torn apart, because
+  bucket, meets under the same bound; two documents that link are never torn apart, because
   their similarities to a leader differ by 1 - t at most.
 * Pairs from deviations and strangers are verified if they share a prefix element under the
   other orders too. Pairs inside a component could add no component.
@@ -45,6 +54,8 @@ PERCENT = 90
 ORDERS = 3
 #: A document is near a leader from this similarity on; how often those that are far choose a new one.
 NEAR, TURNS = 0.3, 3
+#: Members of a deviation key that all others of it are compared with.
+CHIEFS = 3
 _SEEDS = np.array([0x2545F4914F6CDD1D, 0x8CB92BA72F3D8DD7, 0x6A09E667F3BCC909], np.uint64)
 
 
@@ -66,12 +77,21 @@ def prefix(elements: np.ndarray, holders: np.ndarray, order: int, percent: int)
     return elements[first[holders[first] > 1]]
 
 
-SIGNED = "doc_id long, n long, d1 long, d2 long, s binary, h binary, " + ", ".join(f"p{k} binary" for k in range(ORDERS))
+#: Words of 64 bits in the parity sketch of a set.
+SKETCH = 4
+BOUNDS = ["n", "alone", *[f"b{k}" for k in range(SKETCH)]]
+SIGNED = "doc_id long, n long, d1 long, d2 long, s binary, h binary, alone long, " + ", ".join([f"b{k} long" for k in range(SKETCH)] + [f"p{k} binary" for k in range(ORDERS)])
+
+
+def sketch(elements: np.ndarray) -> list[int]:
+    """For each of 64 * SKETCH bits, whether an odd number of elements falls on it. Two sets differ in at least as many elements as their sketches in bits."""
+    bits = np.bincount((mix(elements ^ _SEEDS[0]) >> np.uint64(8)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
 
 
 def _signatures(docs: DataFrame, stages: Stages, size: int, percent: int) -> DataFrame:
     """SIGNED rows for all documents: set size and a 128-bit digest; for those that may have a partner also the set, its numbers of holders
-    (16 bits each) and its prefixes, as packed longs."""
+    (16 bits each), how many it holds alone, the sketch of the others, and its prefixes, as packed longs."""
     blocks = text_blocks(docs.withColumn("flag", F.lit(True)), stages)
     chars = blocks.select(F.sum(F.aggregate("texts", F.lit(0).cast("long"), lambda n, t: n + F.length(t)))).first()[0] or 0
     bits = owners_for(chars // 6)
@@ -96,10 +116,12 @@ def _signatures(docs: DataFrame, stages: Stages, size: int, percent: int) -> Dat
             start += len(s)
             digest = [int(mix(s ^ _SEEDS[k]).sum(dtype=np.uint64).view(np.int64)) for k in (0, 1)]
             if len(s) and 100 * np.count_nonzero(h > 1) >= percent * len(s):
-                out.append((doc_id, len(s), *digest, s.tobytes(), np.minimum(h, 65535).astype(np.uint16).tobytes(), *(prefix(s, h, k, percent).tobytes() for k in range(ORDERS))))
+                alone = int(np.count_nonzero(h < 2))
+                out.append((doc_id, len(s), *digest, s.tobytes(), np.minimum(h, 65535).astype(np.uint16).tobytes(), alone, *sketch(s[h > 1]), *(prefix(s, h, k, percent).tobytes() for k in range(ORDERS))))
             else:
-                out.append((doc_id, len(s), *digest, *[None] * (ORDERS + 2)))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in SIGNED.split(", ")])
+                out.append((doc_id, len(s), *digest, *[None] * (ORDERS + SKETCH + 3)))
+        # NULL among integers must not make floats of them
+        return pd.DataFrame(out, columns=[c.split()[0] for c in SIGNED.split(", ")], dtype=object)
 
     return stages.write(with_answers(blocks, answers, sign, SIGNED), "signed")
 
@@ -154,34 +176,43 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _deviations(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, linked, key): keys of the deviations of a from its leader b that another document must share to link with a."""
+    """(a, linked, role, key): keys of the deviations of a from its leader b that another document must share
+    to link with a; role s for pairs with one that did not link to b, role l for pairs of such a one with one that did."""
     k = (100 - percent) / (100 + percent)
 
-    @F.pandas_udf("array<long>")
-    def keys(linked: pd.Series, leader: pd.Series, xs: pd.Series, xh: pd.Series, ys: pd.Series, yh: pd.Series) -> pd.Series:
-        out = []
+    @F.pandas_udf("s array<long>, l array<long>")
+    def keys(linked: pd.Series, leader: pd.Series, xs: pd.Series, xh: pd.Series, ys: pd.Series, yh: pd.Series) -> pd.DataFrame:
+        stray, joined = [], []
         for link, b, p, ph, q, qh in zip(linked, leader, xs, xh, ys, yh, strict=True):
             x, y = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
             hx, hy = np.frombuffer(ph, np.uint16).astype(np.int64), np.frombuffer(qh, np.uint16).astype(np.int64)
             more, less = ~np.isin(x, y, assume_unique=True), ~np.isin(y, x, assume_unique=True)
+            d = int(more.sum() + less.sum())
+            more &= hx > 1
             elements = np.concatenate([x[more], mix(y[less])])
             # rare: an element more that few hold, an element less that most hold
             weight = np.concatenate([hx[more], np.maximum(1, hy.max() - hy[less])])
-            alone = np.concatenate([hx[more] < 2, np.zeros(less.sum(), bool)])
-            d = len(elements)
-            shared = 1 if link else max(1, int(np.ceil((d - k * (len(x) + len(y))) / (1 + k) - 1e-9)))
-            first = np.lexsort((elements, weight))[: max(0, d - shared + 1)]
-            first = first[~alone[first]]
-            out.append(mix(elements[first] ^ mix(np.array([b], np.int64).view(np.uint64))).view(np.int64))
-        return pd.Series(out)
+            keyed = mix(elements[np.lexsort((elements, weight))] ^ mix(np.array([b], np.int64).view(np.uint64))).view(np.int64)
+            with_any = max(1, int(np.ceil((d - k * (len(x) + len(y))) / (1 + k) - 1e-9)))
+            with_stray = max(1, int(np.floor((d - k * len(x) + k * len(y)) / 2 - 1e-9)) + 1)
+            if not link:
+                with_stray = max(with_stray, with_any)
+            stray.append(keyed[: max(0, len(keyed) - with_stray + 1)])
+            joined.append(stray[-1] if link else keyed[: max(0, len(keyed) - with_any + 1)])
+        return pd.DataFrame({"s": stray, "l": joined})
 
-    both = _with_sets(near, sets, "s", "h")
-    return both.select("a", "linked", F.explode(keys("linked", "b", "x_s", "x_h", "y_s", "y_h")).alias("key"))
+    both = _with_sets(near, sets, "s", "h").select("a", "linked", keys("linked", "b", "x_s", "x_h", "y_s", "y_h").alias("k"))
+    stray = both.where("not linked").select("a", "linked", F.lit("s").alias("role"), F.explode("k.s").alias("key"))
+    return stray.unionByName(both.select("a", "linked", F.lit("l").alias("role"), F.explode("k.l").alias("key")))
 
 
-def _close(n1: str, n2: str, percent: int) -> Column:
-    """Whether two set sizes allow the similarity."""
-    return (100 * F.col(n1) >= percent * F.col(n2)) & (100 * F.col(n2) >= percent * F.col(n1))
+def _may_link(x: str, y: str, percent: int) -> Column:
+    """Whether the lower bound of |x ^ y| allows the similarity, for the columns BOUNDS of both under these prefixes."""
+    differ = F.col(f"{x}alone") + F.col(f"{y}alone")
+    for k in range(SKETCH):
+        differ = differ + F.bit_count(F.col(f"{x}b{k}").bitwiseXOR(F.col(f"{y}b{k}")))
+    n1, n2 = F.col(f"{x}n"), F.col(f"{y}n")
+    return ((100 + percent) * differ <= (100 - percent) * (n1 + n2)) & (100 * n1 >= percent * n2) & (100 * n2 >= percent * n1)
 
 
 def similar_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -190,8 +221,8 @@ def similar_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCE
     Documents link when 100 * |A & B| >= percent * |A | B| over their distinct word shingles; the
     component is the smallest doc_id that links reach. Texts with fewer words than a shingle
     have one element, their whole sequence; texts without words (or NULL) have none and link with nothing.
-    Repeated rows with one doc_id give one row; rows with a NULL doc_id are left out; other columns are
-    ignored; an empty table gives an empty result.
+    Repeated rows with one doc_id give one row; if their texts differ, only the one with the smallest set digest
+    counts. Rows with a NULL doc_id are left out; other columns are ignored; an empty table gives an empty result.
     """
     stages = Stages(docs.sparkSession, "jaccard")
     docs = docs.select("doc_id", "text").where("doc_id is not null")
@@ -199,7 +230,10 @@ def similar_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCE
     stages.drop("blocks")
     stages.drop("holders")
     digest = ["n", "d1", "d2"]
-    some = signed.where("s is not null")
+    members = signed.groupBy("doc_id").agg(F.min(F.struct(*digest)).alias("d"), F.max(F.struct(*digest)).alias("other"))
+    clash = members.where("d <> other").select("doc_id", "d")
+    members = members.select("doc_id", "d.*")
+    some = signed.where("s is not null").join(clash, "doc_id", "left").where(F.col("d").isNull() | (F.col("d") == F.struct(*digest))).drop("d")
     # a set that several documents have is one representative, whatever the number of its copies
     reps = some.groupBy(*digest).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     reps = some.drop("d1", "d2").join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"])
@@ -224,34 +258,46 @@ def similar_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCE
         on = led.withColumnRenamed("doc_id", "a").join(measured.where(F.col("j") <= NEAR + 1 - percent / 100), ["a", "b"])
         rows = stages.write(on.select(F.col("a").alias("doc_id"), "t"), f"rows{turn + 1}")
     links = known.where("linked").select("a", "b").distinct()
-    groups = stages.write(connected(links, stages, "first"), "groups").withColumnRenamed("component", "c")
-    component = lambda df, doc, name: df.join(groups.select(F.col("node").alias(doc), F.col("c").alias(name)), doc, "left").withColumn(name, F.coalesce(name, doc))
+    components = lambda name: stages.write(connected(links, stages, name), f"{name}-all").withColumnRenamed("component", "c")
+    placed = lambda df, doc, name: df.join(groups.select(F.col("node").alias(doc), F.col("c").alias(name)), doc, "left").withColumn(name, F.coalesce(name, doc))
+    groups = components("first")
 
-    # near one leader: those that did not link to it meet all others in the deviations they share
+    # near one leader: those that did not link to it meet others in the deviations they share
     near = known.where(F.col("j") >= NEAR).distinct()
     stray = near.where("not linked").select("b").distinct()
-    keys = stages.write(_deviations(near.join(stray, "b", "left_semi"), sets, percent), "keys")
-    keys = stages.write(component(keys, "a", "ca"), "placed")
-    other = keys.select("key", F.col("a").alias("b"), F.col("ca").alias("cb")).distinct()
-    by_deviation = keys.where("not linked").join(other, "key").where("a <> b and ca <> cb").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    by_deviation = stages.write(by_deviation.distinct(), "by_deviation")
+    bounds = sets.select(F.col("doc_id").alias("a"), *BOUNDS)
+    keys = stages.write(_deviations(near.join(stray, "b", "left_semi"), sets, percent).join(bounds, "a"), "keys")
+    second = lambda df, **more: df.select(*more.get("by", ()), F.col("a").alias("b"), F.col("ca").alias("cb"), *[F.col(c).alias(f"y_{c}") for c in BOUNDS])
+    pair = [F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")]
+    differ = F.col("ca") != F.col("cb")
+    # again leaders first, three of each key: whoever links with many in a key is soon in their component
+    at = placed(keys, "a", "ca")
+    whole = F.struct(*at.columns)
+    chiefs = at.where("role = 's' or linked").groupBy("role", "key").agg(F.array_distinct(F.array(*[F.min_by(whole, F.xxhash64("a", F.lit(k))) for k in range(CHIEFS)])).alias("y"))
+    chiefs = second(chiefs.select(F.explode("y").alias("y")).select("y.*"), by=("role", "key"))
+    led = at.where("not linked").join(chiefs, ["role", "key"]).where((F.col("a") != F.col("b")) & differ & _may_link("", "y_", percent))
+    led = stages.write(led.select(*pair).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti"), "by_chief")
+    links = links.unionByName(stages.write(_verified(led, sets, percent), "linked")).distinct()
+    groups = components("then")
+
+    at = stages.write(placed(keys, "a", "ca"), "placed")
+    # a pair of strays is formed once; of a stray and a linked document, the stray is the left one
+    turn_of = F.when(F.col("role") == "s", F.col("b") < F.col("a")).otherwise(F.col("by"))
+    by_deviation = at.where("not linked").join(second(at, by=("role", "key", F.col("linked").alias("by"))), ["role", "key"]).where(turn_of & differ & _may_link("", "y_", percent))
+    by_deviation = stages.write(by_deviation.select(*pair).distinct().join(led, ["a", "b"], "left_anti"), "by_deviation")
     # strangers that are left in a bucket
-    left = stages.write(component(rows.withColumnRenamed("doc_id", "a"), "a", "ca").join(sets.select(F.col("doc_id").alias("a"), "n"), "a"), "left")
+    left = stages.write(placed(rows.withColumnRenamed("doc_id", "a"), "a", "ca").join(bounds, "a"), "left")
     mixed = left.groupBy("t").agg(F.min("ca").alias("lo"), F.max("ca").alias("hi")).where("lo <> hi").select("t")
     left = left.join(mixed, "t", "left_semi")
-    right = left.select("t", F.col("a").alias("b"), F.col("ca").alias("cb"), F.col("n").alias("m"))
-    strangers = left.join(right, "t").where((F.col("b") < F.col("a")) & (F.col("ca") != F.col("cb")) & _close("n", "m", percent)).select("a", "b")
+    strangers = left.join(second(left, by=("t",)), "t").where((F.col("b") < F.col("a")) & differ & _may_link("", "y_", percent)).select("a", "b")
     candidates = stages.write(by_deviation.unionByName(strangers.distinct()).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti"), "candidates")
     more = stages.write(_verified(candidates, sets, percent), "more")
-    final = connected(links.unionByName(more), stages, "second").withColumnRenamed("node", "rep")
+    final = connected(links.unionByName(more), stages, "last").withColumnRenamed("node", "rep")
+    stages.keep("signed", "last-")
 
     by_digest = some.groupBy(*digest).agg(F.min("doc_id").alias("rep"))
     by_digest = by_digest.join(final, "rep", "left").select(*digest, F.coalesce("component", "rep").alias("component_id"))
-    members = signed.select("doc_id", *digest).distinct()
-    return (
-        members.join(by_digest, digest, "left")
-        .groupBy("doc_id").agg(F.max("n").alias("n_shingles"), F.min(F.coalesce("component_id", "doc_id")).alias("component_id"))
-    )
+    return members.join(by_digest, digest, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

@@ -63,6 +63,58 @@ def test_similar_documents(spark, monkeypatch, seed):
     assert {r.doc_id for r in kept.collect()} == heads | {None}
 
 
+def one_group(n, seed, size, percent):
+    """Near copies of one text, edited so much that many of them link with few others."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(150)]
+    most = 6 if (size, percent) == (5, 80) else 5
+    rows, last = [], base
+    for d in range(n):
+        words = list(last if rng.random() < 0.1 else base)
+        for _ in range(rng.randrange(most + 1)):
+            words[rng.randrange(len(words))] = f"e{rng.randrange(40)}" if rng.random() < 0.5 else f"u{d}-{rng.random()}"
+        rows.append((d, " ".join(words)))
+        last = words
+    return rows
+
+
+@pytest.mark.parametrize(("size", "percent"), [(5, 80), (3, 90)])
+def test_candidates_follow_the_rows_of_a_group(spark, monkeypatch, size, percent):
+    counts = {}
+    write = Stages.write
+
+    def counted(self, df, name, **options):
+        out = write(self, df, name, **options)
+        if name in ("stars0", "keys", "by_chief", "by_deviation", "candidates"):
+            counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(Stages, "write", counted)
+    seen = {}
+    for n in (150, 600):
+        rows = one_group(n, n, size, percent)
+        got = {tuple(r) for r in jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), size, percent).collect()}
+        assert got == brute_components(rows, size, percent)
+        assert len({c for _, _, c in got}) > 50
+        assert counts["by_chief"] <= 3 * counts["keys"]
+        assert counts["by_deviation"] + counts["candidates"] <= n
+        seen[n] = counts
+    # four times the rows: the tables that are linear by design grow no more than these
+    assert seen[600]["stars0"] <= 5 * seen[150]["stars0"]
+    assert seen[600]["keys"] <= 5 * seen[150]["keys"]
+
+
+def test_texts_that_clash_on_an_id(spark):
+    """Of different texts with one doc_id the one with the smallest digest counts, in every run alike."""
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    rows = [(1, a), (2, a), (3, b), (4, b), (3, a), (3, "")]
+    out = set()
+    for k in (1, 3):
+        docs = spark.createDataFrame(rows[::-1] if k > 1 else rows, "doc_id long, text string").repartition(k)
+        out.add(frozenset(tuple(r) for r in jaccard.similar_documents(docs).collect()))
+    assert out == {frozenset({(1, 28, 1), (2, 28, 1), (3, 0, 3), (4, 28, 4)})}
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     items = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
