@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,9 +52,12 @@ class WordBpe:
         self.inner = np.array([vocab[s] for s in signs], np.int64)
         self.final = np.array([vocab[s + END_OF_WORD] for s in signs], np.int64)
         self.size = max(self.tokens) + 1
+        self.names = np.array([self.tokens.get(i) for i in range(self.size)], object)
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         keys = np.array([vocab[a] * self.size + vocab[b] for a, b in pairs], np.int64)
         made = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        if len(np.unique(made)) < len(made):
+            raise ValueError("two merges make one symbol: rounds would differ from single merges")
         order = np.argsort(keys)
         self.keys, self.ranks, self.made = keys[order], order, made[order]
         self.word = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
@@ -149,9 +153,13 @@ class WordBpe:
         known = self.encode_chunks(set(chunks))
         return [i for c in chunks for i in known[c]]
 
-    def decode(self, ids: list[int]) -> str:
-        """Token strings joined by spaces; ids outside the vocabulary are skipped."""
-        return " ".join(self.tokens[i] for i in ids if i in self.tokens)
+    def decode(self, ids: list[int] | np.ndarray) -> str:
+        """Token strings joined by spaces, looked up in the table of names all at once; ids outside the vocabulary are skipped."""
+        ids = np.asarray(ids, np.int64)
+        if len(ids) and (ids.min() < 0 or ids.max() >= self.size):
+            ids = ids[(ids >= 0) & (ids < self.size)]
+        names = self.names[ids].tolist()
+        return " ".join(names if None not in names else [t for t in names if t is not None])
 
 
 def blank_runs(text: str) -> list[str]:
@@ -174,14 +182,15 @@ def _digests(bpe: WordBpe, texts: list[str | None]) -> Iterator[tuple[int, str,
     distinct = {w for d in docs for w in d}
     names = {w: w.decode() for w in distinct}
     known = bpe.encode_chunks(set(names.values()))
-    joined = {}
+    packed, written = {}, {}
     for w in distinct:
-        ids = known[names[w]]
-        joined[w] = (len(ids), " ".join(map(str, ids)), " ".join([bpe.tokens[i] for i in ids])) if ids else None
+        if ids := known[names[w]]:
+            packed[w] = array("q", ids).tobytes()
+            written[w] = " ".join(map(str, ids))
     for d in docs:
-        parts = [p for w in d if (p := joined[w]) is not None]
-        n = sum(p[0] for p in parts)
-        yield n, hashlib.sha256(" ".join([p[1] for p in parts]).encode()).hexdigest(), hashlib.sha256(" ".join([p[2] for p in parts]).encode()).hexdigest()
+        ids = np.frombuffer(b"".join([packed[w] for w in d if w in packed]), np.int64)
+        text = " ".join([written[w] for w in d if w in written])
+        yield len(ids), hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(bpe.decode(ids).encode()).hexdigest()
 
 
 #: Characters of text taken together, so that a batch of long documents needs no more memory.
@@ -204,7 +213,8 @@ def slices(texts: list[str | None], limit: int = CHARS_AT_ONCE) -> Iterator[list
 
 def encode_texts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """``docs`` with a column ``ids`` (array<int>): the ids of the whole text. NULL text counts as
-    empty, empty text has no ids. Nothing is shuffled; other columns stay as they are."""
+    empty, empty text has no ids; a column ``ids`` that is there is replaced, all others stay as they are. Nothing
+    is shuffled; repeated rows stay; an empty table stays empty; a text is never cut, however long."""
 
     @F.pandas_udf("array<int>")
     def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -233,10 +243,12 @@ def decode_ids(df: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """Per document n_tokens and the SHA-256 of its ids and of its decoded text.
+    """Per row n_tokens and the SHA-256 of its ids and of the text decoded from them.
 
-    Ids and token strings are made once per distinct run of text in a slice and joined per
-    document, so arrays of ids never leave the task.
+    Ids are made once per distinct run of text in a slice and put together per document; these
+    are decoded, and arrays of ids never leave the task. NULL and empty text have no ids and decode to
+    nothing; repeated rows give repeated rows; other columns are ignored; an empty table gives an empty result. A text
+    is never cut, and a slice holds one very long text alone.
     """
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
