@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fitgate.llm.common import BLANKS
+from fitgate.llm.common import BLANKS, Stages
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -131,6 +131,11 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return measured.select("doc_id", "m.*", failed_bits(F.col("m")).alias("failed"))
 
 
+def stored_ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The ledger as a written table: policies of any version and ablations read it, and no text is measured again."""
+    return Stages(docs.sparkSession, "quality").write(ledger(docs, id_col, text_col), "ledger")
+
+
 def apply_policy(book: DataFrame, version: int = CURRENT_POLICY) -> DataFrame:
     """The ledger with ``kept``: no rule of the policy has failed. Reads no text."""
     return book.withColumn("kept", F.col("failed").bitwiseAND(F.lit(POLICIES[version])) == 0)
@@ -158,7 +163,8 @@ def ablations(book: DataFrame, version: int = CURRENT_POLICY) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, version: int = CURRENT_POLICY) -> DataFrame:
-    """The rows of ``docs`` that the policy keeps, all their columns unchanged."""
+    """The rows of ``docs`` that the policy keeps, all their columns unchanged. Each row is judged alone, where it is
+    read: NULL and empty text go (too few words), repeated rows stay or go together, an empty table stays empty."""
     taken = "__measures"
     while taken in docs.columns:
         taken += "_"

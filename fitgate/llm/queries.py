@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -51,7 +52,7 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = quality.apply_policy(quality.ledger(documents(spark, sf_dir)))
+    book = quality.apply_policy(quality.stored_ledger(documents(spark, sf_dir)))
     base_failed = F.col("failed").bitwiseAND(F.lit(quality.BASE_MASK)) != 0
     return book.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -59,6 +60,13 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every policy version and each of its rules: documents that fail it, fail it alone, and would stay without it."""
+    book = quality.stored_ledger(documents(spark, sf_dir))
+    versions = [quality.ablations(book, v).select(F.lit(v).alias("version"), "rule", "n_failed", "n_only", "n_kept_without") for v in sorted(quality.POLICIES)]
+    return reduce(DataFrame.unionByName, versions)
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(documents(spark, sf_dir))
     spans = F.col("spans")
@@ -75,11 +83,15 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.remove_repeats(documents(spark, sf_dir)).drop("kept")
+    return suffixes.remove_repeats(documents(spark, sf_dir), texts=False).drop("kept")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_lm_scoring, op3_language_id, op4_decontamination, op5_substring_dedup, op6_jaccard_join, op7_quality_rules, op8_pii, op9_bpe, op10_suffix_dedup)}
+    named = (
+        op1_token_files, op2_lm_scoring, op3_language_id, op4_decontamination, op5_substring_dedup, op6_jaccard_join, op7_quality_rules, op8_pii, op9_bpe, op10_suffix_dedup,
+        quality_rule_ablations,
+    )
+    return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -3,7 +3,7 @@
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from fitgate.llm import bpe, pii, quality
+from fitgate.llm import bpe, pii, quality, queries
 from tests.llm import brute
 
 ODD = [
@@ -38,6 +38,8 @@ def test_policies_and_ablations(spark):
             assert rows[rule.name].n_only == sum(f == bit for f in failed)
             assert rows[rule.name].n_kept_without == sum(f & ~bit == 0 for f in failed)
     assert quality.ledger(frame(spark).limit(0)).count() == 0
+    stored = quality.stored_ledger(frame(spark))
+    assert sorted(map(str, stored.collect())) == sorted(map(str, book.select(*stored.columns).collect()))
     kept = quality.keep_good(frame(spark), 1)
     assert kept.columns == ["doc_id", "text", "n_words", "spans"]
 
@@ -77,3 +79,37 @@ def test_bpe_equals_the_library(spark, sf):
         if r.doc_id != 7 and r.doc_id > 13:
             o = by_text[r.text]
             assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(o.ids), brute.sha(" ".join(map(str, o.ids))), brute.sha(o.decoded))
+
+
+def written(spark, tmp_path, rows):
+    spark.createDataFrame([(i, t, "clash", 0) for i, t in rows], "doc_id long, text string, n_words string, spans int").write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def test_registered_queries_on_odd_rows(spark, tmp_path):
+    sf_dir = written(spark, tmp_path, ODD)
+    lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    digest = lambda t: (len(i := lib.encode(t or "", add_special_tokens=False).ids), brute.sha(" ".join(map(str, i))), brute.sha(lib.decode(i, skip_special_tokens=False)))
+    key = lambda r: str(tuple(r))
+    got = queries.op9_bpe(spark, sf_dir).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(((d, *digest(t)) for d, t in ODD), key=str)
+    rules = {r.doc_id: r for r in queries.op7_quality_rules(spark, sf_dir).where("doc_id <> 7").collect()}
+    for d, t in ODD:
+        if d in rules:
+            n, chars, symbols, dup, repeat = brute.quality(t)
+            failed = n < 20 or 100 * repeat > 30 * n
+            assert tuple(rules[d])[1:7] == (n, chars, symbols, dup, repeat, failed) and not (failed and rules[d].kept)
+    found = {r.doc_id: r for r in queries.op8_pii(spark, sf_dir).where("doc_id <> 7").collect()}
+    for d, t in ODD:
+        if d in found:
+            spans = brute.base_pii(t)
+            assert [found[d][f"n_{k}"] for k in ("email", "ip", "card", "phone")] == [sum(s[0] == k for s in spans) for k in ("email", "ip", "card", "phone")]
+            assert found[d].base_sha256 == brute.sha(",".join(f"{k}:{a}:{b}" for k, a, b in spans))
+    ablations = queries.quality_rule_ablations(spark, sf_dir).collect()
+    assert {r.version for r in ablations} == set(quality.POLICIES) and len({key(r) for r in ablations}) == len(ablations)
+
+
+def test_registered_queries_on_an_empty_table(spark, tmp_path):
+    sf_dir = written(spark, tmp_path, [])
+    for query in (queries.op7_quality_rules, queries.op8_pii, queries.op9_bpe):
+        assert query(spark, sf_dir).count() == 0
