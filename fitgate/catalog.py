@@ -39,6 +39,11 @@ def _lists() -> tuple[Column, Column]:
     return F.col("accepted_mimes"), F.col("accepted_exts")
 
 
+_PAIRS = "SELECT field_id, d.format FROM fields f CROSS JOIN dim d WHERE {not_}" + o.allowed("d.format", "d.kind", "d.family_mimes", "d.family_exts")
+_CONVERTIBLE = f"""CASE WHEN d.kind = 'sheet' THEN ({o.one_allowed('xlsx')} AND d.format <> 'xlsx') OR ({o.one_allowed('csv')} AND d.format <> 'csv')
+    ELSE len({o.outputs()}) > 0 OR {o.one_allowed('pdf')} END"""
+
+
 # formats
 
 
@@ -81,7 +86,7 @@ def format_allowed(spark, sf_dir):
 
 @query(o.with_views(f"SELECT field_id, array_to_string({o.outputs()}, ',') AS outputs FROM fields", o.FIELDS))
 def allowed_outputs(spark, sf_dir):
-    return views.fields(spark, sf_dir).select("field_id", _join(reg.allowed_outputs(*_lists())).alias("outputs"))
+    return views.fields(spark, sf_dir).select("field_id", _join(reg.allowed_outputs(F.col("taken"))).alias("outputs"))
 
 
 @query(o.with_views(
@@ -91,7 +96,7 @@ def allowed_outputs(spark, sf_dir):
     ELSE list_concat(outputs, CASE WHEN {o.one_allowed('pdf')} THEN ['pdf'] ELSE [] END) END, ',') AS targets FROM rated""", *o.BASE, o.RATED,
 ))
 def conversion_targets(spark, sf_dir):
-    return views.picks(spark, sf_dir).select("file_id", _join(reg.conversion_targets(F.col("format"), *_lists())).alias("targets"))
+    return views.picks(spark, sf_dir).select("file_id", _join(reg.conversion_targets(F.col("format"), F.col("taken"))).alias("targets"))
 
 
 @query(o.with_views(
@@ -101,10 +106,15 @@ def specific_list(spark, sf_dir):
     return views.fields(spark, sf_dir).select("field_id", reg.is_specific(*_lists()).alias("specific"))
 
 
-@query()
+@query(o.with_views(
+    f"""SELECT f.field_id, CASE WHEN NOT list_contains(list_transform(f.accepted_mimes, lambda m: m LIKE '%/*'), true) AND len(f.accepted_mimes) + len(f.accepted_exts) > 0
+      THEN array_to_string(list_concat(f.accepted_mimes, f.accepted_exts), ',') || ',' || e.extra END AS accept
+    FROM fields f LEFT JOIN (SELECT field_id, string_agg(array_to_string(d.exts, ',') || ',' || d.mimes[1], ',' ORDER BY d.ord) AS extra
+      FROM fields f CROSS JOIN dim d WHERE NOT {o.allowed('d.format', 'd.kind', 'd.family_mimes', 'd.family_exts')} AND {_CONVERTIBLE} GROUP BY field_id) e USING (field_id)""", o.DIM, o.FIELDS,
+))
 def widened_accept(spark, sf_dir):
     accept = F.concat_ws(",", *_lists())
-    return views.fields(spark, sf_dir).select("field_id", reg.widened_accept(accept, *_lists()).alias("accept"))
+    return views.fields(spark, sf_dir).select("field_id", reg.widened_accept(accept, *_lists(), F.col("taken")).alias("accept"))
 
 
 # decisions
@@ -115,16 +125,20 @@ def safe_minimum(spark, sf_dir):
     return views.fields(spark, sf_dir).where("min_bytes is not null").select("field_id", dec.safe_minimum(F.col("min_bytes")).alias("safe_min"))
 
 
-@query(o.with_views(
-    f"""SELECT r.file_id, CASE WHEN bytes = 0 OR format = 'unknown' THEN false
+def _guessed(spark, sf_dir) -> DataFrame:
+    return views.picks(spark, sf_dir).withColumn("guess", reg.guess_format(F.col("name"), F.col("mime")))
+
+
+_NEEDS_WORK = f"""CASE WHEN bytes = 0 OR format = 'unknown' THEN false
       WHEN NOT coalesce(taken, false) THEN CASE WHEN kind = 'sheet' THEN ({o.one_allowed('xlsx')} AND format <> 'xlsx') OR ({o.one_allowed('csv')} AND format <> 'csv')
         ELSE len(outputs) > 0 OR {o.one_allowed('pdf')} END
       WHEN kind = 'sheet' THEN false WHEN bytes > max_bytes THEN true WHEN format = 'pdf' THEN false WHEN bytes < {o.SAFE_MIN} THEN true
-      WHEN dpi > 0 AND format IN ('jpeg', 'png') THEN true ELSE len(outputs) > 0 AND {o.HAS_DIMS} END AS needs_work FROM rated r""", *o.BASE, o.RATED,
-))
+      WHEN dpi > 0 AND format IN ('jpeg', 'png') THEN true ELSE len(outputs) > 0 AND {o.HAS_DIMS} END"""
+
+
+@query(o.with_views(f"SELECT r.file_id, {_NEEDS_WORK} AS needs_work FROM rated r", *o.BASE, o.RATED))
 def might_need_work(spark, sf_dir):
-    p = views.picks(spark, sf_dir)
-    return p.select("file_id", dec.might_need_work(F.col("name"), F.col("mime"), F.col("bytes"), F.col).alias("needs_work"))
+    return _guessed(spark, sf_dir).select("file_id", dec.might_need_work(F.col("guess"), F.col("bytes"), F.col).alias("needs_work"))
 
 
 @query(o.with_views("SELECT file_id, field_id, array_to_string(issues, ',') AS issues FROM issued", *o.BASE, o.RATED, o.ISSUES))
@@ -133,7 +147,8 @@ def compatibility_issues(spark, sf_dir):
 
 
 def _decided(spark, sf_dir) -> DataFrame:
-    return views.picks(spark, sf_dir).withColumn("d", dec.decision(views.facts, F.col))
+    p = views.picks(spark, sf_dir).withColumns({"found": dec.issues(views.facts, F.col), "output": dec.choose_output(views.facts, F.col)})
+    return p.withColumn("d", dec.decision(views.facts, F.col, F.col("found"), F.col("output")))
 
 
 _DECIDED = (*o.BASE, o.RATED, o.ISSUES, o.DECIDED)
@@ -293,47 +308,56 @@ def limits_check(spark, sf_dir):
 # joins, sets, ranks
 
 
+#: Columns of a field's rules; fields that agree in all of them take the same files.
+RULES = ("taken", "max_bytes", "min_bytes", "min_width", "min_height", "max_width", "max_height", "exact_width", "exact_height", "aspect_ratio", "dpi")
+
+
 @query(o.with_views(
-    f"""SELECT f.field_id, count(*) AS n FROM fields f JOIN (SELECT files.*, d.kind, d.family_mimes, d.family_exts FROM files JOIN dim d ON files.format = d.format WHERE file_id % 10 = 0) p
-    ON {o.allowed('p.format', 'p.kind', 'p.family_mimes', 'p.family_exts', 'f.')} AND coalesce(p.bytes <= f.max_bytes, true) AND coalesce(p.bytes >= f.min_bytes, true)
-    AND coalesce(p.width <= f.max_width, true) AND coalesce(p.height <= f.max_height, true) WHERE len(f.accepted_mimes) + len(f.accepted_exts) > 0 GROUP BY 1""".replace(" WHERE file_id % 10 = 0", ""),
-    o.DIM, o.FILES, o.FIELDS,
+    "SELECT field_id, count(*) AS n FROM issued WHERE len(issues) = 0 GROUP BY field_id",
+    o.DIM, o.FILES, o.FIELDS, o.PICKS.replace("ON field_id = (file_id * 31) % (SELECT count(*) FROM part)", "ON true"), o.RATED, o.ISSUES,
 ))
 def accepting_fields(spark, sf_dir):
-    """How many files each field with a type list takes as they are. The join goes over the format, which a field's
-    lists expand to, so the bounds are a residual condition of an equi-join, not of a cross join; counts are summed per join
-    key before they are grouped by field."""
-    fields = views.fields(spark, sf_dir).where(F.size("accepted_mimes") + F.size("accepted_exts") > 0)
-    names = F.array_compact(F.array(*[F.when(reg.format_allowed(f.name, *_lists()), F.lit(f.name)) for f in reg.FORMATS]))
-    wanted = fields.select("field_id", F.explode(names).alias("format"), "max_bytes", "min_bytes", "max_width", "max_height")
-    fits = lambda x, low, high: F.coalesce(F.col(x) >= F.col(low), F.lit(True)) & F.coalesce(F.col(x) <= F.col(high), F.lit(True))
-    joined = wanted.join(views.files(spark, sf_dir).select("format", "bytes", "width", "height"), "format")
-    top = lambda x, high: F.coalesce(F.col(x) <= F.col(high), F.lit(True))
-    return joined.where(fits("bytes", "min_bytes", "max_bytes") & top("width", "max_width") & top("height", "max_height")).groupBy("field_id").agg(F.count(F.lit(1)).alias("n"))
-
-
-_PAIRS = "SELECT field_id, d.format FROM fields f CROSS JOIN dim d WHERE {not_}" + o.allowed("d.format", "d.kind", "d.family_mimes", "d.family_exts")
-
-
-def _field_formats(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """(field_id, format) of all pairs (the dimension has 16 rows), and of those that are taken by lists."""
-    dim = F.broadcast(reg.dim_format(spark))
-    fields = views.fields(spark, sf_dir).select("field_id", "accepted_mimes", "accepted_exts")
-    every = fields.crossJoin(dim.select("format"))
-    taken = every.where(reg.format_allowed(F.col("format"), *_lists())).select("field_id", "format")
-    return every.select("field_id", "format"), taken
+    """How many files each field takes as they are, by all its rules. Files that agree in what rules look at are counted
+    first, and fields that agree in their rules are one; these meet by the format, not in a cross join, and dealt out by
+    salt, so that no format is a hot task."""
+    facts = ["format", "bytes", "width", "height", "dpi"]
+    files = views.files(spark, sf_dir).groupBy(*facts).agg(F.count(F.lit(1)).alias("n"))
+    fields = views.fields(spark, sf_dir)
+    rule_sets = fields.groupBy(*RULES).agg(F.min("field_id").alias("rules_of"))
+    salts = 16
+    names = F.array_compact(F.array(*[F.when(reg.format_allowed(f.name, F.col("taken")), F.lit(f.name)) for f in reg.FORMATS]))
+    wanted = rule_sets.withColumn("format", F.explode(names)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    offered = files.withColumn("salt", (F.xxhash64("bytes", "width", "height") % salts + salts) % salts).withColumnRenamed("dpi", "file_dpi")
+    fits = F.size(dec.issues(views.facts, F.col)) == 0
+    counts = wanted.join(offered, ["format", "salt"]).where(fits).groupBy("rules_of").agg(F.sum("n").alias("n"))
+    same = [F.col(f"f.{c}").eqNullSafe(F.col(f"r.{c}")) for c in RULES]
+    owners = fields.alias("f").join(rule_sets.alias("r"), same).select("f.field_id", "r.rules_of")
+    return owners.join(counts, "rules_of").select("field_id", "n")
+
+
+def _field_formats(spark, sf_dir, taken: bool) -> DataFrame:
+    """(field_id, format) of the formats that a field takes or does not take: a semi or anti join with the 16 rows of the
+    dimension, as tests of the field's bits."""
+    fits = lambda f: reg.format_allowed(f.name, F.col("taken")) == F.lit(taken)
+    names = F.array_compact(F.array(*[F.when(fits(f), F.lit(f.name)) for f in reg.FORMATS]))
+    return views.fields(spark, sf_dir).select("field_id", F.explode(names).alias("format"))
 
 
 @query(o.with_views(_PAIRS.format(not_=""), o.DIM, o.FIELDS))
 def semi_formats(spark, sf_dir):
-    every, taken = _field_formats(spark, sf_dir)
-    return every.join(taken, ["field_id", "format"], "left_semi")
+    return _field_formats(spark, sf_dir, True)
 
 
 @query(o.with_views(_PAIRS.format(not_="NOT "), o.DIM, o.FIELDS))
 def anti_formats(spark, sf_dir):
-    every, taken = _field_formats(spark, sf_dir)
-    return every.join(taken, ["field_id", "format"], "left_anti")
+    return _field_formats(spark, sf_dir, False)
+
+
+@query(o.with_views(_PAIRS.format(not_="NOT ") + f" AND {_CONVERTIBLE}", o.DIM, o.FIELDS))
+def convertible_formats(spark, sf_dir):
+    """Of the formats that a field does not take, those that can become one it takes."""
+    refused = _field_formats(spark, sf_dir, False).join(views.fields(spark, sf_dir).select("field_id", "taken"), "field_id")
+    return refused.where(reg.can_become(F.col("format"), F.col("taken"))).select("field_id", "format")
 
 
 @query("""SELECT page_id FROM pages WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host FROM pages WHERE page_id % 9 = 0) p
@@ -371,14 +395,14 @@ def top20_problems(spark, sf_dir):
 
 
 @query(o.with_views(
-    f"""SELECT field_id, count(*) AS n, sum(bytes)::BIGINT AS bytes, count(*) <= 12 AND sum(bytes) <= 21474836480 AS within, bool_or(bytes > 1000000) AS any_heavy,
-    arg_min(file_id, -bytes * 100000000 + file_id) AS largest FROM picks GROUP BY field_id""", *o.BASE
+    f"""SELECT field_id, count(*) AS n, sum(bytes)::BIGINT AS bytes, count(*) <= 12 AND sum(bytes) <= 21474836480 AS within, bool_or({_NEEDS_WORK}) AS any_work,
+    arg_min(file_id, -bytes * 100000000 + file_id) AS largest FROM rated GROUP BY field_id""", *o.BASE, o.RATED
 ))
 def selection_guard(spark, sf_dir):
-    """Per field: number and size of the files, whether both are within limits, any heavy one, and the largest (the first of equals)."""
-    return views.picks(spark, sf_dir).groupBy("field_id").agg(
+    """Per field: number and size of the files, whether both are within limits, whether any might need work, and the largest (the first of equals)."""
+    return _guessed(spark, sf_dir).groupBy("field_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), ((F.count(F.lit(1)) <= 12) & (F.sum("bytes") <= 20 * 1024**3)).alias("within"),
-        F.bool_or(F.col("bytes") > 1_000_000).alias("any_heavy"), F.max(F.struct("bytes", -F.col("file_id"), "file_id"))["file_id"].alias("largest"),
+        F.bool_or(dec.might_need_work(F.col("guess"), F.col("bytes"), F.col)).alias("any_work"), F.max(F.struct("bytes", -F.col("file_id"), "file_id"))["file_id"].alias("largest"),
     )
 
 
@@ -416,12 +440,20 @@ def rules_summary(spark, sf_dir):
 
 @query(o.with_views(
     f"""SELECT event_id, strftime(date_trunc('minute', ts), '%Y-%m-%dT%H:%M') AS at, code, regexp_replace(props, '[\\x00-\\x1f\\x7f]', ' ', 'g')[1:160] AS rules
-    FROM (SELECT o.*, e.props FROM outcomes o JOIN events e USING (event_id)) WHERE code IN {tuple(fmt.ERROR_CODES[:12])}""", o.OUTCOMES,
+    , CASE WHEN event_id % 17 < 16 THEN {o._NAMES}[event_id % 17 + 1] END AS format, CASE WHEN bytes <= 0 THEN 0 ELSE (floor(bytes / p + 0.5) * p)::BIGINT END AS bytes
+    FROM (SELECT o.*, e.props, pow(10, greatest(len(bytes::VARCHAR) - 2, 0)) AS p FROM outcomes o JOIN events e USING (event_id)) WHERE code IN {tuple(fmt.ERROR_CODES)} AND event_id % 19 <> 3""", o.OUTCOMES,
 ))
 def problem_normalise(spark, sf_dir):
+    """Problem records as they are kept: known codes and formats only, minutes in UTC, rounded bytes, printable rules."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "props")
-    rows = views.outcomes(spark, sf_dir).join(e, "event_id").where(F.col("code").isin(*fmt.ERROR_CODES[:12]))
-    return rows.select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm").alias("at"), "code", fmt.printable(F.col("props")).alias("rules"))
+    i = F.col("event_id")
+    # some records come with a code or a format that nothing knows
+    rows = views.outcomes(spark, sf_dir).join(e, "event_id").withColumn("code", F.when(i % 19 == 3, "no-such-code").otherwise(F.col("code")))
+    name = views._pick(views.NAMES, i % 17)
+    return rows.where(F.col("code").isin(*fmt.ERROR_CODES)).select(
+        "event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm").alias("at"), "code", fmt.printable(F.col("props")).alias("rules"),
+        F.when(name.isin(*reg.BY_NAME), name).alias("format"), fmt.round_bytes(F.col("bytes")).alias("bytes"),
+    )
 
 
 @query(o.with_views(
@@ -610,7 +642,7 @@ def csv_typing(spark, sf_dir):
     SELECT *, CASE WHEN {o.one_allowed('xlsx')} AND format <> 'xlsx' THEN 'xlsx' WHEN {o.one_allowed('csv')} AND format <> 'csv' THEN 'csv' END AS t FROM rated WHERE kind = 'sheet')""", *o.BASE, o.RATED,
 ))
 def sheet_choice(spark, sf_dir):
-    target = F.get(reg.conversion_targets(F.col("format"), *_lists()), F.lit(0))
+    target = F.get(reg.conversion_targets(F.col("format"), F.col("taken")), F.lit(0))
     p = views.picks(spark, sf_dir).where(reg.is_sheet(F.col("format")))
     return p.select("file_id", sheets.sheet_choice(F.col("file_id") % 4, dec.allowed(F.col("format"), F.col), target).alias("choice"))
 
@@ -672,4 +704,4 @@ def problem_report(spark, sf_dir):
 
 @query(o.with_views("SELECT field_id, outputs[1] AS first_choice FROM (SELECT field_id, " + o.outputs() + " AS outputs FROM fields)", o.FIELDS))
 def first_preference(spark, sf_dir):
-    return views.fields(spark, sf_dir).select("field_id", F.get(reg.allowed_outputs(*_lists()), F.lit(0)).alias("first_choice"))
+    return views.fields(spark, sf_dir).select("field_id", F.get(reg.allowed_outputs(F.col("taken")), F.lit(0)).alias("first_choice"))

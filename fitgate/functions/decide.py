@@ -1,7 +1,7 @@
 """Compatibility, geometry and decisions as column expressions.
 
-``r`` and ``i`` are column getters (``F.col`` or a struct's): rules have accepted_mimes, accepted_exts,
-min_bytes, max_bytes, min_width, min_height, max_width, max_height, exact_width, exact_height, aspect_ratio, dpi;
+``r`` and ``i`` are column getters (``F.col`` or a struct's): rules have accepted_mimes, accepted_exts, taken
+(registry.taken_formats of both lists), min_bytes, max_bytes, min_width, min_height, max_width, max_height, exact_width, exact_height, aspect_ratio, dpi;
 facts have format, width, height, bytes, transparent, animated, pages, dpi. NULL means absent; a zero
 dimension counts as absent too.
 """
@@ -57,23 +57,21 @@ def has_dimension_rules(r: Get) -> Column:
 
 
 def allowed(fmt: Column, r: Get) -> Column:
-    return reg.format_allowed(fmt, r("accepted_mimes"), r("accepted_exts"))
+    return reg.format_allowed(fmt, r("taken"))
 
 
-def might_need_work(name: Column, mime: Column, size: Column, r: Get) -> Column:
-    """The test on metadata alone, in its fixed order."""
-    fmt = reg.guess_format(name, mime)
-    outputs = reg.allowed_outputs(r("accepted_mimes"), r("accepted_exts"))
+def might_need_work(fmt: Column, size: Column, r: Get) -> Column:
+    """The test on metadata alone, in its fixed order; ``fmt`` is registry.guess_format(), better a column of its own as it is used often."""
     return (
         F.when(F.coalesce(size, F.lit(0)) == 0, False)
         .when(fmt == "unknown", False)
-        .when(~allowed(fmt, r), F.size(reg.conversion_targets(fmt, r("accepted_mimes"), r("accepted_exts"))) > 0)
+        .when(~allowed(fmt, r), reg.can_become(fmt, r("taken")))
         .when(reg.is_sheet(fmt), False)
         .when(size > r("max_bytes"), True)
         .when(fmt == "pdf", False)
         .when(size < safe_minimum(r("min_bytes")), True)
         .when((F.coalesce(r("dpi"), F.lit(0)) > 0) & reg.carries_dpi(fmt), True)
-        .otherwise((F.size(outputs) > 0) & has_dimension_rules(r))
+        .otherwise(reg.takes_output(r("taken")) & has_dimension_rules(r))
     )
 
 
@@ -123,10 +121,9 @@ def states_pixel_size(r: Get) -> Column:
 
 def choose_output(i: Get, r: Get) -> Column:
     """The format to write, NULL if the field takes none that can be written."""
-    lists = r("accepted_mimes"), r("accepted_exts")
-    photo = F.get(reg.allowed_outputs(*lists, reg.PHOTO_ORDER), F.lit(0))
-    lossy = F.get(reg.allowed_outputs(*lists, [n for n in reg.PHOTO_ORDER if reg.BY_NAME[n].lossy]), F.lit(0))
-    clear = F.get(reg.allowed_outputs(*lists, reg.TRANSPARENT_ORDER), F.lit(0))
+    photo = reg.first_output(r("taken"), reg.PHOTO_ORDER)
+    lossy = reg.first_output(r("taken"), [n for n in reg.PHOTO_ORDER if reg.BY_NAME[n].lossy])
+    clear = reg.first_output(r("taken"), reg.TRANSPARENT_ORDER)
     keeps = reg.is_output(i("format")) & allowed(i("format"), r)
     heavy = _true(i("bytes") > r("max_bytes"))
     return (
@@ -149,9 +146,12 @@ def required_scale(w: Column, h: Column, r: Get) -> Column:
     return F.coalesce(_present(r("exact_width")) / w, _present(r("exact_height")) / h, F.when(grow > 1, grow).otherwise(shrink))
 
 
-def decision(i: Get, r: Get) -> Column:
-    """struct(action, issues, output_format, consents)."""
-    found, output, ratio = issues(i, r), choose_output(i, r), target_ratio(r)
+def decision(i: Get, r: Get, found: Column | None = None, output: Column | None = None) -> Column:
+    """struct(action, issues, output_format, consents). ``found`` and ``output`` are issues() and choose_output(), if they
+    are columns already: each is used several times."""
+    found = issues(i, r) if found is None else found
+    output = choose_output(i, r) if output is None else output
+    ratio = target_ratio(r)
     w, h = i("width").cast("double"), i("height").cast("double")
     crop = _true(~same_ratio(w, h, F.nullif(ratio, F.lit(0.0))))
     box = default_crop(w, h, ratio)
@@ -252,15 +252,14 @@ def file_size_error(size: Column, limit: int = MAX_INPUT_BYTES) -> Column:
 
 def route(fmt: Column, size: Column, r: Get) -> Column:
     """Which branch a file takes: sheet, pdf-pass, pdf-shrink, pdf-page, image-pdf or image."""
-    outputs = F.size(reg.allowed_outputs(r("accepted_mimes"), r("accepted_exts")))
-    pdf = reg.format_allowed("pdf", r("accepted_mimes"), r("accepted_exts"))
+    outputs, pdf = reg.takes_output(r("taken")), reg.format_allowed("pdf", r("taken"))
     return (
         F.when(reg.is_sheet(fmt), "sheet")
         .when((fmt == "pdf") & pdf & _true(size > r("max_bytes")), "pdf-shrink")
         .when((fmt == "pdf") & pdf, "pdf-pass")
-        .when((fmt == "pdf") & (outputs > 0), "pdf-page")
+        .when((fmt == "pdf") & outputs, "pdf-page")
         .when(fmt == "pdf", "pdf-pass")
-        .when(pdf & (outputs == 0), "image-pdf")
+        .when(pdf & ~outputs, "image-pdf")
         .otherwise("image")
     )
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -135,58 +136,90 @@ def _literal(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def _one_allowed(f: Format, mimes: Column, exts: Column) -> Column:
-    group = family(f)
-    listed = F.arrays_overlap(mimes, _literal([m for g in group for m in g.mimes])) | F.arrays_overlap(exts, _literal([e for g in group for e in g.exts]))
-    wild = F.array_contains(mimes, "*/*")
-    if f.kind == "image":
-        wild = wild | F.array_contains(mimes, "image/*")
-    return wild | listed
+BITS = {f.name: 1 << i for i, f in enumerate(FORMATS)}
+#: The bit of whatever is no known format: only a field without lists takes it.
+OTHER_BIT = 1 << len(FORMATS)
+ALL_BITS = OTHER_BIT - 1
 
 
-def format_allowed(fmt: Column | str, mimes: Column, exts: Column) -> Column:
-    """Whether a field's lists take a format (a name, or a column of names); empty lists take all."""
-    anything = F.size(mimes) + F.size(exts) == 0
-    if isinstance(fmt, str):
-        return anything | _one_allowed(BY_NAME[fmt], mimes, exts)
-    allowed = F.lit(False)
+def _listed_bits(names: Callable[[Format], tuple[str, ...]], wild: dict[str, int]) -> Column:
+    """Map from what a list may name to the bits of the formats that it stands for, families included."""
+    bits = dict(wild)
     for f in FORMATS:
-        allowed = F.when(fmt == f.name, _one_allowed(f, mimes, exts)).otherwise(allowed)
-    return anything | allowed
+        for g in family(f):
+            for name in names(g):
+                bits[name] = bits.get(name, 0) | BITS[f.name]
+    return F.create_map(*[F.lit(x) for pair in bits.items() for x in (pair[0], pair[1])])
+
+
+def taken_formats(mimes: Column, exts: Column) -> Column:
+    """A long whose bit i says that a field's lists take format i; empty lists take all. Worked out once for each
+    field, so that every later test of a file on it is one bit test."""
+    images = sum(BITS[f.name] for f in FORMATS if f.kind == "image")
+    by_mime = _listed_bits(lambda f: f.mimes, {"*/*": ALL_BITS, "image/*": images})
+    by_ext = _listed_bits(lambda f: f.exts, {})
+    add = lambda table: lambda n, x: n.bitwiseOR(F.coalesce(F.try_element_at(table, x), F.lit(0)))
+    bits = F.aggregate(exts, F.aggregate(mimes, F.lit(0), add(by_mime)), add(by_ext))
+    return F.when(F.size(mimes) + F.size(exts) == 0, F.lit(ALL_BITS | OTHER_BIT)).otherwise(bits).cast("long")
+
+
+def _any_of(taken: Column, bits: int) -> Column:
+    return taken.bitwiseAND(F.lit(bits).cast("long")) != 0
+
+
+def format_allowed(fmt: Column | str, taken: Column) -> Column:
+    """Whether a field takes a format (a name, or a column of names)."""
+    if isinstance(fmt, str):
+        return _any_of(taken, BITS[fmt])
+    bit = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in BITS.items() for x in pair]), fmt), F.lit(OTHER_BIT))
+    return taken.bitwiseAND(bit.cast("long")) != 0
 
 
-def _kept(order, mimes: Column, exts: Column) -> Column:
-    return F.array_compact(F.array(*[F.when(format_allowed(n, mimes, exts), F.lit(n)) for n in order]))
+def _kept(order, taken: Column) -> Column:
+    return F.array_compact(F.array(*[F.when(format_allowed(n, taken), F.lit(n)) for n in order]))
 
 
-def allowed_outputs(mimes: Column, exts: Column, order=OUTPUTS) -> Column:
+def first_output(taken: Column, order=OUTPUTS) -> Column:
+    """The first format of an order that a field takes."""
+    return F.coalesce(*[F.when(format_allowed(n, taken), F.lit(n)) for n in order])
+
+
+def takes_output(taken: Column) -> Column:
+    """Whether a field takes any format that can be written."""
+    return _any_of(taken, sum(BITS[n] for n in OUTPUTS))
+
+
+def allowed_outputs(taken: Column, order=OUTPUTS) -> Column:
     """The formats that can be written and are taken, in order of preference."""
-    return _kept(order, mimes, exts)
+    return _kept(order, taken)
 
 
-def conversion_targets(fmt: Column, mimes: Column, exts: Column) -> Column:
+def conversion_targets(fmt: Column, taken: Column) -> Column:
     """What a file of a format can become, best first."""
-    sheets = F.filter(_kept(SHEET_OUTPUTS, mimes, exts), lambda s: s != fmt)
-    pdf = _kept(("pdf",), mimes, exts)
-    images = allowed_outputs(mimes, exts)
+    sheets = F.filter(_kept(SHEET_OUTPUTS, taken), lambda s: s != fmt)
     none = F.array().cast("array<string>")
     return (
         F.when(fmt == "unknown", none).when(is_sheet(fmt), sheets)
-        .when(fmt == "pdf", F.concat(pdf, images)).otherwise(F.concat(images, pdf))
+        .otherwise(F.when(fmt == "pdf", _kept(("pdf", *OUTPUTS), taken)).otherwise(_kept((*OUTPUTS, "pdf"), taken)))
     )
 
 
+def can_become(fmt: Column, taken: Column) -> Column:
+    """Whether there is any conversion target, by bits alone."""
+    sheets = F.lit(False)
+    for n in SHEET_OUTPUTS:
+        sheets = sheets | ((fmt != n) & format_allowed(n, taken))
+    return F.when(fmt == "unknown", False).when(is_sheet(fmt), sheets).otherwise(takes_output(taken) | format_allowed("pdf", taken))
+
+
 def is_specific(mimes: Column, exts: Column) -> Column:
     return (F.size(exts) > 0) | F.exists(mimes, lambda m: ~m.endswith("/*"))
 
 
-def widened_accept(accept: Column, mimes: Column, exts: Column) -> Column:
+def widened_accept(accept: Column, mimes: Column, exts: Column, taken: Column) -> Column:
     """The accept text with everything added that the field does not take but could be made to fit; NULL if nothing is added."""
-    parts = []
-    for f in FORMATS:
-        convertible = F.size(conversion_targets(F.lit(f.name), mimes, exts)) > 0
-        add = ~format_allowed(f.name, mimes, exts) & convertible
-        parts.append(F.when(add, _literal([*f.exts, f.mimes[0]])).otherwise(F.array().cast("array<string>")))
+    none = F.array().cast("array<string>")
+    parts = [F.when(~format_allowed(f.name, taken) & can_become(F.lit(f.name), taken), _literal([*f.exts, f.mimes[0]])).otherwise(none) for f in FORMATS]
     extra = F.flatten(F.array(*parts))
     specific = is_specific(mimes, exts) & ~F.exists(mimes, lambda m: m.endswith("/*"))
     return F.when(specific & (F.size(extra) > 0), F.concat_ws(",", accept, F.array_join(extra, ",")))

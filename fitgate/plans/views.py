@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fitgate.functions.formatting import CHANGES, ERROR_CODES
-from fitgate.functions.registry import FORMATS, mime_of
+from fitgate.functions.registry import FORMATS, mime_of, taken_formats
 
 NAMES = [*(f.name for f in FORMATS), "unknown"]
 
@@ -76,7 +76,8 @@ def fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size")
     p, size = F.col("p_partkey"), F.col("p_size").cast("long")
     r = _rules(p, size)
-    return part.select(p.alias("field_id"), *[c.alias(n) for n, c in r.items()], _sentence(p, r, size).alias("sentence"))
+    taken = taken_formats(r["accepted_mimes"], r["accepted_exts"]).alias("taken")
+    return part.select(p.alias("field_id"), *[c.alias(n) for n, c in r.items()], taken, _sentence(p, r, size).alias("sentence"))
 
 
 def picks(spark: SparkSession, sf_dir: str) -> DataFrame:
