@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fitgate import oracles as o
 from fitgate.functions import decide as dec
 from fitgate.functions import formatting as fmt
+from fitgate.functions import prepared as prep
 from fitgate.functions import registry as reg
 from fitgate.operators import bookkeeping, headers, raster, rules_text, sheets
 from fitgate.operators import html_fields as html
@@ -705,3 +706,136 @@ def problem_report(spark, sf_dir):
 @query(o.with_views("SELECT field_id, outputs[1] AS first_choice FROM (SELECT field_id, " + o.outputs() + " AS outputs FROM fields)", o.FIELDS))
 def first_preference(spark, sf_dir):
     return views.fields(spark, sf_dir).select("field_id", F.get(reg.allowed_outputs(F.col("taken")), F.lit(0)).alias("first_choice"))
+
+
+# prepared files
+
+
+@query(o.with_views("SELECT file_id, CASE WHEN 1 + file_id % 8 >= 5 THEN height ELSE width END AS w, CASE WHEN 1 + file_id % 8 >= 5 THEN width ELSE height END AS h FROM files", o.FILES))
+def display_size(spark, sf_dir):
+    size = prep.display_size(F.col("width"), F.col("height"), 1 + F.col("file_id") % 8)
+    return views.files(spark, sf_dir).select("file_id", size["width"].alias("w"), size["height"].alias("h"))
+
+
+@query(o.with_views(
+    """SELECT file_id, CASE WHEN file_id % 3 = 0 THEN least(coalesce(max_width, 256), 256) ELSE max_width END AS max_width,
+    CASE WHEN file_id % 3 = 0 THEN least(coalesce(max_height, 256), 256) ELSE max_height END AS max_height, min_width FROM picks""", *o.BASE,
+))
+def icon_limit(spark, sf_dir):
+    r = prep.with_icon_limit(F.col, F.when(F.col("file_id") % 3 == 0, "ico").otherwise("jpeg"))
+    return views.picks(spark, sf_dir).select("file_id", *[r(n).alias(n) for n in ("max_width", "max_height", "min_width")])
+
+
+@query(o.with_views(
+    """SELECT file_id, CASE WHEN sw < width AND room < 1 AND file_id % 4 > 0 THEN greatest(1, floor(width * room)) ELSE width END::BIGINT AS w,
+    CASE WHEN sw < width AND room < 1 AND file_id % 4 > 0 THEN greatest(1, floor(height * room)) ELSE height END::BIGINT AS h FROM (
+    SELECT *, least(sw::DOUBLE / width, sh::DOUBLE / height) AS room FROM (SELECT file_id, width, height, width // 2 + 700 AS sw, height // 2 + 500 AS sh FROM files))""", o.FILES,
+))
+def within_room(spark, sf_dir):
+    w, h = F.col("width"), F.col("height")
+    sw, sh = F.expr("width div 2 + 700"), F.expr("height div 2 + 500")
+    size = prep.within_room(w, h, sw, sh, sw / w, F.col("file_id") % 4 == 0)
+    return views.files(spark, sf_dir).select("file_id", size["width"].alias("w"), size["height"].alias("h"))
+
+
+@query(o.with_views(
+    """SELECT file_id, CASE WHEN format IN ('csv', 'xlsx', 'xls') THEN 'sheet' WHEN format = 'pdf' AND file_id % 3 = 0 THEN 'pdf-shrink' WHEN format = 'pdf' AND file_id % 2 = 0 THEN 'unsupported-format'
+    WHEN format = 'pdf' THEN 'pdf-page' WHEN file_id % 3 = 0 THEN 'image-pdf' ELSE 'image' END AS route FROM files""", o.FILES,
+))
+def explicit_route(spark, sf_dir):
+    i = F.col("file_id")
+    return views.files(spark, sf_dir).select("file_id", prep.explicit_route(F.col("format"), F.when(i % 3 == 0, "pdf").otherwise("jpeg"), i % 2 != 0).alias("route"))
+
+
+@query(o.with_views(
+    """SELECT file_id, CASE WHEN action IN ('AUTO_FIX', 'USER_CONFIRMATION') THEN coalesce(output, 'jpeg') ELSE 'jpeg' END AS output,
+    action = 'USER_CONFIRMATION' AND list_contains(wants, 'transparency') AS transparency, action = 'USER_CONFIRMATION' AND list_contains(wants, 'animation') AS animation, true AS upscale FROM decided""",
+    *_DECIDED,
+))
+def transform_options(spark, sf_dir):
+    t = prep.transform_options(F.col("d.output_format"), F.col("d.consents"))
+    names = {"output": "output", "allow_transparency_loss": "transparency", "allow_animation_loss": "animation", "allow_upscale": "upscale"}
+    return _decided(spark, sf_dir).select("file_id", *[t[n].alias(a) for n, a in names.items()])
+
+
+@query(o.with_views(
+    f"""SELECT file_id, array_to_string(list_filter([CASE WHEN format <> output THEN 'converted' END, CASE WHEN {o.BAD_RATIO} THEN 'cropped' END, CASE WHEN width > 2000 THEN 'resized' END,
+    CASE WHEN bytes > max_bytes THEN 'compressed' END, CASE WHEN bytes < {o.SAFE_MIN} THEN 'raised-to-minimum' END, CASE WHEN transparent AND output IN ('jpeg', 'bmp') THEN 'background-added' END,
+    CASE WHEN animated THEN 'first-frame' END, CASE WHEN pages > 1 THEN 'first-page' END, CASE WHEN file_id % 8 <> 0 THEN 'orientation-applied' END,
+    CASE WHEN dpi > 0 AND file_dpi IS DISTINCT FROM dpi THEN 'dpi-set' END], lambda x: x IS NOT NULL), ',') AS changes FROM chosen WHERE output IS NOT NULL""",
+    *o.BASE, o.RATED, o.ISSUES, o.DECIDED.split(",\n  scaled")[0],
+))
+def transform_changes(spark, sf_dir):
+    p = views.picks(spark, sf_dir).withColumns({"output": dec.choose_output(views.facts, F.col), "orientation": 1 + F.col("file_id") % 8}).where("output is not null")
+    cropped = ~dec.same_ratio(F.col("width").cast("double"), F.col("height").cast("double"), dec.target_ratio(F.col))
+    return p.select("file_id", _join(prep.changes(views.facts, F.col, F.col("output"), cropped, F.col("width") > 2000)).alias("changes"))
+
+
+@query("""SELECT page_id, page_id % 11 <> 0 AND NOT list_has_any(['embed3.example', 'embed5.example'], ['own' || page_id % 5 || '.example', lower('EMBED' || page_id % 7 || '.Example')]) AS active FROM pages""")
+def active_pages(spark, sf_dir):
+    """Pages that are served: neither their own host nor the host of the page around them is paused."""
+    i = F.col("page_id")
+    hosts = F.array(F.concat(F.lit("own"), i % 5, F.lit(".example")), F.concat(F.lit("EMBED"), i % 7, F.lit(".Example")))
+    paused = F.array(F.lit("embed3.example"), F.lit("embed5.example"))
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", prep.is_active_on(i % 11 != 0, paused, hosts).alias("active"))
+
+
+@query(o.with_views(
+    """SELECT field_id, count(*) AS n, min(q) AS low, max(q) AS high, CASE WHEN bool_or(sheet) THEN 'files' ELSE 'images' END AS noun, coalesce(min(q) < 97, false) AS noticeable,
+    CASE WHEN min(called) = max(called) THEN min(called) ELSE 'file' END AS called FROM (
+    SELECT field_id, format IN ('csv', 'xlsx', 'xls') AS sheet, CASE WHEN format NOT IN ('csv', 'xlsx', 'xls') THEN 60 + file_id % 41 END AS q,
+      CASE WHEN format = 'pdf' THEN 'PDF' WHEN format IN ('csv', 'xlsx', 'xls', 'unknown') THEN 'file' ELSE 'image' END AS called FROM picks) GROUP BY field_id""", *o.BASE,
+))
+def quality_range(spark, sf_dir):
+    """What is said about the files of a selection: their number, the range of quality, and what they are called."""
+    quality = prep.quality_range(F.col("format"), 60 + F.col("file_id") % 41)
+    called = prep.noun_of_all(F.col("format"))
+    return views.picks(spark, sf_dir).groupBy("field_id").agg(F.count(F.lit(1)).alias("n"), *[c.alias(n) for n, c in quality.items()], called.alias("called"))
+
+
+@query("""SELECT doc_id AS file_id, md5(to_base64(encode(coalesce(text, '')))) AS data, true AS same, doc_id % 3 > 0 AS sendable FROM documents""")
+def message_files(spark, sf_dir):
+    """Files as messages: their bytes in base64 and back, and whether a message may hold them."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("content", F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+    data, long = F.translate(F.base64("content"), "\r\n", ""), F.col("doc_id") % 3 == 0  # without the line ends of mail
+    name = F.when(long, F.repeat(F.lit("n"), 1025)).otherwise(F.lit("photo.jpg"))
+    return d.select(F.col("doc_id").alias("file_id"), F.md5(data).alias("data"), (F.unbase64(data) == F.col("content")).alias("same"), prep.sendable(name, F.lit("image/jpeg"), data).alias("sendable"))
+
+
+@query("""SELECT event_id, coalesce(lag(files) OVER (PARTITION BY owner ORDER BY ts, event_id) = files, false) AS same FROM (
+    SELECT event_id, ts, user_id AS owner, CASE WHEN event_id % 2 = 0 THEN [event_id % 3] ELSE [event_id % 3, 7] END AS files FROM events)""")
+def same_selection(spark, sf_dir):
+    """Whether an owner's selection has the same files in the same order as the one before it."""
+    i = F.col("event_id")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("files", F.when(i % 2 == 0, F.array(i % 3)).otherwise(F.array(i % 3, F.lit(7).cast("long"))))
+    before = F.lag("files").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return e.select("event_id", F.coalesce(before == F.col("files"), F.lit(False)).alias("same"))
+
+
+@query(o.with_views("SELECT field_id, string_agg('fixed_' || file_id, ',' ORDER BY file_id) AS delivered FROM picks GROUP BY field_id", *o.BASE))
+def delivered_in_order(spark, sf_dir):
+    """Results of a selection in the order of its files, whatever the order they were made in; a selection has few files."""
+    made = views.picks(spark, sf_dir).select("field_id", "file_id", F.concat(F.lit("fixed_"), "file_id").alias("name"))
+    ordered = F.array_sort(F.collect_list(F.struct("file_id", "name")))
+    return made.groupBy("field_id").agg(_join(F.transform(ordered, lambda x: x["name"])).alias("delivered"))
+
+
+@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN true WHEN 1 THEN false ELSE true END AS enabled, CASE event_id % 5 WHEN 1 THEN false ELSE true END AS ask FROM events""")
+def settings_flags(spark, sf_dir):
+    """Stored settings field by field: what is no boolean counts as its default."""
+    value = F.get(F.array(*[F.lit(v) for v in ("true", "false", '"false"', "0", "null")]), (F.col("event_id") % 5).cast("int"))
+    stored = F.parse_json(F.concat(F.lit('{"enabled": '), value, F.lit(', "ask": '), value, F.lit("}")))
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", stored.alias("s"))
+    return e.select("event_id", prep.flag(F.col("s"), "enabled", True).alias("enabled"), prep.flag(F.col("s"), "ask", True).alias("ask"))
+
+
+@query(o.with_views("SELECT owner, sum(len(changes))::BIGINT AS fixes, sum(len(changes)) >= 10 AND owner % 2 = 0 AS ask FROM outcomes GROUP BY owner", o.OUTCOMES))
+def rating_suggestions(spark, sf_dir):
+    per_owner = views.outcomes(spark, sf_dir).groupBy("owner").agg(F.sum(F.size("changes")).alias("fixes"))
+    return per_owner.select("owner", "fixes", prep.suggest_rating(F.col("fixes"), F.col("owner") % 2 != 0).alias("ask"))
+
+
+@query(o.with_views("SELECT format, format IN ('heic', 'heif', 'avif', 'jxl', 'svg') AS settled_late, format IN ('jpeg', 'png', 'tiff', 'bmp') AS streamed FROM dim", o.DIM))
+def format_flags(spark, sf_dir):
+    f = F.col("format")
+    return reg.dim_format(spark).select("format", f.isin(*prep.SETTLED_BY_DECODER).alias("settled_late"), f.isin(*prep.STREAMED).alias("streamed"))

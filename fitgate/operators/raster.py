@@ -227,12 +227,12 @@ Size = Callable[[int, int, float], int]
 
 
 def fit_size(width: int, height: int, most: int, size: Size, can_shrink: bool = True) -> tuple[int, int, float, int, str | None]:
-    """(width, height, quality, encodes, error): the best quality whose file is not larger than ``most``.
+    """(width, height, quality, encodes, error): the best quality whose file is not larger than ``most``, less a margin.
 
     The usual quality first; if that is too large, at most four steps of interpolation on the logarithm of
     the size; if even the lowest is too large, at most seven steps towards the largest scale that fits.
     """
-    calls = 0
+    calls, target = 0, int(most * TARGET_MARGIN)
 
     def encoded(w: int, h: int, q: float) -> int:
         nonlocal calls
@@ -240,39 +240,39 @@ def fit_size(width: int, height: int, most: int, size: Size, can_shrink: bool =
         return size(w, h, q)
 
     high = encoded(width, height, MAX_QUALITY)
-    if high <= most:
+    if high <= target:
         return width, height, MAX_QUALITY, calls, None
     low = encoded(width, height, FLOOR)
-    if low <= most:
+    if low <= target:
         best, (a, sa), (b, sb) = FLOOR, (FLOOR, low), (MAX_QUALITY, high)
-        aim = np.log(0.995 * TARGET_MARGIN * most)
+        aim = np.log(0.995 * target)
         for _ in range(SEARCH_STEPS):
             span = np.log(sb) - np.log(sa)
             q = a + (b - a) * float(np.clip((aim - np.log(sa)) / span if span > 0 else 0.5, 0.05, 0.95))
             s = encoded(width, height, q)
-            if s <= most:
+            if s <= target:
                 best, a, sa = q, q, s
-                if s >= TARGET_MARGIN * most * (1 - FIT_PRECISION):
+                if s >= target * (1 - FIT_PRECISION):
                     break
             else:
                 b, sb = q, s
         return width, height, best, calls, None
     if not can_shrink:
         return width, height, FLOOR, calls, "target-unreachable"
-    scale, power, best_fit = float(np.sqrt(most * TARGET_MARGIN / max(low, 1))), 2.0, None
+    scale, power, best_fit = float(np.sqrt(target / max(low, 1))), 2.0, None
     fits, fails = 0.0, 1.0
     for _ in range(FIT_STEPS):
-        w, h = max(1, int(width * scale)), max(1, int(height * scale))
+        w, h = max(1, int(width * scale + 0.5)), max(1, int(height * scale + 0.5))
         s = encoded(w, h, FIT)
-        if s <= most:
+        if s <= target:
             fits, best_fit = scale, (w, h)
-            if s >= most * (1 - FIT_PRECISION) or (w, h) == (1, 1):
+            if s >= target * (1 - FIT_PRECISION) or (w, h) == (1, 1):
                 break
         else:
             fails = scale
             if (w, h) == (1, 1):
                 break
-        step = scale * (most * TARGET_MARGIN / max(s, 1)) ** (1 / power)
+        step = scale * (target / max(s, 1)) ** (1 / power)
         scale = step if fits < step < fails else (fits + fails) / 2
     if best_fit is None:
         return width, height, FIT, calls, "target-unreachable"
