@@ -410,13 +410,25 @@ def selection_guard(spark, sf_dir):
 # text forms and stored records
 
 
+def _tenths(b: str, unit: int) -> str:
+    """Bytes in units with one decimal in SQL, by the same exact arithmetic: on which side of the tie the quotient lies."""
+    y = f"(({b}::DOUBLE / {unit} - floor({b}::DOUBLE / {unit})) * 4)"
+    tie, total = f"(({b} // {unit // 10}) % 10 * 2 + 1)", f"({y} * 4 + {y})"
+    tenths = f"({b} // {unit // 10} + CASE WHEN {total} > {tie} OR ({total} = {tie} AND {y} - ({total} - {y} * 4) >= 0) THEN 1 ELSE 0 END)"
+    return f"regexp_replace(({tenths} // 10) || '.' || ({tenths} % 10), '\\.0$', '')"
+
+
+def _bytes_text(b: str) -> str:
+    return f"""CASE WHEN {b} < 1000 THEN {b} || ' B' WHEN {b} < 999500 THEN floor({b} / 1000.0 + 0.5)::BIGINT || ' KB'
+    WHEN {b} < 999950000 THEN {_tenths(b, 10**6)} || ' MB' ELSE {_tenths(b, 10**9)} || ' GB' END"""
+
+
 @query(o.with_views(
-    """SELECT file_id, CASE WHEN b < 1000 THEN b || ' B' WHEN b < 999500 THEN floor(b / 1000.0 + 0.5)::BIGINT || ' KB'
-    WHEN b < 999950000 THEN regexp_replace(printf('%.1f', b / 1e6), '\\.0$', '') || ' MB' ELSE regexp_replace(printf('%.1f', b / 1e9), '\\.0$', '') || ' GB' END AS size
-    FROM (SELECT file_id, CASE file_id % 3 WHEN 0 THEN bytes // 1000 WHEN 1 THEN bytes ELSE bytes * 1009 END AS b FROM files)""", o.FILES,
+    f"""SELECT file_id, {_bytes_text('b')} AS size FROM (SELECT file_id, CASE file_id % 4 WHEN 0 THEN bytes // 1000 WHEN 1 THEN bytes WHEN 2 THEN bytes // 50000 * 50000 ELSE bytes * 1009 END AS b FROM files)""", o.FILES,
 ))
 def format_bytes(spark, sf_dir):
-    b = F.when(F.col("file_id") % 3 == 0, F.expr("bytes div 1000")).when(F.col("file_id") % 3 == 1, F.col("bytes")).otherwise(F.col("bytes") * 1009)
+    i = F.col("file_id")
+    b = F.when(i % 4 == 0, F.expr("bytes div 1000")).when(i % 4 == 1, F.col("bytes")).when(i % 4 == 2, F.expr("bytes div 50000 * 50000")).otherwise(F.col("bytes") * 1009)
     return views.files(spark, sf_dir).select("file_id", fmt.format_bytes(b).alias("size"))
 
 
@@ -434,7 +446,22 @@ def print_size(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", fmt.print_size(w, h).alias("size"))
 
 
-@query()
+_LABELS = "MAP {" + ", ".join(f"'{x}': '{f.label}'" for f in reg.FORMATS for x in (*f.mimes, *f.exts)) + "}"
+_SIDES = "coalesce({0}_width::VARCHAR, 'any') || ' × ' || coalesce({0}_height::VARCHAR, 'any')"
+
+
+@query(o.with_views(
+    f"""SELECT field_id, CASE WHEN len(parts) > 0 THEN array_to_string(parts, ' · ') ELSE 'no rules found' END AS summary FROM (SELECT field_id, list_filter([
+      CASE WHEN len(labels) > 0 THEN array_to_string(labels, ', ') WHEN list_contains(accepted_mimes, 'image/*') THEN 'any image' END,
+      CASE WHEN min_bytes > 0 AND max_bytes > 0 THEN {_bytes_text('min_bytes')} || '–' || {_bytes_text('max_bytes')} WHEN max_bytes > 0 THEN 'max ' || {_bytes_text('max_bytes')}
+        WHEN min_bytes > 0 THEN 'at least ' || {_bytes_text('min_bytes')} END,
+      CASE WHEN exact_width > 0 OR exact_height > 0 THEN {_SIDES.format('exact')} END, CASE WHEN min_width > 0 OR min_height > 0 THEN 'at least ' || {_SIDES.format('min')} END,
+      CASE WHEN max_width > 0 OR max_height > 0 THEN 'at most ' || {_SIDES.format('max')} END,
+      CASE WHEN aspect_ratio > 0 AND NOT coalesce(exact_width > 0, false) THEN 'shape ' || aspect_ratio::DECIMAL(9,3)::DOUBLE::VARCHAR.regexp_replace('\\.0$', '') || ' : 1' END,
+      CASE WHEN dpi > 0 THEN dpi || ' DPI' END], lambda x: x IS NOT NULL) AS parts
+    FROM (SELECT *, list_filter(list_transform(list_concat(accepted_mimes, accepted_exts), lambda x: {_LABELS}[x]), lambda x: x IS NOT NULL) AS named,
+      list_filter(named, lambda x, i: list_position(named, x) = i) AS labels FROM fields))""", o.FIELDS,
+))
 def rules_summary(spark, sf_dir):
     return views.fields(spark, sf_dir).select("field_id", fmt.rules_summary(F.col).alias("summary"))
 

@@ -22,18 +22,27 @@ COUNTED_CHANGES = ("converted", "resized", "compressed", "cropped", "background-
 MAX_PROBLEMS, MAX_RULES, MAX_SITES = 20, 160, 500
 
 
-def _plain(x: Column) -> Column:
-    """A number without trailing zeros, at most one decimal."""
-    return F.regexp_replace(F.format_string("%.1f", x), r"\.0$", "")
+def _tenths(n: Column, unit: int) -> Column:
+    """``n`` in units with one decimal, none if it is 0. Rounded by the exact value of the quotient in floating point, ties
+    up: 1,150,000 is a little less than 1.15 million, so 1.1. The parts of a sum show on which side of the tie it lies."""
+    n = n.cast("long")
+    down = (n - n % (unit // 10)) / (unit // 10)
+    x = n.cast("double") / unit
+    y = (x - F.floor(x)) * 4
+    total, tie = y * 4 + y, (down % 10) * 2 + 1
+    lost = y - (total - y * 4)
+    up = (total > tie) | ((total == tie) & (lost >= 0))
+    tenths = F.when(up, down + 1).otherwise(down).cast("long")
+    whole, rest = ((tenths - tenths % 10) / 10).cast("long").cast("string"), (tenths % 10).cast("string")
+    return F.when(tenths % 10 == 0, whole).otherwise(F.concat(whole, F.lit("."), rest))
 
 
 def format_bytes(n: Column) -> Column:
-    d = n.cast("double")
     return (
         F.when(n < 1_000, F.concat(n.cast("string"), F.lit(" B")))
-        .when(n < 999_500, F.concat(F.floor(d / 1_000 + 0.5).cast("string"), F.lit(" KB")))
-        .when(n < 999_950_000, F.concat(_plain(d / 1e6), F.lit(" MB")))
-        .otherwise(F.concat(_plain(d / 1e9), F.lit(" GB")))
+        .when(n < 999_500, F.concat(F.floor(n.cast("double") / 1_000 + 0.5).cast("string"), F.lit(" KB")))
+        .when(n < 999_950_000, F.concat(_tenths(n, 10**6), F.lit(" MB")))
+        .otherwise(F.concat(_tenths(n, 10**9), F.lit(" GB")))
     )
 
 
