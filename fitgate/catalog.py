@@ -12,7 +12,7 @@ from fitgate.functions import decide as dec
 from fitgate.functions import formatting as fmt
 from fitgate.functions import prepared as prep
 from fitgate.functions import registry as reg
-from fitgate.operators import bookkeeping, headers, raster, rules_text, sheets
+from fitgate.operators import bookkeeping, coded_headers, headers, raster, rules_text, sheets
 from fitgate.operators import html_fields as html
 from fitgate.plans import views
 from fitgate.streaming import feeds
@@ -600,6 +600,13 @@ def header_facts(spark, sf_dir):
     return views.header_bytes(spark, sf_dir).select("file_id", facts.alias("f")).select("file_id", "f.format", "f.width", "f.height", "f.alpha", "f.animated")
 
 
+@query(o.with_views("SELECT file_id, ['heic', 'avif', 'jxl', 'jxl'][file_id % 4 + 1] AS format, width, height, file_id % 4 = 1 AS animated FROM files", o.FILES))
+def coded_header_facts(spark, sf_dir):
+    """HEIF and AVIF files with a preview's size before the picture's, and JPEG XL bare and in a container."""
+    b = views.coded_header_bytes(spark, sf_dir).withColumn("format", headers.detect(F.col("content")))
+    return b.select("file_id", "format", coded_headers.coded_facts(F.col("format"), F.col("content")).alias("f")).select("file_id", "format", "f.width", "f.height", "f.animated")
+
+
 @query(o.with_views("SELECT file_id, ['png', 'gif', 'bmp', 'webp'][file_id % 4 + 1] AS format FROM files", o.FILES))
 def magic_detect(spark, sf_dir):
     return views.header_bytes(spark, sf_dir).select("file_id", headers.detect(F.col("content")).alias("format"))

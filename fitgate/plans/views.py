@@ -138,3 +138,26 @@ def header_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     bmp = F.concat(F.lit("424D" + "00" * 12 + "28000000"), little(w, 4), little(h, 4), F.lit("01001800" + "00" * 24))
     webp = F.concat(F.lit("5249464600000000" + b"WEBPVP8X".hex() + "0A000000" + "10000000"), little(w - 1, 3), little(h - 1, 3))
     return f.select("file_id", F.unhex(F.when(i % 4 == 0, png).when(i % 4 == 1, gif).when(i % 4 == 2, bmp).otherwise(webp)).alias("content"))
+
+
+def _big(c: Column, size: int) -> Column:
+    return F.lpad(F.hex(c.cast("long")), 2 * size, "0")
+
+
+def coded_header_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file_id, content): the first bytes of a HEIC, AVIF or JPEG XL file of the size of ``files``, made with hex arithmetic."""
+    f = files(spark, sf_dir)
+    w, h, i = F.col("width"), F.col("height"), F.col("file_id")
+    text = lambda t: F.lit(t.encode().hex().upper())
+    box = lambda kind, *body: F.concat(_big(F.length(F.concat(*body)) / 2 + 8, 4), text(kind), *body)
+    ispe = lambda a, b: box("ispe", F.lit("00000000"), _big(a, 4), _big(b, 4))
+    iso = lambda brand: F.concat(
+        box("ftyp", text(brand), F.lit("00000000"), text("mif1")),
+        box("meta", F.lit("00000000"), box("iprp", box("ipco", ispe(F.lit(8), F.lit(6)), ispe(w, h)))), box("mdat", text("ispe"), F.lit("F" * 24)),
+    )
+    # a codestream: not small, 30 bits of height, no ratio, 30 bits of width
+    bits = F.lit(3 << 1).cast("long") + F.shiftleft((h - 1).cast("long"), 3) + F.shiftleft(F.lit(3).cast("long"), 36) + F.shiftleft((w - 1).cast("long"), 38)
+    stream = F.concat(F.lit("FF0A"), *[F.lpad(F.hex(F.shiftright(bits, 8 * k).bitwiseAND(F.lit(255))), 2, "0") for k in range(8)], F.lit("00000000"))
+    contained = F.concat(F.lit("0000000C4A584C200D0A870A"), box("ftyp", text("jxl ")), box("jxlc", stream))
+    content = F.when(i % 4 == 0, iso("heic")).when(i % 4 == 1, iso("avis")).when(i % 4 == 2, stream).otherwise(contained)
+    return f.select("file_id", F.unhex(content).alias("content"))
