@@ -105,7 +105,8 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]]) -> DataFrame:
 
     Only the text is looked at, all of it. ``und`` with score 0 where the text is NULL or has
     no letter, or if nothing was learned. Equal distances go to the first language in
-    alphabetical order. Rows stay where they are: no shuffle; repeated rows give repeated rows.
+    alphabetical order. Rows stay where they are: no shuffle; repeated rows give repeated rows; an empty table gives an
+    empty result; other columns are ignored.
     """
     model = docs.sparkSession.sparkContext.broadcast(Classifier(profiles))
 

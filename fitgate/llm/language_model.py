@@ -104,7 +104,9 @@ def score_documents(docs: DataFrame, train: Column) -> DataFrame:
     Learns from the rows where ``train`` holds. Scores are sums of log10 probabilities over the
     words and the end of a text. ``base_score`` is the word model with 0.1 added to every count. NULL text
     counts as empty (its end alone is scored); repeated rows are counted and scored each; a row
-    with a NULL doc_id is treated as any other; other columns are ignored.
+    with a NULL doc_id is treated as any other; other columns are ignored; an empty table gives an empty result. A text
+    is never cut: one document lies in one block, however long. Words and word pairs are counted by 64-bit hashes; for
+    a billion different ones the chance that any two share a count is about 3 %.
     """
     stages = Stages(docs.sparkSession, "lm")
     rows = docs.select("doc_id", "text", F.coalesce(train, F.lit(True)).alias("flag"))

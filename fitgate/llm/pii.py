@@ -191,7 +191,9 @@ def masked(text: Column, spans: Column) -> Column:
 
 def mask_pii(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data in ``text`` masked; all columns keep their names and order.
-    NULL text stays NULL. ``n_chars``, where there is such a column, follows the new text."""
+    NULL text stays NULL and empty text empty. ``n_chars``, where there is such a column, follows the new text. Each row
+    is masked alone, where it is read: repeated rows stay repeated, an empty table stays empty; texts are read whole,
+    in memory linear in their length and the number of matches."""
     text = F.coalesce(F.col("text"), F.lit(""))
     spans = "__spans"
     while spans in docs.columns:
