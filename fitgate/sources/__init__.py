@@ -1 +1 @@
-
+"""Where files come from."""
