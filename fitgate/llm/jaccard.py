@@ -110,18 +110,31 @@ def _signatures(docs: DataFrame, stages: Stages, size: int, percent: int) -> Dat
     def sign(row, found) -> pd.DataFrame:
         sets, _, at = sets_in(row.texts)
         holders = np.concatenate([unpack(a) for a, _ in found[0]]).astype(np.int64)[at] if 0 in found else np.zeros(0, np.int64)
-        out, start = [], 0
-        for doc_id, s in zip(row.doc_ids, sets, strict=True):
+        n = len(sets)
+        numbers = {c: np.zeros(n, np.int64) for c in ("d1", "d2", *BOUNDS)}
+        packed = {c: [None] * n for c in ("s", "h", *(f"p{k}" for k in range(ORDERS)))}
+        none, start = np.ones(n, bool), 0
+        for i, s in enumerate(sets):
             h = holders[start : start + len(s)]
             start += len(s)
-            digest = [int(mix(s ^ _SEEDS[k]).sum(dtype=np.uint64).view(np.int64)) for k in (0, 1)]
-            if len(s) and 100 * np.count_nonzero(h > 1) >= percent * len(s):
-                alone = int(np.count_nonzero(h < 2))
-                out.append((doc_id, len(s), *digest, s.tobytes(), np.minimum(h, 65535).astype(np.uint16).tobytes(), alone, *sketch(s[h > 1]), *(prefix(s, h, k, percent).tobytes() for k in range(ORDERS))))
-            else:
-                out.append((doc_id, len(s), *digest, *[None] * (ORDERS + SKETCH + 3)))
+            numbers["n"][i] = len(s)
+            for k, d in enumerate(("d1", "d2")):
+                numbers[d][i] = mix(s ^ _SEEDS[k]).sum(dtype=np.uint64).view(np.int64)
+            shared = h > 1
+            among = int(np.count_nonzero(shared))
+            if not len(s) or 100 * among < percent * len(s):
+                continue
+            none[i] = False
+            numbers["alone"][i] = len(s) - among
+            for k, word in enumerate(sketch(s[shared])):
+                numbers[f"b{k}"][i] = word
+            packed["s"][i], packed["h"][i] = s.tobytes(), np.minimum(h, 65535).astype(np.uint16).tobytes()
+            for k in range(ORDERS):
+                packed[f"p{k}"][i] = prefix(s, h, k, percent).tobytes()
         # NULL among integers must not make floats of them
-        return pd.DataFrame(out, columns=[c.split()[0] for c in SIGNED.split(", ")], dtype=object)
+        bounds = {c: pd.arrays.IntegerArray(numbers[c], none.copy()) for c in BOUNDS if c != "n"}
+        signed = pd.DataFrame({"doc_id": np.asarray(row.doc_ids, np.int64), **numbers, **packed} | bounds)
+        return signed[[c.split()[0] for c in SIGNED.split(", ")]]
 
     return stages.write(with_answers(blocks, answers, sign, SIGNED), "signed")
 
@@ -161,17 +174,19 @@ def _measured(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough; only those that share prefix elements under all orders are looked at."""
 
-    @F.pandas_udf("boolean")
-    def meet(*prefixes: pd.Series) -> pd.Series:
+    @F.pandas_udf("long")
+    def shared(x: pd.Series, y: pd.Series, *prefixes: pd.Series) -> pd.Series:
+        """How many elements two packed sets share; none is looked at if their prefixes of some order do not meet."""
         out = []
-        for row in zip(*prefixes, strict=True):
-            halves = [np.frombuffer(p, np.uint64) for p in row]
-            out.append(all(len(np.intersect1d(halves[k], halves[k + ORDERS], assume_unique=True)) for k in range(ORDERS)))
-        return pd.Series(out)
+        for p, q, *row in zip(x, y, *prefixes, strict=True):
+            halves = [np.frombuffer(r, np.uint64) for r in row]
+            meet = all(len(np.intersect1d(halves[k], halves[k + ORDERS], assume_unique=True)) for k in range(ORDERS))
+            out.append(len(np.intersect1d(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), assume_unique=True)) if meet else 0)
+        return pd.Series(out, dtype="int64")
 
     names = [f"p{k}" for k in range(ORDERS)]
-    both = _with_sets(pairs, sets, "n", "s", *names).where(meet(*[f"x_{p}" for p in names], *[f"y_{p}" for p in names]))
-    counted = both.select("a", "b", "x_n", "y_n", _common("x_s", "y_s").alias("c"))
+    both = _with_sets(pairs, sets, "n", "s", *names)
+    counted = both.select("a", "b", "x_n", "y_n", shared("x_s", "y_s", *[f"x_{p}" for p in names], *[f"y_{p}" for p in names]).alias("c"))
     return counted.where(100 * F.col("c") >= percent * (F.col("x_n") + F.col("y_n") - F.col("c"))).select("a", "b")
 
 
@@ -302,6 +317,7 @@ def similar_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCE
 
 def keep_one(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the document with the smallest id stays.
-    All columns unchanged; rows with a NULL id stay."""
+    All columns unchanged; rows with a NULL id stay, as do those with NULL or empty text, which are near nothing. Rows with
+    one doc_id stay or go together; an empty table stays empty; texts are compared whole, however long."""
     extra = similar_documents(docs, size, percent).where("component_id <> doc_id").select("doc_id")
     return docs.join(extra, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
