@@ -1,24 +1,29 @@
 """Incremental removal of repeated word windows with a log-structured fingerprint index.
 
-Documents come in batches, in ascending order of their ids. The index is a set of sorted
-immutable runs of window fingerprints (64 bits of key, 16 more bits of check from another
-hash function). For a new batch, every owner of a key range sort-merges its part of all runs
-with the keys of the batch's blocks: a key met before, whose check agrees, is a repeat, and
-the answer to each block is one bit per distinct window. Only keys that are new form the
-batch's run, so a run never holds what an older one has. Before the next batch, runs of the
-same tier are compacted into one run of the next tier.
-
-The corpus of a query is closed: no batch comes after the last. So windows that cannot repeat
-in it never enter the index: each window has a smallest 8-word gram (by hash), equal windows
-have equal grams, and a gram found at one place only rules out all windows that have it.
-
-A match needs 80 equal bits from two independent hash functions of the words; for a billion
-windows the chance that any differ all the same is about 1 in 2 million.
+Documents come in batches. The index is a set of sorted immutable runs of window fingerprints
+(64 bits of key, 16 bits of check), each a table. For a new batch, every owner of a key range
+sort-merges its part of all runs with the keys of the batch's blocks: a key met before, whose
+check agrees, is a repeat, and the answer to each block is one bit per distinct window. Only keys
+that are new form the batch's run, so a run never holds what an older one has. Before the next
+batch, runs of the same tier are compacted into one run of the next tier.
+
+An index in a folder of its own stays: a later call opens it, merges its batch into it and
+compacts (``remove_repeats(docs, index=folder)``). A call without one is over a closed corpus, in
+batches of ascending ids: no batch comes after the last. There, windows that cannot repeat never
+enter: each window has a smallest 8-word gram (by hash), equal windows have equal grams, and a
+gram found at one place only rules out all windows that have it.
+
+Key and check come from two hash functions of the words that share nothing (scrambled bytes with
+their places, and CRC-32 of each word), so a match needs 80 equal bits; for a billion windows the
+chance that any differ all the same is about 1 in 2 million.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import sha256
 
 import numpy as np
@@ -41,10 +46,11 @@ def windows(texts, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     """Keys and checks of all windows of a block's documents in order; per document the numbers of words and windows."""
     keys, checks, n_words, n_windows = [], [], [], []
     for t in texts:
-        h = word_hashes(t.encode().split())
+        words = t.encode().split()
+        h = word_hashes(words)
         k = rolling(h, width)
         keys.append(k)
-        checks.append(rolling(mix(h ^ _CHECK), width) >> np.uint64(48))
+        checks.append(rolling(mix(np.fromiter(map(zlib.crc32, words), np.uint64, len(words)) + _CHECK), width) >> np.uint64(48))
         n_words.append(len(h))
         n_windows.append(len(k))
     return np.concatenate(keys), np.concatenate(checks), np.array(n_words, np.int64), np.array(n_windows, np.int64)
@@ -76,18 +82,51 @@ def _distinct(keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndar
     return order[new], number
 
 
+_RUN_NAME = re.compile(r"run-(\d+)-(\d+)-tier(\d+)-bits(\d+)")
+
+
 class FingerprintIndex:
-    """The runs of the index, as written tables; a run is never changed, only replaced by a compacted one."""
+    """The runs of an index, as tables in a folder; a run is never changed, only replaced by a compacted one.
+
+    A run's name says which batches it covers, its tier, and into how many ranges keys are dealt (fixed when the
+    index is made). Only whole tables count, and of two runs that cover a batch the larger one, so a job that was lost while it
+    compacted leaves an index that can be opened. One writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, bits: int):
+        self.spark, self.folder, self.bits = spark, folder.rstrip("/"), bits
+        self.runs: list[tuple[int, int, int]] = []  # first and last batch, tier
+        path = self._path("")
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        found = []
+        for entry in fs.listStatus(path) if fs.exists(path) else []:
+            m = _RUN_NAME.fullmatch(entry.getPath().getName())
+            if m and fs.exists(self._path(f"{m[0]}/_SUCCESS")):
+                found.append(tuple(map(int, m.groups()[:3])))
+                self.bits = int(m[4])
+        self.runs = sorted(r for r in found if not any(o != r and o[0] <= r[0] and r[1] <= o[1] for o in found))
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
 
-    def __init__(self, spark: SparkSession, stages: Stages, bits: int):
-        self.spark, self.stages, self.bits = spark, stages, bits
-        self.runs: list[tuple[int, str, DataFrame]] = []  # tier, name, rows of RUN
-        self.written = 0
+    def _name(self, run: tuple[int, int, int]) -> str:
+        return "run-{}-{}-tier{}-bits{}".format(*run, self.bits)
+
+    def _write(self, rows: DataFrame, run: tuple[int, int, int]) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.folder}/{self._name(run)}")
+        self.runs.append(run)
+
+    def _delete(self, run: tuple[int, int, int]) -> None:
+        path = self._path(self._name(run))
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def rows(self, run: tuple[int, int, int]) -> DataFrame:
+        return self.spark.read.schema(RUN).parquet(f"{self.folder}/{self._name(run)}")
 
     def compact(self) -> None:
         """Merge the newest runs while the last two are of one tier."""
-        while len(self.runs) > 1 and self.runs[-1][0] == self.runs[-2][0]:
-            (tier, name1, a), (_, name2, b) = self.runs.pop(), self.runs.pop()
+        while len(self.runs) > 1 and self.runs[-1][2] == self.runs[-2][2]:
+            (_, last, tier), (first, _, _) = new, old = self.runs.pop(), self.runs.pop()
 
             def merge(rows: pd.DataFrame) -> pd.DataFrame:
                 keys = np.concatenate([unpack_sorted(k) for k in rows["keys"]])
@@ -95,20 +134,16 @@ class FingerprintIndex:
                 order = np.lexsort((checks, keys))
                 return pd.DataFrame({"owner": rows["owner"].iloc[:1], "keys": [pack_sorted(keys[order])], "checks": [checks[order].tobytes()]})
 
-            name = f"run-{self.written}"
-            self.written += 1
-            merged = self.stages.write(a.unionByName(b).groupBy("owner").applyInPandas(merge, RUN), name)
-            self.stages.drop(name1)
-            self.stages.drop(name2)
-            self.runs.append((tier + 1, name, merged))
+            self._write(self.rows(old).unionByName(self.rows(new)).groupBy("owner").applyInPandas(merge, RUN), (first, last, tier + 1))
+            self._delete(old)
+            self._delete(new)
 
-    def add(self, asked: DataFrame, name: str) -> DataFrame:
+    def add(self, asked: DataFrame, stages: Stages, name: str) -> DataFrame:
         """Answers (one bit per asked key: does an earlier block have it?), written; the new keys become a run."""
         self.compact()
-        history = [run.select("owner", F.lit(-1).cast("long").alias("block"), F.lit(-1).alias("kind"), F.lit(0).cast("long").alias("n"), "keys", F.col("checks").alias("extra")) for _, _, run in self.runs]
         rows = asked
-        for h in history:
-            rows = rows.unionByName(h)
+        for run in self.runs:
+            rows = rows.unionByName(self.rows(run).select("owner", F.lit(-1).cast("long").alias("block"), F.lit(-1).alias("kind"), F.lit(0).cast("long").alias("n"), "keys", F.col("checks").alias("extra")))
 
         def merge_join(group: pd.DataFrame) -> pd.DataFrame:
             group = group.sort_values("block")  # the history first, then the blocks in the order of their documents
@@ -131,33 +166,42 @@ class FingerprintIndex:
             out.append((owner, -1, _RUN_ROW, int(fresh.sum()), pack_sorted(k[fresh]), c[fresh].tobytes()))
             return pd.DataFrame(out, columns=["owner", "block", "kind", "n", "answer", "checks"])
 
-        both = self.stages.write(rows.groupBy("owner").applyInPandas(merge_join, ANSWER + ", checks binary"), name)
-        self.runs.append((0, name, both.where(f"kind = {_RUN_ROW}").select("owner", F.col("answer").alias("keys"), "checks")))
-        return self.stages.write(both.where(f"kind = {_WINDOWS}").drop("checks"), f"{name}-answers")
+        both = stages.write(rows.groupBy("owner").applyInPandas(merge_join, ANSWER + ", checks binary"), name)
+        batch = self.runs[-1][1] + 1 if self.runs else 0
+        self._write(both.where(f"kind = {_RUN_ROW}").select("owner", F.col("answer").alias("keys"), "checks"), (batch, batch, 0))
+        answers = stages.write(both.where(f"kind = {_WINDOWS}").drop("checks"), f"{name}-answers")
+        stages.drop(name)
+        return answers
 
     def close(self) -> None:
         """Delete the runs: nothing will be added any more."""
-        for _, name, _ in self.runs:
-            self.stages.drop(name)
+        for run in self.runs:
+            self._delete(run)
 
 
-def remove_repeats(docs: DataFrame, width: int = WINDOW, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, index: str | None = None) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept (the kept words, joined by a blank).
 
     A word goes if a window of ``width`` words over it also starts earlier: in a document with a
     smaller id or further up in its own. All windows of all documents are judged as they came in.
     Rows with equal doc_id count as documents one after the other, ordered by text; a NULL doc_id
     sorts first. NULL text has no words; texts shorter than a window lose nothing; an empty
-    table gives an empty result; other columns are ignored.
+    table gives an empty result; other columns are ignored. A text is never cut: one document lies in one block,
+    however long.
+
+    With ``index``, a folder that all executors see, the rows are one new batch, later than all that the index has
+    seen, whatever their ids; their new windows stay in it, and it is compacted. The batch is in the index when this
+    function returns.
     """
     spark = docs.sparkSession
     stages = Stages(spark, "substring")
+    closed = index is None
     blocks = text_blocks(docs.select("doc_id", "text", F.lit(True).alias("flag")), stages, order_by=("doc_id", "text"))
     size = blocks.select(F.sum(F.aggregate("texts", F.lit(0).cast("long"), lambda n, t: n + F.length(t)))).first()[0] or 0
-    bits = owners_for(size // 6)
-    index = FingerprintIndex(spark, stages, bits)
+    runs = FingerprintIndex(spark, index or f"{stages.root}/index", owners_for(size // 6))
+    bits = runs.bits
     # batches are ranges of block numbers with about equally many blocks; the edges are a few numbers from a bounded sketch
-    edges = blocks.select(F.percentile_approx("block", [i / batches for i in range(1, batches)])).first()[0] if batches > 1 and size else []
+    edges = blocks.select(F.percentile_approx("block", [i / batches for i in range(1, batches)])).first()[0] if closed and batches > 1 and size else []
     edges = [-1, *sorted({int(e) for e in edges}), 2**62]
 
     def ask_grams(block: int, _, texts, flags) -> Iterator[tuple]:
@@ -165,31 +209,39 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW, gram: int = GRAM, batch
         wanted, (values, n) = np.unique(smallest), np.unique(every, return_counts=True)
         yield from requests(block, _GRAMS, wanted, bits, n[np.searchsorted(values, wanted)])
 
-    grams = stages.write(total_answers(send(blocks, ask_grams)), "grams")
+    grams = stages.write(total_answers(send(blocks, ask_grams)), "grams") if closed else None
 
-    def repeatable(row, found) -> tuple[np.ndarray, ...]:
-        """The windows whose gram is found twice or more: keys, checks, their places among all windows; numbers of words and windows."""
-        keys, checks, n_words, n_windows = windows(row.texts, width)
-        if not len(keys):
-            return keys, checks, np.zeros(0, np.int64), n_words, n_windows
-        _, number = np.unique(smallest_grams(row.texts, width, gram)[0], return_inverse=True)
+    def repeatable(texts, found) -> tuple[np.ndarray, ...]:
+        """The windows that may repeat, in a closed corpus those whose gram is found twice or more: keys, checks, their places
+        among all windows; numbers of words and windows."""
+        keys, checks, n_words, n_windows = windows(texts, width)
+        if not len(keys) or not closed:
+            return keys, checks, np.arange(len(keys)), n_words, n_windows
+        _, number = np.unique(smallest_grams(texts, width, gram)[0], return_inverse=True)
         places = np.flatnonzero(np.concatenate([unpack(a) for a, _ in found[_GRAMS]])[number] > 1)
         return keys[places], checks[places], places, n_words, n_windows
 
-    def ask(row, found) -> pd.DataFrame:
-        keys, checks, *_ = repeatable(row, found)
+    def ask(block: int, texts, found) -> Iterator[tuple]:
+        keys, checks, *_ = repeatable(texts, found)
         first, _ = _distinct(keys, checks)
-        return pd.DataFrame(list(requests(row.block, _WINDOWS, keys[first], bits, checks[first])), columns=["owner", "block", "kind", "n", "keys", "extra"])
+        yield from requests(block, _WINDOWS, keys[first], bits, checks[first])
+
+    def ask_found(row, found) -> pd.DataFrame:
+        return pd.DataFrame(list(ask(row.block, row.texts, found)), columns=["owner", "block", "kind", "n", "keys", "extra"])
 
-    answers = grams
+    answers = [grams] if closed else []
     for i, (low, high) in enumerate(zip(edges, edges[1:], strict=False)):
         inside = (F.col("block") > low) & (F.col("block") <= high)
-        asked = with_answers(blocks.where(inside), grams.where(inside), ask, REQUEST)
-        answers = answers.unionByName(index.add(asked, f"batch-{i}"))
-    index.close()
+        if closed:
+            asked = with_answers(blocks.where(inside), grams.where(inside), ask_found, REQUEST)
+        else:
+            asked = send(blocks, lambda block, _, texts, flags: ask(block, texts, {}))
+        answers.append(runs.add(asked, stages, f"batch-{i}"))
+    if closed:
+        runs.close()
 
     def cut(row, found) -> pd.DataFrame:
-        keys, checks, places, n_words, n_windows = repeatable(row, found)
+        keys, checks, places, n_words, n_windows = repeatable(row.texts, found)
         gone = np.zeros(n_windows.sum(), bool)
         if len(keys):
             first, number = _distinct(keys, checks)
@@ -209,4 +261,4 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW, gram: int = GRAM, batch
         result.insert(0, "doc_id", real_ids(row.doc_ids))
         return result
 
-    return with_answers(blocks, answers, cut, "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")
+    return with_answers(blocks, reduce(DataFrame.unionByName, answers), cut, "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")

@@ -55,6 +55,25 @@ def test_no_rows_and_repeated_ids(spark):
     assert sorted(r.n_removed for r in substring.remove_repeats(docs).collect()) == [0, 25, 25]
 
 
+def test_an_index_that_later_batches_open(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr("fitgate.llm.blocks.BLOCK_CHARS", 4_000)
+    rows = sorted(repeated_texts(8), key=lambda r: r[0])
+    want = {d: (n, m, sha) for d, (n, m, sha, _) in brute_repeats(rows).items()}
+    folder, got, tiers = f"{tmp_path}/index", {}, []
+    for k in range(5):
+        part = rows[k * len(rows) // 5 : (k + 1) * len(rows) // 5]
+        out = substring.remove_repeats(spark.createDataFrame(part, "doc_id long, text string").repartition(2), index=folder).collect()
+        got |= {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in out}
+        tiers.append([t for _, _, t in substring.FingerprintIndex(spark, folder, 3).runs])
+    assert got == want
+    assert tiers == [[0], [0, 0], [1, 0], [1, 0, 0], [2, 0]]
+    # a run that a lost job left half written, and one that a compacted run covers, do not count
+    (tmp_path / "index" / "run-9-9-tier0-bits3").mkdir()
+    index = substring.FingerprintIndex(spark, folder, 3)
+    index._write(index.rows(index.runs[0]).limit(0), (1, 1, 0))
+    assert [t for _, _, t in substring.FingerprintIndex(spark, folder, 3).runs] == [2, 0]
+
+
 def brute_bytes(rows, size=50):
     first, out = {}, {}
     for d, text in rows:
