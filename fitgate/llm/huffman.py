@@ -1,7 +1,7 @@
 """Token ids in files: canonical length-limited Huffman codes, table-driven block decoding.
 
-1. Every text is encoded with the tokenizers library, each distinct run of non-blank text of
-   a slice once, and an end id is appended. The ids are written as 16- or 32-bit integers.
+1. Every text is encoded with the tokenizers library, each distinct run of non-blank text that a
+   Python worker meets once, and an end id is appended. The ids are written as 16- or 32-bit integers.
 2. Global counts of ids (one row per id) give code lengths of at most ``MAX_BITS`` bits by the
    package-merge method, and canonical codes: by length, then by id. The code book is one
    number per id, so it is small whatever the corpus.
@@ -16,9 +16,11 @@ the code book as a table of its own, so Spark writes and reads them on any store
 
 from __future__ import annotations
 
+import json
+import string
 import struct
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,16 +29,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fitgate.llm.blocks import NULL_ID, real_ids
-from fitgate.llm.bpe import END_OF_WORD, slices
+from fitgate.llm.bpe import byte_symbols, slices
 from fitgate.llm.common import Stages
 
+#: The least limit of a code's length; vocabularies of more ids than it allows get a longer one.
 MAX_BITS = 20
 CHECKPOINT = 128
 BLOCK_TOKENS = 1 << 17
-#: Words given to the library in one call.
-CALL_WORDS = 20_000
-#: Words joined to one text.
-JOINED_WORDS = 1_000
 #: Encoded words, and runs of non-blank text, that a Python worker keeps for its next texts (about 200 bytes each).
 KNOWN_WORDS, KNOWN_RUNS = 600_000, 1_000_000
 
@@ -131,16 +130,31 @@ class Coder:
         return out.T.reshape(-1)[:n]
 
 
-_SIMPLE = regex.compile(r"(\p{L}+)([.,;:!?]*)")
+#: Signs behind a word that are cut off it, so that fewer distinct runs have to be encoded.
+_TAIL = string.punctuation
+_TAIL_BYTES = _TAIL.encode()
+#: Letters up to here are letters in every version of Unicode that a library may know.
+_LAST_LETTER = "\ua000"
+
+
+class _Runs(dict):
+    """Ids of runs of non-blank text; a run that is not there is encoded when it is asked for."""
+
+    def __init__(self, encode: Callable[[bytes], bytes]):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, run: bytes) -> bytes:
+        ids = self[run] = self.encode(run)
+        return ids
 
 
 class Library:
     """The tokenizers library over distinct runs of non-blank text; blanks separate words, so they are independent.
 
-    A run of letters, with or without common punctuation behind it, is looked up as the word
-    and the punctuation. New words of ASCII letters are lower-cased and go to the library's model as they
-    are; new words of other letters go through the whole library many to a text, and as each word ends in
-    an end-of-word token, the ids are parted again there; all else goes through it one by one.
+    A run is cut where the tokenizer's own pattern cuts, and its pieces are looked up: far fewer
+    pieces are distinct than runs. New words of letters go through the library's normalizer and, in the byte symbols
+    of its vocabulary, to its model; all else goes through the whole library.
     """
 
     def __init__(self, path: str):
@@ -152,78 +166,69 @@ class Library:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.final = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.final[[i for t, i in vocabulary.items() if t.endswith(END_OF_WORD)]] = True
-        self.words: dict[str, bytes] = {}
-        self.runs: dict[bytes, bytes] = {}
-
-    def _one_by_one(self, words: list[str]) -> None:
-        for i in range(0, len(words), CALL_WORDS):
-            part = words[i : i + CALL_WORDS]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.words[w] = np.array(e.ids, "<u4").tobytes()
-
-    def _joined(self, words: list[str]) -> None:
-        for i in range(0, len(words), JOINED_WORDS):
-            part = words[i : i + JOINED_WORDS]
-            (e,) = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)
-            ids = np.array(e.ids, "<u4")
-            ends = (4 * (np.flatnonzero(self.final[ids]) + 1)).tolist()
-            if len(ends) != len(part):  # a letter whose lower case is more than letters
-                self._one_by_one(part)
-                continue
-            packed, at = ids.tobytes(), 0
-            for w, end in zip(part, ends, strict=True):
-                self.words[w] = packed[at:end]
-                at = end
-
-    def _learn(self, runs: list[bytes]) -> None:
-        """Put new runs into the cache."""
-        parts: list[tuple[bytes, tuple[str, ...]]] = []
-        plain, letters, others = set(), set(), set()
-        for run in runs:
-            if run.isalpha():  # of bytes: ASCII letters only
-                word = run.lower().decode()
-                plain.add(word)
-                parts.append((run, (word,)))
-                continue
+        self.piece = regex.compile(json.loads(self.tokenizer.to_str())["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.symbols = dict(enumerate(byte_symbols()))
+        self.normalize, self.tokenize = self.tokenizer.normalizer.normalize_str, self.tokenizer.model.tokenize
+        self.words: dict[bytes | str, bytes] = {}
+        self.runs = _Runs(self._run)
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, word: bytes) -> bytes:
+        """Ids of a word of lower-case ASCII letters."""
+        ids = self.words.get(word)
+        if ids is None:
+            ids = self.words[word] = array("I", [t.id for t in self.tokenize(word.decode())]).tobytes()
+        return ids
+
+    def _letters(self, word: str) -> bytes:
+        """Ids of a word of letters, as it stands in the text."""
+        ids = self.words.get(word)
+        if ids is None:
+            plain = self.normalize(word)
+            if plain.isalpha() and max(plain) < _LAST_LETTER:
+                ids = array("I", [t.id for t in self.tokenize(plain.encode().decode("latin-1").translate(self.symbols))]).tobytes()
+            else:  # a letter whose lower case is more than letters
+                ids = self._whole(word)
+            self.words[word] = ids
+        return ids
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a piece of ASCII text that the pattern does not cut."""
+        if piece.isalpha():
+            return self._word(piece.encode())
+        ids = self.words.get(piece)
+        if ids is None:
+            ids = self.words[piece] = self._whole(piece)
+        return ids
+
+    def _run(self, run: bytes) -> bytes:
+        if run.isalpha():  # of bytes: ASCII letters only
+            return self._word(run.lower())
+        if run.isascii():
+            word = run.rstrip(_TAIL_BYTES)
+            if word.isalpha():
+                return self._word(word.lower()) + self._piece(run[len(word) :].decode())
             text = run.decode()
-            m = _SIMPLE.fullmatch(text)
-            if m is None:
-                parts.append((run, (text,)))
-                others.add(text)
-                continue
-            word, tail = m.groups()
-            if word.isascii():
-                word = word.lower()
-                plain.add(word)
-            else:
-                letters.add(word)
-            parts.append((run, (word, tail) if tail else (word,)))
-            if tail:
-                others.add(tail)
-        if len(self.words) > KNOWN_WORDS:
-            self.words = {}
-        tokenize = self.tokenizer.model.tokenize
-        for w in plain:
-            if w not in self.words:
-                self.words[w] = array("I", [t.id for t in tokenize(w)]).tobytes()
-        self._joined([w for w in letters if w not in self.words])
-        self._one_by_one([w for w in others if w not in self.words])
-        for run, names in parts:
-            self.runs[run] = self.words[names[0]] if len(names) == 1 else self.words[names[0]] + self.words[names[1]]
+            if text.isprintable() and "<|" not in text:
+                return b"".join(map(self._piece, self.piece.findall(text.lower())))
+            return self._whole(text)
+        text = run.decode()
+        word = text.rstrip(_TAIL)
+        if word.isalpha() and max(word) < _LAST_LETTER:
+            tail = text[len(word) :]
+            return self._letters(word) + self._piece(tail) if tail else self._letters(word)
+        return self._whole(text)
 
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
         """Ids of each text and the end id, as little-endian 32-bit integers."""
-        docs = [(t or "").encode().split() for t in texts]
-        wanted = set().union(*docs)
+        if len(self.words) > KNOWN_WORDS:
+            self.words = {}
         if len(self.runs) > KNOWN_RUNS:
-            self.runs = {}
-        known = self.runs
-        self._learn([run for run in wanted if run not in known])
-        last = struct.pack("<I", end)
-        return [b"".join([*map(known.__getitem__, doc), last]) for doc in docs]
+            self.runs = _Runs(self._run)
+        known, last = self.runs.__getitem__, struct.pack("<I", end)
+        return [b"".join([*map(known, (t or "").encode().split()), last]) for t in texts]
 
 
 _loaded: dict[str, Library] = {}
@@ -279,7 +284,7 @@ def write_files(docs: DataFrame, path: str, end: int, stages: Stages) -> tuple[D
     counts = id_counts(rows).toPandas()
     totals = np.zeros(int(counts["id"].max()) + 1 if len(counts) else 1, np.int64)
     totals[counts["id"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
-    lengths = code_lengths(totals)
+    lengths = code_lengths(totals, max(MAX_BITS, int(np.count_nonzero(totals)).bit_length() + 3))
     used = np.flatnonzero(lengths)
     book = stages.write(spark.createDataFrame(pd.DataFrame({"id": used, "bits": lengths[used]}), "id long, bits int").coalesce(1), "book")
     shared = spark.sparkContext.broadcast(lengths)

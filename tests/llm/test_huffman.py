@@ -77,3 +77,18 @@ def test_files(spark, sf, monkeypatch):
 def test_too_many_ids():
     with pytest.raises(ValueError):
         huffman.code_lengths(np.ones(9), 3)
+
+
+_ALPHABET = ["a", "B", "é", "É", "ß", "İ", "σ", "Σ", "中", "ا", "1", "2", ".", ",", "'s", "'", "n't", "<|", "|>", "<|endoftext|>", "&&&", "-", "_", "$", " ", "\n", "\t", "\x1c", "\x7f", " ", "́", "é", "½", "\U0001f600", "ꙋ", "ꧠ"]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(_ALPHABET), max_size=14).map("".join), max_size=4))
+def test_pieces_are_the_librarys(texts):
+    if "library" not in _kept:
+        _kept["library"], _kept["plain"] = huffman.Library(PATH), Tokenizer.from_file(PATH)
+    got = [np.frombuffer(x, "<u4").tolist() for x in _kept["library"].encode(texts, 2)]
+    assert got == [[*_kept["plain"].encode(t, add_special_tokens=False).ids, 2] for t in texts]
+
+
+_kept: dict = {}
