@@ -3,13 +3,18 @@
 The rank of a position for length m names the m bytes that start there: equal strings, equal
 ranks. Eight bytes are a rank as they stand. From ranks for m bytes, ranks for more come by
 sorting pairs (rank of i, rank of i + offset): 8 + 8 = 16, 16 + 16 = 32, and with an offset of
-18, 50 bytes, the threshold. The pairs of all blocks of documents are sorted by the owners of
-their ranges; a pair that only one document has gets no rank, and its positions drop out.
+18, 50 bytes, the threshold. A pair that only one document has gets no rank, and its positions drop out.
+
+The pairs are scrambled one to one, so that the leading bits deal them evenly over partitions
+whatever the text, and Spark shuffles them by these ranges. A block of documents sends its
+distinct pairs as one packed, sorted list per range; the task of a range merges the lists
+of all blocks (one row per pair would be some ten times the bytes) and answers with ranks.
 
 Which positions take part is decided first. Each window of 50 bytes has a smallest 24-byte
 gram (by hash). A window whose smallest gram is in no other document cannot be repeated, and
 one gram serves the 27 windows around it, so this costs a small part of one round of pairs
-and spares most positions all of them. Nothing is lost: equal windows have equal grams.
+and spares most positions all of them. Nothing is lost: equal windows have equal grams. Runs of
+windows that are left are regions; all rounds read these alone, not the texts again.
 
 Documents are laid out so that near copies tend to share a block; a block sends each pair
 once, with the smallest doc_id that has it, so large groups of copies cost little more than one.
@@ -17,7 +22,9 @@ once, with the smallest doc_id that has it, so large groups of copies cost littl
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import sha256
 
 import numpy as np
@@ -26,249 +33,297 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fitgate.llm import blocks as bl
-from fitgate.llm.common import Stages, mix, word_hashes
+from fitgate.llm.common import Stages, mix
 
 THRESHOLD = 50
 GRAM = 24
 BLOCK_CHARS = 500_000
+#: Parts of the key space that are asked one after the other in each round: bounds the shuffle on disk.
+#: There are at least four ranges, and always a power of two, so each lies in one part.
+PARTS = 4
+#: Packed ranks hardly compress: a fast codec, and no attempt at a dictionary.
+PACKED = {"compression": "lz4_raw", "parquet.enable.dictionary": "false"}
 NAMED = "owner long, block long, kind int, n long, answer binary"
-STATE = "block long, doc_ids array<long>, lengths array<long>, pos binary, ranks binary"
+#: Regions of a block: the document (by its number in the block), the first byte in it, the length; all their bytes; ranks of all their places.
+REGIONS = "block long, doc_ids array<long>, doc array<int>, start array<long>, lengths array<long>, data binary, ranks binary"
 _BITS = np.uint64(44)  # of a rank, for the place among the owner's pairs
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
 def _shifted(a: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate([a[k:], np.zeros(min(k, len(a)), a.dtype)])
 
 
-class Bytes:
-    """The bytes of a block's documents, one after the other."""
+def eight(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one integer; zeros follow the end."""
+    out = data.astype(np.uint64)
+    for k in (1, 2, 4):
+        out = (out << np.uint64(8 * k)) | _shifted(out, k)
+    return out
 
-    def __init__(self, texts):
-        docs = [t.encode() for t in texts]
-        self.lengths = np.array([len(d) for d in docs], np.int64)
-        self.data = np.frombuffer(b"".join(docs), np.uint8)
-        self.ends = np.cumsum(self.lengths)
 
-    def eight(self) -> np.ndarray:
-        out = np.zeros(len(self.data), np.uint64)
-        for k in range(8):
-            out = (out << np.uint64(8)) | _shifted(self.data, k)
-        return out
+class Strings:
+    """Strings of bytes, one after the other."""
+
+    def __init__(self, data: bytes | None, lengths: np.ndarray):
+        self.data, self.lengths = np.frombuffer(data or b"", np.uint8), lengths
+        self.ends = np.cumsum(lengths)
+        self.size = int(self.ends[-1]) if len(lengths) else 0
 
-    def windows(self) -> np.ndarray:
-        """Places where a window of the threshold's length starts."""
-        n = np.maximum(self.lengths - THRESHOLD + 1, 0)
+    def places(self, width: int) -> np.ndarray:
+        """Places where that many bytes of one string start."""
+        n = np.maximum(self.lengths - width + 1, 0)
         first = np.repeat(self.ends - self.lengths - (np.cumsum(n) - n), n)
         return first + np.arange(n.sum())
 
-    def doc_of(self, pos: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.ends, pos, side="right")
+    def string_of(self, places: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.ends, places, side="right")
 
 
-def smallest_grams(b: Bytes, eight: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """For each window the smallest hash of its 24-byte grams, scrambled."""
-    e = mix(eight)
-    h = mix(mix(e * np.uint64(3) + _shifted(e, 8)) * np.uint64(5) + _shifted(e, 16))
+def encoded(texts) -> tuple[Strings, list[bytes]]:
+    docs = [t.encode() for t in texts]
+    return Strings(b"".join(docs), np.array([len(d) for d in docs], np.int64)), docs
+
+
+def window_grams(b: Strings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows of one document with the same smallest 24-byte gram: (gram, document, first place, number of windows)."""
+    starts = b.places(THRESHOLD)
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts, starts, starts
+    e = eight(b.data)
+    h = e * _ODD[0] ^ _shifted(e, 8) * _ODD[1] ^ _shifted(e, 16) * _ODD[2]
+    h = (h ^ (h >> np.uint64(32))) * _ODD[0]
+    h ^= h >> np.uint64(29)
     span, width = THRESHOLD - GRAM + 1, 1
     while 2 * width <= span:
         h = np.minimum(h, _shifted(h, width))
         width *= 2
-    return mix(np.minimum(h[starts], h[starts + span - width])) if len(starts) else np.zeros(0, np.uint64)
+    h = np.minimum(h, _shifted(h, span - width))[starts]
+    doc = b.string_of(starts)
+    new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])))
+    return mix(h[new]), doc[new], starts[new], np.diff(np.append(new, len(starts)))
 
 
-def _groups(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order, starts of groups of equal pairs in that order, group of each element)."""
-    order = np.lexsort((second, first))
-    a, b = first[order], second[order]
-    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])) if len(a) else np.zeros(0, bool)
-    number = np.empty(len(a), np.int64)
-    number[order] = np.cumsum(new) - 1
-    return order, np.flatnonzero(new), number
-
-
-def _pair_requests(block: int, kind: int, bits: int, a: np.ndarray, b: np.ndarray, doc_ids: np.ndarray) -> Iterator[tuple]:
-    """Distinct pairs of ranks of a block, with whether several documents have them and the smallest doc_id."""
-    order, starts, _ = _groups(mix(a), b)
+def regions_of(b: Strings, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, first byte in it, length) of the stretches that runs of windows cover together."""
+    if not len(first):
+        return first, first, first
+    doc = b.string_of(first)
+    new = np.flatnonzero(np.append(True, (first[1:] != first[:-1] + n[:-1]) | (doc[1:] != doc[:-1])))
+    last = np.append(new[1:], len(first)) - 1
+    start = first[new]
+    return doc[new], start - (b.ends - b.lengths)[doc[new]], first[last] + n[last] - start + THRESHOLD - 1
+
+
+def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first rank of each pair scrambled with the second: key and second rank give the first back, so equal keys
+    with equal second ranks are equal pairs."""
+    return mix(a ^ mix(b * _ODD[0]))
+
+
+def _groups(key: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, starts of groups of equal (key, b) in that order), ascending by key."""
+    if not len(key):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.argsort(key)
+    k, s = key[order], b[order]
+    new = np.append(True, k[1:] != k[:-1])
+    if np.any(~new[1:] & (s[1:] != s[:-1])):  # different pairs with one key: rare, so they cost the longer sort only then
+        order = np.lexsort((b, key))
+        k, s = key[order], b[order]
+        new = np.append(True, (k[1:] != k[:-1]) | (s[1:] != s[:-1]))
+    return order, np.flatnonzero(new)
+
+
+def _spread(values: np.ndarray, order: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """One value per group to all its elements."""
+    out = np.empty(len(order), values.dtype)
+    out[order] = np.repeat(values, np.diff(np.append(starts, len(order))))
+    return out
+
+
+def _pair_requests(block: int, kind: int, bits: int, key: np.ndarray, b: np.ndarray, doc_ids: np.ndarray, last: bool) -> Iterator[tuple]:
+    """Distinct pairs of ranks of a block, with whether several documents have them (in the last round also the smallest doc_id)."""
+    order, starts = _groups(key, b)
     if not len(starts):
         return
-    low, high = np.minimum.reduceat(doc_ids[order], starts), np.maximum.reduceat(doc_ids[order], starts)
-    key, second = mix(a)[order[starts]], b[order[starts]]
+    ids = doc_ids[order]
+    low, high = np.minimum.reduceat(ids, starts), np.maximum.reduceat(ids, starts)
+    key, second = key[order[starts]], b[order[starts]]
     edges = np.searchsorted(key, np.arange(1, 2**bits, dtype=np.uint64) << np.uint64(64 - bits))
     for owner, (x, y) in enumerate(zip([0, *edges], [*edges, len(key)], strict=True)):
         if x < y:
-            extra = bl.pack(second[x:y]) + bl.pack((low[x:y] * 2 + (low[x:y] != high[x:y])).view(np.uint64))
+            extra = bl.pack(second[x:y]) + (bl.pack(low[x:y].view(np.uint64)) if last else np.packbits(low[x:y] != high[x:y]).tobytes())
             yield owner, block, kind, int(y - x), bl.pack_sorted(key[x:y]), extra
 
 
 def rank_pairs(asked: DataFrame, last: bool) -> DataFrame:
-    """Answers to pairs, sorted by their owner: the rank of each, 0 if one document has it alone;
-    in the last round the smallest doc_id instead."""
+    """Answers to pairs, sorted within their range: the rank of each, 0 if one document has it alone;
+    in the last round the smallest doc_id instead. A document lies in one block, so a pair of two blocks has two documents
+    (but for rows with one doc_id, whose pairs may get a rank they would not need)."""
 
     def sort(group: pd.DataFrame) -> pd.DataFrame:
+        n = group["n"].tolist()
         keys = np.concatenate([bl.unpack_sorted(k) for k in group["keys"]])
-        halves = [(bl.unpack(x[: len(x) // 2]), bl.unpack(x[len(x) // 2 :]).view(np.int64)) for x in group["extra"]]
-        second, docs = (np.concatenate(x) for x in zip(*halves, strict=True))
-        order, starts, number = _groups(keys, second)
-        low = np.minimum.reduceat(docs[order] >> 1, starts)
+        second = np.concatenate([bl.unpack(x[: 8 * m]) for x, m in zip(group["extra"], n, strict=True)])
+        order, starts = _groups(keys, second)
+        del keys, second
         if last:
-            value = low.view(np.uint64)[number]
+            docs = np.concatenate([bl.unpack(x[8 * m :]) for x, m in zip(group["extra"], n, strict=True)]).view(np.int64)
+            value = np.minimum.reduceat(docs[order], starts).view(np.uint64)
         else:
-            shared = (np.maximum.reduceat(docs[order] >> 1, starts) != low) | (np.maximum.reduceat(docs[order] & 1, starts) > 0)
-            rank = (np.uint64(group["owner"].iloc[0]) << _BITS) + np.arange(1, len(starts) + 1, dtype=np.uint64)
-            value = np.where(shared, rank, np.uint64(0))[number]
-        out, at = [], 0
-        for row in group.itertuples(index=False):
-            out.append((row.owner, row.block, row.kind, row.n, bl.pack(value[at : at + row.n])))
-            at += row.n
-        return pd.DataFrame(out, columns=["owner", "block", "kind", "n", "answer"])
+            several = np.concatenate([np.unpackbits(np.frombuffer(x[8 * m :], np.uint8), count=m) for x, m in zip(group["extra"], n, strict=True)])
+            shared = (np.diff(np.append(starts, len(order))) > 1) | (np.maximum.reduceat(several[order], starts) > 0)
+            rank = (np.uint64(group["owner"].iloc[0]) << _BITS) + np.cumsum(shared).astype(np.uint64)
+            value = np.where(shared, rank, np.uint64(0))
+        value = _spread(value, order, starts)
+        edges = np.cumsum(n)
+        answers = [bl.pack(value[e - m : e]) for e, m in zip(edges, n, strict=True)]
+        return pd.DataFrame({"owner": group["owner"], "block": group["block"], "kind": group["kind"], "n": group["n"], "answer": answers})
 
     return asked.groupBy("owner").applyInPandas(sort, NAMED)
 
 
-def _answered(found: dict, kind: int, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+def _answered(found: dict, kind: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The answers of one kind, for every (not only every distinct) pair."""
-    if not len(first):
+    if not len(a):
         return np.zeros(0, np.uint64)
-    _, _, number = _groups(mix(first), second)
-    return np.concatenate([bl.unpack(a) for a, _ in found[kind]])[number]
-
+    order, starts = _groups(pair_keys(a, b), b)
+    return _spread(np.concatenate([bl.unpack(x) for x, _ in found[kind]]), order, starts)
 
-def _at(pos: np.ndarray, ranks: np.ndarray, where: np.ndarray) -> np.ndarray:
-    """Ranks at some places, 0 where there is none."""
-    if not len(pos):
-        return np.zeros(len(where), np.uint64)
-    i = np.minimum(np.searchsorted(pos, where), len(pos) - 1)
-    return np.where(pos[i] == where, ranks[i], np.uint64(0))
 
+_ASKED = [c.split()[0] for c in bl.REQUEST.split(", ")]
 
-def _spread(starts: np.ndarray, *offsets: int) -> np.ndarray:
-    return np.unique(np.concatenate([starts + o for o in offsets])) if len(starts) else starts
 
-
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept (binary).
+def remove_repeats(docs: DataFrame, texts: bool = True) -> DataFrame:
+    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept (binary; NULL unless ``texts``), kept_sha256.
 
     The UTF-8 bytes that lie in a string of 50 bytes which also starts in a document with a
     smaller doc_id go; ``n_spans`` counts maximal removed runs. Documents with the same doc_id do not
     remove each other's bytes. NULL text has no bytes. A NULL doc_id is smaller than all others. Other columns are
-    ignored; an empty table gives an empty result.
+    ignored; an empty table gives an empty result. A text is never cut: one document lies in one block, however long.
     """
     spark = docs.sparkSession
     stages = Stages(spark, "suffixes")
 
     @F.pandas_udf("long")
     def layout(texts: pd.Series) -> pd.Series:
-        """The smallest hash of the longer words: often equal for near copies."""
-        longer = ([w for w in t.encode().split() if len(w) > 8] for t in texts)
-        return pd.Series([int(word_hashes(w).min() >> np.uint64(1)) if w else 0 for w in longer])
+        """The smallest checksum of the longer words: often equal for near copies."""
+        return pd.Series([min(map(zlib.crc32, (w for w in t.encode().split() if len(w) > 8)), default=0) for t in texts])
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit(True).alias("flag")).withColumn("near", layout("text"))
     blocks = bl.text_blocks(rows, stages, order_by=("near", "doc_id"), chars=BLOCK_CHARS)
     size = blocks.select(F.sum(F.aggregate("texts", F.lit(0).cast("long"), lambda n, t: n + F.octet_length(t)))).first()[0] or 0
-    gram_bits, pair_bits = bl.owners_for(size // 12), bl.owners_for(size // 4)
-
-    def ids_of(row) -> np.ndarray:
-        # requests carry a flag in the lowest bit of an id
-        return np.maximum(np.asarray(row.doc_ids, np.int64), -(2**61))
-
-    def candidates(row, found) -> tuple[Bytes, np.ndarray, np.ndarray]:
-        b = Bytes(row.texts)
-        eight, starts = b.eight(), b.windows()
-        grams = smallest_grams(b, eight, starts)
-        if not len(grams):
-            return b, eight, starts
-        _, number = np.unique(grams, return_inverse=True)
-        return b, eight, starts[np.concatenate([bl.unpack(a) for a, _ in found[0]])[number] > 1]
+    bits = bl.owners_for(size // 8)
 
     def ask_grams(block: int, _, texts, flags) -> Iterator[tuple]:
-        b = Bytes(texts)
-        starts = b.windows()
-        grams = smallest_grams(b, b.eight(), starts)
-        doc = b.doc_of(starts)
-        change = np.flatnonzero(np.append(True, (grams[1:] != grams[:-1]) | (doc[1:] != doc[:-1]))) if len(grams) else np.zeros(0, np.int64)
-        grams, doc = grams[change], doc[change]
-        order = np.lexsort((doc, grams))
+        grams, doc, _, _ = window_grams(encoded(texts)[0])
+        order = np.argsort(grams)
         g, d = grams[order], doc[order]
         new = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else np.zeros(0, np.int64)
         several = np.minimum.reduceat(d, new) != np.maximum.reduceat(d, new) if len(g) else new
-        yield from bl.requests(block, 0, g[new], gram_bits, 1 + several)
+        yield from bl.requests(block, 0, g[new], bits, 1 + several)
 
     grams = stages.write(bl.total_answers(bl.send(blocks, ask_grams)), "grams")
 
-    def ask16(row, found) -> pd.DataFrame:
-        b, eight, starts = candidates(row, found)
-        pos = _spread(starts, 0, 16, 18, 34)
-        out = _pair_requests(row.block, 1, pair_bits, eight[pos], eight[pos + 8], ids_of(row)[b.doc_of(pos)])
-        return pd.DataFrame(list(out), columns=["owner", "block", "kind", "n", "keys", "extra"])
-
-    sixteen = stages.write(rank_pairs(bl.with_answers(blocks, grams, ask16, bl.REQUEST), False), "ranks16")
-
-    def state16(row, found) -> pd.DataFrame:
-        b, eight, starts = candidates(row, found)
-        pos = _spread(starts, 0, 16, 18, 34)
-        ranks = _answered(found, 1, eight[pos], eight[pos + 8])
-        return _state(row, b.lengths, pos[ranks > 0], ranks[ranks > 0])
+    def cut_regions(row, found) -> pd.DataFrame:
+        b, _ = encoded(row.texts)
+        grams, _, first, n = window_grams(b)
+        if len(grams):
+            order = np.argsort(grams)
+            g = grams[order]
+            starts = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+            shared = _spread(np.concatenate([bl.unpack(x) for x, _ in found[0]]), order, starts) > 1
+            first, n = first[shared], n[shared]
+        doc, start, lengths = regions_of(b, first, n)
+        at = (b.ends - b.lengths)[doc] + start if len(doc) else doc
+        data = b"".join(b.data[x : x + m].tobytes() for x, m in zip(at, lengths, strict=True))
+        return pd.DataFrame({"block": [row.block], "doc_ids": [row.doc_ids], "doc": [doc.astype(np.int32)], "start": [start], "lengths": [lengths], "data": [data], "ranks": [None]})
+
+    regions = stages.write(bl.with_answers(blocks, grams, cut_regions, REGIONS), "regions")
+    stages.drop("grams")
 
-    def _state(row, lengths, pos, ranks) -> pd.DataFrame:
-        return pd.DataFrame({"block": [row.block], "doc_ids": [row.doc_ids], "lengths": [lengths], "pos": [bl.pack_sorted(pos.astype(np.uint64))], "ranks": [bl.pack(ranks)]})
+    def pairs(row, offset: int, length: int) -> tuple[Strings, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Places where a string of that length starts and both its parts have ranks, with these ranks and the doc_id."""
+        b = Strings(row.data, np.asarray(row.lengths, np.int64))
+        ranks = eight(b.data) if row.ranks is None else bl.unpack(row.ranks)
+        places = b.places(length)
+        first, second = ranks[places], ranks[places + offset]
+        if row.ranks is not None:
+            there = (first > 0) & (second > 0)
+            places, first, second = places[there], first[there], second[there]
+        ids = np.asarray(row.doc_ids, np.int64)[np.asarray(row.doc, np.int64)[b.string_of(places)]]
+        return b, places, first, second, ids
+
+    def ask(state: DataFrame, kind: int, offset: int, length: int, part: int, parts: int) -> DataFrame:
+        """Requests for pairs, those whose keys lie in one part of the key space only."""
+        low, high = (part << 64) // parts, ((part + 1) << 64) // parts - 1
 
-    first = stages.write(bl.with_answers(blocks, grams.unionByName(sixteen), state16, STATE), "state16")
-    stages.drop("grams")
-    stages.drop("ranks16")
-
-    def pairs(row, offset: int, length: int):
-        """Positions whose rank and whose rank at the offset are both there, with both and the document:
-        of strings of that length that end in the document where they start."""
-        pos, ranks = bl.unpack_sorted(row.pos).astype(np.int64), bl.unpack(row.ranks)
-        ends = np.cumsum(row.lengths)
-        doc = np.searchsorted(ends, pos, side="right")
-        other = _at(pos, ranks, pos + offset)
-        keep = (other > 0) & (doc == np.searchsorted(ends, pos + length - 1, side="right"))
-        return pos[keep], ranks[keep], other[keep], doc[keep]
-
-    def ask_pairs(state: DataFrame, kind: int, offset: int, length: int) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 for row in batch.itertuples(index=False):
-                    _, a, b, doc = pairs(row, offset, length)
-                    yield pd.DataFrame(list(_pair_requests(row.block, kind, pair_bits, a, b, ids_of(row)[doc])), columns=["owner", "block", "kind", "n", "keys", "extra"])
+                    _, _, a, b, ids = pairs(row, offset, length)
+                    key = pair_keys(a, b)
+                    inside = (key >= np.uint64(low)) & (key <= np.uint64(high))
+                    key, b, ids = key[inside], b[inside], ids[inside]
+                    yield pd.DataFrame(list(_pair_requests(row.block, kind, bits, key, b, ids, length == THRESHOLD)), columns=_ASKED)
 
         return state.mapInPandas(run, bl.REQUEST)
 
-    thirty_two = stages.write(rank_pairs(ask_pairs(first, 2, 16, 32), False), "ranks32")
+    def answered(state: DataFrame, kind: int, offset: int, length: int) -> DataFrame:
+        """The answers to all pairs, written part by part of the key space."""
+        parts = [stages.write(rank_pairs(ask(state, kind, offset, length, part, PARTS), length == THRESHOLD), f"ranks{length}-{part}", **PACKED) for part in range(PARTS)]
+        return reduce(DataFrame.unionByName, parts)
+
+    def ranked(state: DataFrame, kind: int, offset: int, length: int) -> DataFrame:
+        """The state with ranks for the greater length; the bytes are needed no more."""
+        answers = answered(state, kind, offset, length)
 
-    def state32(row, found) -> pd.DataFrame:
-        pos, a, b, _ = pairs(row, 16, 32)
-        ranks = _answered(found, 2, a, b)
-        return _state(row, row.lengths, pos[ranks > 0], ranks[ranks > 0])
+        def take(row, found) -> pd.DataFrame:
+            b, places, first, second, _ = pairs(row, offset, length)
+            ranks = np.zeros(b.size, np.uint64)
+            ranks[places] = _answered(found, kind, first, second)
+            return pd.DataFrame([row._replace(data=None, ranks=bl.pack(ranks))])
+
+        out = stages.write(bl.with_answers(state, answers, take, REGIONS), f"state{length}", **PACKED)
+        stages.keep("blocks", f"state{length}")
+        return out
 
-    second = stages.write(bl.with_answers(first, thirty_two, state32, STATE), "state32")
-    stages.drop("state16")
-    stages.drop("ranks32")
-    fifty = stages.write(rank_pairs(ask_pairs(second, 3, 18, THRESHOLD), True), "docs50")
+    state16 = ranked(regions, 1, 8, 16)
+    state32 = ranked(state16, 2, 16, 32)
+    answers = answered(state32, 3, 18, THRESHOLD)
 
     def found_in(row, found) -> pd.DataFrame:
-        pos, a, b, doc = pairs(row, 18, THRESHOLD)
-        earliest = _answered(found, 3, a, b).view(np.int64)
-        gone = pos[earliest < ids_of(row)[doc]].astype(np.uint64)
-        return pd.DataFrame({"owner": [0], "block": [row.block], "kind": [4], "n": [len(gone)], "answer": [bl.pack_sorted(gone)]})
+        """First bytes of strings that an earlier document has, as places in the block's texts."""
+        b, places, first, second, ids = pairs(row, 18, THRESHOLD)
+        gone = places[_answered(found, 3, first, second).view(np.int64) < ids]
+        region = b.string_of(gone)
+        at = gone - (b.ends - b.lengths)[region] + np.asarray(row.start, np.int64)[region]
+        doc = np.asarray(row.doc, np.uint64)[region]
+        return pd.DataFrame({"owner": [0], "block": [row.block], "kind": [4], "n": [len(gone)], "answer": [bl.pack(doc) + bl.pack(at.astype(np.uint64))]})
 
-    gone = stages.write(bl.with_answers(second, fifty, found_in, NAMED), "gone")
-    stages.drop("state32")
-    stages.drop("docs50")
+    gone = stages.write(bl.with_answers(state32, answers, found_in, NAMED), "gone", **PACKED)
+    stages.keep("blocks", "gone")
 
     def cut(row, found) -> pd.DataFrame:
-        b = Bytes(row.texts)
-        starts = bl.unpack_sorted(found[4][0][0]).astype(np.int64) if 4 in found else np.zeros(0, np.int64)
-        edge = np.zeros(len(b.data) + 1, np.int64)
-        edge[starts] += 1
-        edge[starts + THRESHOLD] -= 1
-        covered = np.cumsum(edge)[:-1] > 0
+        docs = [t.encode() for t in row.texts]
+        where: dict[int, np.ndarray] = {}
+        if 4 in found and found[4][0][1]:
+            answer, n = found[4][0]
+            doc, at = bl.unpack(answer[: 8 * n]).astype(np.int64), bl.unpack(answer[8 * n :]).astype(np.int64)
+            new = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+            where = dict(zip(doc[new].tolist(), np.split(at, new[1:]), strict=True))
         out = []
-        for end, n in zip(b.ends, b.lengths, strict=True):
-            c = covered[end - n : end]
-            kept = b.data[end - n : end][~c].tobytes()
-            out.append((n, int(c.sum()), int((c & ~np.append(False, c[:-1])).sum()), kept, sha256(kept).hexdigest()))
+        for i, data in enumerate(docs):
+            removed = spans = 0
+            if i in where:
+                edge = np.zeros(len(data) + 1, np.int32)
+                edge[where[i]] += 1
+                edge[where[i] + THRESHOLD] -= 1
+                covered = np.cumsum(edge)[:-1] > 0
+                removed, spans = int(covered.sum()), int((covered & ~np.append(False, covered[:-1])).sum())
+                data = np.frombuffer(data, np.uint8)[~covered].tobytes()
+            out.append((len(docs[i]), removed, spans, data if texts else None, sha256(data).hexdigest()))
         result = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
         result.insert(0, "doc_id", bl.real_ids(row.doc_ids))
         return result
