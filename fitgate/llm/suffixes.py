@@ -41,8 +41,8 @@ BLOCK_CHARS = 500_000
 #: Parts of the key space that are asked one after the other in each round: bounds the shuffle on disk.
 #: There are at least four ranges, and always a power of two, so each lies in one part.
 PARTS = 4
-#: Packed ranks hardly compress: a fast codec, and no attempt at a dictionary.
-PACKED = {"compression": "lz4_raw", "parquet.enable.dictionary": "false"}
+#: Packed ranks are few large values: no attempt at a dictionary.
+PACKED = {"parquet.enable.dictionary": "false"}
 NAMED = "owner long, block long, kind int, n long, answer binary"
 #: Regions of a block: the document (by its number in the block), the first byte in it, the length; all their bytes; ranks of all their places.
 REGIONS = "block long, doc_ids array<long>, doc array<int>, start array<long>, lengths array<long>, data binary, ranks binary"
