@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fitgate.llm import bpe, decontaminate, huffman, jaccard, language, language_model, pii, quality, substring, suffixes
+from fitgate.llm import bpe, centroids, decontaminate, huffman, jaccard, language, language_model, pii, quality, substring, suffixes
 from fitgate.llm.common import documents
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -86,13 +86,40 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(documents(spark, sf_dir), texts=False).drop("kept")
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         op1_token_files, op2_lm_scoring, op3_language_id, op4_decontamination, op5_substring_dedup, op6_jaccard_join, op7_quality_rules, op8_pii, op9_bpe, op10_suffix_dedup,
+        op11_centroid_clustering,
         quality_rule_ablations,
     )
     return {f.__name__: f for f in named}
 
 
+def _clustering_sql(k: int = centroids.CLUSTERS, rounds: int = centroids.ROUNDS) -> str:
+    """The same rounds with every distance worked out."""
+    size = centroids.DIMENSIONS
+    parts = [
+        f"""kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor({centroids.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {size})""",
+        f"c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY h, v) - 1 AS INTEGER) AS c, v FROM (SELECT sha256('{centroids.SEED}:' || vec_id) AS h, v FROM kept ORDER BY h, v LIMIT {k}))",
+    ]
+    square = "list_sum(list_transform(list_zip(kept.v, {c}.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    for i in range(rounds + 1):
+        parts.append(f"a{i} AS MATERIALIZED (SELECT r, vec_id, kept.v, min(struct_pack(d := CAST({square.format(c=f'c{i}')} AS BIGINT), c := c)) AS m FROM kept, c{i} GROUP BY ALL)")
+        if i < rounds:
+            parts.append(f"s{i} AS (SELECT m.c AS c, j, sum(v[j]) AS s, count(*) AS n FROM a{i}, range(1, {size + 1}) t(j) GROUP BY ALL)")
+            parts.append(f"n{i} AS (SELECT c, list((CAST(s AS BIGINT) - ((CAST(s AS BIGINT) % n) + n) % n) // n ORDER BY j) AS v FROM s{i} GROUP BY c)")
+            parts.append(f"c{i + 1} AS MATERIALIZED (SELECT c, coalesce(n{i}.v, c{i}.v) AS v FROM c{i} LEFT JOIN n{i} USING (c))")
+    last = rounds
+    return f"""WITH {", ".join(parts)}
+        SELECT vec_id, c AS cluster, m.d AS distance, CAST(sum(m.d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(m.d) OVER () AS BIGINT) AS inertia,
+               sha256(array_to_string(c{last}.v, ',')) AS centroid_sha256
+        FROM a{last} JOIN c{last} ON m.c = c"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_centroid_clustering": _clustering_sql()}
