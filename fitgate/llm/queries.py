@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fitgate.llm import bpe, centroids, decontaminate, huffman, jaccard, language, language_model, pii, quality, substring, suffixes
+from fitgate.llm import bpe, centroids, decontaminate, huffman, jaccard, language, language_model, pii, quality, spelling, substring, suffixes
 from fitgate.llm.common import documents
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -90,10 +90,14 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_forms(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         op1_token_files, op2_lm_scoring, op3_language_id, op4_decontamination, op5_substring_dedup, op6_jaccard_join, op7_quality_rules, op8_pii, op9_bpe, op10_suffix_dedup,
-        op11_centroid_clustering,
+        op11_centroid_clustering, op13_spelling_variants,
         quality_rule_ablations,
     )
     return {f.__name__: f for f in named}
