@@ -38,7 +38,7 @@ Elements are 64-bit hashes of shingles; sets are compared exactly as sets of the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -56,7 +56,7 @@ ORDERS = 3
 NEAR, TURNS = 0.3, 3
 #: Members of a deviation key that all others of it are compared with.
 CHIEFS = 3
-_SEEDS = np.array([0x2545F4914F6CDD1D, 0x8CB92BA72F3D8DD7, 0x6A09E667F3BCC909], np.uint64)
+SET_SEEDS = np.array([0x2545F4914F6CDD1D, 0x8CB92BA72F3D8DD7, 0x6A09E667F3BCC909], np.uint64)
 
 
 def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -73,7 +73,7 @@ def prefix(elements: np.ndarray, holders: np.ndarray, order: int, percent: int)
     n = len(elements)
     length = n - -(-n * percent // 100) + 1
     weight = holders if order == 0 else np.frexp(holders.astype(np.float64))[1]
-    first = np.lexsort((mix(elements ^ _SEEDS[order]), weight))[:length]
+    first = np.lexsort((mix(elements ^ SET_SEEDS[order]), weight))[:length]
     return elements[first[holders[first] > 1]]
 
 
@@ -85,13 +85,13 @@ SIGNED = "doc_id long, n long, d1 long, d2 long, s binary, h binary, alone long,
 
 def sketch(elements: np.ndarray) -> list[int]:
     """For each of 64 * SKETCH bits, whether an odd number of elements falls on it. Two sets differ in at least as many elements as their sketches in bits."""
-    bits = np.bincount((mix(elements ^ _SEEDS[0]) >> np.uint64(8)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
+    bits = np.bincount((mix(elements ^ SET_SEEDS[0]) >> np.uint64(8)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
 
 
-def _signatures(docs: DataFrame, stages: Stages, size: int, percent: int) -> DataFrame:
-    """SIGNED rows for all documents: set size and a 128-bit digest; for those that may have a partner also the set, its numbers of holders
-    (16 bits each), how many it holds alone, the sketch of the others, and its prefixes, as packed longs."""
+def set_signatures(docs: DataFrame, stages: Stages, size: int, percent: int, prefixes: bool = True) -> DataFrame:
+    """SIGNED rows for all documents: set size and a 128-bit digest; for those that may have a partner among these documents also the set, its numbers
+    of holders (16 bits each), how many it holds alone, the sketch of the others, and, if asked for, its prefixes, as packed longs."""
     blocks = text_blocks(docs.withColumn("flag", F.lit(True)), stages)
     chars = blocks.select(F.sum(F.aggregate("texts", F.lit(0).cast("long"), lambda n, t: n + F.length(t)))).first()[0] or 0
     bits = owners_for(chars // 6)
@@ -119,7 +119,7 @@ def _signatures(docs: DataFrame, stages: Stages, size: int, percent: int) -> Dat
             start += len(s)
             numbers["n"][i] = len(s)
             for k, d in enumerate(("d1", "d2")):
-                numbers[d][i] = mix(s ^ _SEEDS[k]).sum(dtype=np.uint64).view(np.int64)
+                numbers[d][i] = mix(s ^ SET_SEEDS[k]).sum(dtype=np.uint64).view(np.int64)
             shared = h > 1
             among = int(np.count_nonzero(shared))
             if not len(s) or 100 * among < percent * len(s):
@@ -129,7 +129,7 @@ def _signatures(docs: DataFrame, stages: Stages, size: int, percent: int) -> Dat
             for k, word in enumerate(sketch(s[shared])):
                 numbers[f"b{k}"][i] = word
             packed["s"][i], packed["h"][i] = s.tobytes(), np.minimum(h, 65535).astype(np.uint16).tobytes()
-            for k in range(ORDERS):
+            for k in range(ORDERS if prefixes else 0):
                 packed[f"p{k}"][i] = prefix(s, h, k, percent).tobytes()
         # NULL among integers must not make floats of them
         bounds = {c: pd.arrays.IntegerArray(numbers[c], none.copy()) for c in BOUNDS if c != "n"}
@@ -164,7 +164,7 @@ def _with_sets(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
     return pairs
 
 
-def _measured(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def measured(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b, linked, j): whether and how similar the pairs are."""
     both = _with_sets(stars, sets, "n", "s").select("a", "b", "x_n", "y_n", _common("x_s", "y_s").alias("c"))
     union = F.col("x_n") + F.col("y_n") - F.col("c")
@@ -230,47 +230,21 @@ def _may_link(x: str, y: str, percent: int) -> Column:
     return ((100 + percent) * differ <= (100 - percent) * (n1 + n2)) & (100 * n1 >= percent * n2) & (100 * n2 >= percent * n1)
 
 
-def similar_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every document.
+def linked_groups(rows: DataFrame, sets: DataFrame, stages: Stages, percent: int, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, component) of all documents that link with another one.
 
-    Documents link when 100 * |A & B| >= percent * |A | B| over their distinct word shingles; the
-    component is the smallest doc_id that links reach. Texts with fewer words than a shingle
-    have one element, their whole sequence; texts without words (or NULL) have none and link with nothing.
-    Repeated rows with one doc_id give one row; if their texts differ, only the one with the smallest set digest
-    counts. Rows with a NULL doc_id are left out; other columns are ignored; an empty table gives an empty result.
+    rows (doc_id, t), a written table: documents that link share a key t. sets: rows of SIGNED with a set, one for each document of rows. verified: which of the
+    pairs (a, b), two documents that may link, do. The latest written tables begin with ``last-``.
     """
-    stages = Stages(docs.sparkSession, "jaccard")
-    docs = docs.select("doc_id", "text").where("doc_id is not null")
-    signed = _signatures(docs, stages, size, percent)
-    stages.drop("blocks")
-    stages.drop("holders")
-    digest = ["n", "d1", "d2"]
-    members = signed.groupBy("doc_id").agg(F.min(F.struct(*digest)).alias("d"), F.max(F.struct(*digest)).alias("other"))
-    clash = members.where("d <> other").select("doc_id", "d")
-    members = members.select("doc_id", "d.*")
-    some = signed.where("s is not null").join(clash, "doc_id", "left").where(F.col("d").isNull() | (F.col("d") == F.struct(*digest))).drop("d")
-    # a set that several documents have is one representative, whatever the number of its copies
-    reps = some.groupBy(*digest).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    reps = some.drop("d1", "d2").join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = stages.write(reps, "sets")
-    alive = sets.select("doc_id", *[f"p{k}" for k in range(ORDERS)])
-
-    for k in range(ORDERS):
-        rows = alive.select("doc_id", F.explode(_unpack(f"p{k}")).alias("t"))
-        shared = rows.groupBy("t").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("t")
-        found = rows.join(shared, "t", "left_semi").select("doc_id").distinct()
-        alive = stages.write(alive.join(found, "doc_id", "left_semi"), f"alive{k}")
-
     # leaders: all members of a bucket are measured against its smallest document, those far from it choose again
-    rows = stages.write(alive.select("doc_id", F.explode(_unpack("p0")).alias("t")), "rows0")
     near, known = None, None
     for turn in range(TURNS):
         leader = rows.groupBy("t").agg(F.min("doc_id").alias("b"))
         led = rows.join(leader, "t").where("doc_id <> b")
         stars = stages.write(led.select(F.col("doc_id").alias("a"), "b").distinct(), f"stars{turn}")
-        measured = stages.write(_measured(stars, sets, percent), f"measured{turn}")
-        known = measured if known is None else known.unionByName(measured)
-        on = led.withColumnRenamed("doc_id", "a").join(measured.where(F.col("j") <= NEAR + 1 - percent / 100), ["a", "b"])
+        similar = stages.write(measured(stars, sets, percent), f"measured{turn}")
+        known = similar if known is None else known.unionByName(similar)
+        on = led.withColumnRenamed("doc_id", "a").join(similar.where(F.col("j") <= NEAR + 1 - percent / 100), ["a", "b"])
         rows = stages.write(on.select(F.col("a").alias("doc_id"), "t"), f"rows{turn + 1}")
     links = known.where("linked").select("a", "b").distinct()
     components = lambda name: stages.write(connected(links, stages, name), f"{name}-all").withColumnRenamed("component", "c")
@@ -292,7 +266,7 @@ def similar_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCE
     chiefs = second(chiefs.select(F.explode("y").alias("y")).select("y.*"), by=("role", "key"))
     led = at.where("not linked").join(chiefs, ["role", "key"]).where((F.col("a") != F.col("b")) & differ & _may_link("", "y_", percent))
     led = stages.write(led.select(*pair).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti"), "by_chief")
-    links = links.unionByName(stages.write(_verified(led, sets, percent), "linked")).distinct()
+    links = links.unionByName(stages.write(verified(led), "linked")).distinct()
     groups = components("then")
 
     at = stages.write(placed(keys, "a", "ca"), "placed")
@@ -306,8 +280,43 @@ def similar_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCE
     left = left.join(mixed, "t", "left_semi")
     strangers = left.join(second(left, by=("t",)), "t").where((F.col("b") < F.col("a")) & differ & _may_link("", "y_", percent)).select("a", "b")
     candidates = stages.write(by_deviation.unionByName(strangers.distinct()).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti"), "candidates")
-    more = stages.write(_verified(candidates, sets, percent), "more")
-    final = connected(links.unionByName(more), stages, "last").withColumnRenamed("node", "rep")
+    more = stages.write(verified(candidates), "more")
+    return connected(links.unionByName(more), stages, "last")
+
+
+def similar_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every document.
+
+    Documents link when 100 * |A & B| >= percent * |A | B| over their distinct word shingles; the
+    component is the smallest doc_id that links reach. Texts with fewer words than a shingle
+    have one element, their whole sequence; texts without words (or NULL) have none and link with nothing.
+    Repeated rows with one doc_id give one row; if their texts differ, only the one with the smallest set digest
+    counts. Rows with a NULL doc_id are left out; other columns are ignored; an empty table gives an empty result.
+    """
+    stages = Stages(docs.sparkSession, "jaccard")
+    docs = docs.select("doc_id", "text").where("doc_id is not null")
+    signed = set_signatures(docs, stages, size, percent)
+    stages.drop("blocks")
+    stages.drop("holders")
+    digest = ["n", "d1", "d2"]
+    members = signed.groupBy("doc_id").agg(F.min(F.struct(*digest)).alias("d"), F.max(F.struct(*digest)).alias("other"))
+    clash = members.where("d <> other").select("doc_id", "d")
+    members = members.select("doc_id", "d.*")
+    some = signed.where("s is not null").join(clash, "doc_id", "left").where(F.col("d").isNull() | (F.col("d") == F.struct(*digest))).drop("d")
+    # a set that several documents have is one representative, whatever the number of its copies
+    reps = some.groupBy(*digest).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    reps = some.drop("d1", "d2").join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = stages.write(reps, "sets")
+    alive = sets.select("doc_id", *[f"p{k}" for k in range(ORDERS)])
+
+    for k in range(ORDERS):
+        rows = alive.select("doc_id", F.explode(_unpack(f"p{k}")).alias("t"))
+        shared = rows.groupBy("t").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("t")
+        found = rows.join(shared, "t", "left_semi").select("doc_id").distinct()
+        alive = stages.write(alive.join(found, "doc_id", "left_semi"), f"alive{k}")
+
+    rows = stages.write(alive.select("doc_id", F.explode(_unpack("p0")).alias("t")), "rows0")
+    final = linked_groups(rows, sets, stages, percent, lambda pairs: _verified(pairs, sets, percent)).withColumnRenamed("node", "rep")
     stages.keep("signed", "last-")
 
     by_digest = some.groupBy(*digest).agg(F.min("doc_id").alias("rep"))

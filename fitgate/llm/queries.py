@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fitgate.llm import bpe, centroids, decontaminate, huffman, jaccard, language, language_model, pii, quality, spelling, substring, suffixes
+from fitgate.llm import bpe, centroids, decontaminate, huffman, hyperminhash, jaccard, language, language_model, pii, quality, spelling, substring, suffixes
 from fitgate.llm.common import documents
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -90,6 +90,10 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_forms(documents(spark, sf_dir))
 
@@ -97,7 +101,7 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         op1_token_files, op2_lm_scoring, op3_language_id, op4_decontamination, op5_substring_dedup, op6_jaccard_join, op7_quality_rules, op8_pii, op9_bpe, op10_suffix_dedup,
-        op11_centroid_clustering, op13_spelling_variants,
+        op11_centroid_clustering, op12_minhash_dedup, op13_spelling_variants,
         quality_rule_ablations,
     )
     return {f.__name__: f for f in named}
@@ -125,5 +129,24 @@ def _clustering_sql(k: int = centroids.CLUSTERS, rounds: int = centroids.ROUNDS)
         FROM a{last} JOIN c{last} ON m.c = c"""
 
 
+def _links_sql(percent: int, size: int = jaccard.SHINGLE) -> str:
+    """doc_id, n_shingles and component_id by all pairs that share a shingle, and by all that links reach."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    shingle = " || ' ' || ".join(f"w[i + {k}]" for k in range(size))
+    return rf"""WITH RECURSIVE worded AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        shingled AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {size} THEN [array_to_string(w, ' ')]
+            ELSE list_distinct(list_transform(range(1, len(w) - {size} + 2), lambda i: {shingle})) END AS s FROM worded),
+        elements AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM shingled),
+        common AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n + b.n AS n, count(*) AS c FROM elements a JOIN elements b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+        links AS MATERIALIZED (SELECT a, b FROM common WHERE 100 * c >= {percent} * (n - c)),
+        reached AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT doc_id, b FROM reached JOIN links ON a = r)
+        SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, min(r) AS component_id FROM reached JOIN shingled USING (doc_id) GROUP BY doc_id, s"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op11_centroid_clustering": _clustering_sql()}
+    near = _links_sql(hyperminhash.PERCENT)
+    return {
+        "op6_jaccard_join": _links_sql(jaccard.PERCENT),
+        "op11_centroid_clustering": _clustering_sql(),
+        "op12_minhash_dedup": f"SELECT *, doc_id = component_id AS kept FROM ({near})",
+    }
