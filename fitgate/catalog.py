@@ -15,11 +15,12 @@ from fitgate.functions import registry as reg
 from fitgate.operators import bookkeeping, coded_headers, headers, raster, rules_text, sheets
 from fitgate.operators import html_fields as html
 from fitgate.plans import views
+from fitgate.streaming import catalog as streams
 from fitgate.streaming import feeds
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = dict(streams.QUERIES)
+SQL: dict[str, str] = dict(streams.SQL)
 
 
 def query(sql: str | None = None):
@@ -619,16 +620,21 @@ def fix_counts_stream(spark, sf_dir):
 
 @query("SELECT user_id AS owner, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
 def session_supersede(spark, sf_dir):
-    """The state after the stream: each owner's last word."""
-    out = feeds.drain(feeds.newest_selection(feeds.events_stream(spark, sf_dir)), "update", spark)
-    return out.groupBy("owner").agg(F.max_by("event_id", F.struct("us", "event_id")).alias("event_id"))
+    """The state after a stream whose deliveries are not in the order of time: each owner's last word."""
+    out = feeds.fed(_mixed_deliveries(spark, sf_dir), feeds.newest_selection, "update")
+    return feeds.last_given(out).select("owner", "event_id")
+
+
+def _mixed_deliveries(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return [e.where(F.col("event_id") % 3 == k) for k in (2, 0, 1)]
 
 
 @query(o.with_views("SELECT owner, event_id, code FROM (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY ts DESC, event_id DESC) AS n FROM outcomes) WHERE n <= 20", o.OUTCOMES))
 def problem_ring(spark, sf_dir):
-    out = feeds.drain(feeds.problem_ring(feeds.events_stream(spark, sf_dir)), "update", spark).dropDuplicates(["owner", "event_id"])
-    recent = Window.partitionBy("owner").orderBy(F.desc("us"), F.desc("event_id"))
-    return out.withColumn("n", F.row_number().over(recent)).where("n <= 20").select("owner", "event_id", "code")
+    """The state after a stream whose deliveries are not in the order of time: each owner's ring."""
+    out = feeds.fed(_mixed_deliveries(spark, sf_dir), feeds.problem_ring, "update")
+    return feeds.last_given(out).select("owner", "event_id", "code")
 
 
 # pixels and sheets

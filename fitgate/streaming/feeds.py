@@ -5,18 +5,18 @@ Every function takes a streaming frame and gives one; ``drain`` runs it over wha
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from fitgate.functions.formatting import MAX_PROBLEMS
 from fitgate.operators.bookkeeping import fix_counts
 from fitgate.plans.views import outcomes_of
+from fitgate.session import shared_folder
 
 
 def events_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 8) -> DataFrame:
@@ -24,24 +24,72 @@ def events_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 8)
     return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def drain(stream: DataFrame, mode: str, spark: SparkSession) -> DataFrame:
-    """Run a streaming frame over all input there is; what it gave, read from a table. Tasks write the rows of each
-    batch there, and the state is kept beside it, in the folder that the cluster shares; the driver holds no rows."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    root = root or tempfile.mkdtemp(prefix="fitgate-")  # tests on one machine
-    root = f"{root.rstrip('/')}/drained-{uuid.uuid4().hex}"
-    given: list[str] = []
-
-    def write(rows: DataFrame, batch_id: int) -> None:
-        path = f"{root}/rows/{batch_id}"
+#: Where state lies while a stream runs; the processors of this package need it.
+_STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class _Run:
+    """A streaming frame run over all input there is, as often as asked for, from one checkpoint. The rows of each batch
+    go to the shared folder and the state lies beside them; the driver holds no rows."""
+
+    def __init__(self, spark: SparkSession, root: str, mode: str):
+        self.spark, self.root, self.mode = spark, root, mode
+        self.given: list[str] = []
+
+    def _write(self, rows: DataFrame, batch_id: int) -> None:
+        path = f"{self.root}/rows/{batch_id}"
         rows.write.mode("overwrite").parquet(path)  # a batch that runs again gives the same rows
-        given.append(path)
+        if path not in self.given:
+            self.given.append(path)
+
+    def once(self, stream: DataFrame) -> None:
+        before = self.spark.conf.get(_STATE_STORE[0], None)
+        self.spark.conf.set(*_STATE_STORE)
+        try:
+            writer = stream.writeStream.foreachBatch(self._write).option("checkpointLocation", f"{self.root}/state")
+            writer.outputMode(self.mode).trigger(availableNow=True).start().awaitTermination()
+        finally:
+            if before is None:
+                self.spark.conf.unset(_STATE_STORE[0])
+            else:
+                self.spark.conf.set(_STATE_STORE[0], before)
+
+    def rows(self, schema: StructType) -> DataFrame:
+        if not self.given:
+            return self.spark.createDataFrame([], schema)
+        # in complete mode each batch holds the whole result
+        return self.spark.read.schema(schema).parquet(*(self.given[-1:] if self.mode == "complete" else self.given))
+
+
+def drain(stream: DataFrame, mode: str, spark: SparkSession) -> DataFrame:
+    """Run a streaming frame over all input there is; what it gave, read from a table."""
+    run = _Run(spark, shared_folder(spark, "drained"), mode)
+    run.once(stream)
+    return run.rows(stream.schema)
+
 
-    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    if not given:
-        return spark.createDataFrame([], stream.schema)
-    # in complete mode each batch holds the whole result
-    return spark.read.schema(stream.schema).parquet(*(given[-1:] if mode == "complete" else given))
+def deliveries(rows: DataFrame, parts: int = 3, order: str = "us") -> list[DataFrame]:
+    """rows in so many ranges of ``order``, of about equal size; rows without it have no place in a stream and are left out."""
+    found = rows.select(F.percentile_approx(order, [i / parts for i in range(1, parts)])).first()[0] if parts > 1 else []
+    edges = [None, *sorted(set(found or [])), None]
+    inside = lambda a, b: (F.lit(True) if a is None else F.col(order) >= a) & (F.lit(True) if b is None else F.col(order) < b)
+    return [rows.where(F.col(order).isNotNull() & inside(a, b)) for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def fed(parts: list[DataFrame], make: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
+    """What the stream ``make(frame)`` gives when its input comes in these deliveries.
+
+    Each delivery is written to a folder that the stream reads. The stream is started, takes in what is new and stops, so every delivery
+    but the first finds the state of those before it in the checkpoint, just as after a lost driver.
+    """
+    spark, schema = parts[0].sparkSession, parts[0].schema
+    run = _Run(spark, shared_folder(spark, "fed"), mode)
+    out = None
+    for k, part in enumerate(parts):
+        part.write.parquet(f"{run.root}/in/{k:06d}")
+        out = make(spark.readStream.schema(schema).parquet(f"{run.root}/in/*"))
+        run.once(out)
+    return run.rows(out.schema)
 
 
 def running_counts(events: DataFrame) -> DataFrame:
@@ -50,33 +98,50 @@ def running_counts(events: DataFrame) -> DataFrame:
 
 
 def newest_selection(events: DataFrame) -> DataFrame:
-    """(owner, event_id): a newer selection supersedes the older; a late one with a lower (ts, event_id) is dropped."""
+    """(owner, us, event_id, turn): a newer selection supersedes the older; a late one with a lower (ts, event_id) is dropped. turn counts what an owner was given."""
 
     def keep(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best = tuple(state.get) if state.exists else (-1, -1)
+        *best, turn = state.get if state.exists else (-1, -1, 0)
         before = best
         for b in batches:
-            best = max(best, *zip(b["us"].tolist(), b["event_id"].tolist(), strict=True))
+            best = max(best, *map(list, zip(b["us"].tolist(), b["event_id"].tolist(), strict=True)))
         if best != before:
-            state.update(best)
-            yield pd.DataFrame({"owner": [key[0]], "us": [best[0]], "event_id": [best[1]]})
+            state.update((*best, turn + 1))
+            yield pd.DataFrame({"owner": [key[0]], "us": [best[0]], "event_id": [best[1]], "turn": [turn + 1]})
 
     rows = events.select(F.col("user_id").alias("owner"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id")
-    return rows.groupBy("owner").applyInPandasWithState(keep, "owner long, us long, event_id long", "us long, event_id long", "update", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("owner").applyInPandasWithState(keep, "owner long, us long, event_id long, turn long", "us long, event_id long, turn long", "update", GroupStateTimeout.NoTimeout)
 
 
 def problem_ring(events: DataFrame, size: int = MAX_PROBLEMS) -> DataFrame:
-    """Per owner the latest problems: state of at most ``size`` entries, given out whole after each change."""
+    """Per owner the latest problems: state of at most ``size`` entries, given out whole after each change. turn counts the changes of an owner."""
 
     def ring(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        entries = list(zip(*state.get, strict=True)) if state.exists else []
+        *columns, turn = state.get if state.exists else ([], [], [], 0)
+        before = entries = list(zip(*columns, strict=True))
         for b in batches:
-            entries += zip(b["us"].tolist(), b["event_id"].tolist(), b["code"].tolist(), strict=True)
-            entries = sorted(entries)[-size:]
-        state.update(tuple(list(x) for x in zip(*entries, strict=True)))
-        yield pd.DataFrame({"owner": key[0], "us": [e[0] for e in entries], "event_id": [e[1] for e in entries], "code": [e[2] for e in entries], "version": len(entries)})
+            entries = sorted([*entries, *zip(b["us"].tolist(), b["event_id"].tolist(), b["code"].tolist(), strict=True)])[-size:]
+        if entries != before:
+            state.update((*(list(x) for x in zip(*entries, strict=True)), turn + 1))
+            yield pd.DataFrame({"owner": key[0], "us": [e[0] for e in entries], "event_id": [e[1] for e in entries], "code": [e[2] for e in entries], "turn": turn + 1})
 
     rows = outcomes_of(events).select("owner", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id", "code")
     return rows.groupBy("owner").applyInPandasWithState(
-        ring, "owner long, us long, event_id long, code string, version int", "us array<long>, event_id array<long>, code array<string>", "update", GroupStateTimeout.NoTimeout
+        ring, "owner long, us long, event_id long, code string, turn long", "us array<long>, event_id array<long>, code array<string>, turn long", "update", GroupStateTimeout.NoTimeout
     )
+
+
+def last_given(rows: DataFrame, owner: str = "owner") -> DataFrame:
+    """The rows of each owner's last turn, which is its state."""
+    last = rows.groupBy(owner).agg(F.max("turn").alias("turn"))
+    return rows.join(last, [owner, "turn"], "left_semi").drop("turn")
+
+
+def closed_sessions(events: DataFrame, owner: str, gap_us: int, delay: str = "0 seconds") -> DataFrame:
+    """(owner, first_us, last_us, n) of the sessions that are over, for a stream with a column ``us``: no event of the owner for the gap, and the watermark is past it.
+
+    ``delay``: how late rows may come; what comes later than that is dropped and opens no session that is over.
+    """
+    timed = events.where(F.col(owner).isNotNull() & F.col("us").isNotNull()).withColumn("at", F.timestamp_micros("us")).withWatermark("at", delay)
+    window = F.session_window("at", f"{gap_us} microseconds")
+    return timed.groupBy(owner, window).agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.count(F.lit(1)).alias("n")).drop("session_window")
