@@ -12,9 +12,11 @@ from fitgate.functions import decide as dec
 from fitgate.functions import formatting as fmt
 from fitgate.functions import prepared as prep
 from fitgate.functions import registry as reg
-from fitgate.operators import bookkeeping, coded_headers, headers, raster, rules_text, sheets
+from fitgate.operators import asof, bookkeeping, coded_headers, headers, raster, rules_text, sheets
 from fitgate.operators import html_fields as html
-from fitgate.plans import views
+from fitgate.plans import page_events, views
+from fitgate.session import shared_folder
+from fitgate.sources import heads, store
 from fitgate.streaming import catalog as streams
 from fitgate.streaming import feeds
 
@@ -879,3 +881,51 @@ def rating_suggestions(spark, sf_dir):
 def format_flags(spark, sf_dir):
     f = F.col("format")
     return reg.dim_format(spark).select("format", f.isin(*prep.SETTLED_BY_DECODER).alias("settled_late"), f.isin(*prep.STREAMED).alias("streamed"))
+
+
+# stores and feeds
+
+
+def _outcome_parts(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return feeds.deliveries(e.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))))
+
+
+@query(SQL["fix_counts"])
+def fix_counts_store(spark, sf_dir):
+    """Counts that a stream adds to a stored table, batch by batch, each once."""
+    table = store.VersionedTable(spark, shared_folder(spark, "counts"), store.COUNTS)
+    feeds.fed(_outcome_parts(spark, sf_dir), views.outcomes_of, sink=lambda rows, batch: store.add_counts(table, "stream", batch, bookkeeping.fix_counts(rows)))
+    return table.read()
+
+
+@query(o.with_views("SELECT epoch_us(ts) AS us, event_id, owner, code FROM outcomes ORDER BY ts DESC, event_id DESC LIMIT 20", o.OUTCOMES))
+def problem_log(spark, sf_dir):
+    """The stored log of the latest 20 problems, appended to by a stream."""
+    table = store.VersionedTable(spark, shared_folder(spark, "problems"), store.PROBLEMS)
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    feeds.fed(_outcome_parts(spark, sf_dir), views.outcomes_of, sink=lambda rows, batch: store.append_problems(table, "stream", batch, rows.withColumn("us", micros), fmt.MAX_PROBLEMS))
+    return table.read()
+
+
+@query(f"""WITH {page_events.SETTINGS_FEED} SELECT v.event_id, v.host, coalesce(c.enabled, true) AS enabled, coalesce(c.ask, true) AS ask, c.event_id AS version
+    FROM visits v ASOF LEFT JOIN changes c ON v.host = c.host AND v.us >= c.us""")
+def settings_in_force(spark, sf_dir):
+    """The settings of its host that were in force at each event; defaults before the first change."""
+    events, changes = page_events.settings_feed(spark, sf_dir)
+    found = asof.as_of(events, changes.withColumnRenamed("event_id", "version"), "host", "us", ["version", "enabled", "ask"])
+    default = lambda c: F.coalesce(c, F.lit(True)).alias(c)
+    return found.select("event_id", "host", default("enabled"), default("ask"), "version")
+
+
+_LISTED = "SELECT doc_id % 61 AS k, string_agg(doc_id || ' ' || n_chars || chr(10), '' ORDER BY doc_id) AS body FROM documents WHERE doc_id % 61 > 0 GROUP BY 1"
+
+
+@query(f"""SELECT k, CAST(strlen(body) AS BIGINT) AS size, md5(substring(body, 1, 4096)) AS head, strlen(body) <= 4096 AS whole FROM ({_LISTED})""")
+def file_heads(spark, sf_dir):
+    """Size and first 4096 bytes of files, of which no more is read."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "n_chars").withColumn("k", F.col("doc_id") % 61).where("k > 0")
+    folder = shared_folder(spark, "listed")
+    d.repartition("k").sortWithinPartitions("k", "doc_id").select("k", F.concat_ws(" ", "doc_id", "n_chars").alias("line")).write.partitionBy("k").text(folder)
+    found = heads.read_heads(spark, folder, 4096, "part-*")
+    return found.select(F.regexp_extract("path", r"/k=(\d+)/", 1).cast("long").alias("k"), "size", F.md5("head").alias("head"), (F.length("head") == F.col("size")).alias("whole"))

@@ -42,6 +42,20 @@ PAGE_EVENTS = f"""hashed AS (SELECT doc_id AS event_id, {_HASH} AS h FROM docume
     WHEN h // 128 % 20 = 17 THEN 'removed' WHEN h // 4096 % 4 = 0 THEN 'pagehide' ELSE 'done' END AS kind, h // 65536 % 5 // 2 AS files FROM hashed)"""
 
 
+def settings_feed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Events (event_id, us, host) and changes of a host's settings (event_id, us, host, enabled, ask); there are three hosts."""
+    d, i = _ids(spark, sf_dir)
+    rows = d.withColumn("us", F.lit(START_US) + i * 1_000_000).withColumn("host", F.floor(i / 256).cast("long") % 3)
+    change = _bits(128, 20) == 17
+    changes = rows.where(change).select("event_id", "us", "host", (_bits(4096, 3) != 0).alias("enabled"), (_bits(16384, 2) == 0).alias("ask"))
+    return rows.where(~change).select("event_id", "us", "host"), changes
+
+
+SETTINGS_FEED = f"""hashed AS (SELECT doc_id AS event_id, {START_US} + doc_id * 1000000 AS us, doc_id // 256 % 3 AS host, {_HASH} AS h FROM documents WHERE doc_id IS NOT NULL),
+  changes AS (SELECT event_id, us, host, h // 4096 % 3 <> 0 AS enabled, h // 16384 % 2 = 0 AS ask FROM hashed WHERE h // 128 % 20 = 17),
+  visits AS (SELECT event_id, us, host FROM hashed WHERE h // 128 % 20 <> 17)"""
+
+
 def broker_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, us, profile, kind, subject, frame): every other profile asks for many tokens."""
     d, i = _ids(spark, sf_dir)

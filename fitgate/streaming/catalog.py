@@ -71,7 +71,7 @@ IDLE_US = 6_000_000
 
 @query(f"""WITH {pe.PAGE_EVENTS}, marked AS (SELECT input, us, coalesce(us - lag(us) OVER (PARTITION BY input ORDER BY us) >= {IDLE_US}, true) AS fresh FROM page_events),
     numbered AS (SELECT input, us, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY input ORDER BY us) AS n FROM marked)
-    SELECT input, min(us) AS first_us, max(us) AS last_us, count(*) AS n FROM numbered GROUP BY input, numbered.n HAVING max(us) + {IDLE_US} <= (SELECT max(us) // 1000 * 1000 FROM page_events)""")
+    SELECT input, min(us) AS first_us, max(us) AS last_us, count(*) AS n FROM numbered GROUP BY input, numbered.n HAVING max(us) + {IDLE_US} - 1 <= (SELECT max(us) // 1000 * 1000 FROM page_events)""")
 def idle_sessions_stream(spark, sf_dir):
     """Idle sessions that the watermark has closed, each given out once."""
     return feeds.fed(feeds.deliveries(pe.page_events(spark, sf_dir)), lambda s: feeds.closed_sessions(s, "input", IDLE_US))

@@ -32,8 +32,9 @@ class _Run:
     """A streaming frame run over all input there is, as often as asked for, from one checkpoint. The rows of each batch
     go to the shared folder and the state lies beside them; the driver holds no rows."""
 
-    def __init__(self, spark: SparkSession, root: str, mode: str):
+    def __init__(self, spark: SparkSession, root: str, mode: str, sink: Callable[[DataFrame, int], object] | None = None):
         self.spark, self.root, self.mode = spark, root, mode
+        self.sink = sink or self._write
         self.given: list[str] = []
 
     def _write(self, rows: DataFrame, batch_id: int) -> None:
@@ -46,7 +47,7 @@ class _Run:
         before = self.spark.conf.get(_STATE_STORE[0], None)
         self.spark.conf.set(*_STATE_STORE)
         try:
-            writer = stream.writeStream.foreachBatch(self._write).option("checkpointLocation", f"{self.root}/state")
+            writer = stream.writeStream.foreachBatch(lambda rows, batch_id: self.sink(rows, batch_id)).option("checkpointLocation", f"{self.root}/state")
             writer.outputMode(self.mode).trigger(availableNow=True).start().awaitTermination()
         finally:
             if before is None:
@@ -76,14 +77,14 @@ def deliveries(rows: DataFrame, parts: int = 3, order: str = "us") -> list[DataF
     return [rows.where(F.col(order).isNotNull() & inside(a, b)) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def fed(parts: list[DataFrame], make: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
-    """What the stream ``make(frame)`` gives when its input comes in these deliveries.
+def fed(parts: list[DataFrame], make: Callable[[DataFrame], DataFrame], mode: str = "append", sink: Callable[[DataFrame, int], object] | None = None) -> DataFrame:
+    """What the stream ``make(frame)`` gives when its input comes in these deliveries; with a ``sink(rows, batch_id)`` each batch goes there instead.
 
     Each delivery is written to a folder that the stream reads. The stream is started, takes in what is new and stops, so every delivery
     but the first finds the state of those before it in the checkpoint, just as after a lost driver.
     """
     spark, schema = parts[0].sparkSession, parts[0].schema
-    run = _Run(spark, shared_folder(spark, "fed"), mode)
+    run = _Run(spark, shared_folder(spark, "fed"), mode, sink)
     out = None
     for k, part in enumerate(parts):
         part.write.parquet(f"{run.root}/in/{k:06d}")
@@ -143,5 +144,6 @@ def closed_sessions(events: DataFrame, owner: str, gap_us: int, delay: str = "0
     ``delay``: how late rows may come; what comes later than that is dropped and opens no session that is over.
     """
     timed = events.where(F.col(owner).isNotNull() & F.col("us").isNotNull()).withColumn("at", F.timestamp_micros("us")).withWatermark("at", delay)
-    window = F.session_window("at", f"{gap_us} microseconds")
+    # a window takes in an event at its very end, but the gap is over then
+    window = F.session_window("at", f"{gap_us - 1} microseconds")
     return timed.groupBy(owner, window).agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.count(F.lit(1)).alias("n")).drop("session_window")
