@@ -2,13 +2,13 @@
 
 Documents come in batches. The index is a set of sorted immutable runs of window fingerprints
 (64 bits of key, 16 bits of check), each a table. For a new batch, every owner of a key range
-sort-merges its part of all runs with the keys of the batch's blocks: a key met before, whose
+merges its part of all runs with the sorted keys of the batch's blocks (a run is searched, never sorted again): a key met before, whose
 check agrees, is a repeat, and the answer to each block is one bit per distinct window. Only keys
 that are new form the batch's run, so a run never holds what an older one has. Before the next
 batch, runs of the same tier are compacted into one run of the next tier.
 
-An index in a folder of its own stays: a later call opens it, merges its batch into it and
-compacts (``remove_repeats(docs, index=folder)``). A call without one is over a closed corpus, in
+An index in a folder of its own stays: a later call opens it, compacts it, and merges its batch into it
+(``remove_repeats(docs, index=folder, batch=name)``), which counts from ``commit_batch`` on. A call without one is over a closed corpus, in
 batches of ascending ids: no batch comes after the last. There, windows that cannot repeat never
 enter: each window has a smallest 8-word gram (by hash), equal windows have equal grams, and a
 gram found at one place only rules out all windows that have it.
@@ -25,6 +25,7 @@ import zlib
 from collections.abc import Iterator
 from functools import reduce
 from hashlib import sha256
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -38,7 +39,7 @@ WINDOW = 20
 GRAM = 8
 BATCHES = 4
 _WINDOWS, _GRAMS, _RUN_ROW = 0, 1, 2
-RUN = "owner long, keys binary, checks binary"
+RUN = "owner long, n long, keys binary, checks binary"
 _CHECK = np.uint64(0xA0761D6478BD642F)
 
 
@@ -85,90 +86,172 @@ def _distinct(keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndar
 _RUN_NAME = re.compile(r"run-(\d+)-(\d+)-tier(\d+)-bits(\d+)")
 
 
+class Run(NamedTuple):
+    first: int
+    last: int
+    tier: int
+    #: Into how many ranges the keys are dealt, as a power of two.
+    bits: int
+
+    @property
+    def name(self) -> str:
+        return f"run-{self.first}-{self.last}-tier{self.tier}-bits{self.bits}"
+
+
+def _split(rows: DataFrame, bits: int, more: int) -> DataFrame:
+    """Rows of RUN with each range cut into 2 ** more."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                keys, checks = unpack_sorted(row.keys), np.frombuffer(row.checks, np.uint16)
+                inner = (keys << np.uint64(bits)) >> np.uint64(64 - more)
+                edges = np.searchsorted(inner, np.arange(2**more + 1, dtype=np.uint64))
+                parts = [(row.owner << more | k, int(y - x), pack_sorted(keys[x:y]), checks[x:y].tobytes()) for k, (x, y) in enumerate(zip(edges, edges[1:], strict=False)) if x < y]
+                yield pd.DataFrame(parts, columns=["owner", "n", "keys", "checks"])
+
+    return rows.mapInPandas(cut, RUN) if more else rows
+
+
+def _known(key: np.ndarray, check: np.ndarray, run_key: np.ndarray, run_check: np.ndarray) -> np.ndarray:
+    """Which fingerprints a sorted run has; the run is searched, not sorted again."""
+    out = np.zeros(len(key), bool)
+    open_, at = np.arange(len(key)), np.searchsorted(run_key, key)
+    while len(open_):
+        inside = at < len(run_key)
+        open_, at = open_[inside], at[inside]
+        same = run_key[at] == key[open_]
+        open_, at = open_[same], at[same]
+        found = run_check[at] == check[open_]
+        out[open_[found]] = True
+        open_, at = open_[~found], at[~found] + 1  # another window with this key
+    return out
+
+
 class FingerprintIndex:
     """The runs of an index, as tables in a folder; a run is never changed, only replaced by a compacted one.
 
-    A run's name says which batches it covers, its tier, and into how many ranges keys are dealt (fixed when the
-    index is made). Only whole tables count, and of two runs that cover a batch the larger one, so a job that was lost while it
-    compacted leaves an index that can be opened. One writer at a time.
+    A run's name says which batches it covers, its tier, and into how many ranges its keys are dealt. Only whole tables count, and of two runs
+    that cover a batch the larger one, so a job that was lost while it compacted leaves an index that can be opened. Ranges are cut anew
+    when the index has grown, so none gets too large for a task. One writer at a time.
+
+    A named batch is pending until it is committed, and pending batches are not in the history: one that runs again finds what it found before.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, bits: int):
-        self.spark, self.folder, self.bits = spark, folder.rstrip("/"), bits
-        self.runs: list[tuple[int, int, int]] = []  # first and last batch, tier
-        path = self._path("")
-        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        found = []
-        for entry in fs.listStatus(path) if fs.exists(path) else []:
-            m = _RUN_NAME.fullmatch(entry.getPath().getName())
-            if m and fs.exists(self._path(f"{m[0]}/_SUCCESS")):
-                found.append(tuple(map(int, m.groups()[:3])))
-                self.bits = int(m[4])
-        self.runs = sorted(r for r in found if not any(o != r and o[0] <= r[0] and r[1] <= o[1] for o in found))
+    def __init__(self, spark: SparkSession, folder: str, keys: int):
+        """keys: about how many the next batch has."""
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self._fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
+        self._finish_commits()
+        found = [Run(*map(int, m.groups())) for name in self._list("") if (m := _RUN_NAME.fullmatch(name)) and self._fs.exists(self._path(f"{name}/_SUCCESS"))]
+        self.runs = sorted(r for r in found if not any(o != r and o.first <= r.first and r.last <= o.last for o in found))
+        held = sum(self._rows(r).agg(F.sum("n")).first()[0] or 0 for r in self.runs)
+        self.bits = max([owners_for(held + keys), *(r.bits for r in self.runs)])
 
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
 
-    def _name(self, run: tuple[int, int, int]) -> str:
-        return "run-{}-{}-tier{}-bits{}".format(*run, self.bits)
+    def _list(self, name: str) -> list[str]:
+        path = self._path(name)
+        return [e.getPath().getName() for e in self._fs.listStatus(path)] if self._fs.exists(path) else []
 
-    def _write(self, rows: DataFrame, run: tuple[int, int, int]) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.folder}/{self._name(run)}")
+    def _write(self, rows: DataFrame, run: Run) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.folder}/{run.name}")
         self.runs.append(run)
 
-    def _delete(self, run: tuple[int, int, int]) -> None:
-        path = self._path(self._name(run))
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-    def rows(self, run: tuple[int, int, int]) -> DataFrame:
-        return self.spark.read.schema(RUN).parquet(f"{self.folder}/{self._name(run)}")
+    def _rows(self, run: Run) -> DataFrame:
+        return self.spark.read.schema(RUN).parquet(f"{self.folder}/{run.name}")
+
+    def rows(self, run: Run) -> DataFrame:
+        """A run, dealt into the ranges of now."""
+        return _split(self._rows(run), run.bits, self.bits - run.bits)
+
+    # commits: a mark with the number of the batch, then the pending table becomes a run
+
+    @staticmethod
+    def _file(batch: str) -> str:
+        return sha256(batch.encode()).hexdigest()[:32]
+
+    def committed(self, batch: str) -> bool:
+        return any(n.startswith(self._file(batch)) for n in self._list("commits"))
+
+    def commit(self, batch: str) -> None:
+        """From now on the batch is part of the history. Once its output is safe; a second call changes nothing."""
+        if self.committed(batch):
+            return
+        pending = next((n for n in self._list("pending") if n.startswith(f"{self._file(batch)}-bits") and self._fs.exists(self._path(f"pending/{n}/_SUCCESS"))), None)
+        if pending is None:
+            raise ValueError(f"no such batch: {batch}")
+        number = max([-1, *(r.last for r in self.runs)]) + 1
+        self._fs.mkdirs(self._path("commits"))
+        self._fs.create(self._path(f"commits/{pending}-number{number}"), False).close()
+        self._finish_commits()
+        self.runs.append(Run(number, number, 0, int(pending.rpartition("bits")[2])))
+
+    def _finish_commits(self) -> None:
+        """Move the tables of committed batches to their places, also those of a job that was lost before it could."""
+        for mark in self._list("commits"):
+            pending, _, number = mark.rpartition("-number")
+            if self._fs.exists(self._path(f"pending/{pending}")):
+                bits = int(pending.rpartition("bits")[2])
+                self._fs.rename(self._path(f"pending/{pending}"), self._path(Run(int(number), int(number), 0, bits).name))
 
     def compact(self) -> None:
         """Merge the newest runs while the last two are of one tier."""
-        while len(self.runs) > 1 and self.runs[-1][2] == self.runs[-2][2]:
-            (_, last, tier), (first, _, _) = new, old = self.runs.pop(), self.runs.pop()
+        while len(self.runs) > 1 and self.runs[-1].tier == self.runs[-2].tier:
+            new, old = self.runs.pop(), self.runs.pop()
 
             def merge(rows: pd.DataFrame) -> pd.DataFrame:
                 keys = np.concatenate([unpack_sorted(k) for k in rows["keys"]])
                 checks = np.concatenate([np.frombuffer(c, np.uint16) for c in rows["checks"]])
                 order = np.lexsort((checks, keys))
-                return pd.DataFrame({"owner": rows["owner"].iloc[:1], "keys": [pack_sorted(keys[order])], "checks": [checks[order].tobytes()]})
+                return pd.DataFrame({"owner": rows["owner"].iloc[:1], "n": [len(keys)], "keys": [pack_sorted(keys[order])], "checks": [checks[order].tobytes()]})
 
-            self._write(self.rows(old).unionByName(self.rows(new)).groupBy("owner").applyInPandas(merge, RUN), (first, last, tier + 1))
-            self._delete(old)
-            self._delete(new)
+            self._write(self.rows(old).unionByName(self.rows(new)).groupBy("owner").applyInPandas(merge, RUN), Run(old.first, new.last, new.tier + 1, self.bits))
+            for run in (old, new):
+                self._fs.delete(self._path(run.name), True)
 
-    def add(self, asked: DataFrame, stages: Stages, name: str) -> DataFrame:
-        """Answers (one bit per asked key: does an earlier block have it?), written; the new keys become a run."""
+    def add(self, asked: DataFrame, stages: Stages, name: str, batch: str | None = None) -> DataFrame:
+        """Answers (one bit per asked key: does an earlier block have it?), written; the new keys become a run, or are pending if the batch has a name."""
         self.compact()
         rows = asked
         for run in self.runs:
-            rows = rows.unionByName(self.rows(run).select("owner", F.lit(-1).cast("long").alias("block"), F.lit(-1).alias("kind"), F.lit(0).cast("long").alias("n"), "keys", F.col("checks").alias("extra")))
+            rows = rows.unionByName(self.rows(run).select("owner", F.lit(-1).cast("long").alias("block"), F.lit(-1).alias("kind"), "n", "keys", F.col("checks").alias("extra")))
 
         def merge_join(group: pd.DataFrame) -> pd.DataFrame:
-            group = group.sort_values("block")  # the history first, then the blocks in the order of their documents
-            keys = [unpack_sorted(k) for k in group["keys"]]
-            checks = [np.frombuffer(x, np.uint16) if b < 0 else unpack(x).astype(np.uint16) for b, x in zip(group["block"], group["extra"], strict=True)]
-            sizes = np.array([len(k) for k in keys])
-            key, check = np.concatenate(keys), np.concatenate(checks)
-            del keys, checks
+            runs = group[group["block"] < 0]
+            asked = group[group["block"] >= 0].sort_values("block")  # in the order of their documents
+            columns = ["owner", "block", "kind", "n", "answer", "checks"]
+            if not len(asked):
+                return pd.DataFrame([], columns=columns)
+            sizes = asked["n"].to_numpy()
+            key = np.concatenate([unpack_sorted(k) for k in asked["keys"]])
+            check = np.concatenate([unpack(x).astype(np.uint16) for x in asked["extra"]])
             order = np.lexsort((check, key))  # stable: equal fingerprints stay in the order of time
             k, c = key[order], check[order]
             repeat_sorted = np.append(False, (k[1:] == k[:-1]) & (c[1:] == c[:-1]))
+            for run_keys, run_checks in zip(runs["keys"], runs["extra"], strict=True):
+                repeat_sorted |= _known(k, c, unpack_sorted(run_keys), np.frombuffer(run_checks, np.uint16))
             repeat = np.empty(len(order), bool)
             repeat[order] = repeat_sorted
-            owner, out, at = group["owner"].iloc[0], [], 0
-            for block, n in zip(group["block"], sizes, strict=True):
-                if block >= 0:
-                    out.append((owner, block, _WINDOWS, n, np.packbits(repeat[at : at + n]).tobytes(), b""))
+            owner, out, at = asked["owner"].iloc[0], [], 0
+            for block, n in zip(asked["block"], sizes, strict=True):
+                out.append((owner, block, _WINDOWS, n, np.packbits(repeat[at : at + n]).tobytes(), b""))
                 at += n
-            fresh = ~repeat_sorted & (order >= sizes[group["block"].to_numpy() < 0].sum())
+            fresh = ~repeat_sorted
             out.append((owner, -1, _RUN_ROW, int(fresh.sum()), pack_sorted(k[fresh]), c[fresh].tobytes()))
-            return pd.DataFrame(out, columns=["owner", "block", "kind", "n", "answer", "checks"])
+            return pd.DataFrame(out, columns=columns)
 
         both = stages.write(rows.groupBy("owner").applyInPandas(merge_join, ANSWER + ", checks binary"), name)
-        batch = self.runs[-1][1] + 1 if self.runs else 0
-        self._write(both.where(f"kind = {_RUN_ROW}").select("owner", F.col("answer").alias("keys"), "checks"), (batch, batch, 0))
+        fresh = both.where(f"kind = {_RUN_ROW} and n > 0").select("owner", "n", F.col("answer").alias("keys"), "checks")
+        if batch is None:
+            number = self.runs[-1].last + 1 if self.runs else 0
+            self._write(fresh, Run(number, number, 0, self.bits))
+        else:
+            for n in self._list("pending"):  # of an earlier run of this batch
+                if n.startswith(f"{self._file(batch)}-bits"):
+                    self._fs.delete(self._path(f"pending/{n}"), True)
+            fresh.write.parquet(f"{self.folder}/pending/{self._file(batch)}-bits{self.bits}")
         answers = stages.write(both.where(f"kind = {_WINDOWS}").drop("checks"), f"{name}-answers")
         stages.drop(name)
         return answers
@@ -176,10 +259,15 @@ class FingerprintIndex:
     def close(self) -> None:
         """Delete the runs: nothing will be added any more."""
         for run in self.runs:
-            self._delete(run)
+            self._fs.delete(self._path(run.name), True)
+
+
+def commit_batch(spark: SparkSession, index: str, batch: str) -> None:
+    """Make a batch of ``remove_repeats(docs, index=index, batch=batch)`` part of the index; call it when its output is written."""
+    FingerprintIndex(spark, index, 0).commit(batch)
 
 
-def remove_repeats(docs: DataFrame, width: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, index: str | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, index: str | None = None, batch: str | None = None) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept (the kept words, joined by a blank).
 
     A word goes if a window of ``width`` words over it also starts earlier: in a document with a
@@ -189,16 +277,20 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW, gram: int = GRAM, batch
     table gives an empty result; other columns are ignored. A text is never cut: one document lies in one block,
     however long.
 
-    With ``index``, a folder that all executors see, the rows are one new batch, later than all that the index has
-    seen, whatever their ids; their new windows stay in it, and it is compacted. The batch is in the index when this
-    function returns.
+    With ``index``, a folder that all executors see, and the name of a ``batch``, the rows are one new batch, later than all that the index has
+    seen, whatever their ids. Their new windows are pending until ``commit_batch``, to be called when the output is written: a batch
+    whose job was lost before that can run again, and gives the same rows. A batch that was committed before raises ValueError.
     """
     spark = docs.sparkSession
     stages = Stages(spark, "substring")
     closed = index is None
+    if closed != (batch is None):
+        raise ValueError("an index needs the name of a batch, and a batch an index")
     blocks = text_blocks(docs.select("doc_id", "text", F.lit(True).alias("flag")), stages, order_by=("doc_id", "text"))
     size = blocks.select(F.sum(F.aggregate("texts", F.lit(0).cast("long"), lambda n, t: n + F.length(t)))).first()[0] or 0
-    runs = FingerprintIndex(spark, index or f"{stages.root}/index", owners_for(size // 6))
+    runs = FingerprintIndex(spark, index or f"{stages.root}/index", size // 6)
+    if batch is not None and runs.committed(batch):
+        raise ValueError(f"batch {batch} is in the index already")
     bits = runs.bits
     # batches are ranges of block numbers with about equally many blocks; the edges are a few numbers from a bounded sketch
     edges = blocks.select(F.percentile_approx("block", [i / batches for i in range(1, batches)])).first()[0] if closed and batches > 1 and size else []
@@ -236,7 +328,7 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW, gram: int = GRAM, batch
             asked = with_answers(blocks.where(inside), grams.where(inside), ask_found, REQUEST)
         else:
             asked = send(blocks, lambda block, _, texts, flags: ask(block, texts, {}))
-        answers.append(runs.add(asked, stages, f"batch-{i}"))
+        answers.append(runs.add(asked, stages, f"batch-{i}", batch))
     if closed:
         runs.close()
 

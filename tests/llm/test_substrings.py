@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from fitgate.llm import substring, suffixes
@@ -55,23 +56,77 @@ def test_no_rows_and_repeated_ids(spark):
     assert sorted(r.n_removed for r in substring.remove_repeats(docs).collect()) == [0, 25, 25]
 
 
+def in_batches(spark, folder, rows, n, after=lambda k: None):
+    """What remove_repeats gives for n batches of one index, each committed."""
+    got = {}
+    for k in range(n):
+        part = spark.createDataFrame(rows[k * len(rows) // n : (k + 1) * len(rows) // n], "doc_id long, text string").repartition(2)
+        got |= {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.remove_repeats(part, index=folder, batch=f"b{k}").collect()}
+        substring.commit_batch(spark, folder, f"b{k}")
+        after(k)
+    return got
+
+
 def test_an_index_that_later_batches_open(spark, monkeypatch, tmp_path):
     monkeypatch.setattr("fitgate.llm.blocks.BLOCK_CHARS", 4_000)
     rows = sorted(repeated_texts(8), key=lambda r: r[0])
     want = {d: (n, m, sha) for d, (n, m, sha, _) in brute_repeats(rows).items()}
-    folder, got, tiers = f"{tmp_path}/index", {}, []
-    for k in range(5):
-        part = rows[k * len(rows) // 5 : (k + 1) * len(rows) // 5]
-        out = substring.remove_repeats(spark.createDataFrame(part, "doc_id long, text string").repartition(2), index=folder).collect()
-        got |= {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in out}
-        tiers.append([t for _, _, t in substring.FingerprintIndex(spark, folder, 3).runs])
+    folder, tiers = f"{tmp_path}/index", []
+    got = in_batches(spark, folder, rows, 5, lambda k: tiers.append([r.tier for r in substring.FingerprintIndex(spark, folder, 0).runs]))
     assert got == want
     assert tiers == [[0], [0, 0], [1, 0], [1, 0, 0], [2, 0]]
     # a run that a lost job left half written, and one that a compacted run covers, do not count
     (tmp_path / "index" / "run-9-9-tier0-bits3").mkdir()
-    index = substring.FingerprintIndex(spark, folder, 3)
-    index._write(index.rows(index.runs[0]).limit(0), (1, 1, 0))
-    assert [t for _, _, t in substring.FingerprintIndex(spark, folder, 3).runs] == [2, 0]
+    index = substring.FingerprintIndex(spark, folder, 0)
+    index._write(index.rows(index.runs[0]).limit(0), substring.Run(1, 1, 0, index.bits))
+    assert [r.tier for r in substring.FingerprintIndex(spark, folder, 0).runs] == [2, 0]
+
+
+def test_a_batch_whose_job_was_lost_runs_again(spark, tmp_path):
+    folder = f"{tmp_path}/index"
+    text = lambda k: " ".join(f"w{k}-{i}" for i in range(60))
+    first, second = [(k, text(k)) for k in range(3)], [(9, text(1)), (10, text(7)), (11, text(7))]
+    run = lambda rows, name: sorted((r.doc_id, r.n_removed) for r in substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), index=folder, batch=name).collect())
+    want = [(0, 0), (1, 0), (2, 0)]
+    assert run(first, "a") == want and run(first, "a") == want
+    substring.commit_batch(spark, folder, "a")
+    substring.commit_batch(spark, folder, "a")
+    assert run(second, "b") == run(second, "b") == [(9, 60), (10, 0), (11, 60)]
+    # lost between the mark of the commit and the move of its table
+    pending = next((tmp_path / "index" / "pending").iterdir()).name
+    (tmp_path / "index" / "commits" / f"{pending}-number1").touch()
+    assert [r.name[:9] for r in substring.FingerprintIndex(spark, folder, 0).runs] == ["run-0-0-t", "run-1-1-t"]
+    assert run([(20, text(7)), (21, text(8))], "c") == [(20, 60), (21, 0)]
+    for name in ("a", "b"):
+        with pytest.raises(ValueError, match="already"):
+            run(first, name)
+    with pytest.raises(ValueError, match="no such batch"):
+        substring.commit_batch(spark, folder, "never")
+    with pytest.raises(ValueError, match="name of a batch"):
+        substring.remove_repeats(spark.createDataFrame(first, "doc_id long, text string"), index=folder)
+
+
+def test_ranges_are_cut_anew_as_an_index_grows(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr("fitgate.llm.blocks.KEYS_PER_OWNER", 40)
+    rows = sorted(repeated_texts(9), key=lambda r: r[0])
+    want = {d: (n, m, sha) for d, (n, m, sha, _) in brute_repeats(rows).items()}
+    folder = f"{tmp_path}/index"
+    bits = []
+    one = substring.remove_repeats(spark.createDataFrame(rows[:1], "doc_id long, text string"), index=folder, batch="first").collect()
+    substring.commit_batch(spark, folder, "first")
+    bits.append(substring.FingerprintIndex(spark, folder, 0).bits)
+    got = in_batches(spark, folder, rows[1:], 3, lambda k: bits.append(substring.FingerprintIndex(spark, folder, 0).bits))
+    assert got | {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in one} == want
+    assert bits == sorted(bits) and bits[-1] >= bits[0] + 2
+
+
+def test_a_sorted_run_is_searched():
+    rng = np.random.default_rng(1)
+    key, check = rng.integers(0, 50, 200).astype(np.uint64), rng.integers(0, 4, 200).astype(np.uint16)
+    run = sorted({(int(k), int(c)) for k, c in zip(rng.integers(0, 50, 90), rng.integers(0, 4, 90), strict=True)})
+    got = substring._known(key, check, np.array([k for k, _ in run], np.uint64), np.array([c for _, c in run], np.uint16))
+    assert got.tolist() == [(int(k), int(c)) in set(run) for k, c in zip(key, check, strict=True)]
+    assert not substring._known(key, check, np.zeros(0, np.uint64), np.zeros(0, np.uint16)).any()
 
 
 def brute_bytes(rows, size=50):
