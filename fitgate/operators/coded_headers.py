@@ -1,7 +1,8 @@
 """Sizes of HEIF, AVIF and JPEG XL files from their first bytes, with column expressions only.
 
-The files of an ISO base media container hold their sizes in ``ispe`` boxes, which lie before the
-coded pictures; the largest is the picture, the others are tiles and previews. A JPEG XL
+The files of an ISO base media container are boxes that follow one another, some with boxes inside. Sizes
+are in the ``ispe`` boxes of meta / iprp / ipco; the largest is the picture, the others are tiles and previews. Only
+the frames of boxes are read, so what a picture's data happen to look like does not matter. A JPEG XL
 codestream begins with its size in bits, least significant first.
 """
 
@@ -22,16 +23,69 @@ def _unsigned(hexed: Column) -> Column:
     return F.conv(hexed, 16, 10).cast("long")
 
 
+#: Fixed value: boxes of one file, at most. Most files have no more at the top than FEW.
+MOST_BOXES, FEW = 4096, 64
+
+
+def _number(data: Column, at: Column) -> Column:
+    """The 32 bits at a byte (from 1), most significant first; NULL beyond the end."""
+    part = F.substring(data, at, F.lit(4))
+    return F.when(F.length(part) == 4, _unsigned(F.hex(part)))
+
+
+def boxes(data: Column, start: Column, end: Column, most: int = MOST_BOXES) -> Column:
+    """struct(at, found, bad) of the boxes between two bytes (from 1, end not included): found as (kind, body, next), bad if a frame is
+    broken or a box runs past the end. A box of length 0 reaches to the end."""
+    start, end = start.cast("long"), end.cast("long")
+    box = "struct<kind: string, body: bigint, next: bigint>"
+    first = F.struct(start.alias("at"), F.array().cast(f"array<{box}>").alias("found"), F.lit(False).alias("bad"))
+
+    def step(s: Column, _: Column) -> Column:
+        at = s["at"]
+        short = _number(data, at)
+        wide = short == 1
+        length = F.when(wide, F.when(_number(data, at + 8) == 0, _number(data, at + 12))).when(short == 0, end - at).otherwise(short)
+        body = at + F.when(wide, F.lit(16)).otherwise(F.lit(8))
+        ok = F.coalesce((length >= body - at) & (at + length <= end), F.lit(False))
+        one = F.struct(F.decode(F.substring(data, at + 4, F.lit(4)), "ISO-8859-1").alias("kind"), body.cast("long").alias("body"), (at + length).cast("long").alias("next"))
+        taken = F.struct((at + length).cast("long").alias("at"), F.concat(s["found"], F.array(one)).alias("found"), F.lit(False).alias("bad"))
+        broken = F.struct(s["at"].alias("at"), s["found"].alias("found"), F.lit(True).alias("bad"))
+        return F.when(s["bad"] | (at + 8 > end), s).when(ok, taken).otherwise(broken)
+
+    # as many steps as there can be boxes
+    steps = F.greatest(F.lit(1), F.least(F.lit(most).cast("long"), F.floor((end - start) / 8)))
+    return F.when(end >= start, F.aggregate(F.sequence(F.lit(1).cast("long"), steps), first, step)).otherwise(first)
+
+
+def _inside(data: Column, outer: Column, kind: str, skip: int = 0) -> Column:
+    """The boxes within all boxes of a kind in an array of boxes."""
+    held = F.filter(outer, lambda b: b["kind"] == kind)
+    return F.flatten(F.transform(held, lambda b: boxes(data, b["body"] + skip, b["next"])["found"]))
+
+
 def iso_facts(head: Column) -> Column:
     """struct(width, height, animated) of a HEIF or AVIF file; NULL sizes if no size box lies in these bytes."""
-    text = F.decode(head, "ISO-8859-1")  # one character for each byte
-    boxes = F.regexp_extract_all(F.substring_index(text, "mdat", 1), F.lit(r"(?s)ispe.{4}(.{8})"), 1)
-    sides = F.transform(boxes, lambda b: F.hex(F.encode(b, "ISO-8859-1")))
-    sizes = F.transform(sides, lambda s: F.struct(_unsigned(F.substring(s, 1, 8)).alias("width"), _unsigned(F.substring(s, 9, 8)).alias("height")))
-    largest = F.array_max(F.transform(sizes, lambda s: F.struct((s["width"].cast("double") * s["height"]).alias("area"), s["width"].alias("width"), s["height"].alias("height"))))
-    brands = F.substring(text, 9, 120)
-    moving = brands.rlike("^(?s)(?:.{4})*(?:" + "|".join(SEQUENCES) + ")") | F.contains(text, F.lit("moov"))
-    return F.struct(largest["width"].alias("width"), largest["height"].alias("height"), moving.alias("animated"))
+
+    def facts(data: Column) -> Column:
+        end = (F.length(data) + 1).cast("long")
+        top = _let(boxes(data, F.lit(1), end, FEW), lambda few: F.when(few["bad"] | (few["at"] + 8 > end), few).otherwise(boxes(data, F.lit(1), end)))
+        return _let(top["found"], lambda found: _of_boxes(data, found))
+
+    return _let(head, facts)
+
+
+def _of_boxes(data: Column, top: Column) -> Column:
+    properties = _inside(data, _inside(data, _inside(data, top, "meta", 4), "iprp"), "ipco")
+    stated = F.filter(properties, lambda b: (b["kind"] == "ispe") & (b["next"] - b["body"] >= 12))
+    sizes = F.transform(stated, lambda b: F.struct(_number(data, b["body"] + 4).alias("width"), _number(data, b["body"] + 8).alias("height")))
+    # of equally large ones the first
+    largest = F.aggregate(
+        sizes, F.struct(F.lit(None).cast("long").alias("width"), F.lit(None).cast("long").alias("height")),
+        lambda best, s: F.when(s["width"].cast("double") * s["height"] > F.coalesce(best["width"].cast("double") * best["height"], F.lit(0.0)), s).otherwise(best),
+    )
+    brands = F.decode(F.substring(data, 9, 120), "ISO-8859-1")
+    moving = brands.rlike("^(?s)(?:.{4})*(?:" + "|".join(SEQUENCES) + ")") | F.exists(top, lambda b: b["kind"] == "moov")
+    return _let(largest, lambda size: F.struct(size["width"].alias("width"), size["height"].alias("height"), moving.alias("animated")))
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:

@@ -38,11 +38,26 @@ def test_sizes(spark):
     got = {r.k: (r.f.width, r.f.height) for r in df.select("k", coded_headers.jxl_facts(df.b).alias("f")).collect()}
     assert got == {k: size for k, (_, size) in jxl.items()}
     meta = box(b"meta", b"\0\0\0\0" + box(b"iprp", box(b"ipco", ispe(512, 512) + ispe(4032, 3024) + ispe(320, 240))))
+    sized = lambda *inner: box(b"meta", b"\0\0\0\0" + box(b"hdlr", b"pict") + box(b"iprp", box(b"ipco", b"".join(inner)) + box(b"ipma", b"ispe" * 5)))
+    plain = box(b"ftyp", b"heic\0\0\0\0mif1")
     iso = {
         1: (box(b"ftyp", b"heic\0\0\0\0mif1heic") + meta + box(b"mdat", b"ispe" + b"\xff" * 12), (4032, 3024, False)),
         2: (box(b"ftyp", b"avif\0\0\0\0avis") + meta, (4032, 3024, True)),
-        3: (box(b"ftyp", b"mif1\0\0\0\0heif") + box(b"moov", b"") + box(b"meta", ispe(0x80818283, 0x0A0D0A0D)), (0x80818283, 0x0A0D0A0D, True)),
+        3: (box(b"ftyp", b"mif1\0\0\0\0heif") + box(b"moov", b"") + sized(ispe(0x80818283, 0x0A0D0A0D)), (0x80818283, 0x0A0D0A0D, True)),
         4: (box(b"ftyp", b"heic\0\0\0\0"), (None, None, False)),
+        # pictures whose data look like boxes, boxes in another order, long frames, boxes that only look like those asked for
+        5: (plain + sized(ispe(640, 480)) + box(b"mdat", b"..moov....ispe" + b"\xff" * 30), (640, 480, False)),
+        6: (plain + box(b"mdat", b"ispe" + b"\x01" * 30) + sized(ispe(640, 480)), (640, 480, False)),
+        7: (plain + box(b"free", b"mdat") + sized(ispe(640, 480)), (640, 480, False)),
+        8: (plain + box(b"uuid", b"x" * 16 + ispe(9000, 9000)) + sized(ispe(640, 480)), (640, 480, False)),
+        9: (plain + struct.pack(">I4sQ", 1, b"free", 16 + 5) + b"12345" + sized(ispe(640, 480)), (640, 480, False)),
+        10: (plain + sized(box(b"ispe", b"\0" * 11) + ispe(6, 4)) + struct.pack(">I4s", 0, b"mdat") + b"ispe" * 9, (6, 4, False)),
+        11: (plain + box(b"meta", b"\0\0\0\0" + ispe(5, 5)) + box(b"moov", b""), (None, None, True)),
+        12: (plain + sized(ispe(640, 480)) + struct.pack(">I4s", 10**6, b"mdat") + b"cut off", (640, 480, False)),
+        13: (plain + struct.pack(">I4s", 4, b"free") + sized(ispe(640, 480)), (None, None, False)),
+        14: (plain + box(b"free", b"") * 100 + sized(*[box(b"pixi", b"")] * 50, ispe(3, 2), ispe(2, 3)), (3, 2, False)),
+        15: (b"", (None, None, False)),
+        16: (None, (None, None, None)),
     }
     df = spark.createDataFrame([(k, v) for k, (v, _) in iso.items()], "k int, b binary")
     got = {r.k: (r.f.width, r.f.height, r.f.animated) for r in df.select("k", coded_headers.iso_facts(df.b).alias("f")).collect()}
