@@ -918,13 +918,13 @@ def settings_in_force(spark, sf_dir):
     return found.select("event_id", "host", default("enabled"), default("ask"), "version")
 
 
-_LISTED = "SELECT doc_id % 61 AS k, string_agg(doc_id || ' ' || n_chars || chr(10), '' ORDER BY doc_id) AS body FROM documents WHERE doc_id % 61 > 0 GROUP BY 1"
+_LISTED = "SELECT doc_id // 200 AS k, string_agg(doc_id || ' ' || n_chars || chr(10), '' ORDER BY doc_id) AS body FROM documents GROUP BY 1"
 
 
 @query(f"""SELECT k, CAST(strlen(body) AS BIGINT) AS size, md5(substring(body, 1, 4096)) AS head, strlen(body) <= 4096 AS whole FROM ({_LISTED})""")
 def file_heads(spark, sf_dir):
     """Size and first 4096 bytes of files, of which no more is read."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "n_chars").withColumn("k", F.col("doc_id") % 61).where("k > 0")
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "n_chars").withColumn("k", F.floor(F.col("doc_id") / 200).cast("long"))
     folder = shared_folder(spark, "listed")
     d.repartition("k").sortWithinPartitions("k", "doc_id").select("k", F.concat_ws(" ", "doc_id", "n_chars").alias("line")).write.partitionBy("k").text(folder)
     found = heads.read_heads(spark, folder, 4096, "part-*")

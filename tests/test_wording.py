@@ -108,4 +108,5 @@ def test_icons_are_told_by_their_directory(spark):
     df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, b binary")
     out = {r.i: r.f for r in df.select("i", headers.detect(df.b).alias("f")).collect()}
     assert out == {0: "ico", 1: "ico", 2: "unknown", 3: "unknown", 4: "unknown"}
-    assert wording.read_number("1,500") == 1500 and wording.read_number("1,5") == 1.5
+    numbers = spark.createDataFrame([("1,500",), ("1,5",), ("1.2.3",), ("12,345,678",)], "t string")
+    assert [r.v for r in numbers.select(wording.number(numbers.t).alias("v")).collect()] == [1500, 1.5, None, 12345678]
