@@ -24,8 +24,12 @@ def events_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 8)
     return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-#: Where state lies while a stream runs; the processors of this package need it.
-_STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+#: Where state lies while a stream runs, as the processors of this package need it. These streams stop when they have taken in what there is, so a store
+#: gives its local files back with its commit; else each partition would keep some 5 MB for every start.
+_STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
 
 
 class _Run:
@@ -44,16 +48,16 @@ class _Run:
             self.given.append(path)
 
     def once(self, stream: DataFrame) -> None:
-        before = self.spark.conf.get(_STATE_STORE[0], None)
-        self.spark.conf.set(*_STATE_STORE)
+        conf = self.spark.conf
+        before = {k: conf.get(k, None) for k in _STATE_STORE}
+        for k, v in _STATE_STORE.items():
+            conf.set(k, v)
         try:
             writer = stream.writeStream.foreachBatch(lambda rows, batch_id: self.sink(rows, batch_id)).option("checkpointLocation", f"{self.root}/state")
             writer.outputMode(self.mode).trigger(availableNow=True).start().awaitTermination()
         finally:
-            if before is None:
-                self.spark.conf.unset(_STATE_STORE[0])
-            else:
-                self.spark.conf.set(_STATE_STORE[0], before)
+            for k, v in before.items():
+                conf.unset(k) if v is None else conf.set(k, v)
 
     def rows(self, schema: StructType) -> DataFrame:
         if not self.given:
