@@ -59,21 +59,43 @@ def test_only_clauses_that_can_state_something_are_read(spark):
     assert {r.rule for r in rules_text.evidence(texts, "k").collect()} == {"aspect_ratio", "accepted_mimes"}
 
 
-def field(html):
-    return [(r[4], r[5], r[6]) for r in html_fields.field_texts(html) if r[0] == 0 and r[4]]
-
-
-def test_texts_near_a_field():
-    near = "<form><p>up to 3 MB</p><h2>no</h2><div><input type=file></div><div>png</div></form>"
-    assert field(near) == [("sibling", 0.86, "png")]
-    assert field(near.replace("</form>", "<input type=file></form>")) == []
-    assert field("<main role=x><div>a <b>b</b><input type=file><video>no</video></div></main>") == [("parent", 0.93, "a\nb")]
-    assert field("<section role=dialog>no<span><input type=file></span></section>") == []
-    assert field("<input type=file data-max-filesize=2048 data-max-size=20>") == [("data-max-filesize", 0.88, "2048")]
-    assert field("<label>CV <input type=file></label>") == [("label", 0.95, "CV")]
-    deep = "x<div>y<div>z<div>w<div>v<input type=file></div></div></div></div>"
-    assert [c for _, c, _ in field(f"<p></p><article>{deep}</article>")] == [0.93, 0.90, 0.86, 0.72]
-    assert field(f"<div>{'long ' * 400}<input type=file></div>") == []
+NEAR = "<form><p>up to 3 MB</p><h2>no</h2><div><input type=file></div><div>png</div></form>"
+DEEP = "x<div>y<div>z<div>w<div>v<input type=file></div></div></div></div>"
+#: Pages, and the texts of their first field.
+PAGES = [
+    (NEAR, [("sibling", 0.86, "png")]),
+    (NEAR.replace("</form>", "<input type=file></form>"), []),
+    ("<main role=x><div>a <b>b</b><input type=file><video>no</video></div></main>", [("parent", 0.93, "a\nb")]),
+    ("<section role=dialog>no<span><input type=file></span></section>", []),
+    ("<input type=file data-max-filesize=2048 data-max-size=20>", [("data-max-filesize", 0.88, "2048")]),
+    ("<label>CV <input type=file></label>", [("label", 0.95, "CV")]),
+    (f"<p></p><article>{DEEP}</article>", [("parent", 0.93, "v"), ("ancestor", 0.90, "w\nv"), ("ancestor", 0.86, "z\nw\nv"), ("ancestor", 0.72, "y\nz\nw\nv")]),
+    (f"<div>{'long ' * 400}<input type=file></div>", []),
+    ("<p id=a>one</p><p id=b>two <i aria-hidden=true>no</i></p><input type=file aria-describedby='b  a none' aria-labelledby=a aria-label=L title=T>", [("aria-describedby", 0.97, "two"), ("aria-describedby", 0.97, "one"), ("aria-label", 0.95, "L"), ("title", 0.90, "T")]),
+    ("<div><label for=x>for</label><input type=FILE id=x data-maxsize='2 MB'></div>", [("label", 0.95, "for"), ("data-maxsize", 0.90, "max 2 MB"), ("parent", 0.93, "for")]),
+    ("<form><ul><li>before</ul><span><div><input type=file></div></span><h3>no</h3><p>far</p></form>", [("sibling", 0.86, "before")]),
+    ("<div>both <p>a<input type=file></p><p>b<input type=file></p></div>", [("parent", 0.93, "a")]),
+    ("<label>two <input type=file><input type=file></label>", []),
+    ("<div hidden><b>x</b><script>no</script><p>y<input type=file></p></div></div></p>", [("parent", 0.93, "y"), ("ancestor", 0.90, "x\ny")]),
+    ("<p>unclosed <div>t<input type=file>", [("parent", 0.93, "t"), ("ancestor", 0.90, "unclosed\nt")]),
+    ("<p>no field</p>", []), (None, []), ("", []), ("<input type=text>", []), ("<input type=file data-max-size='99999999999999999999999999999999999999999999'>", [("data-max-size", 0.88, "9" * 44)]),
+]
+
+
+def test_texts_near_a_field(spark):
+    pages = spark.createDataFrame([(k, html, "x") for k, (html, _) in enumerate(PAGES)], "page_id long, html string, text string")
+    got = {}
+    for r in html_fields.html_fields(pages).orderBy("page_id", "field_no", "ord").collect():
+        if r.field_no == 0 and r.text is not None:
+            got.setdefault(r.page_id, []).append((r.source, r.confidence, r.text))
+    wrong = {html: got.get(k, []) for k, (html, want) in enumerate(PAGES) if got.get(k, []) != want}
+    assert wrong == {}
+
+
+def test_nodes():
+    rows = [(k, last, parent, tag) for k, last, parent, _, tag, *_ in html_fields.nodes_of("<p>a<br><b>c</p>d<i></b></i>")]
+    assert rows == [(0, 4, -1, "p"), (1, 1, 0, "#text"), (2, 2, 0, "br"), (3, 4, 0, "b"), (4, 4, 3, "#text"), (5, 5, -1, "#text"), (6, 6, -1, "i")]
+    assert [r[7:] for r in html_fields.nodes_of("<div>ab<svg>no<p>no</p></svg><p>c</p></div>")][:2] == [(0, 5), (0, 3)]
 
 
 def test_bare_numbers_of_an_attribute_are_bytes(spark):
