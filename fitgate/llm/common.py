@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fitgate.session import shared_folder
+
 #: A word is a run of anything but these six ASCII blanks; ``bytes.split()`` cuts at just these.
 BLANKS = " \t\n\x0b\x0c\r"
 NEAR_SIMILARITY = 0.8
@@ -36,21 +35,15 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 class Stages:
     """Written tables that cut lineage, in the folder which the cluster shares.
 
-    The folder is ``spark.checkpoint.dir``; only where that is unset (tests on one machine)
+    The folder is ``spark.checkpoint.dir``; only where that is unset on one machine, as in tests,
     a temporary folder is made, one per application. A lost executor costs the running tasks only:
     everything before the last stage is read again from the table.
     """
 
-    _local: dict[str, str] = {}
-
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            app = spark.sparkContext.applicationId
-            root = self._local.get(app) or self._local.setdefault(app, tempfile.mkdtemp(prefix="fitgate-"))
         self.names: list[str] = []
-        self.root = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.root = shared_folder(spark, name)
 
     def write(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         """Write a table and read it. Once it is written nothing needs its shuffle files, so Spark may delete them."""
