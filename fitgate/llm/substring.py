@@ -43,34 +43,47 @@ RUN = "owner long, n long, keys binary, checks binary"
 _CHECK = np.uint64(0xA0761D6478BD642F)
 
 
-def windows(texts, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys and checks of all windows of a block's documents in order; per document the numbers of words and windows."""
-    keys, checks, n_words, n_windows = [], [], [], []
-    for t in texts:
-        words = t.encode().split()
-        h = word_hashes(words)
-        k = rolling(h, width)
-        keys.append(k)
-        checks.append(rolling(mix(np.fromiter(map(zlib.crc32, words), np.uint64, len(words)) + _CHECK), width) >> np.uint64(48))
-        n_words.append(len(h))
-        n_windows.append(len(k))
-    return np.concatenate(keys), np.concatenate(checks), np.array(n_words, np.int64), np.array(n_windows, np.int64)
-
-
-def smallest_grams(texts, width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window, in order, the smallest hash of its grams (scrambled); and all grams of the texts."""
-    smallest, every = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-    for t in texts:
-        h = rolling(word_hashes(t.encode().split()), gram)
-        every.append(h)
-        span, known = width - gram + 1, 1
-        if len(h) >= span:
-            low = h
-            while 2 * known <= span:
-                low = np.minimum(low[:-known], low[known:])
-                known *= 2
-            smallest.append(np.minimum(low[: len(h) - span + 1], low[span - known :]))
-    return mix(np.concatenate(smallest)), mix(np.concatenate(every))
+class Block:
+    """The words of a block's documents with their hashes, worked out once for all that is asked of them."""
+
+    def __init__(self, texts, width: int):
+        self.width = width
+        self.words = [t.encode().split() for t in texts]
+        self.hashes = [word_hashes(w) for w in self.words]
+        self.n_words = np.fromiter(map(len, self.words), np.int64, len(self.words))
+        self.n_windows = np.maximum(0, self.n_words - width + 1)
+
+    def keys(self) -> np.ndarray:
+        """The keys of all windows, documents in order."""
+        return np.concatenate([np.zeros(0, np.uint64), *(rolling(h, self.width) for h in self.hashes)])
+
+    def checks(self, places: np.ndarray) -> np.ndarray:
+        """The checks of the windows at these (ascending) places; documents without any are passed over."""
+        ends = np.cumsum(self.n_windows)
+        edges = np.searchsorted(places, np.concatenate([[0], ends]))
+        out = [np.zeros(0, np.uint64)]
+        for k in np.flatnonzero(np.diff(edges)):
+            words = self.words[k]
+            second = mix(np.fromiter(map(zlib.crc32, words), np.uint64, len(words)) + _CHECK)
+            out.append(rolling(second, self.width)[places[edges[k] : edges[k + 1]] - (ends[k] - self.n_windows[k])] >> np.uint64(48))
+        return np.concatenate(out)
+
+    def grams(self, gram: int) -> list[np.ndarray]:
+        return [rolling(h, gram) for h in self.hashes]
+
+    def smallest(self, grams: list[np.ndarray], gram: int) -> np.ndarray:
+        """For each window, in order, the smallest hash of its grams (scrambled)."""
+        span = self.width - gram + 1
+        smallest = [np.zeros(0, np.uint64)]
+        for low in grams:
+            n, known = len(low) - span + 1, 1
+            if n > 0:
+                whole = low
+                while 2 * known <= span:
+                    whole = np.minimum(whole[:-known], whole[known:])
+                    known *= 2
+                smallest.append(np.minimum(whole[:n], whole[span - known :]))
+        return mix(np.concatenate(smallest))
 
 
 def _distinct(keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -297,24 +310,24 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW, gram: int = GRAM, batch
     edges = [-1, *sorted({int(e) for e in edges}), 2**62]
 
     def ask_grams(block: int, _, texts, flags) -> Iterator[tuple]:
-        smallest, every = smallest_grams(texts, width, gram)
-        wanted, (values, n) = np.unique(smallest), np.unique(every, return_counts=True)
+        words = Block(texts, width)
+        grams = words.grams(gram)
+        wanted, (values, n) = np.unique(words.smallest(grams, gram)), np.unique(mix(np.concatenate(grams)), return_counts=True)
         yield from requests(block, _GRAMS, wanted, bits, n[np.searchsorted(values, wanted)])
 
     grams = stages.write(total_answers(send(blocks, ask_grams)), "grams") if closed else None
 
-    def repeatable(texts, found) -> tuple[np.ndarray, ...]:
-        """The windows that may repeat, in a closed corpus those whose gram is found twice or more: keys, checks, their places
-        among all windows; numbers of words and windows."""
-        keys, checks, n_words, n_windows = windows(texts, width)
-        if not len(keys) or not closed:
-            return keys, checks, np.arange(len(keys)), n_words, n_windows
-        _, number = np.unique(smallest_grams(texts, width, gram)[0], return_inverse=True)
-        places = np.flatnonzero(np.concatenate([unpack(a) for a, _ in found[_GRAMS]])[number] > 1)
-        return keys[places], checks[places], places, n_words, n_windows
+    def repeatable(words: Block, found) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The windows that may repeat, in a closed corpus those whose gram is found twice or more: keys, checks, and their places among all windows."""
+        keys = words.keys()
+        places = np.arange(len(keys))
+        if len(keys) and closed:
+            _, number = np.unique(words.smallest(words.grams(gram), gram), return_inverse=True)
+            places = np.flatnonzero(np.concatenate([unpack(a) for a, _ in found[_GRAMS]])[number] > 1)
+        return keys[places], words.checks(places), places
 
     def ask(block: int, texts, found) -> Iterator[tuple]:
-        keys, checks, *_ = repeatable(texts, found)
+        keys, checks, _ = repeatable(Block(texts, width), found)
         first, _ = _distinct(keys, checks)
         yield from requests(block, _WINDOWS, keys[first], bits, checks[first])
 
@@ -333,21 +346,22 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW, gram: int = GRAM, batch
         runs.close()
 
     def cut(row, found) -> pd.DataFrame:
-        keys, checks, places, n_words, n_windows = repeatable(row.texts, found)
+        words = Block(row.texts, width)
+        keys, checks, places = repeatable(words, found)
+        n_windows = words.n_windows
         gone = np.zeros(n_windows.sum(), bool)
         if len(keys):
             first, number = _distinct(keys, checks)
             seen = np.concatenate([np.unpackbits(np.frombuffer(a, np.uint8), count=n).astype(bool) for a, n in found[_WINDOWS]])
             gone[places] = seen[number] | (first[number] != np.arange(len(number)))
         out, at = [], 0
-        for text, n, m in zip(row.texts, n_words, n_windows, strict=True):
-            words = text.encode().split()
+        for own, n, m in zip(words.words, words.n_words, n_windows, strict=True):
             edge = np.zeros(n + 1, np.int64)
             edge[:m] += gone[at : at + m]
             edge[width : width + m] -= gone[at : at + m]
             covered = np.cumsum(edge)[:n] > 0
             at += m
-            kept = b" ".join([w for w, c in zip(words, covered.tolist(), strict=True) if not c])
+            kept = b" ".join([w for w, c in zip(own, covered.tolist(), strict=True) if not c])
             out.append((n, int(covered.sum()), kept.decode(), sha256(kept).hexdigest()))
         result = pd.DataFrame(out, columns=["n_words", "n_removed", "kept", "kept_sha256"])
         result.insert(0, "doc_id", real_ids(row.doc_ids))
