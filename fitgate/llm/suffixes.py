@@ -38,8 +38,7 @@ from fitgate.llm.common import Stages, mix
 THRESHOLD = 50
 GRAM = 24
 BLOCK_CHARS = 500_000
-#: Parts of the key space that are asked one after the other in each round: bounds the shuffle on disk.
-#: There are at least four ranges, and always a power of two, so each lies in one part.
+#: The pairs of a round are asked in so many parts, one after the other: bounds the shuffle on disk and what an owner sorts at once.
 PARTS = 4
 #: Packed ranks are few large values: no attempt at a dictionary.
 PACKED = {"parquet.enable.dictionary": "false"}
@@ -77,7 +76,8 @@ class Strings:
         return first + np.arange(n.sum())
 
     def string_of(self, places: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.ends, places, side="right")
+        """The string of each place; places ascend."""
+        return np.repeat(np.arange(len(self.ends)), np.diff(np.searchsorted(places, self.ends), prepend=0))
 
 
 def encoded(texts) -> tuple[Strings, list[bytes]]:
@@ -121,6 +121,11 @@ def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a ^ mix(b * _ODD[0]))
 
 
+def part_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The part in which a pair of ranks is asked. Cheap, as every part works it out for all pairs, and independent of the key."""
+    return (a * _ODD[1] + b * _ODD[2]) >> np.uint64(65 - PARTS.bit_length())
+
+
 def _groups(key: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, starts of groups of equal (key, b) in that order), ascending by key."""
     if not len(key):
@@ -157,7 +162,7 @@ def _pair_requests(block: int, kind: int, bits: int, key: np.ndarray, b: np.ndar
             yield owner, block, kind, int(y - x), bl.pack_sorted(key[x:y]), extra
 
 
-def rank_pairs(asked: DataFrame, last: bool) -> DataFrame:
+def rank_pairs(asked: DataFrame, part: int, last: bool) -> DataFrame:
     """Answers to pairs, sorted within their range: the rank of each, 0 if one document has it alone;
     in the last round the smallest doc_id instead. A document lies in one block, so a pair of two blocks has two documents
     (but for rows with one doc_id, whose pairs may get a rank they would not need)."""
@@ -174,7 +179,7 @@ def rank_pairs(asked: DataFrame, last: bool) -> DataFrame:
         else:
             several = np.concatenate([np.unpackbits(np.frombuffer(x[8 * m :], np.uint8), count=m) for x, m in zip(group["extra"], n, strict=True)])
             shared = (np.diff(np.append(starts, len(order))) > 1) | (np.maximum.reduceat(several[order], starts) > 0)
-            rank = (np.uint64(group["owner"].iloc[0]) << _BITS) + np.cumsum(shared).astype(np.uint64)
+            rank = (np.uint64(group["owner"].iloc[0] * PARTS + part) << _BITS) + np.cumsum(shared).astype(np.uint64)
             value = np.where(shared, rank, np.uint64(0))
         value = _spread(value, order, starts)
         edges = np.cumsum(n)
@@ -184,12 +189,15 @@ def rank_pairs(asked: DataFrame, last: bool) -> DataFrame:
     return asked.groupBy("owner").applyInPandas(sort, NAMED)
 
 
-def _answered(found: dict, kind: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The answers of one kind, for every (not only every distinct) pair."""
-    if not len(a):
-        return np.zeros(0, np.uint64)
-    order, starts = _groups(pair_keys(a, b), b)
-    return _spread(np.concatenate([bl.unpack(x) for x, _ in found[kind]]), order, starts)
+def _answered(found: dict, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The answers of all parts, for every (not only every distinct) pair."""
+    out, mine = np.zeros(len(a), np.uint64), part_of(a, b)
+    for part in range(PARTS):
+        at = np.flatnonzero(mine == part)
+        if len(at):
+            order, starts = _groups(pair_keys(a[at], b[at]), b[at])
+            out[at] = _spread(np.concatenate([bl.unpack(x) for x, _ in found[part]]), order, starts)
+    return out
 
 
 _ASKED = [c.split()[0] for c in bl.REQUEST.split(", ")]
@@ -215,6 +223,7 @@ def remove_repeats(docs: DataFrame, texts: bool = True) -> DataFrame:
     blocks = bl.text_blocks(rows, stages, order_by=("near", "doc_id"), chars=BLOCK_CHARS)
     size = blocks.select(F.sum(F.aggregate("texts", F.lit(0).cast("long"), lambda n, t: n + F.octet_length(t)))).first()[0] or 0
     bits = bl.owners_for(size // 8)
+    part_bits = max(2, bits - 1)  # of an owner of pairs, of which a part has a quarter
 
     def ask_grams(block: int, _, texts, flags) -> Iterator[tuple]:
         grams, doc, _, _ = window_grams(encoded(texts)[0])
@@ -243,8 +252,8 @@ def remove_repeats(docs: DataFrame, texts: bool = True) -> DataFrame:
     regions = stages.write(bl.with_answers(blocks, grams, cut_regions, REGIONS), "regions")
     stages.drop("grams")
 
-    def pairs(row, offset: int, length: int) -> tuple[Strings, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Places where a string of that length starts and both its parts have ranks, with these ranks and the doc_id."""
+    def pairs(row, offset: int, length: int, part: int | None = None) -> tuple[Strings, np.ndarray, np.ndarray, np.ndarray]:
+        """Places (of one part or of all) where a string of that length starts and both its halves have ranks, with these ranks."""
         b = Strings(row.data, np.asarray(row.lengths, np.int64))
         ranks = eight(b.data) if row.ranks is None else bl.unpack(row.ranks)
         places = b.places(length)
@@ -252,55 +261,58 @@ def remove_repeats(docs: DataFrame, texts: bool = True) -> DataFrame:
         if row.ranks is not None:
             there = (first > 0) & (second > 0)
             places, first, second = places[there], first[there], second[there]
-        ids = np.asarray(row.doc_ids, np.int64)[np.asarray(row.doc, np.int64)[b.string_of(places)]]
-        return b, places, first, second, ids
+        if part is not None:
+            mine = np.flatnonzero(part_of(first, second) == part)
+            places, first, second = places[mine], first[mine], second[mine]
+        return b, places, first, second
+
+    def holders(row, b: Strings, places: np.ndarray) -> np.ndarray:
+        """The doc_id of each place."""
+        return np.asarray(row.doc_ids, np.int64)[np.asarray(row.doc, np.int64)][b.string_of(places)]
 
-    def ask(state: DataFrame, kind: int, offset: int, length: int, part: int, parts: int) -> DataFrame:
-        """Requests for pairs, those whose keys lie in one part of the key space only."""
-        low, high = (part << 64) // parts, ((part + 1) << 64) // parts - 1
+    def ask(state: DataFrame, offset: int, length: int, part: int) -> DataFrame:
+        """Requests for the pairs of one part."""
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 for row in batch.itertuples(index=False):
-                    _, _, a, b, ids = pairs(row, offset, length)
-                    key = pair_keys(a, b)
-                    inside = (key >= np.uint64(low)) & (key <= np.uint64(high))
-                    key, b, ids = key[inside], b[inside], ids[inside]
-                    yield pd.DataFrame(list(_pair_requests(row.block, kind, bits, key, b, ids, length == THRESHOLD)), columns=_ASKED)
+                    strings, places, a, b = pairs(row, offset, length, part)
+                    found = _pair_requests(row.block, part, part_bits, pair_keys(a, b), b, holders(row, strings, places), length == THRESHOLD)
+                    yield pd.DataFrame(list(found), columns=_ASKED)
 
         return state.mapInPandas(run, bl.REQUEST)
 
-    def answered(state: DataFrame, kind: int, offset: int, length: int) -> DataFrame:
-        """The answers to all pairs, written part by part of the key space."""
-        parts = [stages.write(rank_pairs(ask(state, kind, offset, length, part, PARTS), length == THRESHOLD), f"ranks{length}-{part}", **PACKED) for part in range(PARTS)]
+    def answered(state: DataFrame, offset: int, length: int) -> DataFrame:
+        """The answers to all pairs, written part by part."""
+        parts = [stages.write(rank_pairs(ask(state, offset, length, part), part, length == THRESHOLD), f"ranks{length}-{part}", **PACKED) for part in range(PARTS)]
         return reduce(DataFrame.unionByName, parts)
 
-    def ranked(state: DataFrame, kind: int, offset: int, length: int) -> DataFrame:
+    def ranked(state: DataFrame, offset: int, length: int) -> DataFrame:
         """The state with ranks for the greater length; the bytes are needed no more."""
-        answers = answered(state, kind, offset, length)
+        answers = answered(state, offset, length)
 
         def take(row, found) -> pd.DataFrame:
-            b, places, first, second, _ = pairs(row, offset, length)
+            b, places, first, second = pairs(row, offset, length)
             ranks = np.zeros(b.size, np.uint64)
-            ranks[places] = _answered(found, kind, first, second)
+            ranks[places] = _answered(found, first, second)
             return pd.DataFrame([row._replace(data=None, ranks=bl.pack(ranks))])
 
         out = stages.write(bl.with_answers(state, answers, take, REGIONS), f"state{length}", **PACKED)
         stages.keep("blocks", f"state{length}")
         return out
 
-    state16 = ranked(regions, 1, 8, 16)
-    state32 = ranked(state16, 2, 16, 32)
-    answers = answered(state32, 3, 18, THRESHOLD)
+    state16 = ranked(regions, 8, 16)
+    state32 = ranked(state16, 16, 32)
+    answers = answered(state32, 18, THRESHOLD)
 
     def found_in(row, found) -> pd.DataFrame:
         """First bytes of strings that an earlier document has, as places in the block's texts."""
-        b, places, first, second, ids = pairs(row, 18, THRESHOLD)
-        gone = places[_answered(found, 3, first, second).view(np.int64) < ids]
+        b, places, first, second = pairs(row, 18, THRESHOLD)
+        gone = places[_answered(found, first, second).view(np.int64) < holders(row, b, places)]
         region = b.string_of(gone)
         at = gone - (b.ends - b.lengths)[region] + np.asarray(row.start, np.int64)[region]
         doc = np.asarray(row.doc, np.uint64)[region]
-        return pd.DataFrame({"owner": [0], "block": [row.block], "kind": [4], "n": [len(gone)], "answer": [bl.pack(doc) + bl.pack(at.astype(np.uint64))]})
+        return pd.DataFrame({"owner": [0], "block": [row.block], "kind": [0], "n": [len(gone)], "answer": [bl.pack(doc) + bl.pack(at.astype(np.uint64))]})
 
     gone = stages.write(bl.with_answers(state32, answers, found_in, NAMED), "gone", **PACKED)
     stages.keep("blocks", "gone")
@@ -308,8 +320,8 @@ def remove_repeats(docs: DataFrame, texts: bool = True) -> DataFrame:
     def cut(row, found) -> pd.DataFrame:
         docs = [t.encode() for t in row.texts]
         where: dict[int, np.ndarray] = {}
-        if 4 in found and found[4][0][1]:
-            answer, n = found[4][0]
+        if 0 in found and found[0][0][1]:
+            answer, n = found[0][0]
             doc, at = bl.unpack(answer[: 8 * n]).astype(np.int64), bl.unpack(answer[8 * n :]).astype(np.int64)
             new = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
             where = dict(zip(doc[new].tolist(), np.split(at, new[1:]), strict=True))
