@@ -12,7 +12,8 @@ from fitgate.functions import decide as dec
 from fitgate.functions import formatting as fmt
 from fitgate.functions import prepared as prep
 from fitgate.functions import registry as reg
-from fitgate.operators import asof, bookkeeping, coded_headers, headers, raster, rules_text, sheets
+from fitgate.functions.registry import FORMATS
+from fitgate.operators import asof, bookkeeping, coded_headers, headers, rules_text, sheets, size_search
 from fitgate.operators import html_fields as html
 from fitgate.plans import page_events, views
 from fitgate.session import shared_folder
@@ -166,6 +167,15 @@ def file_decisions(spark, sf_dir):
     return _decided(spark, sf_dir).select("file_id", "field_id", "d.action", _join("d.issues").alias("issues"), "d.output_format", _join("d.consents").alias("consents"))
 
 
+@query(o.with_views(
+    """SELECT file_id, CASE action WHEN 'PASS_THROUGH' THEN 'pass' WHEN 'UNSAFE_TO_FIX' THEN 'unsafe' WHEN 'AUTO_FIX' THEN 'fixed' ELSE 'confirm' END AS kind,
+    CASE WHEN action = 'UNSAFE_TO_FIX' THEN CASE WHEN list_contains(issues, 'unknown') THEN 'damaged' ELSE 'rules-conflict' END END AS code FROM decided""", *_DECIDED
+))
+def prepare_outcome(spark, sf_dir):
+    """What becomes of each chosen file: it passes, is fixed, waits for a confirmation, or cannot be helped, and why."""
+    return _decided(spark, sf_dir).select("file_id", dec.prepare_outcome(F.col("d.action"), F.col("d.issues")).alias("o")).select("file_id", "o.*")
+
+
 @query(o.with_views("SELECT format, action, count(*) AS n, sum(bytes)::BIGINT AS bytes FROM decided GROUP BY ALL", *_DECIDED))
 def decisions_by_format(spark, sf_dir):
     return _decided(spark, sf_dir).groupBy("format", "d.action").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
@@ -667,12 +677,86 @@ def ssim_blocks(spark, sf_dir):
     return s.select("vec_id", (F.round(value, 6) + 0.0).alias("ssim"))
 
 
-@query()
+# A model of file sizes: a file's bytes by a factor of 1/64 to 16, falling with pixels^0.9 and, in a lossy format, with quality^3.
+def _modelled(spark, sf_dir) -> DataFrame:
+    writable, lossy = [f.name for f in FORMATS if f.alpha is not None], [f.name for f in FORMATS if f.lossy]
+    full = F.greatest(F.lit(1), F.floor(F.col("bytes") * F.pow(F.lit(4.0), F.col("file_id") % 6 - 3)))
+    p = views.picks(spark, sf_dir).where(F.col("format").isin(writable))
+    return p.withColumns({"full": full, "lossy": F.col("format").isin(lossy)})
+
+
+def _model_size(width: Column, height: Column, quality: Column) -> Column:
+    share = F.pow((width * height) / (F.col("width") * F.col("height")), F.lit(0.9))
+    return (F.floor(F.col("full") * share * F.when(F.col("lossy"), F.pow(quality / 0.92, F.lit(3.0))).otherwise(1.0)) + 1).cast("long")
+
+
+def _size_sql(w: str, h: str, q: str) -> str:
+    return f"(floor(full_bytes * pow(({w}) * ({h}) / (width * height), 0.9) * CASE WHEN lossy THEN pow(({q}) / 0.92::DOUBLE, 3) ELSE 1.0::DOUBLE END) + 1)::BIGINT"
+
+
+_MODELLED = f"""modelled AS (SELECT file_id, width, height, lossy, max_bytes, min_bytes, greatest(1, floor(bytes * pow(4, file_id % 6 - 3)))::DOUBLE AS full_bytes, file_id % 3 <> 0 AS may_shrink,
+    coalesce(floor(max_bytes * 0.96::DOUBLE), pow(2, 62)) AS room, {o.SAFE_MIN} AS safe_min,
+    least(1.0::DOUBLE, greatest(1 / least(width, height), coalesce(min_width, 0) / width, coalesce(min_height, 0) / height)) AS least_scale FROM rated WHERE writable)"""
+_PROBED = f"""probed AS (SELECT *, {_size_sql("width", "height", "0.92::DOUBLE")} AS usual, {_size_sql("width", "height", "0.4::DOUBLE")} AS lowest, {_size_sql("width", "height", "1.0::DOUBLE")} AS highest,
+    CASE WHEN min_bytes IS NULL THEN 0 ELSE least(safe_min, room) END AS minimum FROM modelled)"""
+_BY_QUALITY = f"""by_quality AS (
+    SELECT file_id, width, height, lossy, full_bytes, room, 0 AS n, 0.4::DOUBLE AS low, lowest AS low_bytes, 0.92::DOUBLE AS high, usual AS high_bytes FROM probed WHERE lossy AND usual > room AND lowest <= room
+    UNION ALL
+    SELECT file_id, width, height, lossy, full_bytes, room, n + 1, CASE WHEN size <= room THEN q ELSE low END, CASE WHEN size <= room THEN size ELSE low_bytes END,
+      CASE WHEN size <= room THEN high ELSE q END, CASE WHEN size <= room THEN high_bytes ELSE size END
+    FROM (SELECT *, {_size_sql("width", "height", "q")} AS size FROM (
+      SELECT *, least(high - edge, greatest(low + edge, low + least(1.0::DOUBLE, greatest(0.0::DOUBLE, share)) * (high - low))) AS q FROM (
+        SELECT *, least(0.01::DOUBLE, (high - low) / 4) AS edge,
+          CASE WHEN ln(high_bytes) - ln(low_bytes) > 0 THEN (ln(room * 0.995::DOUBLE) - ln(low_bytes)) / (ln(high_bytes) - ln(low_bytes)) ELSE 0.5 END AS share
+        FROM by_quality WHERE n < 4 AND high - low > 0.01::DOUBLE))))"""
+_W, _H = "greatest(1, floor(width * tried + 0.5::DOUBLE))", "greatest(1, floor(height * tried + 0.5::DOUBLE))"
+_BY_SCALE = f"""to_shrink AS (SELECT *, CASE WHEN lossy THEN 0.6::DOUBLE ELSE 0.92::DOUBLE END AS q, CASE WHEN lossy THEN 2 ELSE 1 END AS before,
+      CASE WHEN lossy THEN exp(ln(lowest) + (0.6::DOUBLE - 0.4::DOUBLE) / (0.92::DOUBLE - 0.4::DOUBLE) * (ln(usual) - ln(lowest))) ELSE usual::DOUBLE END AS at_full
+    FROM probed WHERE may_shrink AND room > 0 AND usual > room AND (NOT lossy OR lowest > room)),
+  by_scale AS (
+    SELECT file_id, width, height, lossy, full_bytes, room, q, least_scale, 0 AS n, NULL::DOUBLE AS fit, NULL::BIGINT AS fit_bytes, 1.0::DOUBLE AS big, 1.0::DOUBLE AS last, at_full AS last_bytes, 1.8::DOUBLE AS exponent,
+      least(0.98::DOUBLE, pow(room * 0.97::DOUBLE / at_full, 1 / 1.8::DOUBLE)) AS scale, true AS going FROM to_shrink
+    UNION ALL
+    SELECT file_id, width, height, lossy, full_bytes, room, q, least_scale, n + 1, fit2, fit_bytes2, big2, tried, size::DOUBLE, exponent2,
+      CASE WHEN aim >= big2 THEN sqrt(coalesce(fit2, least_scale) * big2) WHEN aim <= fit2 THEN sqrt(fit2 * big2) ELSE aim END,
+      NOT (size > room AND tried <= least_scale) AND NOT coalesce(big2 / fit2 - 1 <= 0.02::DOUBLE, false) AND NOT (size <= room AND aim / tried - 1 <= 0.02::DOUBLE)
+    FROM (SELECT *, tried * pow(room * 0.985::DOUBLE / size, 1 / exponent2) AS aim FROM (
+      SELECT *, CASE WHEN size <= room AND (fit IS NULL OR tried > fit) THEN tried ELSE fit END AS fit2, CASE WHEN size <= room AND (fit IS NULL OR tried > fit) THEN size ELSE fit_bytes END AS fit_bytes2,
+        CASE WHEN size > room AND tried < big THEN tried ELSE big END AS big2,
+        CASE WHEN tried <> last AND size <> last_bytes THEN least(2.5::DOUBLE, greatest(1.0::DOUBLE, ln(size / last_bytes) / ln(tried / last))) ELSE exponent END AS exponent2
+      FROM (SELECT *, {_size_sql(_W, _H, "q")} AS size FROM (SELECT *, greatest(least_scale, scale) AS tried FROM by_scale WHERE going AND n < 7)))))"""
+_FITTED = f"""SELECT file_id, CASE WHEN error IS NULL THEN w END::BIGINT AS width, CASE WHEN error IS NULL THEN h END::BIGINT AS height, CASE WHEN error IS NULL THEN round(quality, 6) END AS quality,
+    CASE WHEN error IS NULL THEN size END::BIGINT AS bytes, CASE WHEN error IS NULL THEN filler END::BIGINT AS filler, encodes::INT AS encodes, error FROM (
+  SELECT file_id, NULL AS w, NULL AS h, NULL::DOUBLE AS quality, NULL AS size, NULL AS filler, 0 AS encodes, 'rules-conflict' AS error FROM probed WHERE room <= 0
+  UNION ALL SELECT file_id, width, height, CASE WHEN usual < minimum AND lossy AND highest <= room THEN 1.0 ELSE 0.92 END, CASE WHEN usual >= minimum THEN usual ELSE greatest(CASE WHEN lossy AND highest <= room THEN highest ELSE usual END, minimum) END,
+    CASE WHEN usual >= minimum THEN 0 ELSE greatest(0, minimum - CASE WHEN lossy AND highest <= room THEN highest ELSE usual END) END,
+    CASE WHEN usual < minimum AND lossy AND minimum >= min_bytes THEN 2 ELSE 1 END, CASE WHEN usual < minimum AND minimum < min_bytes THEN 'target-unreachable' END FROM probed WHERE room > 0 AND usual <= room
+  UNION ALL SELECT file_id, width, height, low, low_bytes, 0, n + 2, NULL FROM by_quality WHERE room > 0 QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY n DESC) = 1
+  UNION ALL SELECT * FROM (SELECT s.file_id, greatest(1, floor(s.width * fit + 0.5)), greatest(1, floor(s.height * fit + 0.5)), s.q, fit_bytes, 0, n + t.before, CASE WHEN fit IS NULL THEN 'target-unreachable' END
+    FROM by_scale s JOIN to_shrink t USING (file_id) QUALIFY row_number() OVER (PARTITION BY s.file_id ORDER BY n DESC) = 1)
+  UNION ALL SELECT file_id, NULL, NULL, NULL, NULL, NULL, CASE WHEN lossy THEN 2 ELSE 1 END, 'target-unreachable' FROM probed WHERE NOT may_shrink AND room > 0 AND usual > room AND (NOT lossy OR lowest > room))"""
+
+
+@query(o.with_views(_FITTED, *o.BASE, o.RATED, _MODELLED, _PROBED, _BY_QUALITY, _BY_SCALE).replace("WITH ", "WITH RECURSIVE ", 1))
 def size_search_model(spark, sf_dir):
-    """The search for a size limit on a model of file sizes."""
-    p = views.picks(spark, sf_dir).where("max_bytes is not null")
-    found = raster.size_search(F.col("width"), F.col("height"), F.col("max_bytes") / 100, F.lit(0.4))
-    return p.select("file_id", found.alias("f")).select("file_id", "f.*")
+    """The finest save of each picture within its field's limits of bytes, on a model of file sizes; the SQL keeps a frontier of open searches."""
+    get = F.col
+    found = size_search.fit_to_bytes(_model_size, get("width"), get("height"), get("max_bytes"), get("min_bytes"), get("lossy"), get("file_id") % 3 != 0, get("min_width"), get("min_height"))
+    out = _modelled(spark, sf_dir).select("file_id", found.alias("f"))
+    return out.select("file_id", "f.width", "f.height", F.round("f.quality", 6).alias("quality"), "f.bytes", "f.filler", "f.encodes", "f.error")
+
+
+_FINER = f"""finer AS (SELECT file_id, width, height, lossy, full_bytes, room, 0 AS n, 0.92::DOUBLE AS low, 1.0::DOUBLE AS high, NULL::BIGINT AS bytes FROM modelled WHERE lossy AND max_bytes IS NOT NULL
+    UNION ALL SELECT file_id, width, height, lossy, full_bytes, room, n + 1, CASE WHEN size <= room THEN q ELSE low END, CASE WHEN size <= room THEN high ELSE q END, CASE WHEN size <= room THEN size ELSE bytes END
+    FROM (SELECT *, {_size_sql("width", "height", "q")} AS size FROM (SELECT *, (low + high) / 2 AS q FROM finer WHERE n < 3)))"""
+
+
+@query(o.with_views("SELECT file_id, CASE WHEN bytes IS NOT NULL THEN round(low, 6) END AS quality, bytes FROM finer WHERE n = 3", *o.BASE, o.RATED, _MODELLED, _FINER).replace("WITH ", "WITH RECURSIVE ", 1))
+def finer_quality(spark, sf_dir):
+    """The finest save above the usual quality that a limit leaves room for."""
+    m = _modelled(spark, sf_dir).where("lossy and max_bytes is not null")
+    found = size_search.finer_quality(_model_size, F.col("width"), F.col("height"), size_search.byte_target(F.col("max_bytes")))
+    return m.select("file_id", found.alias("f")).select("file_id", F.round("f.quality", 6).alias("quality"), "f.bytes")
 
 
 @query("SELECT event_id, CASE WHEN event_id % 5 < 3 THEN value END AS number, CASE event_id % 5 WHEN 3 THEN '0' || event_id WHEN 4 THEN '+' || event_id END AS text FROM events")

@@ -290,3 +290,10 @@ def sanitized_options(output: Column, sheet: Column, flag: Column) -> Column:
     known = output.isin(*[f.name for f in reg.FORMATS if f.alpha is not None], "pdf", "csv", "xlsx")
     whole = (sheet == F.floor(sheet)) & sheet.between(1, 999)
     return F.struct(F.when(_true(known), output).otherwise(F.lit("jpeg")).alias("output"), F.when(whole, sheet.cast("long")).alias("sheet"), (_true(flag == "true")).alias("allow"))
+
+
+def prepare_outcome(action: Column, found: Column) -> Column:
+    """struct(kind, code) of a file once its decision is known; only files that cannot be helped have a code."""
+    kind = F.when(action == "PASS_THROUGH", "pass").when(action == "UNSAFE_TO_FIX", "unsafe").when(action == "AUTO_FIX", "fixed").otherwise("confirm")
+    code = F.when(action == "UNSAFE_TO_FIX", F.when(F.array_contains(found, "unknown"), "damaged").otherwise("rules-conflict"))
+    return F.struct(kind.alias("kind"), code.alias("code"))

@@ -8,16 +8,13 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Qualities, margins and steps of the search; sizes that are refused.
-MAX_QUALITY, HIGHEST, FLOOR, FIT = 0.92, 1.0, 0.4, 0.6
-TARGET_MARGIN, SEARCH_STEPS, FIT_STEPS, FIT_PRECISION = 0.96, 4, 7, 0.02
+# Sizes that are refused.
 MAX_PIXELS, MAX_SIDE = 250_000_000, 32_767
 RASTER = "width int, height int, rgba binary, error string"
 
@@ -223,73 +220,6 @@ def ssim_blocks(a: np.ndarray, b: np.ndarray, side: int = 8) -> float:
     return float(((2 * mx * my + c1) * (2 * cov + c2) / ((mx**2 + my**2 + c1) * (vx + vy + c2))).mean())
 
 
-Size = Callable[[int, int, float], int]
-
-
-def fit_size(width: int, height: int, most: int, size: Size, can_shrink: bool = True) -> tuple[int, int, float, int, str | None]:
-    """(width, height, quality, encodes, error): the best quality whose file is not larger than ``most``, less a margin.
-
-    The usual quality first; if that is too large, at most four steps of interpolation on the logarithm of
-    the size; if even the lowest is too large, at most seven steps towards the largest scale that fits.
-    """
-    calls, target = 0, int(most * TARGET_MARGIN)
-
-    def encoded(w: int, h: int, q: float) -> int:
-        nonlocal calls
-        calls += 1
-        return size(w, h, q)
-
-    high = encoded(width, height, MAX_QUALITY)
-    if high <= target:
-        return width, height, MAX_QUALITY, calls, None
-    low = encoded(width, height, FLOOR)
-    if low <= target:
-        best, (a, sa), (b, sb) = FLOOR, (FLOOR, low), (MAX_QUALITY, high)
-        aim = np.log(0.995 * target)
-        for _ in range(SEARCH_STEPS):
-            span = np.log(sb) - np.log(sa)
-            q = a + (b - a) * float(np.clip((aim - np.log(sa)) / span if span > 0 else 0.5, 0.05, 0.95))
-            s = encoded(width, height, q)
-            if s <= target:
-                best, a, sa = q, q, s
-                if s >= target * (1 - FIT_PRECISION):
-                    break
-            else:
-                b, sb = q, s
-        return width, height, best, calls, None
-    if not can_shrink:
-        return width, height, FLOOR, calls, "target-unreachable"
-    scale, power, best_fit = float(np.sqrt(target / max(low, 1))), 2.0, None
-    fits, fails = 0.0, 1.0
-    for _ in range(FIT_STEPS):
-        w, h = max(1, int(width * scale + 0.5)), max(1, int(height * scale + 0.5))
-        s = encoded(w, h, FIT)
-        if s <= target:
-            fits, best_fit = scale, (w, h)
-            if s >= target * (1 - FIT_PRECISION) or (w, h) == (1, 1):
-                break
-        else:
-            fails = scale
-            if (w, h) == (1, 1):
-                break
-        step = scale * (target / max(s, 1)) ** (1 / power)
-        scale = step if fits < step < fails else (fits + fails) / 2
-    if best_fit is None:
-        return width, height, FIT, calls, "target-unreachable"
-    return *best_fit, FIT, calls, None
-
-
-def size_search(width: Column, height: Column, most: Column, factor: Column) -> Column:
-    """The search on a model of file sizes (width * height * factor * quality**3), for a column of limits."""
-
-    @F.pandas_udf("width long, height long, quality double, encodes int, error string")
-    def search(ws: pd.Series, hs: pd.Series, limits: pd.Series, factors: pd.Series) -> pd.DataFrame:
-        rows = [fit_size(int(w), int(h), int(m), lambda a, b, q, k=k: int(a * b * k * q**3 + 0.5)) for w, h, m, k in zip(ws, hs, limits, factors, strict=True)]
-        return pd.DataFrame(rows, columns=["width", "height", "quality", "encodes", "error"])
-
-    return search(width, height, most, factor)
-
-
 DECODERS = {"png": read_png, "bmp": read_bmp}
 
 
