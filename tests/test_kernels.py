@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fitgate.operators import headers, html_fields, raster, sheets, wording
 
@@ -104,21 +105,22 @@ def test_sheets(spark):
     assert [r.t for r in texts.select(sheets.csv_text(texts.c).alias("t")).collect()] == ["a,é", "x", "café € \x81"]
 
 
-@pytest.mark.parametrize(
-    ("text", "want"),
-    [
-        ("Maximum size 1,500 KB", {"max_bytes": 1_500_000}), ("files larger than 2 MB will be rejected", {"max_bytes": 2_000_000}), ("300-500 KB", {"min_bytes": 300_000, "max_bytes": 500_000}),
-        ("total size of all files: 20 MB", {}), ("3.5 x 4.5 cm at 300 dpi", {"print_width": 35, "print_height": 45, "dpi": 300}), ("a square photo", {"aspect_ratio": 1}),
-        ("at least 600 x 600 px", {"min_width": 600, "min_height": 600}), ("We open at 10:30", {}), ("max 1 MiB", {"max_bytes": 2**20}),
-    ],
-)
-def test_clause(text, want):
-    assert {r: n for r, n, items, _ in wording.read_clause(text)[0] if items is None} == want
+CLAUSES = [
+    ("Maximum size 1,500 KB", {"max_bytes": 1_500_000}), ("files larger than 2 MB will be rejected", {"max_bytes": 2_000_000}), ("300-500 KB", {"min_bytes": 300_000, "max_bytes": 500_000}),
+    ("total size of all files: 20 MB", {}), ("3.5 x 4.5 cm at 300 dpi", {"print_width": 35, "print_height": 45, "dpi": 300}), ("a square photo", {"aspect_ratio": 1}),
+    ("at least 600 x 600 px", {"min_width": 600, "min_height": 600}), ("We open at 10:30", {}), ("max 1 MiB", {"max_bytes": 2**20}), (None, {}),
+]
 
 
-def test_fields_of_a_page():
+def test_clauses(spark):
+    rows = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(CLAUSES)], "i int, clause string")
+    got = {r.i: {f.rule: f.num for f in r.found if f["items"] is None} for r in wording.read_clauses(rows, "clause").select("i", F.col("__findings").alias("found")).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(CLAUSES)}
+
+
+def test_fields_of_a_page(spark):
     html = "<div><p>Max 2 MB</p><div><input type=file title='PNG'></div></div><div>Other <input type=file></div>"
-    rows = list(html_fields.field_texts(html))
-    assert {(r[0], r[4]) for r in rows} >= {(0, "title"), (0, "parent"), (1, "parent")}
-    assert all("Other" not in (r[6] or "") for r in rows if r[0] == 0)
-    assert list(html_fields.field_texts(None)) == []
+    rows = html_fields.html_fields(spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")).collect()
+    assert {r.page_id for r in rows} == {1}
+    assert {(r.field_no, r.source) for r in rows} >= {(0, "title"), (0, "parent"), (1, "parent")}
+    assert all("Other" not in (r.text or "") for r in rows if r.field_no == 0)
