@@ -164,7 +164,8 @@ def _pair_requests(block: int, kind: int, bits: int, key: np.ndarray, b: np.ndar
 
 def rank_pairs(asked: DataFrame, part: int, last: bool) -> DataFrame:
     """Answers to pairs, sorted within their range: the rank of each, 0 if one document has it alone;
-    in the last round the smallest doc_id instead. A document lies in one block, so a pair of two blocks has two documents
+    in the last round a bit instead, whether a smaller doc_id of another block has it. A block's keys ascend and so do its
+    ranks, which are sent as differences, 0 where there is none. A document lies in one block, so a pair of two blocks has two documents
     (but for rows with one doc_id, whose pairs may get a rank they would not need)."""
 
     def sort(group: pd.DataFrame) -> pd.DataFrame:
@@ -175,28 +176,49 @@ def rank_pairs(asked: DataFrame, part: int, last: bool) -> DataFrame:
         del keys, second
         if last:
             docs = np.concatenate([bl.unpack(x[8 * m :]) for x, m in zip(group["extra"], n, strict=True)]).view(np.int64)
-            value = np.minimum.reduceat(docs[order], starts).view(np.uint64)
+            value = _spread(np.minimum.reduceat(docs[order], starts), order, starts) < docs
         else:
             several = np.concatenate([np.unpackbits(np.frombuffer(x[8 * m :], np.uint8), count=m) for x, m in zip(group["extra"], n, strict=True)])
             shared = (np.diff(np.append(starts, len(order))) > 1) | (np.maximum.reduceat(several[order], starts) > 0)
             rank = (np.uint64(group["owner"].iloc[0] * PARTS + part) << _BITS) + np.cumsum(shared).astype(np.uint64)
-            value = np.where(shared, rank, np.uint64(0))
-        value = _spread(value, order, starts)
+            value = _spread(np.where(shared, rank, np.uint64(0)), order, starts)
+        send = (lambda v: np.packbits(v).tobytes()) if last else (lambda v: bl.pack_sorted(np.maximum.accumulate(v)))
         edges = np.cumsum(n)
-        answers = [bl.pack(value[e - m : e]) for e, m in zip(edges, n, strict=True)]
+        answers = [send(value[e - m : e]) for e, m in zip(edges, n, strict=True)]
         return pd.DataFrame({"owner": group["owner"], "block": group["block"], "kind": group["kind"], "n": group["n"], "answer": answers})
 
     return asked.groupBy("owner").applyInPandas(sort, NAMED)
 
 
-def _answered(found: dict, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The answers of all parts, for every (not only every distinct) pair."""
-    out, mine = np.zeros(len(a), np.uint64), part_of(a, b)
+def _sent_ranks(data: bytes) -> np.ndarray:
+    steps = bl.unpack(data)
+    return np.where(steps > 0, np.cumsum(steps, dtype=np.uint64), np.uint64(0))
+
+
+def _parts(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each part that has pairs: (part, its places among the pairs, order and starts of their groups)."""
+    mine = part_of(a, b)
     for part in range(PARTS):
         at = np.flatnonzero(mine == part)
         if len(at):
-            order, starts = _groups(pair_keys(a[at], b[at]), b[at])
-            out[at] = _spread(np.concatenate([bl.unpack(x) for x, _ in found[part]]), order, starts)
+            yield part, at, *_groups(pair_keys(a[at], b[at]), b[at])
+
+
+def _ranks(found: dict, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The ranks of all (not only all distinct) pairs."""
+    out = np.zeros(len(a), np.uint64)
+    for part, at, order, starts in _parts(a, b):
+        out[at] = _spread(np.concatenate([_sent_ranks(x) for x, _ in found[part]]), order, starts)
+    return out
+
+
+def _held_earlier(found: dict, a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For all pairs, whether a smaller doc_id has them, in this block or in another."""
+    out = np.zeros(len(a), bool)
+    for part, at, order, starts in _parts(a, b):
+        elsewhere = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in found[part]]) > 0
+        first = np.minimum.reduceat(ids[at][order], starts)
+        out[at] = _spread(elsewhere, order, starts) | (ids[at] > _spread(first, order, starts))
     return out
 
 
@@ -294,7 +316,7 @@ def remove_repeats(docs: DataFrame, texts: bool = True) -> DataFrame:
         def take(row, found) -> pd.DataFrame:
             b, places, first, second = pairs(row, offset, length)
             ranks = np.zeros(b.size, np.uint64)
-            ranks[places] = _answered(found, first, second)
+            ranks[places] = _ranks(found, first, second)
             return pd.DataFrame([row._replace(data=None, ranks=bl.pack(ranks))])
 
         out = stages.write(bl.with_answers(state, answers, take, REGIONS), f"state{length}", **PACKED)
@@ -308,7 +330,7 @@ def remove_repeats(docs: DataFrame, texts: bool = True) -> DataFrame:
     def found_in(row, found) -> pd.DataFrame:
         """First bytes of strings that an earlier document has, as places in the block's texts."""
         b, places, first, second = pairs(row, 18, THRESHOLD)
-        gone = places[_answered(found, first, second).view(np.int64) < holders(row, b, places)]
+        gone = places[_held_earlier(found, first, second, holders(row, b, places))]
         region = b.string_of(gone)
         at = gone - (b.ends - b.lengths)[region] + np.asarray(row.start, np.int64)[region]
         doc = np.asarray(row.doc, np.uint64)[region]
