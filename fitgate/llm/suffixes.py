@@ -1,30 +1,29 @@
-"""Removal of repeated byte strings by distributed prefix doubling.
+"""Removal of repeated byte strings: windows meet by their smallest gram and are ranked by prefix doubling.
 
 The rank of a position for length m names the m bytes that start there: equal strings, equal
 ranks. Eight bytes are a rank as they stand. From ranks for m bytes, ranks for more come by
 sorting pairs (rank of i, rank of i + offset): 8 + 8 = 16, 16 + 16 = 32, and with an offset of
-18, 50 bytes, the threshold. A pair that only one document has gets no rank, and its positions drop out.
+18, 50 bytes, the threshold.
 
-The pairs are scrambled one to one, so that the leading bits deal them evenly over partitions
-whatever the text, and Spark shuffles them by these ranges. A block of documents sends its
-distinct pairs as one packed, sorted list per range; the task of a range merges the lists
-of all blocks (one row per pair would be some ten times the bytes) and answers with ranks.
+Each window of 50 bytes has a smallest 24-byte gram (by hash). Equal windows have equal grams, so
+a window whose gram is in no other document cannot be repeated and drops out, and all windows that can be
+equal meet at the owner of their gram: one shuffle serves all rounds of doubling. Windows of one document that follow
+each other and share their gram are a run, some 14 windows in 63 bytes. A block of documents sends
+the bytes of each distinct run once, with the smallest doc_id that has it, as one packed list per owner; the
+owner merges equal runs, ranks their windows and answers with one bit per window. Ranks are
+of exact bytes; hashes only deal and filter.
 
-Which positions take part is decided first. Each window of 50 bytes has a smallest 24-byte
-gram (by hash). A window whose smallest gram is in no other document cannot be repeated, and
-one gram serves the 27 windows around it, so this costs a small part of one round of pairs
-and spares most positions all of them. Nothing is lost: equal windows have equal grams. Runs of
-windows that are left are regions; all rounds read these alone, not the texts again.
+A gram in very many runs (a common line amid ever different text) would make one large task. Its
+windows are dealt one by one, by a hash of all their bytes, which spreads them over all owners.
 
-Documents are laid out so that near copies tend to share a block; a block sends each pair
-once, with the smallest doc_id that has it, so large groups of copies cost little more than one.
+Documents are laid out so that near copies tend to share a block, so large groups of copies cost
+little more than one.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import reduce
 from hashlib import sha256
 
 import numpy as np
@@ -38,14 +37,14 @@ from fitgate.llm.common import Stages, mix
 THRESHOLD = 50
 GRAM = 24
 BLOCK_CHARS = 500_000
-#: The pairs of a round are asked in so many parts, one after the other: bounds the shuffle on disk and what an owner sorts at once.
-PARTS = 4
-#: Packed ranks are few large values: no attempt at a dictionary.
+#: A gram in more runs than this is hot: its windows are dealt one by one. Bounds what one gram brings to its owner.
+HOT_RUNS = 20_000
+#: Packed numbers are few large values: no attempt at a dictionary.
 PACKED = {"parquet.enable.dictionary": "false"}
 NAMED = "owner long, block long, kind int, n long, answer binary"
-#: Regions of a block: the document (by its number in the block), the first byte in it, the length; all their bytes; ranks of all their places.
-REGIONS = "block long, doc_ids array<long>, doc array<int>, start array<long>, lengths array<long>, data binary, ranks binary"
-_BITS = np.uint64(44)  # of a rank, for the place among the owner's pairs
+#: Runs of a block: of each its document (by its number in the block), the first byte in it, the number of its distinct run; of each distinct
+#: run, ascending by key, the key, the number of windows, the smallest doc_id, the bytes. All packed.
+RUNS = "block long, doc_ids array<long>, doc binary, start binary, number binary, keys binary, n binary, low binary, data binary, size long"
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -104,15 +103,18 @@ def window_grams(b: Strings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return mix(h[new]), doc[new], starts[new], np.diff(np.append(new, len(starts)))
 
 
-def regions_of(b: Strings, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, first byte in it, length) of the stretches that runs of windows cover together."""
-    if not len(first):
-        return first, first, first
-    doc = b.string_of(first)
-    new = np.flatnonzero(np.append(True, (first[1:] != first[:-1] + n[:-1]) | (doc[1:] != doc[:-1])))
-    last = np.append(new[1:], len(first)) - 1
-    start = first[new]
-    return doc[new], start - (b.ends - b.lengths)[doc[new]], first[last] + n[last] - start + THRESHOLD - 1
+def window_keys(data: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Hashes of the whole windows at these places."""
+    e = eight(data)
+    key = np.zeros(len(places), np.uint64)
+    for k in (*range(0, THRESHOLD - 8, 8), THRESHOLD - 8):
+        key = mix(key ^ e[places + k] * _ODD[0])
+    return key
+
+
+def stretches(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """n[i] numbers from starts[i] on, for all i."""
+    return np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
 def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -121,18 +123,16 @@ def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a ^ mix(b * _ODD[0]))
 
 
-def part_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The part in which a pair of ranks is asked. Cheap, as every part works it out for all pairs, and independent of the key."""
-    return (a * _ODD[1] + b * _ODD[2]) >> np.uint64(65 - PARTS.bit_length())
-
-
-def _groups(key: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, starts of groups of equal (key, b) in that order), ascending by key."""
+def _groups(key: np.ndarray, b: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(order, starts of groups of equal key, or equal (key, b), in that order), ascending by key."""
     if not len(key):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     order = np.argsort(key)
-    k, s = key[order], b[order]
+    k = key[order]
     new = np.append(True, k[1:] != k[:-1])
+    if b is None:
+        return order, np.flatnonzero(new)
+    s = b[order]
     if np.any(~new[1:] & (s[1:] != s[:-1])):  # different pairs with one key: rare, so they cost the longer sort only then
         order = np.lexsort((b, key))
         k, s = key[order], b[order]
@@ -147,79 +147,51 @@ def _spread(values: np.ndarray, order: np.ndarray, starts: np.ndarray) -> np.nda
     return out
 
 
-def _pair_requests(block: int, kind: int, bits: int, key: np.ndarray, b: np.ndarray, doc_ids: np.ndarray, last: bool) -> Iterator[tuple]:
-    """Distinct pairs of ranks of a block, with whether several documents have them (in the last round also the smallest doc_id)."""
-    order, starts = _groups(key, b)
-    if not len(starts):
-        return
-    ids = doc_ids[order]
-    low, high = np.minimum.reduceat(ids, starts), np.maximum.reduceat(ids, starts)
-    key, second = key[order[starts]], b[order[starts]]
-    edges = np.searchsorted(key, np.arange(1, 2**bits, dtype=np.uint64) << np.uint64(64 - bits))
-    for owner, (x, y) in enumerate(zip([0, *edges], [*edges, len(key)], strict=True)):
-        if x < y:
-            extra = bl.pack(second[x:y]) + (bl.pack(low[x:y].view(np.uint64)) if last else np.packbits(low[x:y] != high[x:y]).tobytes())
-            yield owner, block, kind, int(y - x), bl.pack_sorted(key[x:y]), extra
-
-
-def rank_pairs(asked: DataFrame, part: int, last: bool) -> DataFrame:
-    """Answers to pairs, sorted within their range: the rank of each, 0 if one document has it alone;
-    in the last round a bit instead, whether a smaller doc_id of another block has it. A block's keys ascend and so do its
-    ranks, which are sent as differences, 0 where there is none. A document lies in one block, so a pair of two blocks has two documents
-    (but for rows with one doc_id, whose pairs may get a rank they would not need)."""
-
-    def sort(group: pd.DataFrame) -> pd.DataFrame:
-        n = group["n"].tolist()
-        keys = np.concatenate([bl.unpack_sorted(k) for k in group["keys"]])
-        second = np.concatenate([bl.unpack(x[: 8 * m]) for x, m in zip(group["extra"], n, strict=True)])
-        order, starts = _groups(keys, second)
-        del keys, second
-        if last:
-            docs = np.concatenate([bl.unpack(x[8 * m :]) for x, m in zip(group["extra"], n, strict=True)]).view(np.int64)
-            value = _spread(np.minimum.reduceat(docs[order], starts), order, starts) < docs
-        else:
-            several = np.concatenate([np.unpackbits(np.frombuffer(x[8 * m :], np.uint8), count=m) for x, m in zip(group["extra"], n, strict=True)])
-            shared = (np.diff(np.append(starts, len(order))) > 1) | (np.maximum.reduceat(several[order], starts) > 0)
-            rank = (np.uint64(group["owner"].iloc[0] * PARTS + part) << _BITS) + np.cumsum(shared).astype(np.uint64)
-            value = _spread(np.where(shared, rank, np.uint64(0)), order, starts)
-        send = (lambda v: np.packbits(v).tobytes()) if last else (lambda v: bl.pack_sorted(np.maximum.accumulate(v)))
-        edges = np.cumsum(n)
-        answers = [send(value[e - m : e]) for e, m in zip(edges, n, strict=True)]
-        return pd.DataFrame({"owner": group["owner"], "block": group["block"], "kind": group["kind"], "n": group["n"], "answer": answers})
-
-    return asked.groupBy("owner").applyInPandas(sort, NAMED)
-
-
-def _sent_ranks(data: bytes) -> np.ndarray:
-    steps = bl.unpack(data)
-    return np.where(steps > 0, np.cumsum(steps, dtype=np.uint64), np.uint64(0))
-
-
-def _parts(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each part that has pairs: (part, its places among the pairs, order and starts of their groups)."""
-    mine = part_of(a, b)
-    for part in range(PARTS):
-        at = np.flatnonzero(mine == part)
-        if len(at):
-            yield part, at, *_groups(pair_keys(a[at], b[at]), b[at])
-
-
-def _ranks(found: dict, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The ranks of all (not only all distinct) pairs."""
-    out = np.zeros(len(a), np.uint64)
-    for part, at, order, starts in _parts(a, b):
-        out[at] = _spread(np.concatenate([_sent_ranks(x) for x, _ in found[part]]), order, starts)
-    return out
+def distinct_runs(data: bytes, starts: np.ndarray, lengths: np.ndarray, known: dict[bytes, int]) -> np.ndarray:
+    """The numbers of these stretches of the data in ``known``, where new ones are put behind the others."""
+    cuts = zip(starts.tolist(), (starts + lengths).tolist(), strict=True)
+    return np.fromiter((known.setdefault(data[x:y], len(known)) for x, y in cuts), np.int64, len(starts))
 
 
-def _held_earlier(found: dict, a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """For all pairs, whether a smaller doc_id has them, in this block or in another."""
-    out = np.zeros(len(a), bool)
-    for part, at, order, starts in _parts(a, b):
-        elsewhere = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in found[part]]) > 0
-        first = np.minimum.reduceat(ids[at][order], starts)
-        out[at] = _spread(elsewhere, order, starts) | (ids[at] > _spread(first, order, starts))
-    return out
+def window_ranks(b: Strings) -> tuple[np.ndarray, np.ndarray]:
+    """(order, starts of groups of equal windows in that order) of all windows of the strings, by prefix doubling."""
+    rank = eight(b.data)
+    for offset, length in ((8, 16), (16, 32), (18, THRESHOLD)):
+        places = b.places(length)
+        first, second = rank[places], rank[places + offset]
+        # ranks are numbers of groups after the first round, so a pair of them is one integer
+        order, starts = _groups(pair_keys(first, second), second) if length == 16 else _groups(first << np.uint64(32) | second)
+        if length < THRESHOLD:
+            rank = np.zeros(b.size, np.uint64)
+            rank[places] = _spread(np.arange(len(starts), dtype=np.uint64), order, starts)
+    return order, starts
+
+
+def rank_runs(asked: DataFrame) -> DataFrame:
+    """Answers to runs: a bit per window, whether a doc_id smaller than the one sent with the run has it. ``n`` counts windows."""
+
+    def decide(group: pd.DataFrame) -> pd.DataFrame:
+        known: dict[bytes, int] = {}
+        numbers, sizes, lows = [], [], []
+        for data, n, extra in zip(group["keys"], group["n"], group["extra"], strict=True):
+            sizes.append(bl.unpack(extra[: 8 * n]).astype(np.int64))
+            lows.append(bl.unpack(extra[8 * n :]).view(np.int64))
+            lengths = sizes[-1] + THRESHOLD - 1
+            numbers.append(distinct_runs(data, np.cumsum(lengths) - lengths, lengths, known))
+        number, size, low = map(np.concatenate, (numbers, sizes, lows))
+        least = np.full(len(known), np.iinfo(np.int64).max)
+        np.minimum.at(least, number, low)
+        runs = Strings(b"".join(known), np.fromiter(map(len, known), np.int64, len(known)))
+        del known
+        order, starts = window_ranks(runs)
+        windows = runs.lengths - THRESHOLD + 1
+        first = _spread(np.minimum.reduceat(np.repeat(least, windows)[order], starts), order, starts)
+        held = first[stretches((np.cumsum(windows) - windows)[number], size)] < np.repeat(low, size)
+        counts = [int(x.sum()) for x in sizes]
+        answers = [np.packbits(x).tobytes() for x in np.split(held, np.cumsum(counts)[:-1])]
+        return pd.DataFrame({"owner": group["owner"], "block": group["block"], "kind": group["kind"], "n": counts, "answer": answers})
+
+    return asked.groupBy("owner").applyInPandas(decide, NAMED)
 
 
 _ASKED = [c.split()[0] for c in bl.REQUEST.split(", ")]
@@ -245,7 +217,6 @@ def remove_repeats(docs: DataFrame, texts: bool = True) -> DataFrame:
     blocks = bl.text_blocks(rows, stages, order_by=("near", "doc_id"), chars=BLOCK_CHARS)
     size = blocks.select(F.sum(F.aggregate("texts", F.lit(0).cast("long"), lambda n, t: n + F.octet_length(t)))).first()[0] or 0
     bits = bl.owners_for(size // 8)
-    part_bits = max(2, bits - 1)  # of an owner of pairs, of which a part has a quarter
 
     def ask_grams(block: int, _, texts, flags) -> Iterator[tuple]:
         grams, doc, _, _ = window_grams(encoded(texts)[0])
@@ -253,107 +224,91 @@ def remove_repeats(docs: DataFrame, texts: bool = True) -> DataFrame:
         g, d = grams[order], doc[order]
         new = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else np.zeros(0, np.int64)
         several = np.minimum.reduceat(d, new) != np.maximum.reduceat(d, new) if len(g) else new
-        yield from bl.requests(block, 0, g[new], bits, 1 + several)
+        runs = np.diff(np.append(new, len(g)))
+        yield from bl.requests(block, 0, g[new], bits, runs << 32 | 1 + several)
 
     grams = stages.write(bl.total_answers(bl.send(blocks, ask_grams)), "grams")
 
-    def cut_regions(row, found) -> pd.DataFrame:
+    def cut_runs(row, found) -> pd.DataFrame:
         b, _ = encoded(row.texts)
-        grams, _, first, n = window_grams(b)
-        if len(grams):
-            order = np.argsort(grams)
-            g = grams[order]
+        keys, doc, first, n = window_grams(b)
+        if len(keys):
+            order = np.argsort(keys)
+            g = keys[order]
             starts = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
-            shared = _spread(np.concatenate([bl.unpack(x) for x, _ in found[0]]), order, starts) > 1
-            first, n = first[shared], n[shared]
-        doc, start, lengths = regions_of(b, first, n)
-        at = (b.ends - b.lengths)[doc] + start if len(doc) else doc
-        data = b"".join(b.data[x : x + m].tobytes() for x, m in zip(at, lengths, strict=True))
-        return pd.DataFrame({"block": [row.block], "doc_ids": [row.doc_ids], "doc": [doc.astype(np.int32)], "start": [start], "lengths": [lengths], "data": [data], "ranks": [None]})
-
-    regions = stages.write(bl.with_answers(blocks, grams, cut_regions, REGIONS), "regions")
+            total = _spread(np.concatenate([bl.unpack(x) for x, _ in found[0]]), order, starts)
+            shared, hot = total & np.uint64(2**32 - 1) > 1, total >> np.uint64(32) > HOT_RUNS
+            whole, each = np.flatnonzero(shared & ~hot), np.flatnonzero(shared & hot)
+            windows = stretches(first[each], n[each])
+            keys = np.concatenate([keys[whole], window_keys(b.data, windows)]) if len(each) else keys[whole]
+            doc, first = np.append(doc[whole], np.repeat(doc[each], n[each])), np.append(first[whole], windows)
+            n = np.append(n[whole], np.ones(len(windows), np.int64))
+        order = np.argsort(keys)
+        keys, doc, first, n = keys[order], doc[order], first[order], n[order]
+        known: dict[bytes, int] = {}
+        number = distinct_runs(b.data.tobytes(), first, n + THRESHOLD - 1, known)
+        _, at = np.unique(number, return_index=True)
+        low = np.full(len(known), np.iinfo(np.int64).max)
+        np.minimum.at(low, number, np.asarray(row.doc_ids, np.int64)[doc])
+        cells = {"doc": doc, "start": first - (b.ends - b.lengths)[doc], "number": number, "keys": keys[at], "n": n[at], "low": low.view(np.uint64)}
+        data = b"".join(known)
+        return pd.DataFrame([{"block": row.block, "doc_ids": row.doc_ids} | {k: bl.pack(v) for k, v in cells.items()} | {"data": data, "size": len(data)}])
+
+    runs = stages.write(bl.with_answers(blocks, grams, cut_runs, RUNS), "runs", **PACKED)
     stages.drop("grams")
-
-    def pairs(row, offset: int, length: int, part: int | None = None) -> tuple[Strings, np.ndarray, np.ndarray, np.ndarray]:
-        """Places (of one part or of all) where a string of that length starts and both its halves have ranks, with these ranks."""
-        b = Strings(row.data, np.asarray(row.lengths, np.int64))
-        ranks = eight(b.data) if row.ranks is None else bl.unpack(row.ranks)
-        places = b.places(length)
-        first, second = ranks[places], ranks[places + offset]
-        if row.ranks is not None:
-            there = (first > 0) & (second > 0)
-            places, first, second = places[there], first[there], second[there]
-        if part is not None:
-            mine = np.flatnonzero(part_of(first, second) == part)
-            places, first, second = places[mine], first[mine], second[mine]
-        return b, places, first, second
-
-    def holders(row, b: Strings, places: np.ndarray) -> np.ndarray:
-        """The doc_id of each place."""
-        return np.asarray(row.doc_ids, np.int64)[np.asarray(row.doc, np.int64)][b.string_of(places)]
-
-    def ask(state: DataFrame, offset: int, length: int, part: int) -> DataFrame:
-        """Requests for the pairs of one part."""
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for row in batch.itertuples(index=False):
-                    strings, places, a, b = pairs(row, offset, length, part)
-                    found = _pair_requests(row.block, part, part_bits, pair_keys(a, b), b, holders(row, strings, places), length == THRESHOLD)
-                    yield pd.DataFrame(list(found), columns=_ASKED)
-
-        return state.mapInPandas(run, bl.REQUEST)
-
-    def answered(state: DataFrame, offset: int, length: int) -> DataFrame:
-        """The answers to all pairs, written part by part."""
-        parts = [stages.write(rank_pairs(ask(state, offset, length, part), part, length == THRESHOLD), f"ranks{length}-{part}", **PACKED) for part in range(PARTS)]
-        return reduce(DataFrame.unionByName, parts)
-
-    def ranked(state: DataFrame, offset: int, length: int) -> DataFrame:
-        """The state with ranks for the greater length; the bytes are needed no more."""
-        answers = answered(state, offset, length)
-
-        def take(row, found) -> pd.DataFrame:
-            b, places, first, second = pairs(row, offset, length)
-            ranks = np.zeros(b.size, np.uint64)
-            ranks[places] = _ranks(found, first, second)
-            return pd.DataFrame([row._replace(data=None, ranks=bl.pack(ranks))])
-
-        out = stages.write(bl.with_answers(state, answers, take, REGIONS), f"state{length}", **PACKED)
-        stages.keep("blocks", f"state{length}")
-        return out
-
-    state16 = ranked(regions, 8, 16)
-    state32 = ranked(state16, 16, 32)
-    answers = answered(state32, 18, THRESHOLD)
+    # some 4.5 bytes of runs for a window
+    run_bits = bl.owners_for((runs.select(F.sum("size")).first()[0] or 0) // 4)
+
+    def ask_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Distinct runs, cut by owner (the leading bits of the key)."""
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                keys, n, low = bl.unpack(row.keys), bl.unpack(row.n), bl.unpack(row.low)
+                edges = [0, *np.searchsorted(keys, np.arange(1, 2**run_bits, dtype=np.uint64) << np.uint64(64 - run_bits)).tolist(), len(keys)]
+                ends = np.append(0, np.cumsum(n.astype(np.int64) + THRESHOLD - 1)).tolist()
+                found = [
+                    (owner, row.block, 0, y - x, row.data[ends[x] : ends[y]], bl.pack(n[x:y]) + bl.pack(low[x:y]))
+                    for owner, (x, y) in enumerate(zip(edges, edges[1:], strict=False)) if x < y
+                ]
+                yield pd.DataFrame(found, columns=_ASKED)
+
+    asked = runs.select("block", "keys", "n", "low", "data").mapInPandas(ask_runs, bl.REQUEST)
+    answers = stages.write(rank_runs(asked), "answers", **PACKED)
 
     def found_in(row, found) -> pd.DataFrame:
-        """First bytes of strings that an earlier document has, as places in the block's texts."""
-        b, places, first, second = pairs(row, 18, THRESHOLD)
-        gone = places[_held_earlier(found, first, second, holders(row, b, places))]
-        region = b.string_of(gone)
-        at = gone - (b.ends - b.lengths)[region] + np.asarray(row.start, np.int64)[region]
-        doc = np.asarray(row.doc, np.uint64)[region]
-        return pd.DataFrame({"owner": [0], "block": [row.block], "kind": [0], "n": [len(gone)], "answer": [bl.pack(doc) + bl.pack(at.astype(np.uint64))]})
-
-    gone = stages.write(bl.with_answers(state32, answers, found_in, NAMED), "gone", **PACKED)
+        """Stretches of windows that an earlier document has: document, first byte in it, number of windows."""
+        doc, start, number, size = (bl.unpack(x).astype(np.int64) for x in (row.doc, row.start, row.number, row.n))
+        low = bl.unpack(row.low).view(np.int64)
+        elsewhere = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in found.get(0, [(b"", 0)])]) > 0
+        order = np.argsort(doc << 32 | start)
+        doc, start, number = doc[order], start[order], number[order]
+        n = size[number]
+        later = np.asarray(row.doc_ids, np.int64)[doc] > low[number]
+        gone = elsewhere[stretches((np.cumsum(size) - size)[number], n)] | np.repeat(later, n)
+        doc, at = np.repeat(doc, n)[gone], stretches(start, n)[gone]
+        new = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1))) if len(doc) else doc
+        answer = bl.pack(doc[new]) + bl.pack(at[new]) + bl.pack(np.diff(np.append(new, len(doc))))
+        return pd.DataFrame({"owner": [0], "block": [row.block], "kind": [0], "n": [len(new)], "answer": [answer]})
+
+    gone = stages.write(bl.with_answers(runs.drop("keys", "data", "size"), answers, found_in, NAMED), "gone", **PACKED)
     stages.keep("blocks", "gone")
 
     def cut(row, found) -> pd.DataFrame:
         docs = [t.encode() for t in row.texts]
-        where: dict[int, np.ndarray] = {}
+        where: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         if 0 in found and found[0][0][1]:
             answer, n = found[0][0]
-            doc, at = bl.unpack(answer[: 8 * n]).astype(np.int64), bl.unpack(answer[8 * n :]).astype(np.int64)
+            doc, at, windows = np.split(np.concatenate([bl.unpack(answer[k : k + 8 * n]) for k in range(0, 24 * n, 8 * n)]).astype(np.int64), 3)
             new = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-            where = dict(zip(doc[new].tolist(), np.split(at, new[1:]), strict=True))
+            where = dict(zip(doc[new].tolist(), zip(np.split(at, new[1:]), np.split(at + windows, new[1:]), strict=True), strict=True))
         out = []
         for i, data in enumerate(docs):
             removed = spans = 0
             if i in where:
                 edge = np.zeros(len(data) + 1, np.int32)
-                edge[where[i]] += 1
-                edge[where[i] + THRESHOLD] -= 1
+                first, end = where[i]
+                edge[first] += 1
+                edge[end + THRESHOLD - 1] -= 1  # stretches lie apart, so no end is there twice
                 covered = np.cumsum(edge)[:-1] > 0
                 removed, spans = int(covered.sum()), int((covered & ~np.append(False, covered[:-1])).sum())
                 data = np.frombuffer(data, np.uint8)[~covered].tobytes()

@@ -1,3 +1,4 @@
+import pathlib
 import random
 
 import numpy as np
@@ -180,3 +181,37 @@ def test_byte_strings_end_with_their_document(spark, opening, closing):
     want = brute_bytes(rows)
     assert [d for d, w in want.items() if w[1]] == [100]
     assert got == want
+
+
+def test_byte_strings_of_a_gram_that_is_everywhere(spark, monkeypatch):
+    """A line amid ever different text is dealt window by window, over many owners."""
+    monkeypatch.setattr(suffixes, "BLOCK_CHARS", 2000)
+    monkeypatch.setattr(suffixes, "HOT_RUNS", 12, raising=False)
+    monkeypatch.setattr("fitgate.llm.blocks.KEYS_PER_OWNER", 500)
+    rng = random.Random(3)
+    letters = lambda n: "".join(rng.choices("abcdefgh é", k=n))
+    line = "one line that all have in common"
+    rows = [(d, letters(40) + line + letters(40) + "a" * rng.randrange(70)) for d in range(60)]
+    rows += [(60 + d, letters(30) + rows[d][1][rng.randrange(30) :] + rows[d + 1][1]) for d in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in suffixes.remove_repeats(docs).collect()}
+    assert got == brute_bytes(rows)
+
+
+def test_stages_of_byte_strings_are_small(spark, monkeypatch):
+    """Repeated text is written as its distinct runs, not as ranks of all its places in each round."""
+    monkeypatch.setattr(suffixes, "BLOCK_CHARS", 20_000)
+    rng = random.Random(5)
+    passages = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=2000)) for _ in range(40)]
+    rows = [(d, "".join(rng.choices(passages, k=3))) for d in range(100)]
+    written = {}
+
+    def write(stages, df, name, plain=suffixes.Stages.write, **options):
+        out = plain(stages, df, name, **options)
+        written[name] = sum(p.stat().st_size for p in pathlib.Path(stages.root.removeprefix("file:"), name).glob("*.parquet"))
+        return out
+
+    monkeypatch.setattr(suffixes.Stages, "write", write)
+    got = {r.doc_id: r.n_removed for r in suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {d: w[1] for d, w in brute_bytes(rows).items()}
+    assert sum(written.values()) < 1.5 * sum(len(t) for _, t in rows)
