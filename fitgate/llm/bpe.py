@@ -1,7 +1,7 @@
 """Byte-pair encoding in batched numpy merge rounds, and decoding.
 
 The tokenizer file gives the vocabulary, the merges in rank order and the pattern that cuts
-a text into words. The symbols of all distinct words of a batch lie in one flat array. In
+a text into words. The symbols of all words of a batch that were not met before lie in one flat array. In
 each round every word merges its lowest-ranked pair, everywhere it occurs, all words at
 once; ranks are found by binary search over the sorted keys of the merge table. As every
 symbol is the product of one merge only, pairs that a merge creates rank behind it, so a
@@ -12,9 +12,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import string
 import unicodedata
-from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,8 +26,12 @@ from pyspark.sql import functions as F
 END_OF_WORD = "</w>"
 #: Words of a batch that are merged together; bounds the memory of the rounds.
 WORDS_AT_ONCE = 100_000
-#: Entries of the cache of encoded words in a Python worker; it is emptied when full.
-CACHE_WORDS = 300_000
+#: Encoded words, and runs of non-blank text, that a Python worker keeps for its next texts (about 200 bytes each).
+KNOWN_WORDS, KNOWN_RUNS = 500_000, 800_000
+#: With this pattern a run of ASCII letters is one word, and so are the signs behind it.
+_LETTERS_OR_SIGNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_SIGNS = string.punctuation.encode()
+_SPACES = regex.compile(r"\s+")
 
 
 def byte_symbols() -> list[str]:
@@ -53,6 +58,7 @@ class WordBpe:
         self.final = np.array([vocab[s + END_OF_WORD] for s in signs], np.int64)
         self.size = max(self.tokens) + 1
         self.names = np.array([self.tokens.get(i) for i in range(self.size)], object)
+        self.numbers = np.array([b"%d" % i for i in range(self.size)], object)
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         keys = np.array([vocab[a] * self.size + vocab[b] for a, b in pairs], np.int64)
         made = np.array([vocab[a + b] for a, b in pairs], np.int64)
@@ -62,7 +68,10 @@ class WordBpe:
         self.keys, self.ranks, self.made = keys[order], order, made[order]
         self.word = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.cut = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
-        self.cache: dict[str, list[int]] = {}
+        self.simple = self.word.pattern == _LETTERS_OR_SIGNS
+        # packed ids; a special token stands for itself
+        self.words: dict[bytes | int, bytes] = {}
+        self.runs: dict[bytes, bytes] = {}
 
     def rank_at(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Place of each pair in the sorted merge table, -1 where it is none."""
@@ -71,8 +80,8 @@ class WordBpe:
         at[at == len(self.keys)] = 0
         return np.where(self.keys[at] == key, at, -1)
 
-    def merge(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each word (bytes, none of them empty)."""
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word (bytes, none of them empty), as packed 32-bit integers."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         data = np.frombuffer(b"".join(words), np.uint8)
         symbols = self.inner[data]
@@ -111,47 +120,59 @@ class WordBpe:
         ids = np.concatenate(done_symbols) if done_symbols else np.zeros(0, np.int64)
         owners = np.concatenate(done_owner) if done_owner else np.zeros(0, np.int64)
         order = np.argsort(owners, kind="stable")
-        ids = ids[order].tolist()
-        ends = np.cumsum(np.bincount(owners, minlength=len(words))).tolist()
-        return [ids[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-
-    def pieces(self, chunk: str) -> list[bytes | int]:
-        """The words of a run of text without ASCII blanks, as bytes; special tokens as their ids."""
-        if self.cut is None or "<|" not in chunk:
-            return self._words(chunk)
+        data = ids[order].astype("<u4").tobytes()
+        ends = (4 * np.cumsum(np.bincount(owners, minlength=len(words)))).tolist()
+        return [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def pieces(self, run: bytes) -> list[bytes | int]:
+        """The words of a run of text without ASCII blanks; special tokens as their ids."""
+        if self.simple:
+            word = run.rstrip(_SIGNS)
+            if word.isalpha():  # of bytes: ASCII letters only
+                return [word.lower(), run[len(word) :]] if len(word) < len(run) else [run.lower()]
+        text = run.decode()
+        if self.cut is None or "<|" not in text:
+            return self._words(text)
         out: list[bytes | int] = []
         at = 0
-        for m in self.cut.finditer(chunk):
-            out += self._words(chunk[at : m.start()])
+        for m in self.cut.finditer(text):
+            out += self._words(text[at : m.start()])
             out.append(self.special[m.group()])
             at = m.end()
-        return out + self._words(chunk[at:])
+        return out + self._words(text[at:])
 
     def _words(self, text: str) -> list[bytes]:
         if text.isascii():
             lowered = text.lower()
         else:
             # lower-casing goes by single characters: no rule for a sigma at the end of a word
-            lowered = regex.sub(r"\s+", " ", unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower()
+            lowered = _SPACES.sub(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower()
         return [w.encode() for w in self.word.findall(lowered)]
 
-    def encode_chunks(self, chunks: set[str]) -> dict[str, list[int]]:
-        """Ids of each distinct run of non-blank text; blanks part words, so runs are independent."""
-        todo = [c for c in chunks if c not in self.cache]
-        if len(self.cache) + len(todo) > CACHE_WORDS:
-            self.cache = {c: self.cache[c] for c in chunks if c in self.cache}
-        for i in range(0, len(todo), WORDS_AT_ONCE):
-            part = [(c, self.pieces(c)) for c in todo[i : i + WORDS_AT_ONCE]]
-            words = list({w for _, pieces in part for w in pieces if isinstance(w, bytes)})
-            known = dict(zip(words, self.merge(words), strict=True)) if words else {}
-            for c, pieces in part:
-                self.cache[c] = [x for p in pieces for x in ([p] if isinstance(p, int) else known[p])]
-        return self.cache
+    def learn(self, runs: set[bytes]) -> dict[bytes, bytes]:
+        """Packed ids of distinct runs of non-blank text, at least of these; blanks part words, so runs are independent."""
+        todo = runs.difference(self.runs)
+        if len(self.runs) + len(todo) > KNOWN_RUNS:
+            self.runs = {r: self.runs[r] for r in runs if r in self.runs}
+        if len(self.words) > KNOWN_WORDS or not self.words:
+            self.words = {i: np.array([i], "<u4").tobytes() for i in self.special.values()}
+        cut = {r: self.pieces(r) for r in todo}
+        new = list(set(chain.from_iterable(cut.values())).difference(self.words))
+        for i in range(0, len(new), WORDS_AT_ONCE):
+            self.words.update(zip(part := new[i : i + WORDS_AT_ONCE], self.merge(part), strict=True))
+        known = self.words.__getitem__
+        self.runs.update((r, b"".join(map(known, pieces))) for r, pieces in cut.items())
+        return self.runs
+
+    def encode_all(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """The ids of each text."""
+        docs = [(t or "").encode().split() for t in texts]
+        known = self.learn(set(chain.from_iterable(docs))).__getitem__
+        for d in docs:
+            yield np.frombuffer(b"".join(map(known, d)), "<u4")
 
     def encode(self, text: str) -> list[int]:
-        chunks = blank_runs(text)
-        known = self.encode_chunks(set(chunks))
-        return [i for c in chunks for i in known[c]]
+        return next(self.encode_all([text])).tolist()
 
     def decode(self, ids: list[int] | np.ndarray) -> str:
         """Token strings joined by spaces, looked up in the table of names all at once; ids outside the vocabulary are skipped."""
@@ -162,11 +183,6 @@ class WordBpe:
         return " ".join(names if None not in names else [t for t in names if t is not None])
 
 
-def blank_runs(text: str) -> list[str]:
-    """The runs between ASCII blanks."""
-    return [c.decode() for c in text.encode().split()]
-
-
 _loaded: dict[str, WordBpe] = {}
 
 
@@ -178,19 +194,9 @@ def encoder(path: str) -> WordBpe:
 
 
 def _digests(bpe: WordBpe, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
-    docs = [(t or "").encode().split() for t in texts]
-    distinct = {w for d in docs for w in d}
-    names = {w: w.decode() for w in distinct}
-    known = bpe.encode_chunks(set(names.values()))
-    packed, written = {}, {}
-    for w in distinct:
-        if ids := known[names[w]]:
-            packed[w] = array("q", ids).tobytes()
-            written[w] = " ".join(map(str, ids))
-    for d in docs:
-        ids = np.frombuffer(b"".join([packed[w] for w in d if w in packed]), np.int64)
-        text = " ".join([written[w] for w in d if w in written])
-        yield len(ids), hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(bpe.decode(ids).encode()).hexdigest()
+    for ids in bpe.encode_all(texts):
+        written = b" ".join(bpe.numbers[ids].tolist())
+        yield len(ids), hashlib.sha256(written).hexdigest(), hashlib.sha256(bpe.decode(ids).encode()).hexdigest()
 
 
 #: Characters of text taken together, so that a batch of long documents needs no more memory.
@@ -220,12 +226,7 @@ def encode_texts(docs: DataFrame, path: str, text_col: str = "text") -> DataFram
     def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         bpe = encoder(path)
         for batch in texts:
-            out = []
-            for part in slices(batch.tolist()):
-                runs = [blank_runs(t or "") for t in part]
-                known = bpe.encode_chunks({c for r in runs for c in r})
-                out += [[i for c in r for i in known[c]] for r in runs]
-            yield pd.Series(out)
+            yield pd.Series([ids.astype(np.int32) for part in slices(batch.tolist()) for ids in bpe.encode_all(part)], dtype=object)
 
     return docs.withColumn("ids", ids(F.col(text_col)))
 
@@ -245,7 +246,7 @@ def decode_ids(df: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """Per row n_tokens and the SHA-256 of its ids and of the text decoded from them.
 
-    Ids are made once per distinct run of text in a slice and put together per document; these
+    Ids are made once per distinct word that a worker meets and put together per document; these
     are decoded, and arrays of ids never leave the task. NULL and empty text have no ids and decode to
     nothing; repeated rows give repeated rows; other columns are ignored; an empty table gives an empty result. A text
     is never cut, and a slice holds one very long text alone.

@@ -113,3 +113,19 @@ def test_registered_queries_on_an_empty_table(spark, tmp_path):
     sf_dir = written(spark, tmp_path, [])
     for query in (queries.op7_quality_rules, queries.op8_pii, queries.op9_bpe):
         assert query(spark, sf_dir).count() == 0
+
+
+def test_a_word_is_merged_once(monkeypatch):
+    """However it is written and whatever stands behind it, also after the known words were dropped for want of room."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib, own, merged = Tokenizer.from_file(path), bpe.WordBpe(path), []
+    plain = own.merge
+    monkeypatch.setattr(own, "merge", lambda words: merged.extend(words) or plain(words))
+    texts = ["Parting parting, PARTING... parting's", "(Parting) parting!? <|endoftext|>parting;", "ÉTÉ été, parting's<|"]
+    for t in texts:
+        assert own.encode(t) == lib.encode(t, add_special_tokens=False).ids
+    assert sorted(merged) == sorted(set(merged)) and b"parting" in merged
+    monkeypatch.setattr(bpe, "KNOWN_WORDS", 4, raising=False)
+    monkeypatch.setattr(bpe, "KNOWN_RUNS", 5, raising=False)
+    for t in [*texts, *texts[::-1], "", " \x1c  ", "it's 12x3 don't<|startoftext|>"]:
+        assert own.encode(t) == lib.encode(t, add_special_tokens=False).ids
