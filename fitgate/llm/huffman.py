@@ -36,8 +36,8 @@ from fitgate.llm.common import Stages
 MAX_BITS = 20
 CHECKPOINT = 128
 BLOCK_TOKENS = 1 << 17
-#: Encoded words, and runs of non-blank text, that a Python worker keeps for its next texts (about 200 bytes each).
-KNOWN_WORDS, KNOWN_RUNS = 600_000, 1_000_000
+#: Encoded runs of non-blank text, words among them, in each of the two generations that a Python worker keeps (about 200 bytes each).
+KNOWN_RUNS = 800_000
 
 BLOCK = "part int, block int, first_token long, doc_ids array<long>, lengths array<int>, n_tokens int, payload binary, checkpoints binary"
 
@@ -87,14 +87,15 @@ def canonical_codes(lengths: np.ndarray) -> np.ndarray:
 class Coder:
     def __init__(self, lengths: np.ndarray):
         self.lengths = lengths.astype(np.int64)
-        self.codes = canonical_codes(self.lengths)
+        # codes from the highest bit on
+        self.codes = canonical_codes(self.lengths) << np.where(self.lengths > 0, 64 - self.lengths, 0).astype(np.uint64)
         self.width = max(1, int(self.lengths.max(initial=0)))
-        # all values of the next ``width`` bits that begin with a code lead to its id
+        # all values of the next ``width`` bits that begin with a code lead to its id and length
         order = np.lexsort((np.arange(len(lengths)), self.lengths))
         order = order[self.lengths[order] > 0]
         spans = np.left_shift(1, self.width - self.lengths[order])
-        self.table = np.zeros(1 << self.width, np.int32)
-        filled = np.repeat(order, spans)
+        filled = np.repeat(order << 6 | self.lengths[order], spans)
+        self.table = np.zeros(1 << self.width, np.int32 if len(lengths) < 1 << 25 else np.int64)
         self.table[: len(filled)] = filled
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, bytes]:
@@ -104,29 +105,27 @@ class Coder:
         starts = ends - size
         words = np.zeros(int(ends[-1]) // 64 + 2 if len(ids) else 1, np.uint64)
         if len(ids):
-            at, room = starts >> 6, 64 - (starts & 63) - size
-            code = self.codes[ids]
-            high = np.where(room >= 0, code << np.maximum(room, 0).astype(np.uint64), code >> np.maximum(-room, 0).astype(np.uint64))
+            at, bit, code = starts >> 6, (starts & 63).astype(np.uint64), self.codes[ids]
             first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-            words[at[first]] = np.bitwise_or.reduceat(high, first)
-            over = np.flatnonzero(room < 0)  # at most one code runs over the end of a word
-            words[at[over] + 1] |= code[over] << (64 + room[over]).astype(np.uint64)
+            words[at[first]] = np.bitwise_or.reduceat(code >> bit, first)
+            over = np.flatnonzero((ends - 1) >> 6 != at)  # at most one code runs over the end of a word
+            words[at[over] + 1] |= code[over] << (np.uint64(64) - bit[over])
         return words.astype(">u8").tobytes(), starts[::CHECKPOINT].astype("<u8").tobytes()
 
     def decode(self, payload: bytes, checkpoints: bytes, n: int) -> np.ndarray:
         """The ids of a block: all stretches between checkpoints advance together, one id at a time."""
-        words = np.frombuffer(payload, ">u8").astype(np.uint64)
+        # the last stretch may be shorter than the others and runs on into zeros
+        words = np.append(np.frombuffer(payload, ">u8").astype(np.uint64), np.zeros(CHECKPOINT * self.width // 64 + 2, np.uint64))
         at = np.frombuffer(checkpoints, "<u8").astype(np.int64)
         out = np.zeros((CHECKPOINT, len(at)), np.int32)
         shift = np.uint64(64 - self.width)
         for i in range(min(CHECKPOINT, n)):
             word, bit = at >> 6, (at & 63).astype(np.uint64)
-            after = words[np.minimum(word + 1, len(words) - 1)]
             # a shift by 64 is not defined: two shifts
-            peek = (words[np.minimum(word, len(words) - 1)] << bit) | ((after >> np.uint64(1)) >> (np.uint64(63) - bit))
-            ids = self.table[(peek >> shift).astype(np.int64)]
-            out[i] = ids
-            at = at + self.lengths[ids]
+            peek = (words[word] << bit) | ((words[word + 1] >> np.uint64(1)) >> (np.uint64(63) - bit))
+            found = self.table[(peek >> shift).astype(np.int64)]
+            out[i] = found >> 6
+            at += found & 63
         return out.T.reshape(-1)[:n]
 
 
@@ -135,17 +134,22 @@ _TAIL = string.punctuation
 _TAIL_BYTES = _TAIL.encode()
 #: Letters up to here are letters in every version of Unicode that a library may know.
 _LAST_LETTER = "\ua000"
+#: Up to here NFC changes nothing, and lower case is one letter for one.
+_LAST_SIMPLE = "\u0100"
 
 
 class _Runs(dict):
-    """Ids of runs of non-blank text; a run that is not there is encoded when it is asked for."""
+    """Ids of runs of non-blank text; a run that is not there is taken from the generation before, or encoded."""
 
-    def __init__(self, encode: Callable[[bytes], bytes]):
+    def __init__(self, encode: Callable[[bytes], bytes], before: dict[bytes, bytes]):
         super().__init__()
-        self.encode = encode
+        self.encode, self.before = encode, before
 
     def __missing__(self, run: bytes) -> bytes:
-        ids = self[run] = self.encode(run)
+        ids = self.before.get(run)
+        if ids is None:
+            ids = self.encode(run)
+        self[run] = ids
         return ids
 
 
@@ -153,8 +157,8 @@ class Library:
     """The tokenizers library over distinct runs of non-blank text; blanks separate words, so they are independent.
 
     A run is cut where the tokenizer's own pattern cuts, and its pieces are looked up: far fewer
-    pieces are distinct than runs. New words of letters go through the library's normalizer and, in the byte symbols
-    of its vocabulary, to its model; all else goes through the whole library.
+    pieces are distinct than runs. New words of letters go in lower case (beyond Latin-1 through the library's normalizer) and
+    in the byte symbols of its vocabulary to its model; all else goes through the whole library.
     """
 
     def __init__(self, path: str):
@@ -169,64 +173,50 @@ class Library:
         self.piece = regex.compile(json.loads(self.tokenizer.to_str())["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.symbols = dict(enumerate(byte_symbols()))
         self.normalize, self.tokenize = self.tokenizer.normalizer.normalize_str, self.tokenizer.model.tokenize
-        self.words: dict[bytes | str, bytes] = {}
-        self.runs = _Runs(self._run)
+        self.runs = _Runs(self._run, {})
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _word(self, word: bytes) -> bytes:
-        """Ids of a word of lower-case ASCII letters."""
-        ids = self.words.get(word)
-        if ids is None:
-            ids = self.words[word] = array("I", [t.id for t in self.tokenize(word.decode())]).tobytes()
-        return ids
-
-    def _letters(self, word: str) -> bytes:
-        """Ids of a word of letters, as it stands in the text."""
-        ids = self.words.get(word)
-        if ids is None:
-            plain = self.normalize(word)
-            if plain.isalpha() and max(plain) < _LAST_LETTER:
-                ids = array("I", [t.id for t in self.tokenize(plain.encode().decode("latin-1").translate(self.symbols))]).tobytes()
-            else:  # a letter whose lower case is more than letters
-                ids = self._whole(word)
-            self.words[word] = ids
-        return ids
+    def _plain(self, word: str) -> str:
+        """A word of letters as it is normalised; empty if that is not all letters, or not in every version of Unicode."""
+        last = max(word)
+        if last < _LAST_SIMPLE:
+            return word.lower()
+        plain = self.normalize(word) if last < _LAST_LETTER else ""
+        return plain if plain.isalpha() and max(plain) < _LAST_LETTER else ""
 
-    def _piece(self, piece: str) -> bytes:
-        """Ids of a piece of ASCII text that the pattern does not cut."""
-        if piece.isalpha():
-            return self._word(piece.encode())
-        ids = self.words.get(piece)
-        if ids is None:
-            ids = self.words[piece] = self._whole(piece)
-        return ids
+    def _symbols(self, word: str) -> bytes:
+        return array("I", [t.id for t in self.tokenize(word)]).tobytes()
 
     def _run(self, run: bytes) -> bytes:
-        if run.isalpha():  # of bytes: ASCII letters only
-            return self._word(run.lower())
+        """Ids of a run; its parts are runs too."""
+        body = run.rstrip(_TAIL_BYTES)
+        if body.isalpha():  # of bytes: ASCII letters only
+            word = body.lower()
+            if len(body) < len(run):
+                return self.runs[word] + self.runs[run[len(body) :]]
+            return self._symbols(word.decode()) if word == run else self.runs[word]
+        text = run.decode()
         if run.isascii():
-            word = run.rstrip(_TAIL_BYTES)
-            if word.isalpha():
-                return self._word(word.lower()) + self._piece(run[len(word) :].decode())
-            text = run.decode()
             if text.isprintable() and "<|" not in text:
-                return b"".join(map(self._piece, self.piece.findall(text.lower())))
-            return self._whole(text)
-        text = run.decode()
-        word = text.rstrip(_TAIL)
-        if word.isalpha() and max(word) < _LAST_LETTER:
-            tail = text[len(word) :]
-            return self._letters(word) + self._piece(tail) if tail else self._letters(word)
+                pieces = self.piece.findall(text.lower())
+                if len(pieces) > 1:
+                    return b"".join([self.runs[p.encode()] for p in pieces])
+        else:
+            word = text[: len(text) - len(run) + len(body)]
+            if len(body) < len(run):
+                if word.isalpha() and (max(word) < _LAST_SIMPLE or self._plain(word)):
+                    return self.runs[body] + self.runs[run[len(body) :]]
+            elif word.isalpha() and (plain := self._plain(word)):
+                return self._symbols(plain.encode().decode("latin-1").translate(self.symbols))
         return self._whole(text)
 
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
         """Ids of each text and the end id, as little-endian 32-bit integers."""
-        if len(self.words) > KNOWN_WORDS:
-            self.words = {}
         if len(self.runs) > KNOWN_RUNS:
-            self.runs = _Runs(self._run)
+            self.runs.before = {}
+            self.runs = _Runs(self._run, self.runs)
         known, last = self.runs.__getitem__, struct.pack("<I", end)
         return [b"".join([*map(known, (t or "").encode().split()), last]) for t in texts]
 

@@ -92,3 +92,22 @@ def test_pieces_are_the_librarys(texts):
 
 
 _kept: dict = {}
+
+
+def test_a_word_of_every_batch_is_encoded_once(monkeypatch):
+    """Words that come again outlive those that do not."""
+    monkeypatch.setattr(huffman, "KNOWN_RUNS", 5)
+    monkeypatch.setattr(huffman, "KNOWN_WORDS", 5, raising=False)
+    library, plain, asked = huffman.Library(PATH), Tokenizer.from_file(PATH), []
+    tokenize = library.tokenize
+    library.tokenize = lambda word: asked.append(word) or tokenize(word)
+    for k in "abcdefgh":
+        text = " ".join(["Always", "always,", *(k + x for x in "opqrstu"), "ÀLWAYS!"])
+        assert np.frombuffer(library.encode([text], 2)[0], "<u4").tolist() == [*plain.encode(text, add_special_tokens=False).ids, 2]
+    assert asked.count("always") == 1 and len(library.runs) + len(library.runs.before) < 60
+
+
+def test_letters_are_the_librarys():
+    text = " ".join(w for c in map(chr, range(65, 0x300)) if c.isalpha() for w in (c, f"a{c}", f"{c}.", f"{c}B'", f"{c}́{c}.", f"1{c}'S"))
+    want = Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(huffman.Library(PATH).encode([text], 2)[0], "<u4").tolist() == [*want, 2]
