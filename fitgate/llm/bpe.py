@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 
 END_OF_WORD = "</w>"
 #: Words of a batch that are merged together; bounds the memory of the rounds.
-WORDS_AT_ONCE = 100_000
+WORDS_AT_ONCE = 50_000
 #: Encoded words, and runs of non-blank text, that a Python worker keeps for its next texts (about 200 bytes each).
-KNOWN_WORDS, KNOWN_RUNS = 500_000, 800_000
+KNOWN_WORDS, KNOWN_RUNS = 200_000, 250_000
 #: With this pattern a run of ASCII letters is one word, and so are the signs behind it.
 _LETTERS_OR_SIGNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _SIGNS = string.punctuation.encode()
