@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fitgate.llm.common import give_back
+
 END_OF_WORD = "</w>"
 #: Words of a batch that are merged together; bounds the memory of the rounds.
 WORDS_AT_ONCE = 50_000
@@ -164,6 +166,10 @@ class WordBpe:
         self.runs.update((r, b"".join(map(known, pieces))) for r, pieces in cut.items())
         return self.runs
 
+    def forget(self) -> None:
+        """Drop the known words and runs."""
+        self.words, self.runs = {}, {}
+
     def encode_all(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text."""
         docs = [(t or "").encode().split() for t in texts]
@@ -201,6 +207,8 @@ def _digests(bpe: WordBpe, texts: list[str | None]) -> Iterator[tuple[int, str,
 
 #: Characters of text taken together, so that a batch of long documents needs no more memory.
 CHARS_AT_ONCE = 4_000_000
+#: The same where ids leave the task: a slice is a batch of its own on the way out.
+CHARS_SENT = 1_000_000
 
 
 def slices(texts: list[str | None], limit: int = CHARS_AT_ONCE) -> Iterator[list[str | None]]:
@@ -220,13 +228,19 @@ def slices(texts: list[str | None], limit: int = CHARS_AT_ONCE) -> Iterator[list
 def encode_texts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """``docs`` with a column ``ids`` (array<int>): the ids of the whole text. NULL text counts as
     empty, empty text has no ids; a column ``ids`` that is there is replaced, all others stay as they are. Nothing
-    is shuffled; repeated rows stay; an empty table stays empty; a text is never cut, however long."""
+    is shuffled; repeated rows stay; an empty table stays empty; a text is never cut, however long. Ids go out slice by slice, and a
+    worker keeps no words behind its task: later stages share the executor's memory with it."""
 
     @F.pandas_udf("array<int>")
     def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         bpe = encoder(path)
-        for batch in texts:
-            yield pd.Series([ids.astype(np.int32) for part in slices(batch.tolist()) for ids in bpe.encode_all(part)], dtype=object)
+        try:
+            for batch in texts:
+                for part in slices(batch.tolist(), CHARS_SENT):
+                    yield pd.Series([ids.astype(np.int32) for ids in bpe.encode_all(part)], dtype=object)
+        finally:
+            bpe.forget()
+            give_back()
 
     return docs.withColumn("ids", ids(F.col(text_col)))
 

@@ -192,7 +192,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _deviations(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, linked, role, key): keys of the deviations of a from its leader b that another document must share
-    to link with a; role s for pairs with one that did not link to b, role l for pairs of such a one with one that did."""
+    to link with a; role s for pairs with one that did not link to b, role l for pairs of such a one with one that did.
+    Both are worked out in one pass."""
     k = (100 - percent) / (100 + percent)
 
     @F.pandas_udf("s array<long>, l array<long>")
@@ -212,13 +213,16 @@ def _deviations(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             with_stray = max(1, int(np.floor((d - k * len(x) + k * len(y)) / 2 - 1e-9)) + 1)
             if not link:
                 with_stray = max(with_stray, with_any)
-            stray.append(keyed[: max(0, len(keyed) - with_stray + 1)])
-            joined.append(stray[-1] if link else keyed[: max(0, len(keyed) - with_any + 1)])
+            for_stray = keyed[: max(0, len(keyed) - with_stray + 1)]
+            stray.append(keyed[:0] if link else for_stray)
+            joined.append(for_stray if link else keyed[: max(0, len(keyed) - with_any + 1)])
         return pd.DataFrame({"s": stray, "l": joined})
 
-    both = _with_sets(near, sets, "s", "h").select("a", "linked", keys("linked", "b", "x_s", "x_h", "y_s", "y_h").alias("k"))
-    stray = both.where("not linked").select("a", "linked", F.lit("s").alias("role"), F.explode("k.s").alias("key"))
-    return stray.unionByName(both.select("a", "linked", F.lit("l").alias("role"), F.explode("k.l").alias("key")))
+    # not deterministic to the planner: it would test the arrays for emptiness by a second run of the function, in a second Python worker
+    once = keys.asNondeterministic()
+    both = _with_sets(near, sets, "s", "h").select("a", "linked", once("linked", "b", "x_s", "x_h", "y_s", "y_h").alias("k"))
+    of_role = lambda role: F.transform(f"k.{role}", lambda key: F.struct(F.lit(role).alias("role"), key.alias("key")))
+    return both.select("a", "linked", F.explode(F.concat(of_role("s"), of_role("l"))).alias("e")).select("a", "linked", "e.*")
 
 
 def _may_link(x: str, y: str, percent: int) -> Column:

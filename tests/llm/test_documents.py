@@ -1,5 +1,9 @@
 """Operators that look at one document at a time, against brute force."""
 
+import os
+import time
+
+import pandas as pd
 import public_tokenizers
 from tokenizers import Tokenizer
 
@@ -129,3 +133,24 @@ def test_a_word_is_merged_once(monkeypatch):
     monkeypatch.setattr(bpe, "KNOWN_RUNS", 5, raising=False)
     for t in [*texts, *texts[::-1], "", " \x1c  ", "it's 12x3 don't<|startoftext|>"]:
         assert own.encode(t) == lib.encode(t, add_special_tokens=False).ids
+
+
+def test_a_worker_keeps_no_words_behind_its_task(spark):
+    """Ids that leave in slices stay in order, and what the workers have learned is dropped when their tasks end."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib = Tokenizer.from_file(path)
+    rows = [(i, " ".join(f"word{i} kept{j}" for j in range(i % 7)) if i % 5 else None) for i in range(300)] + [(300 + i, f"long{i} " * 90_000) for i in range(3)]
+    # a name of its own for the file, so that what other tests leave does not count
+    own = f"{os.path.dirname(path)}/./{os.path.basename(path)}"
+
+    def left(batches):
+        for _ in batches:
+            time.sleep(1)  # every idle worker gets a task
+        held = bpe._loaded.get(own)
+        yield pd.DataFrame({"met": [held is not None], "n": [len(held.words) + len(held.runs) if held else 0]})
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: list(r.ids) for r in bpe.encode_texts(docs, own).collect()}
+    assert got == {i: lib.encode(t or "", add_special_tokens=False).ids for i, t in rows}
+    workers = spark.range(0, 8, 1, 8).mapInPandas(left, "met boolean, n long").collect()
+    assert any(r.met for r in workers) and not any(r.n for r in workers)

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from fitgate.llm import components, decontaminate, jaccard
@@ -104,6 +105,26 @@ def test_candidates_follow_the_rows_of_a_group(spark, monkeypatch, size, percent
     assert seen[600]["keys"] <= 5 * seen[150]["keys"]
 
 
+def test_deviations_are_worked_out_once(spark):
+    """One run of the function per task, so one Python worker, and the keys of both roles in it."""
+    packed = lambda values, kind: np.array(values, kind).tobytes()
+    base = list(range(1000, 1100))
+    held = {1: base, 2: [*base[:60], *range(5000, 5040)], 3: [*base[:98], 7000, 7001], 4: [*base[:60], *range(5000, 5030), *range(6000, 6010)]}
+    cells = [(d, packed(s, np.uint64), packed([4 if x in base else 2 for x in s], np.uint16)) for d, s in held.items()]
+    sets = spark.createDataFrame(cells, "doc_id long, s binary, h binary")
+    near = spark.createDataFrame([(2, 1, False), (3, 1, True), (4, 1, False)], "a long, b long, linked boolean")
+    out = jaccard._deviations(near, sets, 80)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Union" not in plan
+    keys = {}
+    for r in out.collect():
+        keys.setdefault((r.a, r.linked, r.role), []).append(r.key)
+    # k = 1/9: a stray that differs from the leader by 80 elements shares (80 - 200/9) / (10/9), so 52, of these with anyone; 3, with 4, shares 2 with a stray
+    assert {k: len(v) for k, v in keys.items()} == {(2, False, "s"): 29, (2, False, "l"): 29, (3, True, "l"): 3, (4, False, "s"): 29, (4, False, "l"): 29}
+    assert all(len(set(v)) == len(v) for v in keys.values())
+    assert keys[2, False, "s"] == keys[2, False, "l"] and set(keys[2, False, "s"]) & set(keys[4, False, "s"])
+
+
 def test_texts_that_clash_on_an_id(spark):
     """Of different texts with one doc_id the one with the smallest digest counts, in every run alike."""
     a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
