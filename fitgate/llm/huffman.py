@@ -1,7 +1,8 @@
 """Token ids in files: canonical length-limited Huffman codes, table-driven block decoding.
 
-1. Every text is encoded with the tokenizers library, each distinct run of non-blank text that a
-   Python worker meets once, and an end id is appended. The ids are written as 16- or 32-bit integers.
+1. Every text is encoded with the tokenizers library, and an end id is appended. A slice of texts is cut into
+   runs of non-blank text, and its distinct runs into words and the signs behind them, as Arrow arrays; the library
+   sees each word that a Python worker meets once. The ids are written as 16- or 32-bit integers.
 2. Global counts of ids (one row per id) give code lengths of at most ``MAX_BITS`` bits by the
    package-merge method, and canonical codes: by length, then by id. The code book is one
    number per id, so it is small whatever the corpus.
@@ -24,19 +25,25 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fitgate.llm.blocks import NULL_ID, real_ids
-from fitgate.llm.bpe import byte_symbols, slices
+from fitgate.llm.bpe import byte_symbols
 from fitgate.llm.common import Stages
 
 #: The least limit of a code's length; vocabularies of more ids than it allows get a longer one.
 MAX_BITS = 20
 CHECKPOINT = 128
 BLOCK_TOKENS = 1 << 17
-#: Encoded runs of non-blank text, words among them, in each of the two generations that a Python worker keeps (about 200 bytes each).
+#: Bytes of text taken together: the more, the fewer of its words are looked up again; bounds the memory of a slice.
+BYTES_AT_ONCE = 16_000_000
+#: Ids that are counted together; bounds the memory of wider copies.
+IDS_AT_ONCE = 1 << 20
+#: Encoded words, and runs of non-blank text that are more than a word and signs, in each of the two generations that a Python worker keeps (about 200 bytes each).
 KNOWN_RUNS = 800_000
 
 BLOCK = "part int, block int, first_token long, doc_ids array<long>, lengths array<int>, n_tokens int, payload binary, checkpoints binary"
@@ -136,6 +143,8 @@ _TAIL_BYTES = _TAIL.encode()
 _LAST_LETTER = "\ua000"
 #: Up to here NFC changes nothing, and lower case is one letter for one.
 _LAST_SIMPLE = "\u0100"
+_SIMPLE = "".join(c for c in map(chr, range(ord(_LAST_SIMPLE))) if c.isalpha())
+_SIMPLE_WORD = f"^[{_SIMPLE}]+$"
 
 
 class _Runs(dict):
@@ -173,6 +182,7 @@ class Library:
         self.piece = regex.compile(json.loads(self.tokenizer.to_str())["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.symbols = dict(enumerate(byte_symbols()))
         self.normalize, self.tokenize = self.tokenizer.normalizer.normalize_str, self.tokenizer.model.tokenize
+        self.last_id = max(self.tokenizer.get_vocab().values())
         self.runs = _Runs(self._run, {})
 
     def _whole(self, text: str) -> bytes:
@@ -191,12 +201,14 @@ class Library:
 
     def _run(self, run: bytes) -> bytes:
         """Ids of a run; its parts are runs too."""
+        if run.isalpha() and run.islower():  # of bytes: ASCII letters only
+            return self._symbols(run.decode())
         body = run.rstrip(_TAIL_BYTES)
-        if body.isalpha():  # of bytes: ASCII letters only
+        if body.isalpha():
             word = body.lower()
             if len(body) < len(run):
                 return self.runs[word] + self.runs[run[len(body) :]]
-            return self._symbols(word.decode()) if word == run else self.runs[word]
+            return self.runs[word]
         text = run.decode()
         if run.isascii():
             if text.isprintable() and "<|" not in text:
@@ -212,59 +224,98 @@ class Library:
                 return self._symbols(plain.encode().decode("latin-1").translate(self.symbols))
         return self._whole(text)
 
-    def encode(self, texts: list[str | None], end: int) -> list[bytes]:
-        """Ids of each text and the end id, as little-endian 32-bit integers."""
+    def _parts(self, runs: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The distinct parts of runs, and where the two parts of each run stand among them.
+
+        A word of Latin-1 letters, in lower case, is parted from the signs behind it; any other run is one part. The last part is
+        empty: a run without signs, or of one part, has it second.
+        """
+        body = pc.ascii_rtrim(runs, characters=_TAIL)
+        simple = pc.match_substring_regex(body, pattern=_SIMPLE_WORD)
+        signs = pc.utf8_ltrim(pc.if_else(simple, runs, ""), characters=_SIMPLE)
+        parts = pa.concat_arrays([pc.if_else(simple, pc.utf8_lower(body), runs), signs, pa.array([""], runs.type)]).dictionary_encode()
+        places = parts.indices.to_numpy()
+        return parts.dictionary, np.stack([places[: len(runs)], places[len(runs) : -1]], axis=1)
+
+    def encode_all(self, texts: pa.Array, end: int) -> tuple[np.ndarray, pa.Array]:
+        """How many ids each text has with the end id, and its ids as little-endian integers of 16 bits, or of 32 if the vocabulary needs them."""
         if len(self.runs) > KNOWN_RUNS:
             self.runs.before = {}
             self.runs = _Runs(self._run, self.runs)
-        known, last = self.runs.__getitem__, struct.pack("<I", end)
-        return [b"".join([*map(known, (t or "").encode().split()), last]) for t in texts]
+        split = pc.ascii_split_whitespace(texts.fill_null(""))
+        runs = split.flatten().dictionary_encode()
+        parts, places = self._parts(runs.dictionary)
+        ids = [*map(self.runs.__getitem__, parts.cast(pa.large_binary()).to_numpy(zero_copy_only=False)), struct.pack("<I", end)]
+        kind = np.dtype("<u2" if max(self.last_id, end) < 1 << 16 else "<u4")
+        table = _binary(np.frombuffer(b"".join(ids), "<u4").astype(kind), np.cumsum([0, *map(len, ids)]) // 4 * kind.itemsize)
+        # the distinct runs, and behind them the end id as one more
+        joined, ends = _taken(table, np.append(places, len(parts)))
+        table = _binary(joined, np.append(ends[::2], ends[-1]))
+        bounds = split.offsets.to_numpy()
+        data, ends = _taken(table, np.insert(runs.indices.to_numpy(), bounds[1:], len(runs.dictionary)))
+        ends = ends[bounds + np.arange(len(bounds))]
+        return np.diff(ends) // kind.itemsize, _binary(data, ends).cast(pa.binary())
+
+    def encode(self, texts: list[str | None], end: int) -> list[bytes]:
+        """Ids of each text and the end id, as little-endian 32-bit integers."""
+        counts, ids = self.encode_all(pa.array(texts, pa.string()), end)
+        return [_unpacked(data, n).astype("<u4").tobytes() for n, data in zip(counts, ids.to_pylist(), strict=True)]
+
+
+def _binary(data: np.ndarray | pa.Buffer, ends: np.ndarray) -> pa.Array:
+    """Binary values that lie one behind the other in ``data``."""
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)])
+
+
+def _taken(values: pa.Array, places: np.ndarray) -> tuple[pa.Buffer, np.ndarray]:
+    """The values at ``places`` one behind the other, and where they begin and end."""
+    taken = values.take(pa.array(places))
+    return taken.buffers()[2], np.frombuffer(taken.buffers()[1], np.int64, len(places) + 1)
+
+
+def _unpacked(data: bytes | pa.Buffer, n: int) -> np.ndarray:
+    """The ``n`` ids, at least one, that are packed in ``data``."""
+    return np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4")
 
 
 _loaded: dict[str, Library] = {}
 
 
 def encoded(docs: DataFrame, path: str, end: int) -> DataFrame:
-    """(doc_id, n, ids): packed ids of the whole text, the end id included."""
+    """(doc_id, n, ids): packed ids of the whole text, the end id included; 16 bits each, or 32 if the vocabulary needs them."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _loaded:
             _loaded[path] = Library(path)
         for batch in batches:
-            at = 0
-            for part in slices(batch["text"].tolist()):
-                ids = _loaded[path].encode(part, end)
-                rows = batch["doc_id"].iloc[at : at + len(part)]
-                at += len(part)
-                # 16 bits are enough for most vocabularies; the first byte says which it is
-                yield pd.DataFrame({"doc_id": rows, "n": [len(x) // 4 for x in ids], "ids": [_narrow(x) for x in ids]})
-
-    return docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "text").mapInPandas(run, "doc_id long, n int, ids binary")
-
-
-def _narrow(ids: bytes) -> bytes:
-    wide = np.frombuffer(ids, "<u4")
-    return b"\x02" + wide.astype("<u2").tobytes() if wide.max(initial=0) < 1 << 16 else b"\x04" + ids
-
+            # slices of about as much text, so that a batch of long documents needs no more memory
+            size = np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            cuts = [0, *(np.flatnonzero(np.diff(size // BYTES_AT_ONCE)) + 1).tolist(), len(size)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                part = batch.slice(a, b - a)
+                if b > a:
+                    n, ids = _loaded[path].encode_all(part.column("text"), end)
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int32()), ids], ["doc_id", "n", "ids"])
 
-def _wide(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, "<u2" if data[0] == 2 else "<u4", offset=1).astype(np.int64)
+    return docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "text").mapInArrow(run, "doc_id long, n int, ids binary")
 
 
 def id_counts(rows: DataFrame) -> DataFrame:
     """(id, n): how often each id occurs; counted in each task before the shuffle."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros(0, np.int64)
         for batch in batches:
-            for data in batch["ids"]:
-                more = np.bincount(_wide(data), minlength=len(totals))
+            # all ids of a table have the same number of bits
+            ids = _unpacked(b"".join(batch.column("ids").to_pylist()), pc.sum(batch.column("n")).as_py() or 0)
+            for i in range(0, len(ids), IDS_AT_ONCE):
+                more = np.bincount(ids[i : i + IDS_AT_ONCE], minlength=len(totals))
                 more[: len(totals)] += totals
                 totals = more
         found = np.flatnonzero(totals)
-        yield pd.DataFrame({"id": found, "n": totals[found]})
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(totals[found], pa.int64())], ["id", "n"])
 
-    return rows.select("ids").mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return rows.select("n", "ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_files(docs: DataFrame, path: str, end: int, stages: Stages) -> tuple[DataFrame, DataFrame]:
@@ -293,9 +344,9 @@ def write_files(docs: DataFrame, path: str, end: int, stages: Stages) -> tuple[D
             })
 
         for batch in batches:
-            for doc_id, data in zip(batch["doc_id"], batch["ids"], strict=True):
+            for doc_id, n, data in zip(batch["doc_id"], batch["n"], batch["ids"], strict=True):
                 ids.append(doc_id)
-                parts.append(_wide(data))
+                parts.append(_unpacked(data, n))
                 size += len(parts[-1])
                 if size >= BLOCK_TOKENS:
                     yield block()

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -111,3 +112,24 @@ def test_letters_are_the_librarys():
     text = " ".join(w for c in map(chr, range(65, 0x300)) if c.isalpha() for w in (c, f"a{c}", f"{c}.", f"{c}B'", f"{c}́{c}.", f"1{c}'S"))
     want = Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
     assert np.frombuffer(huffman.Library(PATH).encode([text], 2)[0], "<u4").tolist() == [*want, 2]
+
+
+def test_a_written_form_is_not_kept():
+    """Of a word in all its written forms one entry is kept, and the library is asked for it once."""
+    library, plain, asked = huffman.Library(PATH), Tokenizer.from_file(PATH), []
+    tokenize = library.tokenize
+    library.tokenize = lambda word: asked.append(word) or tokenize(word)
+    texts = ["Always always, ALWAYS!?  always. (always)", None, "\n", "École école, ÉCOLE!? \x0bécole.", "ÀÉ;"]
+    want = [[*plain.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in library.encode(texts, 2)] == want
+    assert {r.decode() for r in library.runs} == {"always", "école", "àé", "(always)", "(", ")", ",", ".", "!?", ";", ""} and asked.count("always") == 1
+    counts, ids = library.encode_all(pa.array(["cut off", *texts, None]).slice(1, len(texts)), 2)
+    assert [np.frombuffer(x, "<u2").tolist() for x in ids.to_pylist()] == want and counts.tolist() == list(map(len, want))
+
+
+def test_ids_of_more_than_16_bits(spark):
+    texts, end = ["one two.", None, "<|endoftext|> X\x00Y"], 70000
+    want = [[*Tokenizer.from_file(PATH).encode(t or "", add_special_tokens=False).ids, end] for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = huffman.round_trip(docs, PATH, end).orderBy("doc_id").collect()
+    assert [(r.n_tokens, r.ids_crc32) for r in got] == [(len(w), zlib.crc32(np.array(w, "<u4").tobytes())) for w in want]
