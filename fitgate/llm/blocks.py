@@ -16,11 +16,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fitgate.llm.common import Stages
+from fitgate.llm.common import Stages, give_back
 
 BLOCK_CHARS = 4_000_000
 #: Keys that one owner should have to sort, counted with repeats in different blocks.
@@ -29,15 +30,38 @@ KEYS_PER_OWNER = 2_000_000
 #: Stands for a NULL doc_id inside blocks, where lists of plain 64-bit integers are wanted.
 NULL_ID = -(2**63)
 
+#: For tables of blocks and of answers: a task that writes or reads them holds a row group at once.
+SMALL_GROUPS = {"parquet.block.size": str(8 << 20)}
+
 REQUEST = "owner long, block long, kind int, n long, keys binary, extra binary"
 ANSWER = "owner long, block long, kind int, n long, answer binary"
 
 
-def text_blocks(docs: DataFrame, stages: Stages, order_by: tuple[str, ...] = (), chars: int | None = None) -> DataFrame:
+def pack_texts(texts: list[str]) -> bytes:
+    """Texts as one compressed value: executors hold several copies of a block's row, in buffers that double as they grow."""
+    docs = [t.encode() for t in texts]
+    data = pack(np.array([len(docs), *map(len, docs)], np.uint64)) + b"".join(docs)
+    return len(data).to_bytes(8, "little") + len(docs).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unpack_texts(data: bytes) -> list[str]:
+    size, n = (int.from_bytes(data[i : i + 8], "little") for i in (0, 8))
+    plain = memoryview(pa.decompress(memoryview(data)[16:], decompressed_size=size, codec="zstd", asbytes=True))
+    ends = 8 * (n + 1) + np.cumsum(unpack(plain[: 8 * (n + 1)])[1:], dtype=np.int64)
+    return [str(plain[a:b], "utf-8") for a, b in zip([8 * (n + 1), *ends[:-1]], ends, strict=True)] if n else []
+
+
+def _readable(row):
+    """A row of blocks with its texts as strings."""
+    return row._replace(texts=unpack_texts(row.texts)) if isinstance(getattr(row, "texts", None), bytes) else row
+
+
+def text_blocks(docs: DataFrame, stages: Stages, order_by: tuple[str, ...] = (), chars: int | None = None, packed: bool = False) -> DataFrame:
     """Written rows (block, doc_ids, texts, flags) of a few million characters, from docs(doc_id, text, flag).
 
     With ``order_by``, documents lie in that order in the blocks and blocks in ascending order
-    of their numbers; else each task cuts what it reads. A document is never cut.
+    of their numbers; else each task cuts what it reads. A document is never cut. With ``packed``,
+    the texts are one value (``send`` and ``with_answers`` read it), and n_chars is one more column.
     """
     limit = chars or BLOCK_CHARS
 
@@ -48,7 +72,8 @@ def text_blocks(docs: DataFrame, stages: Stages, order_by: tuple[str, ...] = (),
 
         def block() -> pd.DataFrame:
             ids, texts, flags = zip(*rows, strict=True)
-            return pd.DataFrame({"block": [number], "doc_ids": [list(ids)], "texts": [list(texts)], "flags": [list(flags)]})
+            row = {"block": [number], "doc_ids": [list(ids)], "texts": [pack_texts(texts) if packed else list(texts)], "flags": [list(flags)]}
+            return pd.DataFrame(row | ({"n_chars": [size]} if packed else {}))
 
         for batch in batches:
             for row in zip(batch["doc_id"], batch["text"], batch["flag"], strict=True):
@@ -59,12 +84,17 @@ def text_blocks(docs: DataFrame, stages: Stages, order_by: tuple[str, ...] = (),
                 size += len(row[1])
         if rows:
             yield block()
+        if packed:
+            rows.clear()
+            give_back()
 
     # NULL ids would turn a column of integers into floats in pandas
     docs = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "flag", *[c for c in order_by if c not in ("doc_id", "text")])
     if order_by:
         # ranges come from a sample that the driver sees: short keys only
         docs = docs.repartitionByRange(*[c for c in order_by if c != "text"]).sortWithinPartitions(*order_by)
+    if packed:
+        return stages.write(docs.mapInPandas(cut, "block long, doc_ids array<long>, texts binary, flags array<boolean>, n_chars long"), "blocks", **SMALL_GROUPS)
     return stages.write(docs.mapInPandas(cut, "block long, doc_ids array<long>, texts array<string>, flags array<boolean>"), "blocks")
 
 
@@ -112,7 +142,8 @@ def send(blocks: DataFrame, make: Callable[[int, np.ndarray, np.ndarray, np.ndar
         columns = [c.split()[0] for c in REQUEST.split(", ")]
         for batch in batches:
             for row in batch.itertuples(index=False):
-                yield pd.DataFrame(list(make(row.block, row.doc_ids, row.texts, row.flags)), columns=columns)
+                yield pd.DataFrame(list(make(row.block, row.doc_ids, _readable(row).texts, row.flags)), columns=columns)
+        give_back()
 
     # a block is one large row: few of them may wait in memory together
     return blocks.mapInPandas(run, REQUEST)
@@ -134,6 +165,8 @@ def total_answers(asked: DataFrame) -> DataFrame:
             for block, n, e in zip(rows["block"], rows["n"], end, strict=True):
                 out.append((owner, block, kind, n, pack(totals[at[e - n : e]])))
             out.append((owner, -1, kind, int(np.count_nonzero(totals)), b""))
+            del keys, extra, distinct, at, totals
+        give_back()  # this Python worker stays beside the shuffles that follow
         return pd.DataFrame(out, columns=["owner", "block", "kind", "n", "answer"])
 
     return asked.groupBy("owner").applyInPandas(add, ANSWER)
@@ -145,6 +178,8 @@ def with_answers(blocks: DataFrame, answers: DataFrame, use: Callable[..., pd.Da
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         right = right.sort_values("owner")
         found = {kind: list(zip(rows["answer"], rows["n"], strict=True)) for kind, rows in right.groupby("kind")}
-        return pd.concat([use(row, found) for row in left.itertuples(index=False)])
+        out = pd.concat([use(_readable(row), found) for row in left.itertuples(index=False)])
+        give_back()
+        return out
 
     return blocks.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block")).applyInPandas(run, schema)

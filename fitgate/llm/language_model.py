@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fitgate.llm.blocks import owners_for, real_ids, requests, send, text_blocks, total_answers, unpack, with_answers
+from fitgate.llm.blocks import SMALL_GROUPS, owners_for, real_ids, requests, send, text_blocks, total_answers, unpack, with_answers
 from fitgate.llm.common import Stages, mix, word_hashes
 
 WORD, PAIR = 0, 1
@@ -110,8 +110,8 @@ def score_documents(docs: DataFrame, train: Column) -> DataFrame:
     """
     stages = Stages(docs.sparkSession, "lm")
     rows = docs.select("doc_id", "text", F.coalesce(train, F.lit(True)).alias("flag"))
-    blocks = text_blocks(rows, stages)
-    size = blocks.select(F.sum(F.aggregate("texts", F.lit(0).cast("long"), lambda n, t: n + F.length(t)))).first()[0] or 0
+    blocks = text_blocks(rows, stages, packed=True)
+    size = blocks.agg(F.sum("n_chars")).first()[0] or 0
     bits = owners_for(size // 6)  # about six characters a word
 
     def ask(block: int, _, texts, flags) -> Iterator[tuple]:
@@ -121,7 +121,7 @@ def score_documents(docs: DataFrame, train: Column) -> DataFrame:
             distinct, at = np.unique(keys, return_inverse=True)
             yield from requests(block, kind, distinct, bits, np.bincount(at, learned, len(distinct)))
 
-    answers = stages.write(total_answers(send(blocks, ask)), "answers")
+    answers = stages.write(total_answers(send(blocks, ask)), "answers", **SMALL_GROUPS)
     n_types = answers.where(f"block = -1 and kind = {WORD}").agg(F.sum("n")).first()[0] or 0
     spark = docs.sparkSession
 

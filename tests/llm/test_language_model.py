@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from fitgate.llm import language_model
+from fitgate.llm.blocks import pack_texts, unpack_texts
 from fitgate.llm.queries import op2_lm_scoring
 from tests.llm import brute
 
@@ -57,3 +58,23 @@ def test_odd_rows(spark):
     assert language_model.score_documents(docs.limit(0), language_model.F.lit(True)).count() == 0
     nothing = language_model.score_documents(docs, language_model.F.lit(False)).collect()
     assert all(r.train_tokens == 0 and r.base_score == 0 for r in nothing)
+
+
+def test_texts_of_a_block_are_one_small_value(spark, sf, monkeypatch):
+    """A block is one row of a shuffle: its texts pass through executors compressed."""
+    made = []
+    real = language_model.text_blocks
+    monkeypatch.setattr(language_model, "text_blocks", lambda *a, **k: made.append(real(*a, **k)) or made[-1])
+    got = op2_lm_scoring(spark, sf)
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    blocks = made[0].collect()
+    plain = sum(len(t.encode()) for t in texts.values())
+    sent = sum(len(r.texts) if isinstance(r.texts, bytes | bytearray) else sum(len(t.encode()) for t in r.texts) for r in blocks)
+    assert got.count() == len(texts)
+    assert sent < 0.6 * plain
+    assert {d: t for r in blocks for d, t in zip(r.doc_ids, unpack_texts(bytes(r.texts)), strict=True)} == texts
+
+
+@pytest.mark.parametrize("texts", [[""], ["", "a\nb", "", "\u00f1\u20ac\U0001f600"], ["x" * 100_000] * 3])
+def test_packed_texts_come_back(texts):
+    assert unpack_texts(pack_texts(texts)) == texts
