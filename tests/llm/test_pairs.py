@@ -226,3 +226,23 @@ def test_leaks_with_parts_in_another_order(spark):
     assert want[1, 1] == round(52 / 60, 9)
     assert got == want
     assert {r.doc_id for r in decontaminate.drop_leaks(*frames).collect()} == {d for d, _ in docs} - {d for d, _ in want}
+
+
+@pytest.mark.parametrize("most", [decontaminate.BROADCAST_DOCUMENTS, 0])
+def test_texts_without_windows_are_not_shuffled(spark, monkeypatch, most):
+    """However large the table of documents with windows is: no join of all texts, and the same rows either way."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_DOCUMENTS", most)
+    item = "one two three four five six seven eight nine ten"
+    docs = [(1, f"before {item} behind"), (2, "nothing of it in this text at all"), (1, "a repeated id with another text"), (3, item)]
+    plans, write = [], decontaminate.Stages.write
+    monkeypatch.setattr(decontaminate.Stages, "write", lambda self, df, name, **k: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or write(self, df, name, **k))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")
+        got = [(r.doc_id, r.item_id, r.start, r.similarity) for r in decontaminate.find_leaks(*frames).collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted(got) == [(1, 7, 1, 1.0), (3, 7, 0, 1.0)]
+    plan = dict(plans)["windows"]
+    assert ("BroadcastHashJoin" in plan and "LeftSemi" in plan) == (most > 0)
