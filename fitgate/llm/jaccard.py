@@ -45,7 +45,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fitgate.llm.blocks import owners_for, requests, send, text_blocks, total_answers, unpack, with_answers
+from fitgate.llm.blocks import SMALL_GROUPS, owners_for, requests, send, text_blocks, total_answers, unpack, with_answers
 from fitgate.llm.common import Stages, mix, rolling, word_hashes
 from fitgate.llm.components import connected
 
@@ -92,8 +92,8 @@ def sketch(elements: np.ndarray) -> list[int]:
 def set_signatures(docs: DataFrame, stages: Stages, size: int, percent: int, prefixes: bool = True) -> DataFrame:
     """SIGNED rows for all documents: set size and a 128-bit digest; for those that may have a partner among these documents also the set, its numbers
     of holders (16 bits each), how many it holds alone, the sketch of the others, and, if asked for, its prefixes, as packed longs."""
-    blocks = text_blocks(docs.withColumn("flag", F.lit(True)), stages)
-    chars = blocks.select(F.sum(F.aggregate("texts", F.lit(0).cast("long"), lambda n, t: n + F.length(t)))).first()[0] or 0
+    blocks = text_blocks(docs.withColumn("flag", F.lit(True)), stages, packed=True)
+    chars = blocks.agg(F.sum("n_chars")).first()[0] or 0
     bits = owners_for(chars // 6)
 
     def sets_in(texts) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -105,7 +105,7 @@ def set_signatures(docs: DataFrame, stages: Stages, size: int, percent: int, pre
         _, distinct, at = sets_in(texts)
         yield from requests(block, 0, distinct, bits, np.bincount(at, minlength=len(distinct)))
 
-    answers = stages.write(total_answers(send(blocks, ask)), "holders")
+    answers = stages.write(total_answers(send(blocks, ask)), "holders", **SMALL_GROUPS)
 
     def sign(row, found) -> pd.DataFrame:
         sets, _, at = sets_in(row.texts)

@@ -246,3 +246,16 @@ def test_texts_without_windows_are_not_shuffled(spark, monkeypatch, most):
     assert sorted(got) == [(1, 7, 1, 1.0), (3, 7, 0, 1.0)]
     plan = dict(plans)["windows"]
     assert ("BroadcastHashJoin" in plan and "LeftSemi" in plan) == (most > 0)
+
+
+def test_texts_for_sets_are_one_small_value(spark, sf, monkeypatch):
+    """A block is one row of a shuffle: its texts pass through executors compressed."""
+    made = []
+    real = jaccard.text_blocks
+    monkeypatch.setattr(jaccard, "text_blocks", lambda *a, **k: made.append(real(*a, **k)) or made[-1])
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    signed = {r.doc_id: r.n for r in jaccard.set_signatures(docs, Stages(spark, "test"), 3, 90).select("doc_id", "n").collect()}
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    assert signed == {d: len(jaccard.shingle_set(t)) for d, t in texts.items()}
+    sent = sum(len(r.texts) if isinstance(r.texts, bytes | bytearray) else sum(len(t.encode()) for t in r.texts) for r in made[0].collect())
+    assert sent < 0.6 * sum(len(t.encode()) for t in texts.values())
